@@ -8,22 +8,19 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, start: DataFrame | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, label) for every vertex of an edge; label is the least vertex of its component.
 
     edges: columns a and b of one orderable type, undirected; repeated edges and loops
-    are allowed.  start: labels of an earlier call over a part of the edges.  Each round
-    takes the least label of the neighbours and then follows that label's own label, so
-    rounds grow with the logarithm of a component's diameter.  Nothing is collected.
+    are allowed.  Each round takes the least label of the neighbours and then follows that
+    label's own label, so rounds grow with the logarithm of a component's diameter.
+    Nothing is collected.
     """
     both = scratch.table(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
         "edges",
     )
     first = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label"))
-    if start is not None:
-        known = start.select("v", F.col("label").alias("known"))
-        first = first.join(known, "v", "full").select("v", F.least("label", "known").alias("label"))
     labels = scratch.table(first, "labels")
     while True:
         heard = (

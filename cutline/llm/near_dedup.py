@@ -192,7 +192,7 @@ def _verify(cfg: NearConfig):
 
 
 def _block(cfg: NearConfig):
-    """Links between members of different components in one block of a bucket.
+    """Pairs of components that a link joins, in one block of a bucket.
 
     Rows with minor are compared with all rows of another component.  A pair that meets
     in an earlier band too is left to that band.
@@ -200,7 +200,7 @@ def _block(cfg: NearConfig):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         band = int(pdf["band"].iloc[0])
-        sig, comp, vid = _sig(pdf["sig"]), pdf["comp"].to_numpy(), pdf["vid"].to_numpy()
+        sig, comp = _sig(pdf["sig"]), pdf["comp"].to_numpy()
         keys = np.array(pdf["bands"].tolist(), np.int64)
         minor = pdf["minor"].to_numpy()
         sets = shingle_sets(pa.array(pdf["text"], pa.string()), cfg.width)
@@ -209,7 +209,7 @@ def _block(cfg: NearConfig):
         owner = np.repeat(np.arange(len(sets)), size)
         order = np.argsort(joined, kind="stable")
         joined, owner = joined[order], owner[order]
-        found_a, found_b = [], []
+        found: set[tuple[bytes, bytes]] = set()
         for a in np.flatnonzero(minor):
             other = np.flatnonzero((comp != comp[a]) & ~((keys[:, :band] == keys[a, :band]).any(1)))
             other = other[_alike(sig[a], sig[other], cfg)] if len(other) else other
@@ -220,9 +220,8 @@ def _block(cfg: NearConfig):
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(wide)[:-1]]), wide) + np.arange(wide.sum())
             inter = np.bincount(owner[at], minlength=len(sets))[other]
             hit = other[_linked(inter, size[a], size[other], cfg.percent)]
-            found_a += [vid[a]] * len(hit)
-            found_b += list(vid[hit])
-        return pd.DataFrame({"a": found_a, "b": found_b}, dtype=object)
+            found.update((comp[a], c) for c in set(comp[hit]))
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=object)
 
     return run
 
@@ -292,7 +291,10 @@ def near_components(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str
     if not member.isEmpty():
         more = scratch.table(_blocks(member, busy, cfg), "links")
         if not more.isEmpty():
-            labels = connected_components(more.unionByName(links), scratch, labels)
+            over = connected_components(more, scratch).select(F.col("v").alias("comp"), F.col("label").alias("top"))
+            known = labels.select("v", "label").unionByName(over.select(F.col("comp").alias("v"), F.col("comp").alias("label"))).distinct()
+            labels = known.join(over, F.col("label") == F.col("comp"), "left").select("v", F.coalesce("top", "label").alias("label"))
+            labels = scratch.table(labels.groupBy("v").agg(F.min("label").alias("label")), "labels")
 
     # A component's smallest id, and from there back to the rows.
     named = ids.join(labels, F.col("vid") == F.col("v"), "left").select("vid", "least_id", "label")
@@ -309,7 +311,7 @@ def _parts(total: Column, most: int) -> Column:
 
 
 def _blocks(member: DataFrame, busy: DataFrame, cfg: NearConfig) -> DataFrame:
-    """Links from comparing each bucket's minor components with all its members.
+    """Pairs of components linked by comparing each bucket's minor components with all its members.
 
     Both sides are dealt into chunks of about block_shingles shingles; one task handles a
     chunk of minors against a chunk of members, whatever the size of the bucket.
