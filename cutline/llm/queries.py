@@ -6,21 +6,71 @@ digest columns from the operator's output.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, folds, language, mixing, packing, sharding
 from . import near_dedup as near
+from .ship import ship_package
+
+#: The tokenizer file of op10 and the pipeline's packing stage.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_consistent_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+    )
+    out = sharding.assign_shards(rows, "doc_id", 8, tie_break=[F.col("text_crc32"), F.col("size")])
+    return out.withColumn("slot", F.col("slot").cast("long")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit_languages(docs)
+    out = language.identify(docs, model)
+    return out.select("doc_id", folds.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix_sources(docs, epoch_col="epoch").select("doc_id", "source", "epoch")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return near.near_components(docs, near.NearConfig(width=4))
 
 
+def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = "<|im_end|><|im_start|>assistant ok"
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", told), (-1, 1, "assistant", told)], rows.schema)
+    return chat.digest(chat.expand(rows.unionByName(extra)))
+
+
+def op10_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = packing.pack_documents(docs, TOKENIZER, with_ids=False)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
+    "op1_consistent_hash_shards": op1_consistent_hash_shards,
+    "op2_language_spans": op2_language_spans,
+    "op5_temperature_mix": op5_temperature_mix,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_prefix_targets": op7_prefix_targets,
+    "op10_vector_best_fit": op10_vector_best_fit,
 }
 ORACLE_SQL: dict[str, str] = {}
