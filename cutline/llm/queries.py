@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, folds, language, mixing, packing, sharding
+from . import chat, folds, html_main, language, mixing, neighbours, packing, quality, repetition, sharding
 from . import near_dedup as near
 from .ship import ship_package
 
@@ -42,6 +42,15 @@ def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", folds.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(_table(spark, sf_dir, "documents"))
+
+
+def op4_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs, epoch_col="epoch").select("doc_id", "source", "epoch")
@@ -59,6 +68,16 @@ def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.expand(rows.unionByName(extra)))
 
 
+def op8_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = quality.score_quality(docs, quality.fit_quality(docs, labels))
+    return out.select("doc_id", folds.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main(_table(spark, sf_dir, "pages"))
+
+
 def op10_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = packing.pack_documents(docs, TOKENIZER, with_ids=False)
@@ -68,9 +87,13 @@ def op10_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_consistent_hash_shards": op1_consistent_hash_shards,
     "op2_language_spans": op2_language_spans,
+    "op3_repetition_rules": op3_repetition_rules,
+    "op4_cross_polytope_search": op4_cross_polytope_search,
     "op5_temperature_mix": op5_temperature_mix,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_prefix_targets": op7_prefix_targets,
+    "op8_ftrl_quality": op8_ftrl_quality,
+    "op9_wrapper_induction": op9_wrapper_induction,
     "op10_vector_best_fit": op10_vector_best_fit,
 }
 ORACLE_SQL: dict[str, str] = {}
