@@ -148,7 +148,7 @@ def asof_strict(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.coalesce("last_type", F.lit("Unknown")).alias("last_type"))
 
 
-@query(v.sql("""SELECT c.event, p.player, x.event_id, x.price::BIGINT price FROM v_cutoff c CROSS JOIN (SELECT DISTINCT player FROM v_quotes) p LEFT JOIN LATERAL (SELECT event_id, price FROM v_quotes q WHERE q.player = p.player AND q.quote_time <= c.cutoff ORDER BY quote_time DESC, event_id DESC LIMIT 1) x ON true"""))
+@query(v.sql("""SELECT c.event, p.player, x.event_id::DOUBLE event_id, x.price::DOUBLE price FROM v_cutoff c CROSS JOIN (SELECT DISTINCT player FROM v_quotes) p LEFT JOIN LATERAL (SELECT event_id, price FROM v_quotes q WHERE q.player = p.player AND q.quote_time <= c.cutoff ORDER BY quote_time DESC, event_id DESC LIMIT 1) x ON true"""))
 def asof_inclusive(spark: SparkSession, d: str) -> DataFrame:
     """The latest quote of each player at each cutoff, whatever week it is from."""
     q = v.quotes(spark, d)
@@ -156,7 +156,7 @@ def asof_inclusive(spark: SparkSession, d: str) -> DataFrame:
     left = q.select("player").distinct().join(F.broadcast(v.cutoffs(spark, d).select("event", "cutoff")))
     right = q.select("player", "quote_time", "event_id", "price")
     out = joins.asof_join(left, right, ["player"], left_time="cutoff", right_time="quote_time", values=["event_id", "price"], order=["event_id"])
-    return out.select("event", "player", "event_id", big("price"))
+    return out.select("event", "player", F.col("event_id").cast("double").alias("event_id"), F.col("price").cast("double").alias("price"))
 
 
 @query(v.sql("""SELECT a.event_id, b.event_id other_id, count(*) OVER (PARTITION BY a.event_id) n_matches FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'click' AND abs(date_diff('microsecond', a.ts, b.ts)) <= 3600000000"""))
@@ -190,13 +190,13 @@ def semi_members(spark: SparkSession, d: str) -> DataFrame:
 _NAMES = """SELECT s_suppkey, s_name, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') k, s_nationkey FROM supplier"""
 
 
-@query(v.sql("""SELECT c_custkey, CASE WHEN n = 1 THEN id END resolved_id, CASE WHEN n = 1 THEN 'MATCHED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'UNMATCHED' END match_status FROM (SELECT c_custkey, replace(c_name, 'Customer', 'Supplier') nm, c_nationkey FROM customer) c
+@query(v.sql("""SELECT c_custkey, CASE WHEN n = 1 THEN id END::DOUBLE resolved_id, CASE WHEN n = 1 THEN 'MATCHED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'UNMATCHED' END match_status FROM (SELECT c_custkey, replace(c_name, 'Customer', 'Supplier') nm, c_nationkey FROM customer) c
     LEFT JOIN (SELECT k, count(DISTINCT s_suppkey) n, min(s_suppkey) id FROM s GROUP BY 1) x ON regexp_replace(lower(nm), '[^a-z0-9]', '', 'g') = k""", ("s", _NAMES)))
 def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Customers matched to suppliers by normalised name."""
     c = v.table(spark, d, "customer").select("c_custkey", F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("nm"))
     s = v.table(spark, d, "supplier")
-    return joins.resolve(c, s, name="nm", candidate_name="s_name", candidate_id="s_suppkey", normalise=text.normalize_name).select("c_custkey", "resolved_id", "match_status")
+    return joins.resolve(c, s, name="nm", candidate_name="s_name", candidate_id="s_suppkey", normalise=text.normalize_name).select("c_custkey", F.col("resolved_id").cast("double").alias("resolved_id"), "match_status")
 
 
 @query(v.sql("SELECT p_name, count(DISTINCT p_brand) n_values FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1"))
