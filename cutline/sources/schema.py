@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A snapshot of quotes: books, their markets, and the outcomes of each.
-SNAPSHOT = T.StructType.fromDDL(
-    "timestamp timestamp, event string, bookmakers array<struct<key: string, markets: array<struct<key: string, last_update: timestamp, outcomes: array<struct<name: string, description: string, point: double, price: int>>>>>>"
-)
+_OUTCOME = T.StructType().add("name", "string").add("description", "string").add("point", "double").add("price", "integer")
+_MARKET = T.StructType().add("key", "string").add("last_update", "timestamp").add("outcomes", T.ArrayType(_OUTCOME))
+_BOOK = T.StructType().add("key", "string").add("markets", T.ArrayType(_MARKET))
+SNAPSHOT = T.StructType().add("timestamp", "timestamp").add("event", "string").add("bookmakers", T.ArrayType(_BOOK))
 
 
 def require_columns(df: DataFrame, needed: Iterable[str], source: str) -> DataFrame:
