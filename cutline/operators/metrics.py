@@ -36,14 +36,12 @@ def bins(df: DataFrame, edges: list[float]) -> DataFrame:
 def reliability(df: DataFrame, p: str, y: str, edges: list[float], closed: str = "left") -> DataFrame:
     """bin, lo, hi, n, mean_p, mean_y; empty bins stay.  Bins are [lo, hi), the last closed; or (lo, hi]."""
     v = F.col(p)
-    hit = (v >= F.col("lo")) & ((v < F.col("hi")) | (F.col("last") & (v <= F.col("hi")))) if closed == "left" else (v > F.col("lo")) & (v <= F.col("hi"))
     # Rows find their bin first and are summed by it; only sums meet the dimension.
     dim = bins(df, edges)
     index = F.lit(None).cast("int")
     for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         inside = (v >= lo) & ((v <= hi) if i == len(edges) - 2 else (v < hi)) if closed == "left" else (v > lo) & (v <= hi)
         index = F.when(inside, i).otherwise(index)
-    del hit
     sums = df.groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("mean_y"))
     return dim.join(sums, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean_p", "mean_y")
 
@@ -54,24 +52,40 @@ def ece(table: DataFrame) -> DataFrame:
     return table.agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("max_gap"))
 
 
-def _by_score(df: DataFrame, p: str, y: str) -> DataFrame:
-    """Positives and rows of each distinct score: what ranking metrics need, pre-aggregated."""
-    return df.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+#: Bands of the score range in which running sums are taken apart.
+SCORE_BANDS = 4096
+
+
+def _running(df: DataFrame, p: str, y: str, descending: bool = False) -> DataFrame:
+    """Distinct scores with pos, neg and the sums of both before them in score order.
+
+    Rows are summed by score, and sums run inside narrow bands of the score; only band
+    totals, at most SCORE_BANDS of them, meet in one task.  Scores are probabilities.
+    """
+    t = df.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
+    band = F.greatest(F.lit(0), F.least(F.lit(SCORE_BANDS - 1), F.floor(F.col("p") * SCORE_BANDS)))
+    t = t.withColumn("band", (F.lit(SCORE_BANDS - 1) - band if descending else band).cast("int"))
+    order = F.desc("p") if descending else F.col("p")
+    inside = Window.partitionBy("band").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    bands = t.groupBy("band").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    earlier = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    bands = bands.select("band", *(F.coalesce(F.sum(c).over(earlier), zero).alias(f"{c}_bands") for c in ("pos", "neg")))
+    t = t.join(F.broadcast(bands), "band")
+    return t.withColumns({f"{c}_before": F.col(f"{c}_bands") + F.coalesce(F.sum(c).over(inside), zero) for c in ("pos", "neg")})
 
 
 def auc(df: DataFrame, p: str, y: str) -> DataFrame:
     """Mann-Whitney with half credit for ties, from counts by distinct score."""
-    t = _by_score(df, p, y).withColumn("neg", F.col("n") - F.col("pos"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = t.withColumn("score", F.col("pos") * (below + F.col("neg") / 2.0))
+    t = _running(df, p, y).withColumn("score", F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
     return t.agg((F.sum("score") / (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
 def average_precision(df: DataFrame, p: str, y: str) -> DataFrame:
     """Sum over distinct thresholds of recall gained times precision there."""
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    t = _by_score(df, p, y).withColumn("tp", F.sum("pos").over(w)).withColumn("seen", F.sum("n").over(w))
-    return t.agg((F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos").cast("double")).alias("average_precision"))
+    t = _running(df, p, y, descending=True).withColumn("tp", F.col("pos_before") + F.col("pos"))
+    seen = F.col("tp") + F.col("neg_before") + F.col("neg")
+    return t.agg((F.sum(F.col("pos") * F.col("tp") / seen) / F.sum("pos").cast("double")).alias("average_precision"))
 
 
 def count_metrics(df: DataFrame, mu: str, y: str, by: list[str] | None = None) -> DataFrame:
