@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import chat, folds, html_main, language, mixing, neighbours, packing, quality, repetition, sharding
 from . import near_dedup as near
+from . import oracles
 from .ship import ship_package
 
 #: The tokenizer file of op10 and the pipeline's packing stage.
@@ -96,4 +97,4 @@ QUERIES = {
     "op9_wrapper_induction": op9_wrapper_induction,
     "op10_vector_best_fit": op10_vector_best_fit,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_temperature_mix": oracles.TEMPERATURE_MIX, "op7_prefix_targets": oracles.PREFIX_TARGETS}
