@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
+from .filtering import keep_rows
 from .folds import held_out, thinned
 
 #: First code points of script blocks and the scripts that begin there (fixed values).
@@ -42,6 +43,7 @@ class LangConfig:
     penalty: float = 8.0
     floor: float = -6.0
     smoothing: float = 0.5
+    feature_bytes: int = 1_000_000
     chunk_bytes: int = 8_000_000
 
 
@@ -57,7 +59,8 @@ def _letters(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n_docs = len(offsets) - 1
     out = np.full(len(buf) + n_docs + 1, 32, np.uint8)
     shift = np.repeat(np.arange(1, n_docs + 1), np.diff(offsets))
-    at = np.arange(len(buf)) + shift
+    shift += np.arange(len(buf))
+    at = shift
     low = T.lower_ascii(buf)
     keep = ((low >= 97) & (low <= 122)) | (low >= 128)
     out[at] = np.where(keep, low, 32)
@@ -130,7 +133,7 @@ def fit_languages(docs: DataFrame, cfg: LangConfig = LangConfig(), id_col: str =
     for lang, n in size.items():
         share = F.when(F.col(lang_col) == lang, min(1.0, cfg.sample_docs / n)).otherwise(share)
     sample = use.where(thinned(F.col(id_col), share)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counted = sample.mapInArrow(_count(cfg.chunk_bytes), "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(_count(cfg.feature_bytes), "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     rows = counted.toArrow()  # at most languages x (2 x 2^16 + scripts)
     if not rows.num_rows:
         return None
@@ -195,6 +198,66 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     return labels
 
 
+def _scored_words(buf: np.ndarray, offsets: np.ndarray, model: LangModel | None, cfg: LangConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word scores of a chunk, where each document's words begin, and the words' places in their own texts.
+
+    Features take many times a text's size, so they are made a small part at a time; only
+    the scores of the whole chunk are kept.
+    """
+    if model is None:
+        none = np.empty(0, np.int64)
+        return np.empty((0, 0), np.float32), np.zeros(len(offsets), np.int64), none, none
+    scores, start, end, counts = [], [], [], []
+    for a, b in T.chunks(offsets, cfg.feature_bytes):
+        f = _features(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        n = np.diff(f.first)
+        # documents were moved apart by one place each, the first by one as well
+        base = np.repeat(offsets[a:b] - offsets[a] + np.arange(1, b - a + 1), n)
+        scores.append(word_scores(f, model, cfg.floor))
+        start.append(f.start - base)
+        end.append(f.end - base)
+        counts.append(n)
+    first = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(len(offsets), np.int64)
+    return np.concatenate(scores), first, np.concatenate(start), np.concatenate(end)
+
+
+@dataclass(frozen=True)
+class _Labelled:
+    """A chunk of texts: predictions, scores, words, and each document's spans."""
+
+    pred: np.ndarray
+    score: np.ndarray
+    n_words: np.ndarray
+    spans: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # language, start, end; where documents begin
+
+
+def _label(column: pa.Array, model: LangModel | None, cfg: LangConfig) -> Iterator[tuple[int, int, _Labelled]]:
+    """(first, end, labels) of the chunks of a column; language number len(langs) is unknown."""
+    buf, off = T.utf8(column)
+    lettered = pc.match_substring_regex(column, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
+    for a, b in T.chunks(off, cfg.chunk_bytes):
+        n_docs, k = b - a, len(model.langs) if model else 0
+        own, first, start, end = _scored_words(buf[off[a] : off[b]], off[a : b + 1] - off[a], model, cfg)
+        if model is None or not len(own):
+            none = np.empty(0, np.int64)
+            yield a, b, _Labelled(np.full(n_docs, k), np.zeros(n_docs), np.diff(first), (none, none, none, np.zeros(n_docs + 1, np.int64)))
+            continue
+        label = viterbi(own, first, cfg.penalty)
+        weight = end - start
+        doc = np.repeat(np.arange(n_docs), np.diff(first))
+        by = np.bincount(doc * k + label, weight, n_docs * k).reshape(n_docs, k)
+        alone = np.bincount(doc * k + own.argmax(1), weight, n_docs * k).reshape(n_docs, k)
+        pred = by.argmax(1)
+        score = (by[np.arange(n_docs), pred] + alone[np.arange(n_docs), pred]) / (2 * np.maximum(by.sum(1), 1))
+        no = ~lettered[a:b] | (by.sum(1) == 0)
+        head = np.ones(len(label), bool)
+        head[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
+        at = np.flatnonzero(head)
+        last = np.append(at[1:], len(label)) - 1
+        spans = (label[at].astype(np.int64), start[at], end[last], np.searchsorted(doc[at], np.arange(n_docs + 1)))
+        yield a, b, _Labelled(np.where(no, k, pred), np.where(no, 0.0, score), np.diff(first), spans)
+
+
 def identify(docs: DataFrame, model: LangModel | None, cfg: LangConfig = LangConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score, n_words, spans.
 
@@ -204,8 +267,7 @@ def identify(docs: DataFrame, model: LangModel | None, cfg: LangConfig = LangCon
     best for it on their own.  A text that is null or has no letter is ``und`` with score 0,
     as is every text if there was nothing to learn from.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # languages x 2^17 floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2^17 floats
     span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()), ("spans", span)])
 
@@ -213,51 +275,22 @@ def identify(docs: DataFrame, model: LangModel | None, cfg: LangConfig = LangCon
         m: LangModel | None = shared.value
         names = np.array([*(m.langs if m else ()), UNKNOWN], object)
         for batch in batches:
-            buf, off = T.utf8(batch.column(1))
-            lettered = pc.match_substring_regex(batch.column(1), r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
-            for a, b in T.chunks(off, cfg.chunk_bytes):
-                n_docs = b - a
-                f = _features(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                k = len(names) - 1
-                if m is None or not len(f.words):
-                    pred, score = np.full(n_docs, k), np.zeros(n_docs)
-                    spans = pa.array([[]] * n_docs, span)
-                else:
-                    own = word_scores(f, m, cfg.floor)
-                    label = viterbi(own, f.first, cfg.penalty)
-                    weight = f.end - f.start
-                    doc = np.repeat(np.arange(n_docs), np.diff(f.first))
-                    by = np.bincount(doc * k + label, weight, n_docs * k).reshape(n_docs, k)
-                    alone = np.bincount(doc * k + own.argmax(1), weight, n_docs * k).reshape(n_docs, k)
-                    total = np.maximum(by.sum(1), 1)
-                    pred = by.argmax(1)
-                    score = (by[np.arange(n_docs), pred] + alone[np.arange(n_docs), pred]) / (2 * total)
-                    no = ~lettered[a:b] | (by.sum(1) == 0)
-                    pred, score = np.where(no, k, pred), np.where(no, 0.0, score)
-                    head = np.ones(len(label), bool)
-                    head[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
-                    at = np.flatnonzero(head)
-                    last = np.append(at[1:], len(label)) - 1
-                    # documents were moved apart by one place each, the first by one as well
-                    base = off[a:b][doc[at]] - off[a] + doc[at] + 1
-                    flat = pa.StructArray.from_arrays([pa.array(names[label[at]], pa.string()), pa.array(f.start[at] - base), pa.array(f.end[last] - base)], ["lang", "start", "end"])
-                    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[at], np.arange(n_docs + 1)).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n_docs), pa.array(names[pred], pa.string()), pa.array(score), pa.array(np.diff(f.first)), spans], schema=schema)
+            for a, b, got in _label(batch.column(1), m, cfg):
+                lang, start, end, begin = got.spans
+                flat = pa.StructArray.from_arrays([pa.array(names[lang], pa.string()), pa.array(start), pa.array(end)], ["lang", "start", "end"])
+                spans = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names[got.pred], pa.string()), pa.array(got.score), pa.array(got.n_words), spans], schema=schema)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long, spans array<struct<lang:string,start:long,end:long>>")
 
 
-def keep_language(docs: DataFrame, cfg: LangConfig = LangConfig(), least_score: float = 0.4, model: LangModel | None = None) -> DataFrame:
-    """docs without those whose language is unknown or scores under least_score.
+def keep_language(docs: DataFrame, cfg: LangConfig = LangConfig(), least_score: float = 0.4, model: LangModel | None = None, text_col: str = "text") -> DataFrame:
+    """docs without those whose language is unknown or scores under least_score; each row is judged by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit_languages(docs, cfg, text_col=text_col))
 
-    A null id cannot be decided by id, so its rows are judged with the others of null id
-    and stay if one of them does; rows that repeat an id stay or go together.
-    """
-    model = model or fit_languages(docs, cfg)
-    from .scratch import Scratch
+    def decide(texts: pa.Array) -> np.ndarray:
+        m = shared.value
+        return np.concatenate([(got.pred < len(m.langs) if m else np.zeros(b - a, bool)) & (got.score >= least_score) for a, b, got in _label(texts, m, cfg)])
 
-    told = Scratch(docs.sparkSession, "lang").table(identify(docs, model, cfg).select("doc_id", "lang_pred", "score"))
-    keep = F.max((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    gone = told.groupBy(F.col("doc_id").alias("_gone")).agg(keep.alias("keep")).where("not keep").select("_gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    return keep_rows(docs, text_col, decide)
