@@ -33,3 +33,14 @@ def list_tail(text: Column, n: int, sep: str = ";") -> Column:
 
 def list_contains(text: Column, item: Column, sep: str = ";") -> Column:
     return F.array_contains(F.split(F.coalesce(text, F.lit("")), sep), item)
+
+
+def event_code(away: Column, home: Column, aliases: dict[str, str] | None = None) -> Column:
+    """away@home with each side's alias in place."""
+    def code(c: Column) -> Column:
+        out = c
+        for old, new in (aliases or {}).items():
+            out = F.when(c == old, F.lit(new)).otherwise(out)
+        return out
+
+    return F.concat(code(away), F.lit("@"), code(home))

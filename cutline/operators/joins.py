@@ -113,3 +113,14 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str], value: str, ep
         F.count_if(F.col("_r").isNull()).alias("only_left"), F.count_if(F.col("_l").isNull()).alias("only_right"),
         F.count_if(F.col("_l").isNotNull() & F.col("_r").isNotNull()).alias("both"), F.count_if(F.abs(F.col("_a") - F.col("_b")) > eps).alias("different"),
     )
+
+
+def status_at(rows: DataFrame, statuses: DataFrame, keys: list[str], *, at: str, known_at: str, flag: str) -> DataFrame:
+    """rows with flag: whether a status record of the key was known at or before a time of the row."""
+    first = statuses.groupBy(*keys).agg(F.min(known_at).alias("_first"))
+    return rows.join(first, keys, "left").withColumn(flag, F.coalesce(F.col("_first") <= F.col(at), F.lit(False))).drop("_first")
+
+
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Columns of two tables side by side, by key; every row of both must find one partner."""
+    return left.join(right, keys)
