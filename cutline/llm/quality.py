@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
+from .filtering import keep_rows
 from .folds import held_out, thinned
-from .scratch import Scratch
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ class QualityConfig:
     scale: float = 4.0
     seed: int = 11
     threshold: float = 0.7
-    chunk_bytes: int = 4_000_000
+    chunk_bytes: int = 1_500_000
 
 
 @dataclass(frozen=True)
@@ -137,12 +137,14 @@ def ftrl(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, cfg:
 def fit_quality(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """A model of labels that are not held out; without any, one that scores 0.5.
 
-    Null ids, labels and labels other than 0 and 1 are left out; a null text is empty.
+    Null ids, labels and labels other than 0 and 1 are left out; an id with both labels
+    counts as 0; a null text is empty.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
+    known = known.groupBy("_id").agg(F.min("_y").alias("_y"))
     size = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
     share = F.when(F.col("_y") == 1, min(1.0, cfg.sample_docs / size.get(1, 1))).otherwise(min(1.0, cfg.sample_docs / size.get(0, 1)))
-    known = known.where(thinned(F.col("_id"), share))
+    known = F.broadcast(known.where(thinned(F.col("_id"), share)))  # about 2 * sample_docs ids
     sample = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(known, F.col("_doc") == F.col("_id"))
     sample = sample.select("_id", "text", "_y", F.pmod(F.xxhash64("_id"), F.lit(cfg.trainers)).alias("_part"))
 
@@ -161,23 +163,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = Quality
     return QualityModel(weights[:-1].astype(np.float32), float(weights[-1]))
 
 
+def _score_column(column: pa.Array, model: QualityModel, cfg: QualityConfig) -> np.ndarray:
+    buf, off = T.utf8(column)
+    parts = [scores(buf[off[a] : off[b]], off[a : b + 1] - off[a], model, cfg) for a, b in T.chunks(off, cfg.chunk_bytes)]
+    T.release_memory()
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
 def score_quality(docs: DataFrame, model: QualityModel, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, score, predicted.  An empty text scores by the bias."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = T.utf8(batch.column(1))
-            for a, b in T.chunks(off, cfg.chunk_bytes):
-                p = scores(buf[off[a] : off[b]], off[a : b + 1] - off[a], shared.value, cfg)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p), pa.array((p >= cfg.threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            p = _score_column(batch.column(1), shared.value, cfg)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= cfg.threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig(), least_score: float = 0.3) -> DataFrame:
-    """docs without those that score under least_score; rows of one id stay or go together."""
-    told = Scratch(docs.sparkSession, "quality").table(score_quality(docs, fit_quality(docs, labels, cfg), cfg))
-    gone = told.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("score").alias("best")).where(F.col("best") < least_score).select("_gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+def keep_quality(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig(), least_score: float = 0.3, text_col: str = "text") -> DataFrame:
+    """docs without those that score under least_score; each row is judged by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, cfg))
+    return keep_rows(docs, text_col, lambda texts: _score_column(texts, shared.value, cfg) >= least_score)
