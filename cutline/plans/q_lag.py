@@ -67,9 +67,6 @@ def _group_days(spark: SparkSession, d: str) -> DataFrame:
     return days.withColumn("available_at", F.col("kickoff") + F.expr("INTERVAL 1 DAY")).withColumn("day_id", F.date_format("kickoff", "yyyyMMdd").cast("long"))
 
 
-_ROLE = """SELECT t.game_id, avg(metric) m FROM v_game t JOIN LATERAL (SELECT metric FROM day WHERE day.grp = t.{0} AND day.available_at < t.prediction_time ORDER BY day.kickoff DESC LIMIT 5) ON true GROUP BY 1"""
-
-
 @query(v.sql("""SELECT g.game_id, g.grp, g.opp, round(a.m, 6) own_last5, round(b.m, 6) opp_last5 FROM v_game g LEFT JOIN own a USING (game_id) LEFT JOIN opp_ b USING (game_id)""",
     ("day", DAY), ("own", """SELECT t.game_id, avg(y.metric) m FROM v_game t JOIN LATERAL (SELECT max(rn) top FROM rd WHERE rd.grp = t.grp AND rd.available_at < t.prediction_time) x ON true JOIN rd y ON y.grp = t.grp AND y.rn BETWEEN x.top - 4 AND x.top GROUP BY 1"""),
     ("opp_", """SELECT t.game_id, avg(y.metric) m FROM v_game t JOIN LATERAL (SELECT max(rn) top FROM rd WHERE rd.grp = t.opp AND rd.available_at < t.prediction_time) x ON true JOIN rd y ON y.grp = t.opp AND y.rn BETWEEN x.top - 4 AND x.top GROUP BY 1""")).replace("own AS (", "rd AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY kickoff) rn FROM day), own AS (", 1))
