@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -65,7 +67,12 @@ FROZEN = "event string, player long, book string, quote_time timestamp, price in
 
 
 def freeze(quotes: DataFrame) -> DataFrame:
-    """Frozen quotes of a watermarked stream with event, player, book, price, quote_time and cutoff."""
+    """Frozen quotes of a watermarked stream with event, player, book, price, quote_time and cutoff.
+
+    The processor travels by value: the stream's first Python process starts beside the
+    driver and need not find this package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return quotes.groupBy("event").transformWithStateInPandas(FreezeAtCutoff(), FROZEN, "append", "eventTime")
 
 
