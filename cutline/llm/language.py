@@ -43,8 +43,8 @@ class LangConfig:
     penalty: float = 8.0
     floor: float = -6.0
     smoothing: float = 0.5
-    feature_bytes: int = 1_000_000
-    chunk_bytes: int = 8_000_000
+    feature_bytes: int = 500_000
+    chunk_bytes: int = 3_000_000
 
 
 @dataclass(frozen=True)
@@ -256,6 +256,7 @@ def _label(column: pa.Array, model: LangModel | None, cfg: LangConfig) -> Iterat
         last = np.append(at[1:], len(label)) - 1
         spans = (label[at].astype(np.int64), start[at], end[last], np.searchsorted(doc[at], np.arange(n_docs + 1)))
         yield a, b, _Labelled(np.where(no, k, pred), np.where(no, 0.0, score), np.diff(first), spans)
+    T.release_memory()
 
 
 def identify(docs: DataFrame, model: LangModel | None, cfg: LangConfig = LangConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

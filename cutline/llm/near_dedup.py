@@ -43,7 +43,7 @@ class NearConfig:
     batch: int = 16
     miss: float = 1e-5
     block_shingles: int = 1_000_000
-    chunk_bytes: int = 4_000_000
+    chunk_bytes: int = 1_500_000
 
 
 @lru_cache(maxsize=8)
@@ -140,6 +140,7 @@ def _sketch(cfg: NearConfig):
                     [ids.slice(a, b - a), pa.array(n), pa.array(_vertex_ids(sets), pa.binary()), bands, pa.array([r.tobytes() for r in check], pa.binary())],
                     schema=schema,
                 )
+            T.release_memory()
 
     return run
 
@@ -221,6 +222,8 @@ def _block(cfg: NearConfig):
             inter = np.bincount(owner[at], minlength=len(sets))[other]
             hit = other[_linked(inter, size[a], size[other], cfg.percent)]
             found.update((comp[a], c) for c in set(comp[hit]))
+        del joined, owner, sets
+        T.release_memory()
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=object)
 
     return run
@@ -333,9 +336,11 @@ def near_dedup(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str = "d
 
     Of rows that repeat an id one stays.
     """
-    marked = Scratch(docs.sparkSession, "near-kept").table(near_components(docs, cfg, id_col, text_col))
+    scratch = Scratch(docs.sparkSession, "near-kept")
+    marked = scratch.table(near_components(docs, cfg, id_col, text_col))
     by_id = marked.groupBy(id_col).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    gone = by_id.where("not kept").select(F.col(id_col).alias("gone_id"))
+    # written, so that its size is known when the join is planned
+    gone = scratch.table(by_id.where("not kept").select(F.col(id_col).alias("gone_id")), "gone")
     out = docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
     again = by_id.where("kept and n > 1").select(F.col(id_col).alias("again_id"))
     if again.isEmpty():
