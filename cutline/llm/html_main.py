@@ -8,7 +8,10 @@ counted over all pages of a host, by distinct content, so copies of one page nev
 its article into template.
 
 What HTML itself says goes first: scripts, styles, navigation, footers, forms and the like
-are no content on any page, and an article or main element bounds it where there is one.
+are no content on any page, and a main or article element bounds it where there is one.
+Words of a class or id only vote: a subtree with such a word is left out while the page has
+other text that varies, and a region named by its class alone counts only if it holds most
+of the text that varies.
 
 A host's references are at most ``references`` pages, those with the least hashes.  Pages
 are joined to them by host; nothing else is grouped by host, so a host with a third of all
@@ -47,7 +50,7 @@ _RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "t
 #: Never content, wherever they stand.
 _DROP = frozenset("nav footer aside form script style noscript template iframe svg math object embed canvas audio video select button textarea dialog menu head title".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of a class or id that mark what is no article, anywhere.
+#: Words of a class or id that vote against a subtree, anywhere.
 _DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar comment comments disqus reply replies respond share sharing social related recommended recommendations subscribe subscription newsletter signup login popup modal pagination pager".split()
@@ -55,6 +58,10 @@ _DROP_WORDS = frozenset(
 #: The same outside an article only: inside one they often name its own parts.
 _OUTER_WORDS = frozenset("header footer banner masthead search widget toolbar topbar skip alert tags copyright".split())
 _REGION_WORDS = frozenset("article post entry story content main".split())
+#: A name with one of these tells a state of the page ("no-ad", "comments-closed") and has no vote.
+_STATE_WORDS = frozenset("no not non without has with closed open enabled disabled".split())
+_VOTING = _DROP_WORDS | _OUTER_WORDS
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
@@ -80,6 +87,7 @@ class Tree:
     tag: list[str] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
     words: list[frozenset[str]] = field(default_factory=list)
+    votes: list[tuple[int, int]] = field(default_factory=list)  # by _DROP_WORDS and by _OUTER_WORDS: 2 a whole name, 1 a part of one, 0 none
     role: list[str] = field(default_factory=list)
     hidden: list[bool] = field(default_factory=list)
     kids: list[list[int]] = field(default_factory=list)
@@ -87,14 +95,18 @@ class Tree:
 
     def add(self, tag: str, parent: int, attrs: str) -> int:
         words: frozenset[str] = frozenset()
-        role, hidden = "", False
+        role, hidden, votes = "", False, (0, 0)
         if attrs and "=" in attrs or "hidden" in attrs:
             named = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)}
-            words = frozenset(_TOKENS.findall(f"{named.get('class', '')} {named.get('id', '')} {named.get('itemprop', '')}"))
+            names = [_TOKENS.findall(x) for x in f"{named.get('class', '')} {named.get('id', '')} {named.get('itemprop', '')}".split()]
+            words = frozenset(w for x in names for w in x)
+            if words & _VOTING:
+                told = [x for x in names if not _STATE_WORDS.intersection(x)]
+                votes = tuple(max((2 if len(x) == 1 else 1 for x in told if listed.intersection(x)), default=0) for listed in (_DROP_WORDS, _OUTER_WORDS))
             role = named.get("role", "")
             style = named.get("style", "").replace(" ", "")
             hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-        for column, value in zip((self.tag, self.parent, self.words, self.role, self.hidden, self.kids), (tag, parent, words, role, hidden, []), strict=True):
+        for column, value in zip((self.tag, self.parent, self.words, self.votes, self.role, self.hidden, self.kids), (tag, parent, words, votes, role, hidden, []), strict=True):
             column.append(value)
         n = len(self.tag) - 1
         if parent >= 0:
@@ -174,34 +186,93 @@ def parse(source: str) -> Tree:
     return tree
 
 
-def _verdicts(tree: Tree) -> list[bool]:
-    """Whether each node can hold content by what HTML says of it and its ancestors."""
+def _is_article(tree: Tree, i: int) -> bool:
+    return tree.tag[i] == "article" or tree.role[i] == "article" or "articlebody" in tree.words[i]
+
+
+def _is_main(tree: Tree, i: int) -> bool:
+    return tree.tag[i] == "main" or tree.role[i] == "main"
+
+
+def _marks(tree: Tree) -> list[int]:
+    """What HTML and the word lists say of each node and its ancestors.
+
+    0: no content.  1, 2: doubtful, by a whole name or a part of one.  3: open.  The page
+    itself, its main and its articles are never doubtful by their own names, nor is what
+    holds the main, or the first-order heading with half of the text.
+    """
     n = len(tree.tag)
-    dead, article = [False] * n, [False] * n
+    dead, article, chars, top, core, inner = [False] * n, [False] * n, [0] * n, [False] * n, [False] * n, [False] * n
     for i in range(n):
-        up, tag, words = tree.parent[i], tree.tag[i], tree.words[i]
-        if up >= 0 and dead[up] or tag in _DROP or tree.hidden[i] or tree.role[i] in _DROP_ROLES or words & _DROP_WORDS:
-            dead[i] = True
-            continue
+        up = tree.parent[i]
         inside = up >= 0 and article[up]
-        if not inside and (tag == "header" or words & _OUTER_WORDS and not words & _REGION_WORDS and tag not in ("html", "body")):
-            dead[i] = True
+        inner[i] = inside
+        dead[i] = up >= 0 and dead[up] or tree.tag[i] in _DROP or tree.hidden[i] or tree.role[i] in _DROP_ROLES or not inside and tree.tag[i] == "header"
+        article[i] = inside or not dead[i] and (_is_article(tree, i) or _is_main(tree, i))
+    for node, text, links in tree.blocks:
+        if not dead[node]:
+            chars[node] += len(text) - links
+    for i in range(n - 1, 0, -1):
+        if not dead[i]:
+            up = tree.parent[i]
+            chars[up] += chars[i]
+            top[up] |= top[i] or tree.tag[i] == "h1"
+            core[i] |= _is_main(tree, i) or "articlebody" in tree.words[i]
+            core[up] |= core[i]
+    headed = any(top[i] and _is_article(tree, i) and not inner[i] for i in range(n))
+    out = [0] * n
+    for i in range(n):
+        if dead[i]:
             continue
-        article[i] = inside or tag in ("article", "main") or tree.role[i] in ("main", "article") or "articlebody" in words
-    for found in (
-        [i for i in range(n) if not dead[i] and (tree.tag[i] == "article" or tree.role[i] == "article" or "articlebody" in tree.words[i])],
-        [i for i in range(n) if not dead[i] and (tree.tag[i] == "main" or tree.role[i] == "main")],
-        [i for i in range(n) if not dead[i] and tree.words[i] & _REGION_WORDS and tree.tag[i] not in ("html", "body")],
-    ):
-        if found:
-            live = [False] * n
-            for i in found:
-                live[i] = True
-            for i in range(n):
-                up = tree.parent[i]
-                live[i] = (live[i] or up >= 0 and live[up]) and not dead[i]
-            if any(live[node] for node, _, _ in tree.blocks):
-                return live
+        up, (drop, outer), tag = tree.parent[i], tree.votes[i], tree.tag[i]
+        vote = drop if inner[i] or tree.words[i] & _REGION_WORDS else max(drop, outer)
+        if vote and (tag in ("html", "body") or core[i] or top[i] and 2 * chars[i] >= chars[0]):
+            vote = 0
+        elif vote and not inner[i] and _is_article(tree, i) and (top[i] or not headed or vote < 2):
+            vote = 0
+        out[i] = min(out[up] if up >= 0 else 3, 3 - vote)
+    return out
+
+
+def _below(tree: Tree, roots: list[int], open_: list[bool]) -> list[bool]:
+    live = [False] * len(open_)
+    for i in roots:
+        live[i] = True
+    for i, up in enumerate(tree.parent):
+        live[i] = (live[i] or up >= 0 and live[up]) and open_[i]
+    return live
+
+
+def _region(tree: Tree, open_: list[bool], template: set[int]) -> list[bool]:
+    """Of the open nodes those inside the region of the content.
+
+    A main goes before articles, and is narrowed to those inside it only if they hold half
+    of its text and all of its first-order headings.  Articles without a main need such a
+    heading, or half of the text; a region named by class words needs half of the text.
+    Text in links, and text of template nodes, has no weight.
+    """
+    n = len(open_)
+    size, told = [0] * n, [False] * n
+    for node, text, links in tree.blocks:
+        told[node] = True
+        if open_[node] and node not in template:
+            size[node] += len(text) - links
+    weight = lambda live: sum(s for s, x in zip(size, live, strict=True) if x)
+    holds = lambda live: any(t and x for t, x in zip(told, live, strict=True))
+    top = [i for i in range(n) if open_[i] and tree.tag[i] == "h1"]
+    main = _below(tree, [i for i in range(n) if open_[i] and _is_main(tree, i)], open_)
+    inside = holds(main)
+    article = _below(tree, [i for i in range(n) if open_[i] and _is_article(tree, i) and (main[i] or not inside)], open_)
+    if inside:
+        narrow = holds(article) and 2 * weight(article) >= weight(main) and all(article[i] for i in top if main[i])
+        return article if narrow else main
+    whole = weight(open_)
+    if holds(article) and (2 * weight(article) >= whole or any(article[i] for i in top)):
+        return article
+    roots = [i for i in range(n) if open_[i] and tree.words[i] & _REGION_WORDS and tree.tag[i] not in ("html", "body") and tree.tag[i] not in _HEADINGS]
+    named = _below(tree, [*roots, *top], open_)
+    if roots and holds(named) and 2 * weight(_below(tree, roots, open_)) >= max(whole, 1):
+        return named
     # no region is named: lists of links are menus
     own: dict[int, list[int]] = {}
     for node, text, links in tree.blocks:
@@ -213,24 +284,37 @@ def _verdicts(tree: Tree) -> list[bool]:
                 pair[1] += links
             up = tree.parent[up]
     menus = {k for k, (chars, links) in own.items() if links >= 0.8 * chars}
+    live = list(open_)
     for i in range(n):
         up = tree.parent[i]
-        if i in menus or up >= 0 and dead[up]:
-            dead[i] = True
-    return [not d for d in dead]
+        live[i] = live[i] and i not in menus and (up < 0 or live[up])
+    return live
+
+
+def _verdicts(tree: Tree, marks: list[int], template: set[int] = frozenset()) -> list[bool]:
+    """Whether each node can hold content.  Doubtful nodes can where nothing else does but headings and template."""
+    first = None
+    for least in (3, 2, 1):
+        live = _region(tree, [m >= least for m in marks], template)
+        first = first or live
+        if any(live[node] and node not in template and tree.tag[node] not in _HEADINGS and len(text) > links for node, text, links in tree.blocks):
+            return live
+        if min((m for m in marks if m), default=3) >= least:
+            break
+    return first
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-def skeleton(tree: Tree, live: list[bool]) -> tuple[list[str], list[int], list[int], list[int]]:
-    """Tags, parents and hashes of own text (0: none) of the nodes, and those texts that are no content."""
+def skeleton(tree: Tree, marks: list[int], live: list[bool]) -> tuple[list[str], list[int], list[int], list[int]]:
+    """Tags, parents and hashes of own text (0: none) of the nodes, and those texts that are no content beyond doubt."""
     told: list[list[str]] = [[] for _ in tree.tag]
     for node, text, _ in tree.blocks:
         told[node].append(text)
     texts = [_hash("\n".join(t)) if t else 0 for t in told]
-    return tree.tag, tree.parent, texts, sorted({t for t, alive in zip(texts, live, strict=True) if t and not alive})
+    return tree.tag, tree.parent, texts, sorted({t for t, m, alive in zip(texts, marks, live, strict=True) if t and not alive and m not in (1, 2)})
 
 
 def tree_match(a: tuple, b: tuple, cells: int) -> dict[int, int]:
@@ -350,7 +434,7 @@ def _wrap(cfg: WrapperConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             trees = [parse(h or "") for h in batch.column(2).to_pylist()]
-            blobs = [marshal.dumps(skeleton(t, _verdicts(t))) for t in trees]
+            blobs = [marshal.dumps(skeleton(t, m := _marks(t), _verdicts(t, m))) for t in trees]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["host", "ref", "blob"])
 
     return run
@@ -379,13 +463,16 @@ def _support(cfg: WrapperConfig):
             rows: list[list] = [[], [], [], [], []]
             for host, source, refs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 tree = parse(source or "")
-                live = _verdicts(tree)
-                chosen = _choose(own := skeleton(tree, live), known(host, refs)) if _depth_ok(tree) else None
+                marks = _marks(tree)
+                live = _verdicts(tree, marks)
+                chosen = _choose(own := skeleton(tree, marks, live), known(host, refs)) if _depth_ok(tree) else None
                 if chosen is None:
                     continue
-                content = _hash(_content(tree, live))
+                # without a main or an article, what is doubtful tells pages apart too
+                bounded = any(x and (_is_main(tree, i) or _is_article(tree, i)) for i, x in enumerate(live))
+                content = _hash(_content(tree, live if bounded else [m > 0 for m in marks]))
                 for x, y in tree_match(own, chosen[1], cfg.match_cells).items():
-                    if live[x] and own[2][x] and chosen[1][2][y]:
+                    if marks[x] and own[2][x] and chosen[1][2][y]:
                         for c, v in zip(rows, (host, chosen[0], y, own[2][x] == chosen[1][2][y], content), strict=True):
                             c.append(v)
             types = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
@@ -401,13 +488,15 @@ def _extract(cfg: WrapperConfig):
             texts = []
             for host, source, refs, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist(), strict=True):
                 tree = parse(source or "")
-                live = _verdicts(tree)
+                marks = _marks(tree)
+                live = _verdicts(tree, marks)
                 gone: set[int] = set()
                 if template and _depth_ok(tree):
-                    chosen = _choose(own := skeleton(tree, live), known(host, refs))
+                    chosen = _choose(own := skeleton(tree, marks, live), known(host, refs))
                     fixed = {t["node"] for t in template if chosen and t["ref"] == chosen[0]}
                     if fixed:
                         gone = {x for x, y in tree_match(own, chosen[1], cfg.match_cells).items() if y in fixed and own[2][x] == chosen[1][2][y]}
+                        live = _verdicts(tree, marks, gone) if gone else live
                 texts.append(_content(tree, live, gone))
             text = pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
