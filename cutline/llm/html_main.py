@@ -13,9 +13,11 @@ Words of a class or id only vote: a subtree with such a word is left out while t
 other text that varies, and a region named by its class alone counts only if it holds most
 of the text that varies.
 
-A host's references are at most ``references`` pages, those with the least hashes.  Pages
-are joined to them by host; nothing else is grouped by host, so a host with a third of all
-pages is only a larger part of every task.
+References are ``references`` pages, those with the least hashes, of each host and of each
+layout of a host: pages with the same layout tags and class names.  A page is aligned with
+one of its layout where that has ``least_pages`` distinct pages, and with one of the host
+too while the layout is small.  Pages are joined to them by host and layout; nothing else
+is grouped by host, so a host with a third of all pages is only a larger part of every task.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,6 +42,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<",
     re.S,
 )
+#: Tags with their class, of what lays out a page.
+_LAYOUT = r"(?i)<((?:body|main|article|section|aside|header|footer|nav|form|div)(?=[\s/>])(?:[^>]*?\sclass\s*=\s*(?:\"[^\">]*\"|'[^'>]*'|[^\s\"'>]+))?)"
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _TOKENS = re.compile(r"[a-z0-9]+")
 
@@ -71,9 +76,14 @@ _CLOSES = {
 
 @dataclass(frozen=True)
 class WrapperConfig:
-    """least_pages, share: distinct contents, and their part, in which a template node's text is the same."""
+    """small_layout: distinct pages up to which a layout's pages are aligned with a reference of the host too.
+
+    match_cells: longest child lists, as a product, whose subtrees are all weighed exactly.
+    least_pages, share: distinct contents, and their part, in which a template node's text is the same.
+    """
 
     references: int = 4
+    small_layout: int = 20
     least_pages: int = 5
     share: float = 0.8
     match_cells: int = 200_000
@@ -340,39 +350,60 @@ def tree_match(a: tuple, b: tuple, cells: int) -> dict[int, int]:
     size_a = [1.5] * len(tag_a)
     for i in range(len(tag_a) - 1, 0, -1):
         size_a[up_a[i]] += size_a[i]
-    memo: dict[tuple[int, int], tuple[float, list[tuple[int, int]] | None]] = {}
+    memo: dict[tuple[int, int], tuple[float, list[tuple[int, int]]]] = {}
 
-    def weigh(x: int, y: int) -> float:
+    def known(x: int, y: int) -> float | None:
+        """The weight of a pair, None while it has to be computed from its children."""
         if tag_a[x] != tag_b[y]:
             return 0.0
-        got = memo.get((x, y))
-        if got:
-            return got[0]
         if same_a[x] == same_b[y]:
-            memo[x, y] = (size_a[x], None)  # equal subtrees match node by node
-            return size_a[x]
-        w = 1.5 if text_a[x] == text_b[y] else 1.0
+            return size_a[x]  # equal subtrees match node by node
+        if not kids_a[x] or not kids_b[y]:
+            return 1.5 if text_a[x] == text_b[y] else 1.0
+        got = memo.get((x, y))
+        return got[0] if got else None
+
+    def plan(x: int, y: int) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+        """Pairs of children that are sure, and those left to the table; wide lists are paired here."""
         m, n = kids_a[x], kids_b[y]
-        pairs: list[tuple[int, int]] = []
-        if m and n:
-            head = 0
-            while head < min(len(m), len(n)) and same_a[m[head]] == same_b[n[head]]:
-                head += 1
-            tail = 0
-            while tail < min(len(m), len(n)) - head and same_a[m[-1 - tail]] == same_b[n[-1 - tail]]:
-                tail += 1
-            pairs = [(m[k], n[k]) for k in range(head)] + [(m[len(m) - 1 - k], n[len(n) - 1 - k]) for k in range(tail)]
-            p, q = m[head : len(m) - tail], n[head : len(n) - tail]
-            if len(p) * len(q) > cells:  # too wide for the table: in step
-                pairs += [(i, j) for i, j in zip(p, q, strict=False) if tag_a[i] == tag_b[j]]
-            elif p and q:
+        head = 0
+        while head < min(len(m), len(n)) and same_a[m[head]] == same_b[n[head]]:
+            head += 1
+        tail = 0
+        while tail < min(len(m), len(n)) - head and same_a[m[-1 - tail]] == same_b[n[-1 - tail]]:
+            tail += 1
+        pairs = [(m[k], n[k]) for k in range(head)] + [(m[len(m) - 1 - k], n[len(n) - 1 - k]) for k in range(tail)]
+        p, q = m[head : len(m) - tail], n[head : len(n) - tail]
+        if len(p) * len(q) <= cells:
+            return pairs, p, q
+        lists = []
+        for nodes, tag, text, same, kids in ((p, tag_a, text_a, same_a, kids_a), (q, tag_b, text_b, same_b, kids_b)):
+            lists.append((np.array([hash(tag[i]) for i in nodes]), np.array([text[i] for i in nodes]), np.array([same[i] for i in nodes]), np.array([hash(tuple(sorted({tag[k] for k in kids[i]}))) if kids[i] else 0 for i in nodes])))
+        return pairs + [(p[i], q[j]) for i, j in _wide(*lists, np.array([size_a[i] for i in p]))], [], []
+
+    def weigh(root: tuple[int, int]) -> None:
+        todo = [(root, None)]
+        while todo:
+            (x, y), made = todo.pop()
+            if (x, y) in memo:
+                continue
+            if made is None:
+                made = plan(x, y)
+                pairs, p, q = made
+                lacking = [(i, j) for i in p for j in q if known(i, j) is None]
+                lacking += [(i, j) for i, j in pairs if known(i, j) is None]
+                if lacking:
+                    todo.append(((x, y), made))
+                    todo += [(pair, None) for pair in lacking]
+                    continue
+            pairs, p, q = made
+            if p and q:
                 best = [[0.0] * (len(q) + 1)]
                 cost = []
                 for i in p:
-                    row, last, ws = [0.0], best[-1], []
-                    for k, j in enumerate(q):
-                        v = weigh(i, j)
-                        ws.append(v)
+                    row, last = [0.0], best[-1]
+                    ws = [known(i, j) for j in q]
+                    for k, v in enumerate(ws):
                         row.append(max(row[k], last[k + 1], last[k] + v))
                     best.append(row)
                     cost.append(ws)
@@ -386,39 +417,69 @@ def tree_match(a: tuple, b: tuple, cells: int) -> dict[int, int]:
                         i -= 1
                     else:
                         j -= 1
-            w += sum(weigh(i, j) for i, j in pairs)
-        memo[x, y] = (w, pairs)
-        return w
+            memo[x, y] = ((1.5 if text_a[x] == text_b[y] else 1.0) + sum(known(i, j) for i, j in pairs), pairs)
+
+    if not len(tag_a) or not len(tag_b) or tag_a[0] != tag_b[0]:
+        return {}
+    if known(0, 0) is None:
+        weigh((0, 0))
+    found: dict[int, int] = {}
+    todo = [(0, 0)]
+    while todo:
+        x, y = todo.pop()
+        found[x] = y
+        if same_a[x] == same_b[y]:
+            todo += zip(kids_a[x], kids_b[y], strict=True)
+        elif (x, y) in memo:
+            todo += memo[x, y][1]
+    return found
 
-    if len(tag_a) and len(tag_b) and weigh(0, 0):
-        found: dict[int, int] = {}
-        todo = [(0, 0)]
-        while todo:
-            x, y = todo.pop()
-            found[x] = y
-            pairs = memo[x, y][1] if (x, y) in memo else None
-            todo += zip(kids_a[x], kids_b[y], strict=True) if pairs is None else pairs
-        return found
-    return {}
 
+def _wide(a: tuple, b: tuple, sizes: np.ndarray) -> list[tuple[int, int]]:
+    """The best order-preserving pairs of two long child lists, by a table of which only rows are held (Hirschberg).
 
-def _depth_ok(tree: Tree, most: int = 400) -> bool:
-    """Recursion follows depth; a deeper tree is not aligned."""
-    depth = [0] * len(tree.tag)
-    for i in range(1, len(tree.tag)):
-        depth[i] = depth[tree.parent[i]] + 1
-        if depth[i] > most:
-            return False
-    return True
+    Lists of leaves get the exact weights.  Subtrees that are not equal weigh by their
+    roots and by whether their children have the same tags, before they are matched.
+    """
+    tag_a, text_a, same_a, under_a = a
+    tag_b, text_b, same_b, under_b = b
+
+    def row(i: int, lo: int, hi: int) -> np.ndarray:
+        v = np.where(text_b[lo:hi] == text_a[i], 1.5, 1.0) + (0.25 * (under_b[lo:hi] == under_a[i]) if under_a[i] else 0.0)
+        return np.where(same_b[lo:hi] == same_a[i], sizes[i], np.where(tag_b[lo:hi] == tag_a[i], v, 0.0))
+
+    def scores(order: range, lo: int, hi: int, back: bool) -> np.ndarray:
+        """Best weights of these rows with every prefix, or with back every suffix, of the columns."""
+        best = np.zeros(hi - lo + 1)
+        for i in order:
+            v = row(i, lo, hi)[::-1] if back else row(i, lo, hi)
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + v))
+        return best[::-1] if back else best
+
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(tag_a), 0, len(tag_b))]
+    while todo:
+        top, end, lo, hi = todo.pop()
+        if top == end or lo == hi:
+            continue
+        if end - top == 1:
+            v = row(top, lo, hi)
+            if v.max() > 0:
+                out.append((top, lo + int(v.argmax())))
+            continue
+        mid = (top + end) // 2
+        cut = lo + int((scores(range(top, mid), lo, hi, False) + scores(range(end - 1, mid - 1, -1), lo, hi, True)).argmax())
+        todo += [(top, mid, lo, cut), (mid, end, cut, hi)]
+    return out
 
 
-def _choose(own: tuple, refs: list[tuple[int, tuple]]) -> tuple[int, tuple] | None:
+def _choose(own: tuple, refs: list[tuple]) -> tuple | None:
     """The reference that shares most of what is no content, then most tags.
 
     Texts that could be content have no say, so support for them is not biased.
     """
     mine, tags = set(own[3]), set(own[0])
-    return max(refs, key=lambda r: (len(mine & set(r[1][3])), len(tags & set(r[1][0])), -r[0]), default=None)
+    return max(refs, key=lambda r: (len(mine & r[3]), len(tags & r[4]), -r[0]), default=None)
 
 
 def _content(tree: Tree, live: list[bool], template: set[int] = frozenset()) -> str:
@@ -430,28 +491,42 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def layout_of(html):
+    """A number for the layout of an HTML column: its layout tags with their class names, without digits."""
+    names = F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(_LAYOUT), F.lit(1))))
+    bare = F.transform(names, lambda x: F.regexp_replace(F.lower(F.concat(F.regexp_extract(x, r"^\w+", 0), F.lit(" "), F.regexp_extract(x, r"(?i)\sclass\s*=\s*(.*)$", 1))), r"[\"'\d]", ""))
+    return F.xxhash64(F.array_sort(F.array_distinct(bare)))
+
+
 def _wrap(cfg: WrapperConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees = [parse(h or "") for h in batch.column(2).to_pylist()]
+            trees = [parse(h or "") for h in batch.column(3).to_pylist()]
             blobs = [marshal.dumps(skeleton(t, m := _marks(t), _verdicts(t, m))) for t in trees]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["host", "ref", "blob"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary())], ["host", "layout", "ref", "blob"])
 
     return run
 
 
 class _Refs:
-    """Unpacked references, those of the last hosts seen."""
+    """Unpacked references (ref, skeleton, template nodes, its texts, its tags), those of the last layouts seen."""
 
     def __init__(self) -> None:
-        self.held: dict[str, list[tuple[int, tuple]]] = {}
+        self.held: dict[tuple, list[tuple]] = {}
 
-    def __call__(self, host: str, refs: pa.ListScalar) -> list[tuple[int, tuple]]:
-        if host not in self.held:
+    def __call__(self, key: tuple, refs: pa.ListScalar) -> list[tuple]:
+        if key not in self.held:
             if len(self.held) >= 256:
                 self.held.clear()
-            self.held[host] = [(r["ref"], marshal.loads(r["blob"])) for r in refs.as_py() or []]
-        return self.held[host]
+            made = [(r["ref"], marshal.loads(r["blob"]), set(r.get("nodes") or ())) for r in refs.as_py() or []]
+            self.held[key] = [(*r, set(r[1][3]), set(r[1][0])) for r in made]
+        return self.held[key]
+
+
+def _aligned(known: _Refs, host: str, layout: int, refs: pa.ListScalar, wide: pa.ListScalar, own: tuple) -> list[tuple]:
+    """The references to align a page with: of its layout, and of its host."""
+    both = (_choose(own, known((host, layout), refs)), _choose(own, known((host, None), wide)))
+    return list({r[0]: r for r in both if r}.values())
 
 
 def _support(cfg: WrapperConfig):
@@ -461,21 +536,20 @@ def _support(cfg: WrapperConfig):
         known = _Refs()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for host, source, refs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for host, layout, source, refs, wide in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4), strict=True):
                 tree = parse(source or "")
                 marks = _marks(tree)
                 live = _verdicts(tree, marks)
-                chosen = _choose(own := skeleton(tree, marks, live), known(host, refs)) if _depth_ok(tree) else None
-                if chosen is None:
-                    continue
+                own = skeleton(tree, marks, live)
                 # without a main or an article, what is doubtful tells pages apart too
                 bounded = any(x and (_is_main(tree, i) or _is_article(tree, i)) for i, x in enumerate(live))
                 content = _hash(_content(tree, live if bounded else [m > 0 for m in marks]))
-                for x, y in tree_match(own, chosen[1], cfg.match_cells).items():
-                    if marks[x] and own[2][x] and chosen[1][2][y]:
-                        for c, v in zip(rows, (host, chosen[0], y, own[2][x] == chosen[1][2][y], content), strict=True):
-                            c.append(v)
-            types = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
+                for ref, shape, *_ in _aligned(known, host, layout, refs, wide, own):
+                    for x, y in tree_match(own, shape, cfg.match_cells).items():
+                        if marks[x] and own[2][x] and shape[2][y]:
+                            for c, v in zip(rows, (host, ref, y, own[2][x] == shape[2][y], content), strict=True):
+                                c.append(v)
+            types = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["host", "ref", "node", "same", "content"])
 
     return run
@@ -486,17 +560,17 @@ def _extract(cfg: WrapperConfig):
         known = _Refs()
         for batch in batches:
             texts = []
-            for host, source, refs, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist(), strict=True):
+            for host, layout, source, refs, wide in zip(*(batch.column(k).to_pylist() for k in range(2, 5)), batch.column(5), batch.column(6), strict=True):
                 tree = parse(source or "")
                 marks = _marks(tree)
                 live = _verdicts(tree, marks)
                 gone: set[int] = set()
-                if template and _depth_ok(tree):
-                    chosen = _choose(own := skeleton(tree, marks, live), known(host, refs))
-                    fixed = {t["node"] for t in template if chosen and t["ref"] == chosen[0]}
-                    if fixed:
-                        gone = {x for x, y in tree_match(own, chosen[1], cfg.match_cells).items() if y in fixed and own[2][x] == chosen[1][2][y]}
-                        live = _verdicts(tree, marks, gone) if gone else live
+                if refs.is_valid or wide.is_valid:
+                    own = skeleton(tree, marks, live)
+                    for _, shape, fixed, *_ in _aligned(known, host, layout, refs, wide, own):
+                        if fixed:
+                            gone |= {x for x, y in tree_match(own, shape, cfg.match_cells).items() if y in fixed and own[2][x] == shape[2][y]}
+                    live = _verdicts(tree, marks, gone) if gone else live
                 texts.append(_content(tree, live, gone))
             text = pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
@@ -514,19 +588,41 @@ def extract_main(pages: DataFrame, cfg: WrapperConfig = WrapperConfig(), id_col:
     scratch = Scratch(pages.sparkSession, "html")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     code = F.xxhash64("html")
-    picked = rows.where("html is not null").groupBy("host", F.pmod(code, F.lit(cfg.references)).cast("int").alias("ref")).agg(F.min_by("html", code).alias("html"))
-    shapes = picked.mapInArrow(_wrap(cfg), "host string, ref int, blob binary")
-    refs = scratch.table(shapes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("ref", "blob"))).alias("refs"), F.sum(F.length("blob")).alias("size")), "refs")
-    size = refs.agg(F.sum("size")).head()[0] or 0
+    some = rows.where("html is not null").select("host", layout_of(F.col("html")).alias("layout"), code.alias("code"), "html")
+    # Layouts with too few pages for support of their own, or that are all their host has, need no references of their own.
+    groups = some.groupBy("host", "layout").agg(F.count_distinct("code").alias("n"))
+    groups = scratch.table(groups, "layouts")
+    whole = groups.groupBy("host").agg(F.count(F.lit(1)).alias("layouts"))
+    several = groups.where(F.col("n") >= cfg.least_pages).join(whole.where("layouts > 1").select("host"), "host", "left_semi")
+    several = scratch.table(several, "several")
+    slot = F.pmod("code", F.lit(cfg.references)).cast("int")
+    wide = some.groupBy("host", slot.alias("slot")).agg(F.min_by("html", "code").alias("html"), F.min("code").alias("ref")).select("host", F.lit(None).cast("long").alias("layout"), "ref", "html")
+    few = (lambda d: F.broadcast(d)) if 100 * several.count() <= cfg.broadcast_bytes else (lambda d: d)
+    deep = some.join(few(several), ["host", "layout"]).groupBy("host", "layout", slot.alias("slot")).agg(F.min_by("html", "code").alias("html"), F.min("code").alias("ref"))
+    shape = "host string, layout long, ref long, blob binary"
+    shapes = scratch.table(wide.unionByName(deep.select("host", "layout", "ref", "html")).mapInArrow(_wrap(cfg), shape), "shapes")
+    size = shapes.agg(F.sum(F.length("blob"))).head()[0] or 0
     near = (lambda d: F.broadcast(d)) if size <= cfg.broadcast_bytes else (lambda d: d)
+    big = several.where(F.col("n") > cfg.small_layout).select("host", "layout", F.lit(True).alias("big"))
+
+    def tables(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        listed = F.sort_array(F.collect_list(F.struct(*(c for c in shapes.columns if c not in ("host", "layout")))))
+        own = shapes.where("layout is not null").groupBy("host", "layout").agg(listed.alias("refs")).join(big, ["host", "layout"], "left")
+        return scratch.table(own, "own"), scratch.table(shapes.where("layout is null").groupBy("host").agg(listed.alias("wide")), "wide")
+
+    def joined(frame: DataFrame, own: DataFrame, wide: DataFrame) -> DataFrame:
+        """frame with the references of a page's layout, and, where that is not large, of its host."""
+        out = frame.withColumn("layout", layout_of(F.col("html"))).join(near(own), ["host", "layout"], "left").join(near(wide), "host", "left")
+        return out.withColumn("wide", F.when(F.col("big").isNull(), F.col("wide")))
 
-    seen = rows.where("html is not null").select("host", "html").join(near(refs.select("host", "refs")), "host")
-    votes = seen.select("host", "html", "refs").mapInArrow(_support(cfg), "host string, ref int, node int, same boolean, content long")
+    votes = joined(rows.where("html is not null").select("host", "html"), *tables(shapes)).select("host", "layout", "html", "refs", "wide")
+    votes = votes.mapInArrow(_support(cfg), "host string, ref long, node int, same boolean, content long")
     counted = votes.groupBy("host", "ref", "node").agg(
         F.approx_count_distinct(F.when(F.col("same"), F.col("content"))).alias("same"), F.approx_count_distinct("content").alias("all")
     )
     fixed = counted.where((F.col("same") >= cfg.least_pages) & (F.col("same") >= cfg.share * F.col("all")))
-    fixed = fixed.groupBy("host").agg(F.collect_list(F.struct("ref", "node")).alias("template"))
-    table = scratch.table(refs.select("host", "refs").join(fixed, "host"), "wrappers")  # hosts with template nodes only
-    out = rows.join(near(table), "host", "left").select("page_id", "url", "host", "html", "refs", "template")
+    fixed = scratch.table(fixed.groupBy("host", "ref").agg(F.collect_list("node").alias("nodes")), "wrappers")
+    # hosts with template nodes only; what a page is aligned with must be chosen among all references
+    known = shapes.join(fixed.select("host").distinct(), "host", "left_semi").join(fixed, ["host", "ref"], "left")
+    out = joined(rows, *tables(known)).select("page_id", "url", "host", "layout", "html", "refs", "wide")
     return out.mapInArrow(_extract(cfg), "page_id long, url string, text string, n_chars long")
