@@ -120,7 +120,7 @@ def _signatures(sets: list[np.ndarray], n_hashes: int) -> np.ndarray:
 
 def _sketch(cfg: NearConfig):
     used = cfg.bands * cfg.rows
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("vid", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("vid", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("text_hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +137,7 @@ def _sketch(cfg: NearConfig):
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * cfg.bands), pa.array(key.ravel()))
                 check = np.ascontiguousarray(sig[:, used:])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(n), pa.array(_vertex_ids(sets), pa.binary()), bands, pa.array([r.tobytes() for r in check], pa.binary())],
+                    [ids.slice(a, b - a), pa.array(n), pa.array(_vertex_ids(sets), pa.binary()), bands, pa.array([r.tobytes() for r in check], pa.binary()), batch.column(2).slice(a, b - a)],
                     schema=schema,
                 )
             T.release_memory()
@@ -245,11 +245,17 @@ def near_components(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str
     differ each text is a vertex of its own.  A null id never becomes a component_id
     unless its whole component has none; ids compare null-safe, so such a row is kept.
     """
+    out = _components(docs, cfg, id_col, text_col).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def _components(docs: DataFrame, cfg: NearConfig, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, text_hash, component (null without words) and its component_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, vid binary, bands array<long>, sig binary"
-    rows = scratch.table(source.mapInArrow(_sketch(cfg), schema), "rows")
+    schema = "doc_id long, n_shingles long, vid binary, bands array<long>, sig binary, text_hash long"
+    rows = scratch.table(source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch(cfg), schema), "rows")
 
     # One vertex for each distinct set; its copies only pass their ids on.
     ids = scratch.table(
@@ -302,11 +308,10 @@ def near_components(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str
     # A component's smallest id, and from there back to the rows.
     named = ids.join(labels, F.col("vid") == F.col("v"), "left").select("vid", "least_id", "label")
     smallest = named.where("label is not null").groupBy("label").agg(F.min("least_id").alias("smallest"))
-    named = named.join(smallest, "label", "left").select("vid", F.coalesce("smallest", "least_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "vid").join(named, "vid", "left")
+    named = named.join(smallest, "label", "left").select("vid", F.coalesce("label", "vid").alias("component"), F.coalesce("smallest", "least_id").alias("component_id"))
+    out = rows.select("doc_id", "n_shingles", "text_hash", "vid").join(named, "vid", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "text_hash", "component", component.alias("component_id"))
 
 
 def _parts(total: Column, most: int) -> Column:
@@ -332,18 +337,26 @@ def _blocks(member: DataFrame, busy: DataFrame, cfg: NearConfig) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents whose component has a smaller id; columns as they were.
+    """docs with one row of each component, that of the smallest id; columns as they were.
 
-    Of rows that repeat an id one stays.
+    Rows are told apart by id and text, so rows that share an id, or have none, but differ
+    in text are judged each by its own.  Of rows that agree in both one stays, but rows
+    with neither an id nor a word all do.
     """
     scratch = Scratch(docs.sparkSession, "near-kept")
-    marked = scratch.table(near_components(docs, cfg, id_col, text_col))
-    by_id = marked.groupBy(id_col).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    key = ["doc_id", "text_hash"]
+    marked = scratch.table(_components(docs, cfg, id_col, text_col))
+    counted = scratch.table(marked.groupBy("component", *key).agg(F.count(F.lit(1)).alias("n")), "keys")
+    order = F.struct(F.col("doc_id").isNull(), *key)
+    won = counted.where("component is not null").groupBy("component").agg(F.min_by("doc_id", order).alias("won_id"), F.min_by("text_hash", order).alias("won_hash"), F.count(F.lit(1)).alias("keys"))
+    both = counted.join(won.where("keys > 1"), "component")
     # written, so that its size is known when the join is planned
-    gone = scratch.table(by_id.where("not kept").select(F.col(id_col).alias("gone_id")), "gone")
-    out = docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
-    again = by_id.where("kept and n > 1").select(F.col(id_col).alias("again_id"))
-    if again.isEmpty():
-        return out
-    same = F.col(id_col).eqNullSafe(F.col("again_id"))
-    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([id_col]))
+    gone = scratch.table(both.where(~(F.col("doc_id").eqNullSafe(F.col("won_id")) & (F.col("text_hash") == F.col("won_hash")))).select(*key), "gone")
+    again = scratch.table(counted.where("n > 1 and (component is not null or doc_id is not null)").select(*key), "again")
+    here = docs.withColumns({"_near_id": F.col(id_col).cast("long"), "_near_hash": F.xxhash64(F.col(text_col).cast("string"))})
+    same = F.col("_near_id").eqNullSafe(F.col("doc_key")) & (F.col("_near_hash") == F.col("hash_key"))
+    out = here.join(gone.toDF("doc_key", "hash_key"), same, "left_anti")
+    if not again.isEmpty():
+        again = again.toDF("doc_key", "hash_key")
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["_near_id", "_near_hash"]))
+    return out.select(*docs.columns)

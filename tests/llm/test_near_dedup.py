@@ -90,3 +90,15 @@ def test_thresholds_fall_with_the_miss_probability():
     loose, tight = near.least_matches(near.NearConfig(miss=1e-2)), near.least_matches(near.NearConfig(miss=1e-6))
     assert all(a[1] >= b[1] for a, b in zip(loose, tight, strict=True))
     assert all(m <= 0.8 * n for n, m in loose)
+
+
+def test_null_and_repeated_ids_keep_their_own_texts(spark):
+    """One row of each component, never one of each id."""
+    base = [f"w{k}" for k in range(60)]
+    text = lambda k: " ".join(f"{k}{w}" for w in base)
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c") + " end"), (5, text("d")), (5, text("e")), (7, text("e") + " end"), (3, text("f")), (9, text("f") + " end"), (9, text("g")), (9, text("g")), (None, text("h") + " end"), (4, text("h")), (None, ""), (None, None), (None, None), (8, ""), (8, "")]
+    kept = [(r["doc_id"], r["text"]) for r in near.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    nulls = [t for d, t in kept if d is None]
+    assert sorted((d, t) for d, t in kept if d is not None) == sorted([(5, text("d")), (5, text("e")), (3, text("f")), (9, text("g")), (4, text("h")), (8, "")])
+    assert sum((t or "").startswith("c") for t in nulls) == 1
+    assert sorted(str(t) for t in nulls if not (t or "").startswith("c")) == sorted([text("a"), text("b"), "", "None", "None"])
