@@ -50,13 +50,18 @@ def poisson_forward(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def trees_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Both challengers in each of their configurations, scored on the last season."""
     f = frame(spark, d)
     _, hi = _seasons(f)
     train, test = models.forward(f, "season", hi - 1, hi)
-    p = models.score_probability(models.fit_trees(train, FIELDS, "label", trees=10), test, FIELDS)
-    c = models.score_mean(models.fit_trees(train, FIELDS, "tds", counts=True, trees=10), p, FIELDS, log=True)
-    a = metrics.probability_metrics(c, "p", "label")
-    return a.join(F.broadcast(metrics.count_metrics(c, "mu", "tds").select("mae", "deviance")))
+    rows = None
+    for k in range(len(models.TREES)):
+        p = models.score_probability(models.fit_trees(train, FIELDS, "label", config=k), test, FIELDS)
+        c = models.score_mean(models.fit_trees(train, FIELDS, "tds", config=k, counts=True), p, FIELDS, log=True)
+        a = metrics.probability_metrics(c, "p", "label")
+        one = a.join(F.broadcast(metrics.count_metrics(c, "mu", "tds").select("mae", "deviance"))).withColumn("config", F.lit(k))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 @query()
@@ -116,14 +121,15 @@ def simplex_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def importance(spark: SparkSession, d: str) -> DataFrame:
-    """Standardised coefficients and tree gains, the largest first."""
+    """Standardised coefficients and the tree gains of each configuration, the largest first."""
     f = frame(spark, d)
     names = [*FIELDS, *(f"{x}__missing" for x in FIELDS)]
     lr = models.fit_logistic(f, FIELDS, "label").stages[-1]
-    gb = models.fit_trees(f, FIELDS, "label", trees=5).stages[-1]
-    gain = gb.featureImportances.toArray()
-    rows = [(n, float(c), float(g)) for n, c, g in zip(names, lr.coefficients.toArray(), gain, strict=True)]
-    return spark.createDataFrame(rows, "feature string, coefficient double, gain double").orderBy(F.desc(F.abs("coefficient")))
+    rows = []
+    for k in range(len(models.TREES)):
+        gain = models.fit_trees(f, FIELDS, "label", config=k).stages[-1].featureImportances.toArray()
+        rows += [(n, float(c), k, float(g)) for n, c, g in zip(names, lr.coefficients.toArray(), gain, strict=True)]
+    return spark.createDataFrame(rows, "feature string, coefficient double, config int, gain double").orderBy(F.desc(F.abs("coefficient")), "feature", "config")
 
 
 @query()
