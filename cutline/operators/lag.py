@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .joins import asof_join
 
-#: Rows of weight under 2^-60 add nothing to a double.
+#: Rows of under 2^-60 of the newest value's weight add nothing to a double.
 EWMA_HALF_LIVES = 60
 
 
@@ -23,10 +23,9 @@ def _mean(col: str, w: WindowSpec, null_policy: str) -> Column:
     return mean if null_policy == "skip" else F.when(F.count(col).over(w) == F.count(F.lit(1)).over(w), mean)
 
 
-def ewma(col: str, w: WindowSpec, half_life: float, null_policy: str = "strict", rows: int | None = None) -> Column:
-    """Mean with weight 0.5^(rank/half_life), the newest row at rank 0; ranks count null rows too."""
-    span = rows or int(EWMA_HALF_LIVES * half_life)
-    values = F.collect_list(F.struct(F.col(col).alias("m"))).over(w.rowsBetween(-(span - 1), 0))
+def ewma(col: str, w: WindowSpec, half_life: float, null_policy: str = "strict", *, rows: int) -> Column:
+    """Mean of the last rows with weight 0.5^(rank/half_life), the newest row at rank 0; ranks count null rows too."""
+    values = F.collect_list(F.struct(F.col(col).alias("m"))).over(w.rowsBetween(-(rows - 1), 0))
     n = F.size(values)
     pairs = F.transform(values, lambda x, i: F.struct(x["m"].alias("m"), F.pow(F.lit(0.5), (n - 1 - i) / F.lit(float(half_life))).alias("w")))
     some = F.filter(pairs, lambda p: p["m"].isNotNull())
@@ -37,6 +36,23 @@ def ewma(col: str, w: WindowSpec, half_life: float, null_policy: str = "strict",
     return value if null_policy == "skip" else F.when(F.size(some) == n, value)
 
 
+def ewma_whole(col: str, keys: list[str], half_life: float, null_policy: str, rank: str, seen: str) -> Column:
+    """The same over the whole history, of which rank and seen number the rows and the values of col.
+
+    Weights cancel relative to the newest value, so the last values are enough, however
+    many nulls stand after and between them; strict looks at every row.
+    """
+    last = Window.partitionBy(*keys).orderBy(seen).rangeBetween(-(int(EWMA_HALF_LIVES * half_life) - 1), 0)
+    some = F.collect_list(F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("m"), F.col(rank).alias("r")))).over(last)
+    newest = F.array_max(F.transform(some, lambda x: x["r"]))
+    pairs = F.transform(some, lambda x: F.struct(x["m"].alias("m"), F.pow(F.lit(0.5), (newest - x["r"]) / F.lit(float(half_life))).alias("w")))
+    both = F.aggregate(
+        pairs, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda a, p: F.struct((a["s"] + p["m"] * p["w"]).alias("s"), (a["w"] + p["w"]).alias("w"))
+    )
+    value = F.when(both["w"] > 0, both["s"] / both["w"])
+    return value if null_policy == "skip" else F.when(F.col(seen) == F.col(rank), value)
+
+
 def prefix_features(
     history: DataFrame,
     targets: DataFrame,
@@ -77,8 +93,10 @@ def prefix_features(
             ratio = F.when(total > 0, F.sum(num).over(w) / total)
             made[f"{name}_{s}"] = ratio if null_policy == "skip" else F.when(whole, ratio)
     if with_ewma:
+        whole = base.rowsBetween(Window.unboundedPreceding, 0)
+        history = history.withColumns({"_rank": F.row_number().over(base), **{f"_seen_{m}": F.count(m).over(whole) for m in metrics}})
         for m in metrics:
-            made[f"ewma_{m}"] = ewma(m, base, half_life, null_policy)
+            made[f"ewma_{m}"] = ewma_whole(m, keys, half_life, null_policy, "_rank", f"_seen_{m}")
     if lineage:
         w = base.rowsBetween(-(lineage - 1), 0)
         made["source_ids"] = F.array_join(F.collect_list(F.col(row_id).cast("string")).over(w), ";")
