@@ -183,7 +183,7 @@ def score_quality(docs: DataFrame, model: QualityModel, cfg: QualityConfig = Qua
     return source.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig(), least_score: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs without those that score under least_score; each row is judged by its own text."""
+def keep_quality(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig(), text_col: str = "text") -> DataFrame:
+    """docs without those that score as label 0; each row is judged by its own text."""
     shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, cfg))
-    return keep_rows(docs, text_col, lambda texts: _score_column(texts, shared.value, cfg) >= least_score)
+    return keep_rows(docs, text_col, lambda texts: _score_column(texts, shared.value, cfg) >= cfg.threshold)
