@@ -178,8 +178,8 @@ def test_search_recall_exact_scores_and_edges(spark):
 
 def test_few_candidates_come_from_all_rows(spark):
     rows = [(i, [float(np.cos(i)), float(np.sin(i)), 0.1 * i]) for i in range(8)]
-    cfg = neighbours.CrossPolytopeConfig(tables=1, probes=1, k=10, block_rows=3)
+    cfg = neighbours.CrossPolytopeConfig(tables=1, share=0.01, k=10, block_rows=3)
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, cfg).collect()
     assert sorted(r["vec_id"] for r in got) == [1, 2, 3, 4, 5, 6, 7]
-    two = neighbours.CrossPolytopeConfig(tables=4, probes=8, hashes=2)
+    two = neighbours.CrossPolytopeConfig(tables=4, share=0.5)
     assert neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, two).count() == 7
