@@ -32,9 +32,13 @@ def asof_join(
     """left with the values of the latest right row at or before (strict: before) left_time.
 
     One shuffle and one sort: both sides are tagged, united and scanned in order.  order
-    breaks ties among right rows of one time, the last wins.  No match gives nulls.
+    breaks ties among right rows of one time, the last wins.  No match gives nulls.  As in
+    any equi-join a null key matches nothing; right rows without a time are left out, and
+    a null left_time sees nothing.
     """
     order = order or []
+    for k in [*keys, right_time]:
+        right = right.where(F.col(k).isNotNull())
     pack = F.struct(*(F.col(v) for v in values))
     kind = right.select(pack.alias("v")).schema["v"].dataType
     l = left.select(
@@ -122,5 +126,13 @@ def status_at(rows: DataFrame, statuses: DataFrame, keys: list[str], *, at: str,
 
 
 def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Columns of two tables side by side, by key; every row of both must find one partner."""
-    return left.join(right, keys)
+    """Columns of two tables side by side, by key; every row of both must find one partner.
+
+    The query fails where a key is null, repeats on a side or stands on one side only.
+    """
+    n = lambda c: F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias(c)
+    a, b = left.select("*", n("_in_left")), right.select("*", n("_in_right"))
+    both = a.join(b, keys, "full")
+    bad = ~((F.col("_in_left").eqNullSafe(1)) & (F.col("_in_right").eqNullSafe(1)))
+    told = F.concat(F.lit("no single partner for "), F.to_json(F.struct(*keys)))
+    return both.where(F.when(bad, F.raise_error(told).cast("boolean")).otherwise(F.lit(True))).drop("_in_left", "_in_right")

@@ -1,20 +1,23 @@
 """Strictly lagged window features.
 
-prefix_features serves histories whose availability follows their time order, the common
-case: windows are computed once on the history, in order, and each target takes those of
-the last row it may see by an as-of scan.  Work is linear in history plus targets; no
-(target, history) pair is made, so long histories are no different from short ones.
+prefix_features computes windows once along each history, in time order, and gives every
+target those of the last row it may see, by one as-of scan: work is linear in history plus
+targets.  That is exact where the rows a target may see are a prefix of the history, which
+the scan itself finds out: their number must be the rank of the latest of them.  Targets
+for which it is not - a game whose result came in late lies between, or the target's own
+row is already known - are joined with their history row by row instead, so late results
+cost only the targets that they lie before.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .joins import asof_join
-
-#: Rows of under 2^-60 of the newest value's weight add nothing to a double.
-EWMA_HALF_LIVES = 60
+#: A block of so many half-lives: rows before the previous block add nothing to a double.
+BLOCK_HALF_LIVES = 64
 
 
 def _mean(col: str, w: WindowSpec, null_policy: str) -> Column:
@@ -23,8 +26,24 @@ def _mean(col: str, w: WindowSpec, null_policy: str) -> Column:
     return mean if null_policy == "skip" else F.when(F.count(col).over(w) == F.count(F.lit(1)).over(w), mean)
 
 
+def _total(col: str, w: WindowSpec, null_policy: str) -> Column:
+    total = F.sum(col).over(w)
+    return total if null_policy == "skip" else F.when(F.count(col).over(w) == F.count(F.lit(1)).over(w), total)
+
+
+def _ratio(num: str, den: str, w: WindowSpec, null_policy: str) -> Column:
+    """Ratio of sums in a frame; null if the denominator is not positive, strict also if a part is null."""
+    total = F.sum(den).over(w)
+    ratio = F.when(total > 0, F.sum(num).over(w) / total)
+    whole = (F.count(num).over(w) == F.count(F.lit(1)).over(w)) & (F.count(den).over(w) == F.count(F.lit(1)).over(w))
+    return ratio if null_policy == "skip" else F.when(whole, ratio)
+
+
 def ewma(col: str, w: WindowSpec, half_life: float, null_policy: str = "strict", *, rows: int) -> Column:
-    """Mean of the last rows with weight 0.5^(rank/half_life), the newest row at rank 0; ranks count null rows too."""
+    """Mean of the last rows with weight 0.5^(rank/half_life), the newest row at rank 0; ranks count null rows too.
+
+    For a few rows; a whole history takes the running sums of prefix_features.
+    """
     values = F.collect_list(F.struct(F.col(col).alias("m"))).over(w.rowsBetween(-(rows - 1), 0))
     n = F.size(values)
     pairs = F.transform(values, lambda x, i: F.struct(x["m"].alias("m"), F.pow(F.lit(0.5), (n - 1 - i) / F.lit(float(half_life))).alias("w")))
@@ -36,21 +55,56 @@ def ewma(col: str, w: WindowSpec, half_life: float, null_policy: str = "strict",
     return value if null_policy == "skip" else F.when(F.size(some) == n, value)
 
 
-def ewma_whole(col: str, keys: list[str], half_life: float, null_policy: str, rank: str, seen: str) -> Column:
-    """The same over the whole history, of which rank and seen number the rows and the values of col.
+def _weighted(num: Column, den: Column, keys: list[str], order: list[str], half_life: float, null_policy: str) -> Column:
+    """Ratio of the weighted sums of num and den over the whole history, by running sums in blocks of ranks.
 
-    Weights cancel relative to the newest value, so the last values are enough, however
-    many nulls stand after and between them; strict looks at every row.
+    A row's weight is 2^(rank in its block / half_life); the previous block counts for
+    2^-64 less, and what is older not at all.  The ratio is taken at the newest row that
+    has both parts, where that is exact, and carried on over rows that have not: weights
+    cancel, however many nulls follow.
     """
-    last = Window.partitionBy(*keys).orderBy(seen).rangeBetween(-(int(EWMA_HALF_LIVES * half_life) - 1), 0)
-    some = F.collect_list(F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("m"), F.col(rank).alias("r")))).over(last)
-    newest = F.array_max(F.transform(some, lambda x: x["r"]))
-    pairs = F.transform(some, lambda x: F.struct(x["m"].alias("m"), F.pow(F.lit(0.5), (newest - x["r"]) / F.lit(float(half_life))).alias("w")))
-    both = F.aggregate(
-        pairs, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda a, p: F.struct((a["s"] + p["m"] * p["w"]).alias("s"), (a["w"] + p["w"]).alias("w"))
-    )
-    value = F.when(both["w"] > 0, both["s"] / both["w"])
-    return value if null_policy == "skip" else F.when(F.col(seen) == F.col(rank), value)
+    length = math.ceil(BLOCK_HALF_LIVES * half_life)
+    whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)
+    fine = num.isNotNull() & den.isNotNull()
+    weight = F.pow(F.lit(2.0), (F.col("_rank") - 1 - F.col("_block") * length) / F.lit(float(half_life)))
+    shrink = 2.0 ** (-length / half_life)
+
+    def total(c: Column) -> Column:
+        own = F.when(fine, c * weight)
+        return F.sum(own).over(inside) + F.coalesce(F.sum(own).over(before), F.lit(0.0)) * shrink
+
+    value = F.last(F.when(fine, F.struct((F.when(total(den) > 0, total(num) / total(den))).alias("v"))), ignorenulls=True).over(whole)["v"]
+    return value if null_policy == "skip" else F.when(F.count(F.when(fine, 1)).over(whole) == F.col("_rank"), value)
+
+
+def _windows(history: DataFrame, keys: list[str], order: list[str], available_at: str, windows: dict[str, int | None], metrics: list[str], shares: dict[str, tuple[str, str]], sums: bool, with_ewma: bool, half_life: float, null_policy: str, lineage: int | None) -> tuple[DataFrame, list[str]]:
+    """history with _rank and the features of each row's prefix, and their names."""
+    time, row_id = order
+    base = Window.partitionBy(*keys).orderBy(*order)
+    frame = lambda n: base.rowsBetween(-(n - 1) if n else Window.unboundedPreceding, 0)
+    history = history.withColumn("_rank", F.row_number().over(base))
+    made: dict[str, Column] = {"n_history": F.col("_rank").cast("long")}
+    for name, n in windows.items():
+        for m in metrics:
+            made[f"{name}_{m}"] = _mean(m, frame(n), null_policy)
+            if sums:
+                made[f"{name}_sum_{m}"] = _total(m, frame(n), null_policy)
+        for s, (num, den) in shares.items():
+            made[f"{name}_{s}"] = _ratio(num, den, frame(n), null_policy)
+    if with_ewma and (metrics or shares):
+        history = history.withColumn("_block", F.expr(f"(_rank - 1) div {math.ceil(BLOCK_HALF_LIVES * half_life)}"))
+        for m in metrics:
+            value = F.col(m).cast("double")
+            made[f"ewma_{m}"] = _weighted(value, F.when(value.isNotNull(), F.lit(1.0)), keys, order, half_life, null_policy)
+        for s, (num, den) in shares.items():
+            made[f"ewma_{s}"] = _weighted(F.col(num).cast("double"), F.col(den).cast("double"), keys, order, half_life, null_policy)
+    if lineage:
+        made["source_ids"] = F.array_join(F.collect_list(F.col(row_id).cast("string")).over(frame(lineage)), ";")
+        made["latest_used"] = F.max(time).over(frame(lineage))
+        made["max_available_at"] = F.max(available_at).over(frame(lineage))
+    return history.withColumns(made), list(made)
 
 
 def prefix_features(
@@ -68,40 +122,63 @@ def prefix_features(
     season: str | None = None,
     half_life: float = 3.0,
     null_policy: str = "strict",
+    sums: bool = False,
     with_ewma: bool = True,
     lineage: int | None = None,
 ) -> DataFrame:
-    """targets with {window}_{metric}, {window}_{share}, ewma_{metric}, n_history and lineage columns.
+    """targets with {window}_{metric}, {window}_{share}, ewma_{metric}, ewma_{share}, n_history and lineage columns.
+
+    A target sees the history rows of its entity whose time and availability both lie
+    strictly before its cutoff, its own row (of the same row_id, where targets have one)
+    never.  Availability may be in any order.  Rows without a time or an availability are
+    never seen, and a null key or cutoff sees nothing.
 
     windows maps a name to a number of rows, None for all.  season: a column that history
     and target must share.  shares maps a name to (numerator, denominator); a share is the
     ratio of sums over the window, null if a part is null or the denominator is not
-    positive.  lineage: how many of the latest ids to list, oldest first.  A target without
-    history has null features and n_history 0.
+    positive.  sums adds {window}_sum_{metric}.  lineage: how many of the latest ids to
+    list, oldest first.  A target without history has null features and n_history 0.
     """
     windows = windows if windows is not None else {"last3": 3, "last5": 5, "last8": 8}
-    keys = [*entity, *([season] if season else [])]
-    base = Window.partitionBy(*keys).orderBy(time, row_id)
-    made: dict[str, Column] = {"n_history": F.count(F.lit(1)).over(base.rowsBetween(Window.unboundedPreceding, 0))}
-    for name, n in windows.items():
-        w = base.rowsBetween(-(n - 1) if n else Window.unboundedPreceding, 0)
-        for m in metrics:
-            made[f"{name}_{m}"] = _mean(m, w, null_policy)
-        for s, (num, den) in (shares or {}).items():
-            whole = (F.count(num).over(w) == F.count(F.lit(1)).over(w)) & (F.count(den).over(w) == F.count(F.lit(1)).over(w))
-            total = F.sum(den).over(w)
-            ratio = F.when(total > 0, F.sum(num).over(w) / total)
-            made[f"{name}_{s}"] = ratio if null_policy == "skip" else F.when(whole, ratio)
-    if with_ewma:
-        whole = base.rowsBetween(Window.unboundedPreceding, 0)
-        history = history.withColumns({"_rank": F.row_number().over(base), **{f"_seen_{m}": F.count(m).over(whole) for m in metrics}})
-        for m in metrics:
-            made[f"ewma_{m}"] = ewma_whole(m, keys, half_life, null_policy, "_rank", f"_seen_{m}")
-    if lineage:
-        w = base.rowsBetween(-(lineage - 1), 0)
-        made["source_ids"] = F.array_join(F.collect_list(F.col(row_id).cast("string")).over(w), ";")
-        made["latest_used"] = F.max(time).over(w)
-        made["max_available_at"] = F.max(available_at).over(w)
-    told = history.select(*keys, time, available_at, row_id, *(c.alias(n) for n, c in made.items()))
-    out = asof_join(targets, told, keys, left_time=cutoff, right_time=available_at, values=list(made), strict=True, order=[time, row_id])
+    keys, order = [*entity, *([season] if season else [])], [time, row_id]
+    told_by = (available_at, windows, list(metrics), shares or {}, sums, with_ewma, half_life, null_policy, lineage)
+    fine = F.col(time).isNotNull() & F.col(available_at).isNotNull()
+    for k in keys:
+        fine = fine & F.col(k).isNotNull()
+    history = history.where(fine).withColumn("_known", F.greatest(time, available_at))
+    told, names = _windows(history, keys, order, *told_by)
+
+    # Tagged union, one exchange by key: targets stand before history of the same instant.
+    pack = F.struct("_rank", *names)
+    kind = told.select(pack.alias("v")).schema["v"].dataType
+    own_id = F.col(row_id).cast("string") if row_id in targets.columns else F.lit(None).cast("string")
+    at = F.col(cutoff).cast(told.schema["_known"].dataType)
+    left = targets.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), at.alias("_t"), F.lit(0).alias("_tag"), own_id.alias("_id"), F.lit(None).cast(kind).alias("_v"), F.struct(*targets.columns).alias("_l"))
+    row = left.schema["_l"].dataType
+    right = told.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_known").alias("_t"), F.lit(1).alias("_tag"), F.col(row_id).cast("string").alias("_id"), pack.alias("_v"), F.lit(None).cast(row).alias("_l"))
+    by = [f"_k{i}" for i in range(len(keys))]
+    seen = Window.partitionBy(*by).orderBy("_t", "_tag").rowsBetween(Window.unboundedPreceding, 0)
+    same = Window.partitionBy(*by, "_id")
+    scan = left.unionByName(right).withColumns({
+        "_v": F.max("_v").over(seen), "_n": F.count("_v").over(seen), "_own": F.min(F.when(F.col("_tag") == 1, F.col("_t"))).over(same),
+    }).where("_tag = 0")
+    some = F.lit(True)
+    for k in by:
+        some = some & F.col(k).isNotNull()
+    prefix = F.coalesce(F.col("_v._rank") == F.col("_n"), F.lit(True)) & ~F.coalesce(F.col("_own") < F.col("_t"), F.lit(False))
+    scan = scan.withColumn("_plain", ~some | F.col("_t").isNull() | prefix)
+    plain = scan.where("_plain").select("_l.*", *(F.when(some & F.col("_t").isNotNull(), F.col(f"_v.{n}")).alias(n) for n in names))
+
+    # The rest row by row; equal targets once, since their rows are told apart by what they hold.
+    rest = scan.where("not _plain").groupBy("_l").agg(F.count(F.lit(1)).alias("_many"))
+    part = rest.select("_l", "_many", *(F.col(f"_l.{k}").alias(f"_e{i}") for i, k in enumerate(keys)), F.col(f"_l.{cutoff}").alias("_at"), (F.col(f"_l.{row_id}").cast("string") if row_id in targets.columns else F.lit(None).cast("string")).alias("_own_id"))
+    cond = (F.col("_known") < F.col("_at")) & ~F.coalesce(F.col(row_id).cast("string") == F.col("_own_id"), F.lit(False))
+    for i, k in enumerate(keys):
+        cond = cond & (F.col(k) == F.col(f"_e{i}"))
+    needed = {*keys, *order, available_at, "_known", *metrics, *(c for pair in (shares or {}).values() for c in pair)}
+    pairs = part.join(history.select(*sorted(needed)), cond)
+    pairs, _ = _windows(pairs.select("_l", "_many", *sorted(needed)), ["_l"], order, *told_by)
+    last = pairs.groupBy("_l", "_many").agg(F.max_by(F.struct(*names), F.col("_rank")).alias("_v"))
+    late = part.select("_l", "_many").join(last.select("_l", "_v"), "_l", "left").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_many").cast("int"))))
+    out = plain.unionByName(late.select("_l.*", *(F.col(f"_v.{n}").alias(n) for n in names)))
     return out.withColumn("n_history", F.coalesce("n_history", F.lit(0)).cast("long"))

@@ -97,3 +97,73 @@ def test_crosswalk_band_and_coverage(spark):
     b = spark.createDataFrame([("h", T0 + timedelta(minutes=59), "in"), ("h", T0 + timedelta(minutes=61), "out")], "k2 string, t2 timestamp, v string")
     assert [r["v"] for r in joins.band_join(a, b, [("k", "k2")], left_time="t", right_time="t2", seconds=3600, left_id="id").collect()] == ["in"]
     assert joins.coverage_gap(x.select("f"), spark.createDataFrame([("p",)], "f string"), ["f"]).select("f").distinct().count() == 2
+
+
+def brute(rows, targets, *, windows, half_life, null_policy):
+    """Every feature from its definition, in Python."""
+    out = {}
+    for t in targets:
+        seen = sorted((r for r in rows if r["entity"] == t["entity"] and r["kickoff"] and r["available_at"] and r["kickoff"] < t["prediction_time"] and r["available_at"] < t["prediction_time"] and r["game_id"] != t["game_id"]), key=lambda r: (r["kickoff"], r["game_id"]))
+        got = {"n_history": len(seen)}
+        strict = null_policy == "strict"
+        for name, n in windows.items():
+            part = seen[-n:] if n else seen
+            m = [r["m"] for r in part if r["m"] is not None]
+            got[f"{name}_m"] = sum(m) / len(m) if m and not (strict and len(m) < len(part)) else None
+            got[f"{name}_sum_m"] = sum(m) if m and not (strict and len(m) < len(part)) else None
+        w = [(r["m"], r["whole"], 0.5 ** ((len(seen) - 1 - i) / half_life)) for i, r in enumerate(seen)]
+        some = [x for x in w if x[0] is not None]
+        whole = len(some) == len(w) or not strict
+        got["ewma_m"] = sum(a * c for a, _, c in some) / sum(c for *_, c in some) if some and whole else None
+        den = sum(b * c for _, b, c in some)
+        got["ewma_share"] = sum(a * c for a, _, c in some) / den if some and whole and den > 0 else None
+        got["source_ids"] = ";".join(r["game_id"] for r in seen[-8:]) or None
+        out[t["game_id"]] = got
+    return out
+
+
+@pytest.mark.parametrize("null_policy", ["strict", "skip"])
+def test_late_results_stay_out_of_every_window(spark, null_policy):
+    """Shuffled availability, results known before their own cutoff, ties, missing clocks, nulls."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for e in "abc":
+        for i in range(40):
+            kick = T0 + rng.randrange(0, 200) * DAY
+            late = rng.choice([1, 1, 1, 1, 3, 60, -5, 400])
+            rows.append((f"{e}{i:02d}", e, 2024, kick if rng.random() > 0.03 else None, kick + late * DAY if rng.random() > 0.03 else None, rng.choice([None, 1.0, 2.5, 7.0]) if null_policy == "skip" else rng.random(), 8.0))
+    df = spark.createDataFrame(rows, "game_id string, entity string, season int, kickoff timestamp, available_at timestamp, m double, whole double")
+    df = df.withColumn("whole", F.when(F.col("m").isNotNull(), F.col("whole")))
+    t = targets(df)
+    windows = {"last3": 3, "all": None}
+    got = features(spark, df, t, windows=windows, null_policy=null_policy, sums=True)
+    want = brute([r.asDict() for r in df.collect()], [r.asDict() for r in t.where("prediction_time is not null").collect()], windows=windows, half_life=3.0, null_policy=null_policy)
+    for k, expected in want.items():
+        for name, value in expected.items():
+            assert got[k][name] == (pytest.approx(value) if isinstance(value, float) else value), (k, name)
+    assert all(got[k]["n_history"] == 0 for k in got if k not in want)
+
+
+def test_late_middle_game_is_left_out(spark):
+    """Five games, the second known only after sixty days: later targets do not see it, nor lose the others."""
+    df = history(spark, [1.0, 900.0, 2.0, 3.0, 4.0]).withColumn("available_at", F.when(F.col("game_id") == "a01", F.col("kickoff") + F.expr("INTERVAL 60 DAYS")).otherwise(F.col("available_at")))
+    got = features(spark, df)
+    assert [got[f"a{i:02d}"]["n_history"] for i in range(5)] == [0, 1, 1, 2, 3]
+    assert got["a04"]["last3_m"] == 2.0 and got["a04"]["source_ids"] == "a00;a02;a03"
+
+
+def test_null_keys_see_nothing(spark):
+    left = spark.createDataFrame([(None, 5), ("a", 5), ("a", None)], "k string, t int")
+    right = spark.createDataFrame([(None, 1, "x"), ("a", 1, "y"), ("a", None, "z")], "k string, u int, v string")
+    got = joins.asof_join(left, right, ["k"], left_time="t", right_time="u", values=["v"])
+    assert sorted((str(r["k"]), str(r["t"]), str(r["v"])) for r in got.collect()) == [("None", "5", "None"), ("a", "5", "y"), ("a", "None", "None")]
+
+
+def test_beside_needs_one_partner(spark):
+    make = lambda ids: spark.createDataFrame([(i,) for i in ids], "k int")
+    assert joins.beside(make([1, 2]), make([2, 1]), ["k"]).count() == 2
+    for a, b in (([1, 2], [1, 1]), ([1], [1, 2]), ([1, 2], [1]), ([None], [None])):
+        with pytest.raises(Exception, match="no single partner"):
+            joins.beside(make(a), make(b), ["k"]).collect()
