@@ -176,9 +176,10 @@ def prefix_features(
     for i, k in enumerate(keys):
         cond = cond & (F.col(k) == F.col(f"_e{i}"))
     needed = {*keys, *order, available_at, "_known", *metrics, *(c for pair in (shares or {}).values() for c in pair)}
-    pairs = part.join(history.select(*sorted(needed)), cond)
+    pairs = part.join(history.select(*sorted(needed)), cond, "left")
     pairs, _ = _windows(pairs.select("_l", "_many", *sorted(needed)), ["_l"], order, *told_by)
-    last = pairs.groupBy("_l", "_many").agg(F.max_by(F.struct(*names), F.col("_rank")).alias("_v"))
-    late = part.select("_l", "_many").join(last.select("_l", "_v"), "_l", "left").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_many").cast("int"))))
+    # a target that sees nothing has one row without history
+    last = pairs.groupBy("_l", "_many").agg(F.max_by(F.when(F.col("_known").isNotNull(), F.struct(*names)), F.col("_rank")).alias("_v"))
+    late = last.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_many").cast("int"))))
     out = plain.unionByName(late.select("_l.*", *(F.col(f"_v.{n}").alias(n) for n in names)))
     return out.withColumn("n_history", F.coalesce("n_history", F.lit(0)).cast("long"))
