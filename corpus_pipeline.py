@@ -2,7 +2,8 @@
 
 Every stage takes what its predecessor kept and, but for the last, returns the columns of
 documents.  run() writes a stage's rows to the shared folder and reads them back for the
-next, so no stage repeats another's work.
+next, so no stage repeats another's work; what a stage wrote for itself, and the rows it
+was given, are deleted once its own rows are written.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from cutline.llm import language, mixing, packing, quality
 from cutline.llm import near_dedup as near
 from cutline.llm.queries import TOKENIZER
-from cutline.llm.scratch import Scratch
-from cutline.llm.ship import ship_package
+from cutline.llm.scratch import Scratch, released
+from cutline.sources.ship import ship_package
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch = Scratch(spark, "pipeline")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        scratch = Scratch(spark, "pipeline")
+        with released():
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if before:
+            before.drop()
+        before = scratch
     return STAGES[-1][1](spark, docs, sf_dir)
