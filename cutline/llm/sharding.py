@@ -14,7 +14,8 @@ a shard moves few.
 Scale.  Only the row counts of the arcs (shards x vnodes of them) reach the driver, where
 the walk over the ring deals out ranges of ranks; the rows get their rank from prefix sums
 over segment counts plus a row number inside a segment.  Segments get finer as the table
-grows, so no window partition does.
+grows, so no window partition does.  A hot key, whose one position holds more than that,
+becomes a segment of its own and is dealt by ranges of the tie-break's hash.
 """
 
 from __future__ import annotations
@@ -37,10 +38,10 @@ def ring_points(shards: int, vnodes: int) -> list[tuple[int, int]]:
     return sorted((_point(f"shard-{s}#{v}"), s) for s in range(shards) for v in range(vnodes))
 
 
-def segments(points: list[tuple[int, int]], grid: int) -> list[tuple[int, int, int, int]]:
-    """(grid cell, first position, end, arc) of each segment, in ring order."""
+def segments(points: list[tuple[int, int]], grid: int, hot: tuple[int, ...] = ()) -> list[tuple[int, int, int, int]]:
+    """(grid cell, first position, end, arc) of each segment, in ring order; hot positions stand alone."""
     width = RING // grid
-    cuts = sorted({0, *(g * width for g in range(grid)), *(p + 1 for p, _ in points)} - {RING})
+    cuts = sorted({0, *(g * width for g in range(grid)), *(p + 1 for p, _ in points), *hot, *(p + 1 for p in hot)} - {RING})
     at = [p for p, _ in points]
     ends = [*cuts[1:], RING]
     return [(a // width, a, b, bisect_left(at, a) % len(points)) for a, b in zip(cuts, ends, strict=True)]
@@ -94,36 +95,53 @@ def assign_shards(
     """df with two more columns: the shard, and the row's gapless slot in it from 0.
 
     tie_break: what orders rows of equal keys, and spreads them over window partitions.
-    Rows that agree in all of it are interchangeable.  A column of df that has one of the
-    new names is replaced.  An empty df gives an empty result.
+    Rows that agree in all of it are interchangeable and stay in one partition.  Null keys
+    are a key of their own.  A column of df that has one of the new names is replaced,
+    other columns are carried.  An empty df gives an empty result.
     """
     spark = df.sparkSession
     shard_col, slot_col = names
     df = df.drop(shard_col, slot_col)
     points = ring_points(shards, vnodes)
-    pieces = segments(points, grid)
-    # Bounded by the ring's parameters: shards * vnodes + grid rows, whatever df holds.
-    table = spark.createDataFrame([(n, *p) for n, p in enumerate(pieces)], "_seg int, _cell int, _from long, _to long, _arc int")
+    n = df.count()
+    fine = max(1, -(-n // (rows_per_segment * grid)))
+    # One position may hold so many rows; at most 4096 positions hold more.
+    most = max(rows_per_segment, -(-n // 4096))
     own = F.xxhash64(*(tie_break or [F.col(key)]))
 
-    def placed(frame: DataFrame) -> DataFrame:
-        frame = frame.withColumn("_pos", key_position(F.col(key)))
+    def placed(frame: DataFrame, hot: dict[int, int]) -> DataFrame:
+        """frame with its segment, and its part of it: finer for larger tables, by the tie-break's hash for hot positions."""
+        # Bounded by the ring's parameters: shards * vnodes + grid + 8192 rows, whatever df holds.
+        pieces = [(i, *p, -(-hot.get(p[1], 0) // most)) for i, p in enumerate(segments(points, grid, tuple(hot)))]
+        table = spark.createDataFrame(pieces, "_seg int, _cell int, _from long, _to long, _arc int, _fan int")
+        frame = frame.withColumns({"_pos": key_position(F.col(key)), "_own": own})
         own_cell = F.expr(f"_pos div {RING // grid}").cast("int")
         hit = (own_cell == F.col("_cell")) & (F.col("_pos") >= F.col("_from")) & (F.col("_pos") < F.col("_to"))
-        return frame.join(F.broadcast(table), hit).drop("_cell")
-
-    rows = placed(df)
-    n = df.count()
-    fine = max(1, -(-n // (rows_per_segment * grid)))
-    # Finer segments for larger tables; within one position, by the tie-break's hash.
-    part = F.expr(f"cast((_pos - _from) * {fine} div (_to - _from) as int)") if fine > 1 else F.lit(0)
-    rows = rows.withColumn("_part", part).withColumn("_own", own)
-
-    counts = placed(df.select(key)).withColumn("_part", part).groupBy("_arc", "_seg", "_part").agg(F.count(F.lit(1)).alias("_n"))
+        frame = frame.join(F.broadcast(table), hit).drop("_cell")
+        part = F.expr(f"cast((_pos - _from) * {fine} div (_to - _from) as int)") if fine > 1 else F.lit(0)
+        if hot:
+            spread = F.least(F.floor((F.col("_own") / F.lit(2.0**64) + 0.5) * F.col("_fan")), F.col("_fan") - 1).cast("int")
+            part = F.when(F.col("_fan") > 0, spread).otherwise(part)
+        return frame.withColumn("_part", part)
+
+    def counted(hot: dict[int, int]) -> DataFrame:
+        return placed(df, hot).groupBy("_arc", "_seg", "_part").agg(F.count(F.lit(1)).alias("_n"))
+
+    def arcs(hot: dict[int, int]) -> list:
+        """(arc, rows, most rows of a part): at most shards * vnodes rows."""
+        return counted(hot).groupBy("_arc").agg(F.sum("_n"), F.max("_n")).collect()
+
+    hot: dict[int, int] = {}
+    told = arcs(hot)
+    if max((r[2] for r in told), default=0) > most:
+        # at most 4096 rows
+        hot = dict(df.groupBy(key_position(F.col(key)).alias("_pos")).count().where(F.col("count") > most).collect())
+        told = arcs(hot) if hot else told
+    counts = counted(hot)
     before = Window.partitionBy("_arc").orderBy("_seg", "_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_seg", "_part", "_start")
 
-    per_arc = dict(counts.groupBy("_arc").agg(F.sum("_n")).collect())  # at most shards * vnodes rows
+    per_arc = {r[0]: r[1] for r in told}
     total = sum(per_arc.values())
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     dealt = walk(points, [per_arc.get(i, 0) for i in range(len(points))], capacity)
@@ -131,7 +149,7 @@ def assign_shards(
     ranges = spark.createDataFrame(dealt or [(-1, 0, 0, 0, 0)], f"_in_arc int, _lo long, _hi long, {shard_col} int, _slot0 long")
 
     inside = Window.partitionBy("_seg", "_part").orderBy("_pos", "_own", *(tie_break or []))
-    ranked = rows.withColumn("_rn", F.row_number().over(inside) - 1).join(starts, ["_seg", "_part"]).withColumn("_rank", F.col("_start") + F.col("_rn"))
+    ranked = placed(df, hot).withColumn("_rn", F.row_number().over(inside) - 1).join(starts, ["_seg", "_part"]).withColumn("_rank", F.col("_start") + F.col("_rn"))
     hit = (F.col("_arc") == F.col("_in_arc")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
     out = ranked.join(F.broadcast(ranges), hit).withColumn(slot_col, F.col("_slot0") + F.col("_rank") - F.col("_lo"))
     return out.select(*df.columns, shard_col, slot_col)

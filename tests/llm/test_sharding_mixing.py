@@ -75,6 +75,21 @@ def test_growth_moves_little(spark):
     assert sum(a[k] != b[k] for k in a) / len(a) < 0.3
 
 
+def test_hot_keys_are_dealt_into_parts(spark):
+    """A third of the rows under one id and a third under none: same places, no large window partition."""
+    rows = [(k if k % 3 == 0 else 7 if k % 3 == 1 else None, f"text {k % 1500}") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    place = lambda **k: sharding.assign_shards(df, "doc_id", 8, tie_break=[F.col("text")], **k)
+    key = lambda r: (str(r["doc_id"]), r["text"], r["shard"], r["slot"])
+    split, whole = place(rows_per_segment=100), place(rows_per_segment=10**9)
+    assert sorted(map(key, split.collect())) == sorted(map(key, whole.collect()))
+    counts = Counter(r["shard"] for r in split.collect())
+    assert max(counts.values()) - min(counts.values()) <= 1
+    # each hot position is a segment of its own, in twenty parts
+    pieces = sharding.segments(sharding.ring_points(8, 128), 4096, (12345,))
+    assert [p for p in pieces if p[1] == 12345] == [(12345 // (sharding.RING // 4096), 12345, 12346, pieces[[p[1] for p in pieces].index(12345)][3])]
+
+
 def test_query_is_native(spark):
     plan = sharding.assign_shards(docs(spark), "doc_id", 8)._jdf.queryExecution().toString()
     plan += mixing.mix_sources(docs(spark))._jdf.queryExecution().toString()
