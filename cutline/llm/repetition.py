@@ -123,8 +123,12 @@ def measure(buf: np.ndarray, offsets: np.ndarray, cfg: RepeatConfig) -> dict[str
 
 
 def repetition(docs: DataFrame, cfg: RepeatConfig = RepeatConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs with all measures and the verdict; a null text has no word."""
+    """One row per row of docs with all measures and the verdict.
 
+    A null, empty or wordless text has no word and fails the base rule.  Texts of any
+    length are read whole.  Repeated rows and null ids are kept, extra columns are not
+    read whatever their names, and an empty table gives an empty result.
+    """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *cfg.names, "cover_lines", "base_failed", "kept"]
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + "".join(f"{c} double, " for c in [*cfg.names, "cover_lines"]) + "base_failed boolean, kept boolean"
 

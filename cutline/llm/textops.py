@@ -19,6 +19,9 @@ import xxhash
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: An odd base of the rolling hashes, and its inverse modulo 2^64.
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_UNBASE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 #: Words of more bytes than this are hashed one by one.
 LONG_WORD = 256
 
@@ -114,32 +117,34 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     return mix64(out)
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1) modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def windows(hashes: np.ndarray, first: np.ndarray, width: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all word windows of one width, and where those of each document begin.
 
+    Rolling: with running sums H of word hash times BASE^position, a window's polynomial is
+    (H[i + width] - H[i]) / BASE^i modulo 2^64, one step a window whatever the width.
     short: a document of 1 to width - 1 words gives one window, its whole sequence.
     """
     count = np.diff(first)
     n = len(hashes)
     made = np.maximum(count - width + 1, 0)
-    acc = hashes.copy()
-    for k in range(1, width):
-        if n > k:
-            acc[:-k] = mix64(acc[:-k] * _GOLD + hashes[k:])
+    up, down = _powers(_BASE, n), _powers(_UNBASE, n)
+    run = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * up, out=run[1:])
+    size = np.full(len(count), width)
     if short:
-        few = np.flatnonzero((count > 0) & (count < width))
-        for d in few:
-            a = first[d]
-            h = hashes[a : a + 1]
-            for k in range(1, count[d]):
-                h = mix64(h * _GOLD + hashes[a + k : a + k + 1])
-            acc[a] = mix64(h ^ np.uint64(count[d]))[0]
-        made[few] = 1
+        few = (count > 0) & (count < width)
+        made[few], size[few] = 1, count[few]
     begin = np.concatenate([[0], np.cumsum(made)])
-    if begin[-1] == n:
-        return acc, begin
-    keep = np.arange(begin[-1]) + np.repeat(first[:-1] - begin[:-1], made)
-    return acc[keep], begin
+    at = np.arange(begin[-1]) + np.repeat(first[:-1] - begin[:-1], made)
+    wide = np.repeat(size, made)
+    return mix64((run[at + wide] - run[at]) * down[at] + wide.astype(np.uint64) * _GOLD), begin
 
 
 def code_points(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
