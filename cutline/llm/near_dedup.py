@@ -244,6 +244,8 @@ def near_components(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str
     nothing.  Rows of one id count as one document where their texts agree; where they
     differ each text is a vertex of its own.  A null id never becomes a component_id
     unless its whole component has none; ids compare null-safe, so such a row is kept.
+    Texts of any length are read whole.  An empty table gives an empty result, and other
+    columns of docs are not read.
     """
     out = _components(docs, cfg, id_col, text_col).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
@@ -261,7 +263,7 @@ def _components(docs: DataFrame, cfg: NearConfig, id_col: str, text_col: str) ->
     ids = scratch.table(
         rows.where("n_shingles > 0").groupBy("vid").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n")), "vertices"
     )
-    full = rows.where("n_shingles > 0").select("vid", "doc_id", "bands", "sig").alias("r")
+    full = rows.where("n_shingles > 0").select("vid", "doc_id", "text_hash", "bands", "sig").alias("r")
     rep = ids.select(F.col("vid").alias("v"), "least_id")
     reps = full.join(rep, (F.col("r.vid") == F.col("v")) & F.col("r.doc_id").eqNullSafe(F.col("least_id")), "left_semi").dropDuplicates(["vid"])
     reps = scratch.table(reps, "reps")
@@ -270,9 +272,11 @@ def _components(docs: DataFrame, cfg: NearConfig, id_col: str, text_col: str) ->
     shared = member.groupBy("bucket").agg(F.min("vid").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1")
     member = scratch.table(member.join(shared, "bucket").select("bucket", "band", "vid", "centre", "m"), "members")
 
-    # Text of what has a candidate at all, read once.
-    busy = reps.join(member.select("vid").distinct(), "vid", "left_semi").select("vid", F.col("doc_id").alias("rep_id"), "bands", "sig")
-    text = busy.join(source, F.col("rep_id").eqNullSafe(F.col("doc_id"))).select("vid", "bands", "sig", "text")
+    # Text of what has a candidate at all, read once.  A row is told by its id and its text's
+    # hash, so rows without an id, or that share one, meet only those of the same text.
+    busy = reps.join(member.select("vid").distinct(), "vid", "left_semi").select("vid", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash"), "bands", "sig")
+    own = F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash"))
+    text = busy.join(source.withColumn("text_hash", F.xxhash64("text")), own).select("vid", "bands", "sig", "text")
     width = cfg.width
 
     def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
