@@ -138,7 +138,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = Quality
     """A model of labels that are not held out; without any, one that scores 0.5.
 
     Null ids, labels and labels other than 0 and 1 are left out; an id with both labels
-    counts as 0; a null text is empty.
+    counts as 0; a null text is empty.  Of rows that share an id one text is learned from,
+    that of the least hash, so the sample is bounded by rows.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.min("_y").alias("_y"))
@@ -146,6 +147,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = Quality
     share = F.when(F.col("_y") == 1, min(1.0, cfg.sample_docs / size.get(1, 1))).otherwise(min(1.0, cfg.sample_docs / size.get(0, 1)))
     known = F.broadcast(known.where(thinned(F.col("_id"), share)))  # about 2 * sample_docs ids
     sample = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(known, F.col("_doc") == F.col("_id"))
+    sample = sample.groupBy("_id", "_y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
     sample = sample.select("_id", "text", "_y", F.pmod(F.xxhash64("_id"), F.lit(cfg.trainers)).alias("_part"))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -171,7 +173,12 @@ def _score_column(column: pa.Array, model: QualityModel, cfg: QualityConfig) ->
 
 
 def score_quality(docs: DataFrame, model: QualityModel, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, score, predicted.  An empty text scores by the bias."""
+    """One row per row of docs: doc_id, score, predicted.
+
+    A null, empty or wordless text scores by the bias; a text of any length is scored
+    whole.  Repeated rows and null ids are kept as they are, extra columns are not read,
+    and an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
