@@ -583,7 +583,10 @@ def extract_main(pages: DataFrame, cfg: WrapperConfig = WrapperConfig(), id_col:
 
     Blocks are joined by one line feed, white space inside a block is one space, and
     character references are decoded.  Null HTML, or a page without content, gives an
-    empty text.  Pages without a host form one host of their own.
+    empty text.  Pages without a host form one host of their own.  Repeated rows, and pages
+    without an id, are kept as they are; copies of a page count once as support.  Pages of
+    any length, depth and width are aligned.  An empty table gives an empty result, and
+    extra columns of pages are not read.
     """
     scratch = Scratch(pages.sparkSession, "html")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
@@ -617,9 +620,9 @@ def extract_main(pages: DataFrame, cfg: WrapperConfig = WrapperConfig(), id_col:
 
     votes = joined(rows.where("html is not null").select("host", "html"), *tables(shapes)).select("host", "layout", "html", "refs", "wide")
     votes = votes.mapInArrow(_support(cfg), "host string, ref long, node int, same boolean, content long")
-    counted = votes.groupBy("host", "ref", "node").agg(
-        F.approx_count_distinct(F.when(F.col("same"), F.col("content"))).alias("same"), F.approx_count_distinct("content").alias("all")
-    )
+    # each content once: whether any page with it had the node's text
+    once = votes.groupBy("host", "ref", "node", "content").agg(F.max("same").alias("same"))
+    counted = once.groupBy("host", "ref", "node").agg(F.count_if("same").alias("same"), F.count(F.lit(1)).alias("all"))
     fixed = counted.where((F.col("same") >= cfg.least_pages) & (F.col("same") >= cfg.share * F.col("all")))
     fixed = scratch.table(fixed.groupBy("host", "ref").agg(F.collect_list("node").alias("nodes")), "wrappers")
     # hosts with template nodes only; what a page is aligned with must be chosen among all references
