@@ -257,8 +257,9 @@ def pack_documents(
     """One row per piece: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset.
 
     Every row of docs is a document, repeated rows included; a null or empty text is the
-    end id alone.  Pieces fill a sequence without gaps from offset 0.  Extra columns of
-    docs are not carried.
+    end id alone.  Pieces fill a sequence without gaps from offset 0.  A text of any length
+    is tokenised whole, in slices that cut at no token.  Extra columns of docs are not
+    carried, and an empty table gives an empty result.
     """
     made = Scratch(docs.sparkSession, "pack").table(pieces(docs, tokenizer, cfg, with_ids, id_col, text_col), "pieces")
     return pack(made, cfg)

@@ -11,10 +11,12 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_OPEN: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/cutline/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        _OPEN.append(self)
         atexit.register(_delete, spark, self.root)
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -53,3 +56,13 @@ class Scratch:
 
     def drop(self) -> None:
         _delete(self.spark, self.root)
+
+
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """Drops the tables of what is called inside; what is left of it must have been written elsewhere."""
+    before = len(_OPEN)
+    yield
+    for s in _OPEN[before:]:
+        s.drop()
+    del _OPEN[before:]
