@@ -40,6 +40,61 @@ def outcome(left: DataFrame, right: DataFrame, keys: list[str], label: str) -> D
     return j.agg(F.count_if(F.col("_a") == F.col("_b")).alias("agree"), F.count_if(F.col("_a") != F.col("_b")).alias("differ"), F.count_if(F.col("_b").isNull()).alias("only_left"), F.count_if(F.col("_a").isNull()).alias("only_right"))
 
 
+def with_provenance(left: DataFrame, right: DataFrame, keys: list[str], label: str, names: tuple[str, str]) -> DataFrame:
+    """keys, label and provenance: agreed, from one side only, or the left one over the right."""
+    a, b = left.select(*keys, F.col(label).alias("_a")), right.select(*keys, F.col(label).alias("_b"))
+    tag = F.when(F.col("_a").isNull(), f"{names[1]}_only").when(F.col("_b").isNull(), f"{names[0]}_only").when(F.col("_a") == F.col("_b"), "agreed").otherwise(f"{names[0]}_over_{names[1]}")
+    return a.join(b, keys, "full").select(*keys, F.coalesce("_a", "_b").alias(label), tag.alias("provenance"))
+
+
+def feature_table(rows: DataFrame, schedule: DataFrame, *, key: str, cutoff: str, clocks: list[str], history: str, shares: list[str], same_as_schedule: list[str], ids: str, null_families: list[str]) -> DataFrame:
+    """Violation counts of a feature table against the schedule that its keys come from.
+
+    Source ids are the schedule's keys; null_families are columns that no source supplies
+    and that must stay null.
+    """
+    late = F.lit(False)
+    for c in clocks:
+        late = late | F.coalesce(F.col(c) >= F.col(cutoff), F.lit(False))
+    beyond = F.lit(False)
+    for c in shares:
+        beyond = beyond | F.coalesce(~F.col(c).between(0.0, 1.0), F.lit(False))
+    plan = schedule.select(F.col(key), *(F.col(c).alias(f"_s_{c}") for c in same_as_schedule))
+    apart = F.lit(False)
+    for c in same_as_schedule:
+        apart = apart | ~F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    filled = F.lit(False)
+    for c in null_families:
+        filled = filled | F.col(c).isNotNull()
+    known = schedule.select(F.col(key).cast("string").alias("_id")).distinct().withColumn("_known", F.lit(True))
+    named = rows.select(key, F.explode(F.split(ids, ";")).alias("_id")).where("_id <> ''")
+    lost = named.join(known, "_id", "left").where("_known IS NULL").select(key).distinct().withColumn("_lost", F.lit(True))
+    marked = rows.join(plan, key, "left").join(lost, key, "left")
+    rules = {"late_history": late, "no_history": F.col(history) == 0, "share_out_of_range": beyond, "schedule_differs": apart, "unknown_sources": F.coalesce("_lost", F.lit(False)), "family_not_null": filled}
+    one = marked.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *(F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()))
+    return one.agg(F.sum("_n").alias("rows"), F.sum(F.col("_n") - 1).alias("duplicate_rows"), *(F.count_if(n).alias(n) for n in rules))
+
+
+def scored_table(rows: DataFrame, sums: DataFrame, told: DataFrame, *, key: str, p: str, fit: str, season: str, eps: float = 1e-9) -> DataFrame:
+    """Violation counts of scored rows: range, keys, fit season before the scored one, sums by season against those told."""
+    bad = sums.select(season, F.col(p).alias("_a")).join(told.select(season, F.col(p).alias("_b")), season, "full").agg(F.count_if(F.coalesce(F.abs(F.col("_a") - F.col("_b")) > eps, F.lit(True))).alias("sums_differ"))
+    one = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.bool_or((F.col(p) <= 0) | (F.col(p) >= 1)).alias("_range"), F.count_if(F.col(fit) >= F.col(season)).alias("_late"))
+    out = one.agg(F.sum("_n").alias("rows"), F.count_if("_range").alias("out_of_range"), F.sum(F.col("_n") - 1).alias("duplicates"), F.sum("_late").alias("not_forward"))
+    return out.crossJoin(F.broadcast(bad))  # one row each
+
+
+def rebuilt_table(stored: DataFrame, rebuilt: DataFrame, keys: list[str], values: list[str], *, sums: str, eps: float = 1e-9) -> DataFrame:
+    """A stored table against its rebuild: rows, rows that differ or lack a partner, and sums that are not one."""
+    b = rebuilt.select(*keys, *(F.col(c).alias(f"_{c}") for c in values), F.lit(True).alias("_there"))
+    both = stored.withColumn("_here", F.lit(True)).join(b, keys, "full")
+    apart = F.lit(False)
+    for c in values:
+        apart = apart | (F.abs(F.col(c) - F.col(f"_{c}")) > eps)
+    return both.agg(
+        F.count("_here").alias("rows"), F.count_if(F.coalesce(apart, F.lit(False))).alias("differing"), F.count_if(F.col("_here").isNull() | F.col("_there").isNull()).alias("missing"), F.count_if(F.abs(F.col(sums) - 1) > eps).alias("not_one"),
+    )
+
+
 def count_violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """One row with the number of rows that break each rule, in one pass."""
     return rows.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()))

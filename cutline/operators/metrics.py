@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 PLAY_BINS = [0.0, 0.01, 0.02, 0.05, 0.10, 0.20, 0.35, 0.50, 1.0]
 PLAYER_BINS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 1.01]
 LINE_BINS = [0.0, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 1.01]
+COUNT_BINS = [float("-inf"), 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, float("inf")]
 
 
 def clip(p: Column, eps: float = 1e-6) -> Column:
@@ -135,11 +136,72 @@ def interval(reps: DataFrame, lo: float = 0.025, hi: float = 0.975) -> DataFrame
     return reps.agg(F.count(F.lit(1)).alias("replicates"), F.percentile("stat", F.lit(lo)).alias("lo"), F.percentile("stat", F.lit(hi)).alias("hi"))
 
 
+#: Ranges of values in which positions are counted apart.
+VALUE_BANDS = 64
+
+
+def _positions(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Distinct values of each group with the first and last position they hold, from 0, and the group's size.
+
+    Values are counted first.  Approximate quantiles cut a group into bands, positions run
+    inside a band, and only band totals meet, so no task holds a group.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*by, F.lit(0)).alias("_g"), F.col(value).alias("_x"))
+    cuts = rows.groupBy("_g").agg(F.percentile_approx("_x", [i / VALUE_BANDS for i in range(1, VALUE_BANDS)], 10_000).alias("_cuts"), F.count(F.lit(1)).alias("_size"))
+    t = rows.groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_n")).join(cuts, "_g")
+    t = t.withColumn("_band", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
+    bands = t.groupBy("_g", "_band").agg(F.sum("_n").alias("_b"))
+    earlier = Window.partitionBy("_g").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select("_g", "_band", F.coalesce(F.sum("_b").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_g", "_band").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    lo = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    t = t.join(bands, ["_g", "_band"]).withColumn("_lo", lo).withColumn("_hi", F.col("_lo") + F.col("_n") - 1)
+    return t.select(*(F.col(f"_g.{c}").alias(c) for c in by), F.col("_x").alias(value), F.col("_lo").alias("first_at"), F.col("_hi").alias("last_at"), F.col("_size").alias("size"))
+
+
+def quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Exact quantiles by name, interpolated between neighbours; nulls are left out."""
+    t, v = _positions(df, value, by or []), F.col(value).cast("double")
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((F.col("first_at") <= position) & (position <= F.col("last_at")), v))
+
+    def one(q: float) -> Column:
+        p = (F.col("size") - 1) * F.lit(float(q))
+        part = F.max(p - F.floor(p))
+        return at(F.floor(p)) + part * (at(F.ceil(p)) - at(F.floor(p)))
+
+    return t.groupBy(*(by or [])).agg(*(one(q).alias(n) for n, q in qs.items()))
+
+
 def upper_median(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """The value at position floor(n / 2) from 0, by group."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_r") == F.floor(F.col("_n") / 2)).select(*by, F.col(value).alias("upper_median"))
+    middle = F.floor(F.col("size") / 2)
+    return _positions(df, value, by).where((F.col("first_at") <= middle) & (middle <= F.col("last_at"))).select(*by, F.col(value).alias("upper_median"))
+
+
+def promotion(df: DataFrame, base: str, challenger: str, y: str, *, slope: float | None, cluster: str, position: str, segment: str, material: float = 0.005, position_worse: float = 0.010, segment_worse: float = 0.005, ece_worse: float = 0.010, replicates: int = 2000) -> DataFrame:
+    """One row: six gates that a challenger must pass, and whether it does.
+
+    slope is the challenger's calibration slope, of models.platt.
+    """
+    label = F.col(y)
+    worse = log_loss(F.col(challenger), label) - log_loss(F.col(base), label)
+    sets = df.groupingSets([[position], [segment], []], position, segment).agg(worse.alias("d"), F.grouping_id().alias("g"))
+    own = lambda g: F.when(F.col("g") == g, F.col("d"))
+    cuts = sets.agg(F.max(own(3)).alias("all"), F.max(own(1)).alias("position"), F.max(own(2)).alias("segment"), F.count_if((F.col("g") == 2) & (F.col("d") < 0)).alias("better"))
+    one = lambda c: F.when(label == 1, -F.log(clip(F.col(c)))).otherwise(-F.log(F.lit(1.0) - clip(F.col(c))))
+    reps = cluster_bootstrap(df, cluster, F.sum(one(challenger) - one(base)), F.count(F.lit(1)).cast("double"), replicates)
+    gaps = [ece(reliability(df, c, y, PLAYER_BINS)).select(F.col("ece").alias(n)) for c, n in ((base, "ece_base"), (challenger, "ece_new"))]
+    row = cuts.crossJoin(F.broadcast(interval(reps).select("hi"))).crossJoin(F.broadcast(gaps[0])).crossJoin(F.broadcast(gaps[1]))  # one row each
+    gates = {
+        "material_log_loss": F.col("all") <= -material, "bootstrap_below_zero": F.col("hi") < 0, "ece": F.col("ece_new") <= F.col("ece_base") + ece_worse,
+        "slope": F.lit(slope is not None and 0.8 <= slope <= 1.2), "position": F.col("position") <= position_worse, "chronology": (F.col("better") >= 2) & (F.col("segment") <= segment_worse),
+    }
+    every = F.lit(True)
+    for c in gates.values():
+        every = every & c
+    return row.select(*(c.alias(n) for n, c in gates.items()), every.alias("promoted"))
 
 
 def finite_mean(value: Column) -> Column:

@@ -38,6 +38,7 @@ def encode(numeric: list[str], categorical: list[str] = (), scale: bool = True)
 
 
 def with_flags(df: DataFrame, numeric: list[str], categorical: list[str] = ()) -> DataFrame:
+    """df with missing flags; numeric columns as doubles, categories without nulls."""
     out = df.withColumns({f"{c}__missing": F.col(c).isNull().cast("double") for c in numeric} | {c: F.col(c).cast("double") for c in numeric})
     return out.withColumns({c: F.coalesce(F.col(c), F.lit("Unknown")) for c in categorical}) if categorical else out
 
@@ -51,6 +52,10 @@ def forward(df: DataFrame, season: str, fit_upto: int, score: int) -> tuple[Data
 
 def _fit(df: DataFrame, numeric: list[str], categorical: list[str], estimator) -> PipelineModel:
     flagged = with_flags(df, numeric, categorical)
+    # a column without any value is kept as 0, as its flag tells
+    seen = flagged.agg(*(F.count(c).alias(c) for c in numeric)).head()
+    empty = [c for c in numeric if not seen[c]]
+    flagged = flagged.withColumns({c: F.lit(0.0) for c in empty}) if empty else flagged
     return Pipeline(stages=[encode(numeric, categorical), estimator]).fit(flagged)
 
 
@@ -100,7 +105,7 @@ def season_scores(df: DataFrame, season: str, seasons: list[int], fit, score) ->
 
 def platt(df: DataFrame, p: str, y: str) -> tuple[float, float]:
     """(intercept, slope) of the label on the logit."""
-    model = Pipeline(stages=[VectorAssembler(inputCols=["_l"], outputCol="_f"), LogisticRegression(labelCol=y, featuresCol="_f", regParam=0.0, standardization=False, maxIter=200)])
+    model = Pipeline(stages=[VectorAssembler(inputCols=["_l"], outputCol="_f"), LogisticRegression(labelCol=y, featuresCol="_f", regParam=0.0, standardization=False, maxIter=500, tol=1e-12)])
     lr = model.fit(df.withColumn("_l", dist.logit(F.col(p)))).stages[-1]
     return float(lr.intercept), float(lr.coefficients[0])
 

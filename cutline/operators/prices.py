@@ -74,3 +74,38 @@ def price_scan(quotes: DataFrame, keys: list[str], at: Column, *, min_books: int
 def pairs_decimal(quotes: DataFrame, keys: list[str]) -> DataFrame:
     """Two-sided decimal prices of the same book and line."""
     return joins.pair_sides(quotes.withColumn("_d", odds.american_to_decimal(F.col("price"))).where("_d IS NOT NULL"), keys, "side", "_d")
+
+
+def line_market(snapshots: DataFrame, players: DataFrame, *, name: str, player_id: str, min_books: int = 1) -> DataFrame:
+    """event, resolved_id, line, books, median_over, fair_over: nested quotes flattened, players matched by name, sides paired, books agreed.
+
+    Quotes of names that match no player, or several, are left out; they are in
+    joins.resolve's result for whoever asks.
+    """
+    from ..functions import text
+    from ..sources import quotes as src
+
+    flat = src.flatten(snapshots).withColumn("_d", odds.american_to_decimal(F.col("price"))).where("_d IS NOT NULL")
+    known = joins.resolve(flat, players, name="player", candidate_name=name, candidate_id=player_id, normalise=text.normalize_name).where("match_status = 'MATCHED'")
+    pairs = joins.pair_sides(known, ["event", "resolved_id", "book", "line"], "side", "_d")
+    fair = odds.two_sided_fair(F.col("over"), F.col("under"))["fair_over"]
+    out = pairs.groupBy("event", "resolved_id", "line").agg(F.count_distinct("book").alias("books"), F.median("over").alias("median_over"), F.avg(fair).alias("fair_over"))
+    return out.where(F.col("books") >= min_books)
+
+
+def prop_scan(consensus: DataFrame, means: DataFrame, keys: list[str], chances: Column, *, oldest: str, at: str, line: str = "line", min_books: int = 3, min_history: int = 4, stale_minutes: float = 15.0, aligned: float = 0.05) -> DataFrame:
+    """A two-sided consensus beside a model's chances, with EVs, difference and data-quality flags.
+
+    means has the keys, mean and n_history; chances is the struct of over, under and push
+    of mean and line.  The market counts only with enough books.
+    """
+    out = consensus.join(means, keys, "left").withColumn("_o", chances)
+    market = F.when(F.col("books") >= min_books, F.col("fair_over"))
+    out = out.withColumns({"p_over": F.col("_o.over"), "p_under": F.col("_o.under"), "p_push": F.col("_o.push"), "market_over": market}).drop("_o")
+    out = out.withColumn("difference", F.col("p_over") - F.col("market_over"))
+    gap = F.col("difference")
+    flags = odds.status_flags({
+        "INSUFFICIENT_MARKET": F.col("books") < min_books, "STALE": (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col(oldest).cast("timestamp"))) / 60e6 > stale_minutes,
+        "LOW_HISTORY": F.coalesce("n_history", F.lit(0)) < min_history, "MARKET_ALIGNED": F.abs(gap) < aligned, "LEANS_OVER": gap >= aligned, "LEANS_UNDER": gap <= -aligned,
+    })
+    return out.withColumns({"ev_over": odds.expected_value(F.col("p_over"), F.col("best_over")), "ev_under": odds.expected_value(F.col("p_under"), F.col("best_under")), "flags": flags})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dist, text
+from ..functions import dist
 from ..operators import joins, lag
 from . import views as v
 from .registry import big, query, r6
@@ -157,9 +157,46 @@ def first_n_per_group(spark: SparkSession, d: str) -> DataFrame:
 
 @query(v.sql("""SELECT entity, string_agg(game_id::VARCHAR, ';' ORDER BY kickoff, game_id) tail, bool_or(status = 'F') has_final FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY kickoff DESC, game_id DESC) rn FROM v_game) WHERE rn <= 3 GROUP BY 1"""))
 def actual_history_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """The last three ids of each customer as a delimited list, by list functions over the whole history."""
-    all_ids = F.array_sort(F.collect_list(F.struct("kickoff", "game_id", "status")))
-    h = v.games(spark, d).groupBy("entity").agg(all_ids.alias("h"))
-    joined = F.array_join(F.transform("h", lambda x: x["game_id"].cast("string")), ";")
-    last = F.slice("h", F.greatest(F.size("h") - 2, F.lit(1)), F.lit(3))
-    return h.select("entity", F.array_join(text.list_tail(joined, 3), ";").alias("tail"), F.exists(last, lambda x: x["status"] == "F").alias("has_final"))
+    """The last three ids of each customer as a delimited list; only those three are collected."""
+    w = Window.partitionBy("entity").orderBy(F.desc("kickoff"), F.desc("game_id"))
+    last = v.games(spark, d).select("entity", "kickoff", "game_id", "status").withColumn("rn", F.row_number().over(w)).where("rn <= 3")
+    h = last.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("kickoff", "game_id", "status"))).alias("h"))
+    ids = F.transform("h", lambda x: x["game_id"].cast("string"))
+    return h.select("entity", F.array_join(ids, ";").alias("tail"), F.exists("h", lambda x: x["status"] == "F").alias("has_final"))
+
+
+#: Histories whose results come in out of order: every seventh one only after sixty days.
+_LATE = """SELECT *, kickoff + CASE WHEN game_id % 7 = 0 THEN INTERVAL 60 DAY ELSE INTERVAL 1 DAY END late FROM v_player_game"""
+_LATE_HIST = """SELECT t.game_id, h.game_id h_id, h.metric, h.td_value, h.all_value, row_number() OVER (PARTITION BY t.game_id ORDER BY h.kickoff DESC, h.game_id DESC) rn
+    FROM lg t JOIN lg h ON h.entity = t.entity AND h.kickoff < t.prediction_time AND h.late < t.prediction_time AND h.game_id <> t.game_id"""
+
+
+def _late_games(spark: SparkSession, d: str) -> DataFrame:
+    late = F.when(F.col("game_id") % 7 == 0, F.expr("INTERVAL 60 DAYS")).otherwise(F.expr("INTERVAL 1 DAY"))
+    return v.player_games(spark, d).withColumn("available_at", F.col("kickoff") + late)
+
+
+@query(v.sql("""SELECT g.game_id, coalesce(n, 0)::BIGINT n_history, round(m3, 6) last3_metric, round(s5, 6) last5_sum, round(e, 6) ewma_metric, round(es, 6) ewma_share, ids source_ids FROM v_game g LEFT JOIN (SELECT game_id, count(*) n, avg(metric) FILTER (rn <= 3) m3, sum(metric) FILTER (rn <= 5) s5,
+    sum(metric * pow(0.5::DOUBLE, (rn - 1) / 3.0::DOUBLE)) / sum(pow(0.5::DOUBLE, (rn - 1) / 3.0::DOUBLE)) e, sum(td_value * pow(0.5::DOUBLE, (rn - 1) / 3.0::DOUBLE)) / nullif(sum(all_value * pow(0.5::DOUBLE, (rn - 1) / 3.0::DOUBLE)), 0) es,
+    string_agg(h_id::VARCHAR, ';' ORDER BY rn DESC) FILTER (rn <= 5) ids FROM lh GROUP BY 1) USING (game_id)""", ("lg", _LATE), ("lh", _LATE_HIST)))
+def lag_features_irregular(spark: SparkSession, d: str) -> DataFrame:
+    """Means, sums, weighted means and shares, and lineage, of histories that were not yet complete at the cutoff."""
+    h, t = _late_games(spark, d), _targets(spark, d)
+    a = lag.prefix_features(h, t, ["entity"], metrics=["metric"], windows={"last3": 3, "last5": 5}, sums=True, lineage=5).select("game_id", "n_history", "last3_metric", "last5_sum_metric", "ewma_metric", "source_ids")
+    b = lag.prefix_features(h, t, ["entity"], shares={"share": ("td_value", "all_value")}, windows={}, null_policy="skip").select("game_id", "ewma_share")
+    return joins.beside(a, b, ["game_id"]).select("game_id", "n_history", r6("last3_metric"), r6("last5_sum_metric", "last5_sum"), r6("ewma_metric"), r6("ewma_share"), "source_ids")
+
+
+@query(v.sql("""SELECT game_id, count(*) n_seen, max(h_id) latest_id, round(sum(metric), 6) total FROM lh GROUP BY 1""", ("lg", _LATE), ("lh", _LATE_HIST)))
+def history_range_join(spark: SparkSession, d: str) -> DataFrame:
+    """The general range join: every row that a target may see, whatever the order of availability."""
+    pairs = joins.history_join(_late_games(spark, d).select("entity", "game_id", "kickoff", "available_at", "metric"), _targets(spark, d), ["entity"], time="kickoff", available_at="available_at", cutoff="prediction_time", history_id="game_id", target_id="game_id")
+    return pairs.groupBy("game_id").agg(F.count(F.lit(1)).alias("n_seen"), F.max("h_game_id").alias("latest_id"), r6(F.sum("h_metric"), "total"))
+
+
+@query(v.sql("""SELECT g.game_id, g.grp, round(r.m5, 6) carry_mean, round(r.s5, 6) value_sum, round(r.q5, 6) value_rate FROM v_game g LEFT JOIN (SELECT h.game_id, avg(carries) FILTER (rn <= 5) m5, sum(all_value) FILTER (rn <= 5) s5, CASE WHEN sum(n_plays) FILTER (rn <= 5) > 0 THEN sum(all_value) FILTER (rn <= 5) / sum(n_plays) FILTER (rn <= 5) END q5
+    FROM (SELECT t.game_id, h.carries, h.all_value, h.n_plays, row_number() OVER (PARTITION BY t.game_id ORDER BY h.kickoff DESC, h.game_id DESC) rn FROM v_game t JOIN v_player_game h ON h.entity = t.entity AND h.kickoff < t.prediction_time AND h.available_at < t.prediction_time AND h.game_id <> t.game_id) h GROUP BY 1) r USING (game_id)"""))
+def lag_sums_and_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Null-skipping means, sums, and rates as ratios of sums over the window."""
+    out = lag.prefix_features(v.player_games(spark, d), _targets(spark, d), ["entity"], metrics=["carries", "all_value"], shares={"rate": ("all_value", "n_plays")}, windows={"last5": 5}, null_policy="skip", sums=True, with_ewma=False)
+    return out.select("game_id", "grp", r6("last5_carries", "carry_mean"), r6("last5_sum_all_value", "value_sum"), r6("last5_rate", "value_rate"))

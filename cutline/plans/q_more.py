@@ -19,7 +19,7 @@ from .registry import big, query, r6
 def inactive_flags(spark: SparkSession, d: str) -> DataFrame:
     """Whether a player was listed out at the cutoff, and at kickoff."""
     e = v.table(spark, d, "events").where("event_type = 'error'").select(F.to_date(F.date_trunc("week", "ts")).alias("event"), F.col("user_id").alias("player"), "ts")
-    w = v.wagers(spark, d).select("event", "player").join(F.broadcast(v.cutoffs(spark, d)), "event")
+    w = v.wagers(spark, d).select("event", "player").join(v.cutoffs(spark, d), "event")
     w = joins.status_at(w, e, ["event", "player"], at="cutoff", known_at="ts", flag="at_cutoff")
     return joins.status_at(w, e, ["event", "player"], at="kickoff", known_at="ts", flag="at_kickoff").select("event", "player", "at_cutoff", "at_kickoff")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dist, odds, text, timing
-from ..operators import joins, prices
+from ..operators import joins, lag, prices
 from ..sources import quotes as src
 from ..sources import sinks
 from . import views as v
@@ -34,13 +34,13 @@ def quote_cutoff(spark: SparkSession, d: str) -> DataFrame:
 
 @query(v.sql("SELECT count(*) FILTER (quote_time > cutoff) late_quotes, count(*) FILTER (snapshot_time > cutoff) late_snapshots, count(*) n FROM v_quotes JOIN v_cutoff USING (event)"))
 def late_quote_audit(spark: SparkSession, d: str) -> DataFrame:
-    q = v.quotes(spark, d).join(F.broadcast(v.cutoffs(spark, d)), "event")
+    q = v.quotes(spark, d).join(v.cutoffs(spark, d), "event")
     return q.agg(F.count_if(F.col("quote_time") > F.col("cutoff")).alias("late_quotes"), F.count_if(F.col("snapshot_time") > F.col("cutoff")).alias("late_snapshots"), F.count(F.lit(1)).alias("n"))
 
 
 @query(v.sql("SELECT event_id, coalesce(snapshot_time <= cutoff, false) in_time, round(date_diff('microsecond', quote_time, cutoff) / 1e6, 6) age_seconds FROM v_quotes JOIN v_cutoff USING (event)"))
 def issue_gate_and_age(spark: SparkSession, d: str) -> DataFrame:
-    q = v.quotes(spark, d).join(F.broadcast(v.cutoffs(spark, d)), "event")
+    q = v.quotes(spark, d).join(v.cutoffs(spark, d), "event")
     return q.select("event_id", timing.issued_in_time(F.col("snapshot_time"), F.col("cutoff")).alias("in_time"), r6(timing.seconds_between(F.col("quote_time"), F.col("cutoff")), "age_seconds"))
 
 
@@ -101,19 +101,27 @@ def cross_book_scan(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event", "player", r6("best_decimal"), r6("median_decimal"), "books", r6("gap"), "flags")
 
 
-_LAST = "SELECT player, arg_max(quote_time, (quote_time, event_id)) t, avg(ln(1 + abs(price))) m FROM v_eligible GROUP BY 1"
+#: Each player's history as it was frozen when a week began.
+_FROZEN = """SELECT event, player, sum(x * pow(0.5::DOUBLE, r / 3.0::DOUBLE)) / sum(pow(0.5::DOUBLE, r / 3.0::DOUBLE)) m, count(*) n_history FROM (SELECT c.event, q.player, ln(1 + abs(price)) x, row_number() OVER (PARTITION BY c.event, q.player ORDER BY quote_time DESC, event_id DESC) - 1 r
+    FROM v_quotes q JOIN v_cutoff c ON q.quote_time < c.event::TIMESTAMP) GROUP BY 1, 2"""
+_LINES = """SELECT event, player, line, count(DISTINCT book) books, avg((1 / over_) / (1 / over_ + 1 / under_)) fair, max(over_) best_over, max(under_) best_under FROM p GROUP BY 1, 2, 3"""
 
 
-@query(v.sql("""SELECT c.event, c.player, c.line, round(m, 6) model_mean, round(1 - u, 6) p_over, round((1 - u) * best_over - 1, 6) ev, round((1 - u) - fair, 6) edge FROM (SELECT event, player, line, avg((1 / over_) / (1 / over_ + 1 / under_)) fair, max(over_) best_over FROM p GROUP BY 1, 2, 3) c
-    JOIN l USING (player), LATERAL (SELECT sum(exp(-m) * pow(m, k) / exp(lgamma(k + 1))) u FROM range(0, 6) t(k) WHERE k < line) z""", ("p", _PAIRS), ("l", _LAST)))
+@query(v.sql("""SELECT *, coalesce(nullif(concat_ws('|', CASE WHEN books < 3 THEN 'INSUFFICIENT_MARKET' END, CASE WHEN age > 15 THEN 'STALE' END, CASE WHEN n_history < 4 THEN 'LOW_HISTORY' END, CASE WHEN abs(difference) < 0.05 THEN 'MARKET_ALIGNED' END, CASE WHEN difference >= 0.05 THEN 'LEANS_OVER' END, CASE WHEN difference <= -0.05 THEN 'LEANS_UNDER' END), ''), 'OK') flags FROM
+    (SELECT c.event, c.player, c.line, books, coalesce(n_history, 0)::BIGINT n_history, round(m, 6) model_mean, round(1 - u, 6) p_over, round((1 - u) * best_over - 1, 6) ev_over, round(u * best_under - 1, 6) ev_under, round(CASE WHEN books >= 3 THEN 1 - u - fair END, 6) difference, round(date_diff('microsecond', oldest, cutoff) / 60e6, 6) age
+    FROM c JOIN (SELECT event, player, line, min(quote_time) oldest FROM v_eligible GROUP BY 1, 2, 3) o USING (event, player, line) JOIN v_cutoff USING (event) LEFT JOIN f USING (event, player) LEFT JOIN LATERAL (SELECT sum(exp(k * ln(m) - m - lgamma(k + 1))) u FROM range(0, 6) t(k) WHERE k < line) z ON true)""", ("p", _PAIRS), ("c", _LINES), ("f", _FROZEN)))
 def prop_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Two-sided consensus against a count model's chance of going over the line."""
+    """Two-sided consensus against a count model of each player's history as it was frozen before the week."""
     q = v.eligible_quotes(spark, d)
     pairs = prices.fair_consensus(prices.pairs_decimal(q, [*KEYS, "book", "line"]), [*KEYS, "line"])
-    mean = q.groupBy("player").agg(F.avg(F.log1p(F.abs("price"))).alias("m"))
-    o = dist.over_under_push(dist.pmf(F.col("m"), F.lit(0.0), 40), F.col("line"))
-    out = pairs.join(mean, "player").withColumn("p_over", o["over"])
-    return out.select(*KEYS, "line", r6("m", "model_mean"), r6("p_over"), r6(odds.expected_value(F.col("p_over"), F.col("best_over")), "ev"), r6(F.col("p_over") - F.col("fair_over"), "edge"))
+    oldest = q.groupBy(*KEYS, "line").agg(F.min("quote_time").alias("oldest"), F.max("cutoff").alias("cutoff"))
+    past = v.quotes(spark, d).select("player", F.log1p(F.abs("price")).alias("x"), "quote_time", "event_id")
+    targets = pairs.select(*KEYS).distinct().withColumn("begins", F.col("event").cast("timestamp_ntz"))
+    means = lag.prefix_features(past, targets, ["player"], time="quote_time", available_at="quote_time", cutoff="begins", row_id="event_id", metrics=["x"], windows={}, null_policy="skip")
+    means = means.select(*KEYS, F.col("ewma_x").alias("mean"), "n_history")
+    out = prices.prop_scan(pairs.join(oldest, [*KEYS, "line"]), means, KEYS, dist.line_chances(F.col("mean"), F.lit(0.0), F.col("line")), oldest="oldest", at="cutoff")
+    age = timing.seconds_between(F.col("oldest"), F.col("cutoff")) / 60
+    return out.select(*KEYS, "line", "books", big(F.coalesce("n_history", F.lit(0)), "n_history"), r6("mean", "model_mean"), r6("p_over"), r6("ev_over"), r6("ev_under"), r6("difference"), r6(age, "age"), "flags")
 
 
 @query(v.sql("""SELECT event, book, side, count(*) quotes, count(DISTINCT player) players, round(median("decimal"), 6) median_decimal FROM v_per_book GROUP BY 1, 2, 3"""))
@@ -148,12 +156,11 @@ def asof_strict(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.coalesce("last_type", F.lit("Unknown")).alias("last_type"))
 
 
-@query(v.sql("""SELECT c.event, p.player, x.event_id::DOUBLE event_id, x.price::DOUBLE price FROM v_cutoff c CROSS JOIN (SELECT DISTINCT player FROM v_quotes) p LEFT JOIN LATERAL (SELECT event_id, price FROM v_quotes q WHERE q.player = p.player AND q.quote_time <= c.cutoff ORDER BY quote_time DESC, event_id DESC LIMIT 1) x ON true"""))
+@query(v.sql("""SELECT c.event, p.player, x.event_id::DOUBLE event_id, x.price::DOUBLE price FROM v_cutoff c JOIN (SELECT DISTINCT event, player FROM v_quotes) p ON p.event = c.event LEFT JOIN LATERAL (SELECT event_id, price FROM v_quotes q WHERE q.player = p.player AND q.quote_time <= c.cutoff ORDER BY quote_time DESC, event_id DESC LIMIT 1) x ON true"""))
 def asof_inclusive(spark: SparkSession, d: str) -> DataFrame:
-    """The latest quote of each player at each cutoff, whatever week it is from."""
+    """The latest quote of each week's players at its cutoff, whatever week it is from."""
     q = v.quotes(spark, d)
-    # Players times the few weekly cutoffs: a dimension by a dimension.
-    left = q.select("player").distinct().join(F.broadcast(v.cutoffs(spark, d).select("event", "cutoff")))
+    left = q.select("event", "player").distinct().join(v.cutoffs(spark, d).select("event", "cutoff"), "event")
     right = q.select("player", "quote_time", "event_id", "price")
     out = joins.asof_join(left, right, ["player"], left_time="cutoff", right_time="quote_time", values=["event_id", "price"], order=["event_id"])
     return out.select("event", "player", F.col("event_id").cast("double").alias("event_id"), F.col("price").cast("double").alias("price"))

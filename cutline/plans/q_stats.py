@@ -40,14 +40,43 @@ def count_distribution(spark: SparkSession, d: str) -> DataFrame:
 @query(v.sql("""SELECT event_id, round(1 - u - p, 6) over_, round(u, 6) under_, round(p, 6) push FROM a, LATERAL (SELECT coalesce(sum(q) FILTER (k < l), 0) u, coalesce(sum(q) FILTER (k = l), 0) p FROM (SELECT k, floor(line) l, exp(-m) * pow(m, k) / exp(lgamma(k + 1)) q FROM range(0, 8) t(k)) GROUP BY l) z""", ("a", _MEAN)))
 def over_under_push(spark: SparkSession, d: str) -> DataFrame:
     """Chances around an integer line."""
-    o = dist.over_under_push(dist.pmf(F.col("m"), F.lit(0.0), 40), F.floor("line").cast("double"))
-    return _means(spark, d).select("event_id", r6(o["over"], "over_"), r6(o["under"], "under_"), r6(o["push"], "push"))
+    x = _means(spark, d).withColumn("o", dist.line_chances(F.col("m"), F.lit(0.0), F.floor("line").cast("double")))
+    return x.select("event_id", r6("o.over", "over_"), r6("o.under", "under_"), r6("o.push", "push"))
 
 
 @query(v.sql("""SELECT event_id, round(u, 6) under_ FROM a, LATERAL (SELECT sum(exp(lgamma(k + r) - lgamma(r) - lgamma(k + 1) + r * ln(r / (r + m)) + k * ln(m / (r + m)))) u FROM (SELECT k, 1 / 0.9206 r FROM range(0, 7) t(k) WHERE k < line)) z WHERE m > 0""", ("a", _MEAN)))
 def nb_distribution(spark: SparkSession, d: str) -> DataFrame:
-    o = dist.over_under_push(dist.pmf(F.col("m"), F.lit(0.9206), 60), F.col("line"))
-    return _means(spark, d).where("m > 0").select("event_id", r6(o["under"], "under_"))
+    x = _means(spark, d).where("m > 0").withColumn("o", dist.line_chances(F.col("m"), F.lit(0.9206), F.col("line")))
+    return x.select("event_id", r6("o.under", "under_"))
+
+
+_FAR = """SELECT event_id, 40 + event_id % 40 m, 55.5 + event_id % 31 - (event_id % 2) * 0.5 line FROM events"""
+
+
+@query(v.sql("""SELECT event_id, round(1 - u - p, 6) poisson_over, round(p, 6) poisson_push, round(1 - nu - np, 6) nb_over, round(np, 6) nb_push FROM a JOIN (SELECT m, line, sum(q) FILTER (k < line) u, coalesce(sum(q) FILTER (k = line), 0) p, sum(nq) FILTER (k < line) nu, coalesce(sum(nq) FILTER (k = line), 0) np
+    FROM (SELECT m, line, k, exp(k * ln(m) - m - lgamma(k + 1)) q, exp(lgamma(k + r) - lgamma(r) - lgamma(k + 1) + r * ln(r / (r + m)) + k * ln(m / (r + m))) nq FROM (SELECT DISTINCT m, line, 1 / 0.3::DOUBLE r FROM a), range(0, 100) t(k)) GROUP BY 1, 2) USING (m, line)""", ("a", _FAR)))
+def far_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Means of forty and more against lines up to eighty-six, some of them integers."""
+    e = v.table(spark, d, "events").select("event_id", (F.col("event_id") % 40 + 40).cast("double").alias("m"), (F.lit(55.5) + F.col("event_id") % 31 - (F.col("event_id") % 2) * 0.5).alias("line"))
+    e = e.withColumns({"a": dist.line_chances(F.col("m"), F.lit(0.0), F.col("line")), "b": dist.line_chances(F.col("m"), F.lit(0.3), F.col("line"))})
+    return e.select("event_id", r6("a.over", "poisson_over"), r6("a.push", "poisson_push"), r6("b.over", "nb_over"), r6("b.push", "nb_push"))
+
+
+@query(v.sql("""SELECT entity, season::BIGINT season, round(sum(mass) FILTER (greatest(0, round_even(mu + r, 0)) > floor(mu)), 6) over_, round(coalesce(sum(mass) FILTER (greatest(0, round_even(mu + r, 0)) = floor(mu)), 0), 6) push FROM (SELECT * FROM c WHERE mu IS NOT NULL),
+    (SELECT r, count(*) * 1.0::DOUBLE / sum(count(*)) OVER () mass FROM (SELECT floor((y - mu) / 0.25::DOUBLE) * 0.25::DOUBLE r FROM c WHERE mu IS NOT NULL) GROUP BY 1) h GROUP BY 1, 2""", ("c", _COUNTS)))
+def residual_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The residual method behind the same interface: every mean with the residuals of all rows."""
+    c = _counts(spark, d).withColumn("y", F.col("y").cast("double"))
+    x = c.join(F.broadcast(dist.residual_histogram(c, "y", "mu")))  # one row of at most 801 bins
+    x = x.withColumn("o", dist.residual_chances(F.col("residuals"), F.col("mu"), F.floor("mu").cast("double")))
+    return x.select("entity", big("season"), r6("o.over", "over_"), r6("o.push", "push"))
+
+
+@query(v.sql("SELECT event_id, round(ln(x / (1 - x)), 6) logit, round(1 / (1 + exp(-ln(x / (1 - x)))), 6) back FROM (SELECT event_id, least(1 - 1e-6, greatest(1e-6, (event_id % 101) / 100.0::DOUBLE)) x FROM events)"))
+def logit_sigmoid(spark: SparkSession, d: str) -> DataFrame:
+    """Logits of clipped probabilities, 0 and 1 among them, and back."""
+    e = v.table(spark, d, "events").withColumn("l", dist.logit((F.col("event_id") % 101) / 100.0))
+    return e.select("event_id", r6("l", "logit"), r6(dist.sigmoid(F.col("l")), "back"))
 
 
 @query(v.sql("SELECT residual::BIGINT residual, count(*) n, round(count(*) * 1.0::DOUBLE / sum(count(*)) OVER (), 6) mass FROM (SELECT y - floor(mu) residual FROM c WHERE mu IS NOT NULL) GROUP BY 1", ("c", _COUNTS)))
@@ -71,10 +100,10 @@ def dispersion(spark: SparkSession, d: str) -> DataFrame:
 _LCG = "(((x * 48271 + 11) % 2147483647 * 48271 + 11) % 2147483647 * 48271 + 11) % 2147483647"
 
 
-@query(v.sql(f"""SELECT count(*) replicates, round(quantile_cont(stat, 0.025), 6) lo, round(quantile_cont(stat, 0.975), 6) hi FROM (SELECT r, sum(num) / sum(den) stat FROM (SELECT r, {_LCG} % n AS "at" FROM (SELECT r, n, (r * 1000003 + k * 7919 + 1729) % 2147483647 x FROM (SELECT count(*) n FROM k), range(0, 500) a(r), range(0, (SELECT count(*) FROM k)) b(k))) JOIN k USING ("at") GROUP BY 1)""",
+@query(v.sql(f"""SELECT count(*) replicates, round(quantile_cont(stat, 0.025), 6) lo, round(quantile_cont(stat, 0.975), 6) hi FROM (SELECT r, sum(num) / sum(den) stat FROM (SELECT r, {_LCG} % n AS "at" FROM (SELECT r, n, (r * 1000003 + k * 7919 + 1729) % 2147483647 x FROM (SELECT count(*) n FROM k), range(0, 2000) a(r), range(0, (SELECT count(*) FROM k)) b(k))) JOIN k USING ("at") GROUP BY 1)""",
     ("k", """SELECT row_number() OVER (ORDER BY "cluster") - 1 AS "at", sum(p - y) num, count(*) * 1.0::DOUBLE den FROM v_scored GROUP BY "cluster" """)))
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    reps = m.cluster_bootstrap(v.scored(spark, d), "cluster", F.sum(F.col("p") - F.col("y")), F.count(F.lit(1)).cast("double"), replicates=500)
+    reps = m.cluster_bootstrap(v.scored(spark, d), "cluster", F.sum(F.col("p") - F.col("y")), F.count(F.lit(1)).cast("double"))
     return m.interval(reps).select("replicates", r6("lo"), r6("hi"))
 
 
@@ -108,6 +137,21 @@ def reliability_table(spark: SparkSession, d: str) -> DataFrame:
     return m.reliability(v.scored(spark, d), "p", "y", m.PLAYER_BINS).select(big("bin"), "lo", "hi", "n", r6("mean_p"), r6("mean_y"))
 
 
+_SETS = " UNION ALL ".join(f"SELECT '{name}' name, count(*) n, sum(x) s FROM (SELECT {col} x FROM v_scored) WHERE x >= {lo} AND (x < {hi} OR {'true' if i == len(e) - 2 else 'false'} AND x <= {hi})" + f" /* {i} */"
+    for name, col, e in (("play", "p2", m.PLAY_BINS), ("player", "p2", m.PLAYER_BINS), ("line", "p2", m.LINE_BINS), ("count", "ln(1 + \"value\")", [-1e300, *m.COUNT_BINS[1:-1], 1e300])) for i, (lo, hi) in enumerate(zip(e[:-1], e[1:], strict=True)))
+
+
+@query(v.sql(f"SELECT name, count(*) bins, count(*) FILTER (n = 0) empty_bins, sum(n)::BIGINT n, max(n) largest FROM ({_SETS}) GROUP BY 1"))
+def bin_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The four bin sets over one table, empty bins kept."""
+    s = v.scored(spark, d).withColumn("mu", F.log1p("value"))
+    out = None
+    for name, col, edges in (("play", "p2", m.PLAY_BINS), ("player", "p2", m.PLAYER_BINS), ("line", "p2", m.LINE_BINS), ("count", "mu", m.COUNT_BINS)):
+        t = m.reliability(s, col, "y", edges).agg(F.count(F.lit(1)).alias("bins"), F.count_if(F.col("n") == 0).alias("empty_bins"), F.sum("n").alias("n"), F.max("n").alias("largest")).withColumn("name", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 @query(v.sql("SELECT round(sum(n * abs(mp - my)) / sum(n), 6) ece, round(max(abs(mp - my)), 6) max_gap FROM r", ("r", _REL)))
 def ece(spark: SparkSession, d: str) -> DataFrame:
     return m.ece(m.reliability(v.scored(spark, d), "p", "y", m.PLAYER_BINS)).select(r6("ece"), r6("max_gap"))
@@ -139,13 +183,35 @@ def segment_deltas(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("seg").cast("double").alias("seg"), "n", r6("log_loss_delta"), r6("brier_delta"))
 
 
-@query(v.sql(f"""SELECT dl <= -0.005 log_loss_gate, worst <= 0.010 segment_gate, db <= 0 brier_gate, dl <= -0.005 AND worst <= 0.010 AND db <= 0 promoted FROM (SELECT max(b - a) FILTER (seg IS NULL) dl, max(b - a) FILTER (seg IS NOT NULL) worst, max(bb - ba) FILTER (seg IS NULL) db FROM
-    (SELECT seg, {_LL.format('p')} a, {_LL.format('p2')} b, {_BR.format('p')} ba, {_BR.format('p2')} bb FROM v_scored GROUP BY GROUPING SETS ((seg), ())))"""))
+_ONE = "CASE WHEN y = 1 THEN -ln(least(1 - 1e-6, greatest(1e-6, {0}))) ELSE -ln(1 - least(1 - 1e-6, greatest(1e-6, {0}))) END"
+_PART = """CASE WHEN month("at") <> 1 OR day("at") > 21 THEN 'late' WHEN day("at") <= 10 THEN 'early' ELSE 'middle' END"""
+#: Newton steps of a label on the logit of a score: intercept a and slope b.
+PLATT = """RECURSIVE {name} AS (SELECT 0 i, 0.0::DOUBLE a, 1.0::DOUBLE b UNION ALL SELECT i + 1, a + (s2 * g0 - s1 * g1) / (s0 * s2 - s1 * s1), b + (s0 * g1 - s1 * g0) / (s0 * s2 - s1 * s1) FROM
+    (SELECT i, a, b, sum(q * (1 - q)) s0, sum(q * (1 - q) * l) s1, sum(q * (1 - q) * l * l) s2, sum(y - q) g0, sum((y - q) * l) g1 FROM (SELECT i, a, b, l, y, 1 / (1 + exp(-(a + b * l))) q FROM {name}, (SELECT y, ln(least(1 - 1e-6, greatest(1e-6, {p})) / (1 - least(1 - 1e-6, greatest(1e-6, {p})))) l FROM {rows})) GROUP BY 1, 2, 3) WHERE i < 25)"""
+
+
+def platt_sql(name: str, p: str, rows: str, body: str, *more: tuple[str, str]) -> str:
+    """body with the fitted steps of a score under a name, in front of the views it needs."""
+    text = v.sql(body + f" /* {rows} */", *more)
+    return text.replace("WITH ", "WITH RECURSIVE ", 1).replace(") " + body, "), " + PLATT.format(name=name, p=p, rows=rows).removeprefix("RECURSIVE ") + " " + body, 1)
+
+
+def _ece_sql(p: str) -> str:
+    return f"(SELECT sum(n * abs(mp - my)) / sum(n) FROM (SELECT count({p}) n, avg({p}) mp, avg(y) my FROM (VALUES {_BINS}) b(bin, lo, hi, last) LEFT JOIN v_scored ON {p} >= lo AND ({p} < hi OR last AND {p} <= hi) GROUP BY bin))"
+
+
+@query(platt_sql("fit", "p2", "v_scored", f"""SELECT *, material_log_loss AND bootstrap_below_zero AND ece AND slope AND "position" AND chronology promoted FROM (SELECT dl <= -0.005 material_log_loss, (SELECT quantile_cont(stat, 0.975) FROM reps) < 0 bootstrap_below_zero, {_ece_sql("p2")} <= {_ece_sql("p")} + 0.010 ece,
+    (SELECT b BETWEEN 0.8 AND 1.2 FROM fit WHERE i = 25) slope, worst_position <= 0.010 AS "position", better >= 2 AND worst_segment <= 0.005 chronology FROM
+    (SELECT max(x) FILTER (g = 3) dl, max(x) FILTER (g = 1) worst_position, max(x) FILTER (g = 2) worst_segment, count(*) FILTER (g = 2 AND x < 0) better FROM (SELECT avg({_ONE.format("p2")}) - avg({_ONE.format("p")}) x, grouping(seg, part) g FROM (SELECT *, {_PART} part FROM v_scored) GROUP BY GROUPING SETS ((seg), (part), ()))))""",
+    ("k", f"""SELECT row_number() OVER (ORDER BY "cluster") - 1 AS "at", sum({_ONE.format("p2")} - {_ONE.format("p")}) num, count(*) * 1.0::DOUBLE den FROM v_scored GROUP BY "cluster" """),
+    ("reps", f"""SELECT r, sum(num) / sum(den) stat FROM (SELECT r, {_LCG} % n AS "at" FROM (SELECT r, n, (r * 1000003 + k * 7919 + 1729) % 2147483647 x FROM (SELECT count(*) n FROM k), range(0, 2000) a(r), range(0, (SELECT count(*) FROM k)) b(k))) JOIN k USING ("at") GROUP BY 1""")))
 def promotion_gates(spark: SparkSession, d: str) -> DataFrame:
-    s = segment_deltas(spark, d)
-    one = s.agg(F.max(F.when(F.col("seg").isNull(), F.col("log_loss_delta"))).alias("dl"), F.max(F.when(F.col("seg").isNotNull(), F.col("log_loss_delta"))).alias("worst"), F.max(F.when(F.col("seg").isNull(), F.col("brier_delta"))).alias("db"))
-    a, b, c = F.col("dl") <= -0.005, F.col("worst") <= 0.010, F.col("db") <= 0
-    return one.select(a.alias("log_loss_gate"), b.alias("segment_gate"), c.alias("brier_gate"), (a & b & c).alias("promoted"))
+    """Six gates: material gain, bootstrap, calibration error, slope, positions and chronology."""
+    from ..operators import models
+
+    day, month = F.dayofmonth("at"), F.month("at")
+    s = v.scored(spark, d).withColumn("part", F.when((month != 1) | (day > 21), "late").when(day <= 10, "early").otherwise("middle"))
+    return m.promotion(s, "p", "p2", "y", slope=models.platt(s, "p2", "y")[1], cluster="cluster", position="seg", segment="part")
 
 
 @query(v.sql(f"""SELECT arg_min(name, (ll, br, name)) selected FROM (SELECT 'base' name, {_LL.format('p')} ll, {_BR.format('p')} br FROM v_scored UNION ALL SELECT 'challenger', {_LL.format('p2')}, {_BR.format('p2')} FROM v_scored)"""))
@@ -158,8 +224,7 @@ def method_argmin(spark: SparkSession, d: str) -> DataFrame:
 @query(v.sql("""SELECT hit::BIGINT hit, count(*) n, round(avg(over_), 6) mean_over FROM (SELECT (y > floor(mu))::INT hit, 1 - (SELECT sum(exp(-mu) * pow(mu, k) / exp(lgamma(k + 1))) FROM range(0, 40) t(k) WHERE k <= floor(mu)) over_ FROM c WHERE mu IS NOT NULL) GROUP BY 1""", ("c", _COUNTS)))
 def line_proxy_calibration(spark: SparkSession, d: str) -> DataFrame:
     """Chance of exceeding floor(mean) against how often it happens."""
-    o = dist.over_under_push(dist.pmf(F.col("mu"), F.lit(0.0), 60), F.floor("mu").cast("double"))
-    c = _counts(spark, d).withColumn("o", o["over"]).withColumn("hit", (F.col("y") > F.floor("mu")).cast("long"))
+    c = _counts(spark, d).withColumn("o", dist.line_chances(F.col("mu"), F.lit(0.0), F.floor("mu").cast("double"))["over"]).withColumn("hit", (F.col("y") > F.floor("mu")).cast("long"))
     return c.groupBy("hit").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("o"), "mean_over"))
 
 
@@ -177,4 +242,5 @@ def quote_age_summary(spark: SparkSession, d: str) -> DataFrame:
     from ..functions import timing
 
     q = v.eligible_quotes(spark, d).withColumn("age", timing.seconds_between(F.col("quote_time"), F.col("cutoff")))
-    return q.agg(F.count(F.lit(1)).alias("n"), r6(F.median("age"), "median_age"), r6(F.percentile("age", F.lit(0.9)), "p90_age"), r6(F.max("age"), "max_age"))
+    at = m.quantiles(q, "age", {"median_age": 0.5, "p90_age": 0.9}).select(r6("median_age"), r6("p90_age"))
+    return q.agg(F.count(F.lit(1)).alias("n"), r6(F.max("age"), "max_age")).join(F.broadcast(at))  # one row each

@@ -61,14 +61,14 @@ def cutoffs(spark: SparkSession, d: str) -> DataFrame:
 def eligible_quotes(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import prices
 
-    return prices.eligible(quotes(spark, d), F.broadcast(cutoffs(spark, d)), ["event"], times=["quote_time", "snapshot_time"])
+    return prices.eligible(quotes(spark, d), cutoffs(spark, d), ["event"], times=["quote_time", "snapshot_time"])
 
 
 def closes(spark: SparkSession, d: str) -> DataFrame:
     """The last quote of each book at or before kickoff."""
     from ..operators import prices
 
-    q = prices.eligible(quotes(spark, d), F.broadcast(cutoffs(spark, d)), ["event"], times=["quote_time"], cutoff="kickoff")
+    q = prices.eligible(quotes(spark, d), cutoffs(spark, d), ["event"], times=["quote_time"], cutoff="kickoff")
     return prices.one_per_book(q, ["event", "player"], tie="event_id").select("event", "player", "book", F.col("price").alias("close_price"))
 
 
