@@ -103,3 +103,35 @@ def set_equality(a: DataFrame, b: DataFrame) -> DataFrame:
     la = left.exceptAll(right).agg(F.count(F.lit(1)).alias("only_left"))
     rb = right.exceptAll(left).agg(F.count(F.lit(1)).alias("only_right"))
     return la.join(F.broadcast(rb)).withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
+
+
+def team_value(plays: DataFrame, by: list[str], value: str, near: Column) -> DataFrame:
+    """by, team_value and near_value: log1p of summed values, of all plays and of those near the goal."""
+    return plays.groupBy(*by).agg(F.log1p(F.sum(value)).alias("team_value"), F.log1p(F.sum(F.when(near, F.col(value)))).alias("near_value"))
+
+
+def labels(rows: DataFrame, keys: list[str], count: Column) -> DataFrame:
+    """keys, n and label: a count that is 0 where nothing is known, and whether it is positive."""
+    n = F.coalesce(count, F.lit(0)).cast("long")
+    return rows.select(*keys, n.alias("n"), (n > 0).cast("long").alias("label"))
+
+
+def completeness(rows: DataFrame, plan: DataFrame, keys: list[str], value: str, order: list[str], planned: str) -> DataFrame:
+    """keys, last value by order, and whether it is the planned one."""
+    last = rows.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("last"))
+    return plan.select(*keys, planned).join(last, keys).select(*keys, "last", (F.col("last") == F.col(planned)).alias("complete"))
+
+
+def performers(rows: DataFrame, actor: str, game: str, difference: Column, n: int = 8) -> DataFrame:
+    """actor, games, diff and side: the n furthest above and below expectation, a top-k report."""
+    s = rows.groupBy(actor).agg(F.count_distinct(game).alias("games"), F.round(F.sum(difference), 9).alias("diff"))
+    over = s.orderBy(F.desc("diff"), actor).limit(n).withColumn("side", F.lit("over"))
+    return over.unionByName(s.orderBy("diff", actor).limit(n).withColumn("side", F.lit("under")))
+
+
+def participation(members: DataFrame, key: str, *evidence: DataFrame) -> DataFrame:
+    """members with evidence: seen if any source has the key; absence is unknown, not false."""
+    seen = evidence[0].select(key)
+    for e in evidence[1:]:
+        seen = seen.unionByName(e.select(key))
+    return members.join(seen.distinct().withColumn("evidence", F.lit("seen")), key, "left")

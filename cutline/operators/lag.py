@@ -79,7 +79,7 @@ def _weighted(num: Column, den: Column, keys: list[str], order: list[str], half_
     return value if null_policy == "skip" else F.when(F.count(F.when(fine, 1)).over(whole) == F.col("_rank"), value)
 
 
-def _windows(history: DataFrame, keys: list[str], order: list[str], available_at: str, windows: dict[str, int | None], metrics: list[str], shares: dict[str, tuple[str, str]], sums: bool, with_ewma: bool, half_life: float, null_policy: str, lineage: int | None) -> tuple[DataFrame, list[str]]:
+def _windows(history: DataFrame, keys: list[str], order: list[str], available_at: str, windows: dict[str, int | None], metrics: list[str], shares: dict[str, tuple[str, str]], sums: bool, with_ewma: bool, ewma_rows: int | None, half_life: float, null_policy: str, lineage: int | None) -> tuple[DataFrame, list[str]]:
     """history with _rank and the features of each row's prefix, and their names."""
     time, row_id = order
     base = Window.partitionBy(*keys).orderBy(*order)
@@ -100,6 +100,8 @@ def _windows(history: DataFrame, keys: list[str], order: list[str], available_at
             made[f"ewma_{m}"] = _weighted(value, F.when(value.isNotNull(), F.lit(1.0)), keys, order, half_life, null_policy)
         for s, (num, den) in shares.items():
             made[f"ewma_{s}"] = _weighted(F.col(num).cast("double"), F.col(den).cast("double"), keys, order, half_life, null_policy)
+    for m in metrics if ewma_rows else ():
+        made[f"ewma{ewma_rows}_{m}"] = ewma(m, base, half_life, null_policy, rows=ewma_rows)
     if lineage:
         made["source_ids"] = F.array_join(F.collect_list(F.col(row_id).cast("string")).over(frame(lineage)), ";")
         made["latest_used"] = F.max(time).over(frame(lineage))
@@ -124,6 +126,7 @@ def prefix_features(
     null_policy: str = "strict",
     sums: bool = False,
     with_ewma: bool = True,
+    ewma_rows: int | None = None,
     lineage: int | None = None,
 ) -> DataFrame:
     """targets with {window}_{metric}, {window}_{share}, ewma_{metric}, ewma_{share}, n_history and lineage columns.
@@ -136,12 +139,12 @@ def prefix_features(
     windows maps a name to a number of rows, None for all.  season: a column that history
     and target must share.  shares maps a name to (numerator, denominator); a share is the
     ratio of sums over the window, null if a part is null or the denominator is not
-    positive.  sums adds {window}_sum_{metric}.  lineage: how many of the latest ids to
+    positive.  sums adds {window}_sum_{metric}, ewma_rows ewma{n}_{metric} over the last n rows.  lineage: how many of the latest ids to
     list, oldest first.  A target without history has null features and n_history 0.
     """
     windows = windows if windows is not None else {"last3": 3, "last5": 5, "last8": 8}
     keys, order = [*entity, *([season] if season else [])], [time, row_id]
-    told_by = (available_at, windows, list(metrics), shares or {}, sums, with_ewma, half_life, null_policy, lineage)
+    told_by = (available_at, windows, list(metrics), shares or {}, sums, with_ewma, ewma_rows, half_life, null_policy, lineage)
     fine = F.col(time).isNotNull() & F.col(available_at).isNotNull()
     for k in keys:
         fine = fine & F.col(k).isNotNull()

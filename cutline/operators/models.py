@@ -138,6 +138,12 @@ def allocate(df: DataFrame, group: list[str], weights: dict[str, float], expecte
     return out.withColumn("lambda", F.col("share") * expected).withColumn("p", dist.poisson_at_least_one(F.col("lambda")))
 
 
+def coherence(df: DataFrame, group: list[str], member: str, whole: str, eps: float = 1e-7) -> DataFrame:
+    """One row: how far the sums of members lie from their group's value, and how many groups differ by more than eps."""
+    gap = df.groupBy(*group).agg(F.abs(F.sum(member) - F.first(whole)).alias("gap"))
+    return gap.agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"), F.avg((F.col("gap") > 0.5).cast("double")).alias("above_half"), F.count_if(F.col("gap") > eps).alias("incoherent"))
+
+
 def project_simplex(x: np.ndarray) -> np.ndarray:
     """The nearest point with non-negative entries that sum to one."""
     u = np.sort(x)[::-1]

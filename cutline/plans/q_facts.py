@@ -74,13 +74,12 @@ def value_rollup_shares(spark: SparkSession, d: str) -> DataFrame:
 @query(v.sql("""SELECT game_id, round(ln(1 + sum("value")), 6) team_value, round(ln(1 + sum("value") FILTER (yardline <= 20)), 6) red_zone_value FROM v_plays WHERE kind IS NOT NULL GROUP BY 1"""))
 def team_value(spark: SparkSession, d: str) -> DataFrame:
     p = v.plays(spark, d).where("kind IS NOT NULL")
-    return p.groupBy("game_id").agg(r6(F.log1p(F.sum("value")), "team_value"), r6(F.log1p(F.sum(F.when(F.col("yardline") <= 20, F.col("value")))), "red_zone_value"))
+    return agg.team_value(p, ["game_id"], "value", F.col("yardline") <= 20).select("game_id", r6("team_value"), r6("near_value", "red_zone_value"))
 
 
 @query(v.sql("""SELECT game_id, coalesce(tds, 0)::BIGINT tds, (coalesce(tds, 0) > 0)::BIGINT label FROM v_player_game"""))
 def label_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    n = F.coalesce("tds", F.lit(0))
-    return v.player_games(spark, d).select("game_id", big(n, "tds"), big(n > 0, "label"))
+    return agg.labels(v.player_games(spark, d), ["game_id"], F.col("tds")).select("game_id", F.col("n").alias("tds"), "label")
 
 
 @query("""SELECT l_suppkey, round_even(median(l_quantity / l_tax), 0) inferred_total FROM lineitem WHERE l_tax > 0 GROUP BY 1""")
@@ -91,9 +90,10 @@ def inferred_total(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT o_orderkey, last_line::BIGINT last_line, last_line = o_orderkey % 7 + 1 complete FROM orders JOIN (SELECT l_orderkey, arg_max(l_linenumber, (l_shipdate, l_partkey, l_suppkey, l_linenumber)) last_line FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def completeness(spark: SparkSession, d: str) -> DataFrame:
     """The last known value of each group against what the schedule says."""
-    last = v.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber")).alias("last_line"))
-    o = v.table(spark, d, "orders").select("o_orderkey").join(last, F.col("o_orderkey") == F.col("l_orderkey"))
-    return o.select("o_orderkey", big("last_line"), (F.col("last_line") == F.col("o_orderkey") % 7 + 1).alias("complete"))
+    plan = v.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 7 + 1).alias("planned"))
+    lines = v.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    out = agg.completeness(lines, plan, ["o_orderkey"], "l_linenumber", ["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber"], "planned")
+    return out.select("o_orderkey", big("last", "last_line"), "complete")
 
 
 _DIFF = "SELECT actor, count(DISTINCT game_id) games, round(sum(td - 0.15::DOUBLE), 9) diff FROM v_plays GROUP BY 1"
@@ -102,10 +102,7 @@ _DIFF = "SELECT actor, count(DISTINCT game_id) games, round(sum(td - 0.15::DOUBL
 @query(v.sql("""SELECT actor, games, round(diff, 4) diff, 'over' side FROM (SELECT * FROM s ORDER BY diff DESC, actor LIMIT 8) UNION ALL SELECT actor, games, round(diff, 4), 'under' FROM (SELECT * FROM s ORDER BY diff, actor LIMIT 8)""", ("s", _DIFF)))
 def over_under_performers(spark: SparkSession, d: str) -> DataFrame:
     """Actual minus expected by actor: the eight furthest above and below."""
-    s = v.plays(spark, d).groupBy("actor").agg(F.count_distinct("game_id").alias("games"), F.round(F.sum(F.col("td") - 0.15), 9).alias("diff"))
-    over = s.orderBy(F.desc("diff"), "actor").limit(8).withColumn("side", F.lit("over"))
-    under = s.orderBy("diff", "actor").limit(8).withColumn("side", F.lit("under"))
-    return over.unionByName(under).select("actor", big("games"), F.round("diff", 4).alias("diff"), "side")
+    return agg.performers(v.plays(spark, d), "actor", "game_id", F.col("td") - 0.15).select("actor", big("games"), F.round("diff", 4).alias("diff"), "side")
 
 
 @query(v.sql("""SELECT season::BIGINT season, "column", present, (n - present) missing, round(present * 100.0::DOUBLE / n, 4) pct FROM (SELECT season, count(*) n, count(carries) carries, count(td_value) td_value, count(metric) metric FROM v_player_game GROUP BY 1)
@@ -146,11 +143,24 @@ def join_row_contract(spark: SparkSession, d: str) -> DataFrame:
     return out.select(big("season"), "n", "joined", (F.col("n") == F.col("joined")).alias("one_to_one"))
 
 
-@query(v.sql("""SELECT entity, game_id last_game, round(metric, 6) last_metric FROM v_game QUALIFY row_number() OVER (PARTITION BY entity ORDER BY kickoff DESC, game_id DESC) = 1"""))
+@query(v.sql("""SELECT g.game_id, round(g.metric, 6) metric, p.n_plays::BIGINT n_plays FROM v_game g JOIN (SELECT game_id, count(*) n_plays FROM v_plays GROUP BY 1) p USING (game_id)"""))
+def one_to_one_join(spark: SparkSession, d: str) -> DataFrame:
+    """Two fact tables side by side by key; a missing or repeated partner would fail the query."""
+    p = v.plays(spark, d).groupBy("game_id").agg(F.count(F.lit(1)).alias("n_plays"))
+    g = joins.members(v.games(spark, d).select("game_id", "metric"), p, ["game_id"])
+    return joins.beside(g, p, ["game_id"]).select("game_id", r6("metric"), "n_plays")
+
+
+@query(v.sql("""SELECT c_name live_name, entity, last_game, round(metric, 6) last_metric FROM customer LEFT JOIN (SELECT entity, game_id last_game, metric FROM v_game QUALIFY row_number() OVER (PARTITION BY entity ORDER BY kickoff DESC, game_id DESC) = 1) ON entity = c_custkey"""))
 def latest_row(spark: SparkSession, d: str) -> DataFrame:
-    """Each customer's last row, by one aggregate."""
+    """Each live name with the last row of the customer that it resolves to, by one aggregate and a name match."""
+    from ..functions import text
+
     g = v.games(spark, d).groupBy("entity").agg(F.max_by(F.struct("game_id", "metric"), F.struct("kickoff", "game_id")).alias("x"))
-    return g.select("entity", F.col("x.game_id").alias("last_game"), r6("x.metric", "last_metric"))
+    c = v.table(spark, d, "customer").select("c_custkey", "c_name")
+    live = c.select(F.col("c_name").alias("live_name"), F.upper("c_name").alias("told"))
+    out = joins.resolve(live, c, name="told", candidate_name="c_name", candidate_id="c_custkey", normalise=text.normalize_name).join(g, F.col("resolved_id") == F.col("entity"), "left")
+    return out.select("live_name", "entity", F.col("x.game_id").alias("last_game"), r6("x.metric", "last_metric"))
 
 
 @query("""SELECT o_orderpriority, o_orderstatus, count(*) n FROM orders GROUP BY 1, 2""")
@@ -167,8 +177,8 @@ def collection_manifest(spark: SparkSession, d: str) -> DataFrame:
 def participation(spark: SparkSession, d: str) -> DataFrame:
     """Positive evidence from any source; absence is unknown, not false."""
     p = v.plays(spark, d)
-    seen = p.where("td = 1 AND yardline <= 3").select("actor").unionByName(p.where("kind = 'rushing' AND yardline >= 97").select("actor")).distinct().withColumn("evidence", F.lit("seen"))
-    return v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("actor")).join(seen, "actor", "left")
+    members = v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("actor"))
+    return agg.participation(members, "actor", p.where("td = 1 AND yardline <= 3"), p.where("kind = 'rushing' AND yardline >= 97"))
 
 
 @query(v.sql("""SELECT season::BIGINT season, round(sum(all_value) / sum(tds), 6) ratio FROM v_player_game WHERE season < 2000 GROUP BY 1"""))
@@ -177,11 +187,16 @@ def points_per_unit(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("season").agg(r6(F.sum("all_value") / F.sum("tds"), "ratio")).withColumn("season", big("season"))
 
 
-@query(v.sql("""SELECT count(*) n, round(avg(gap), 6) mean_gap, round(max(gap), 6) max_gap, round(avg((gap > 0.5)::INT), 6) above_half FROM (SELECT game_id, round(abs(sum(0.1::DOUBLE + 0.01::DOUBLE * line) - 0.45::DOUBLE), 6) gap FROM v_plays GROUP BY 1)"""))
+@query(v.sql("""SELECT count(*) n, round(avg(gap), 6) mean_gap, round(max(gap), 6) max_gap, round(avg((gap > 0.5)::INT), 6) above_half, count(*) FILTER (gap > 1e-7) incoherent FROM (SELECT game_id, abs(CASE WHEN game_id % 53 = 0 THEN 0.75 ELSE 0 END * count(*)) gap FROM (SELECT DISTINCT game_id, actor FROM v_plays) GROUP BY 1)"""))
 def coherence(spark: SparkSession, d: str) -> DataFrame:
-    """Member expectations against their group's."""
-    g = v.plays(spark, d).groupBy("game_id").agg(F.round(F.abs(F.sum(0.1 + 0.01 * F.col("line")) - F.lit(0.45)), 6).alias("gap"))
-    return g.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("gap"), "mean_gap"), r6(F.max("gap"), "max_gap"), r6(F.avg((F.col("gap") > 0.5).cast("double")), "above_half"))
+    """Members' allocated expectations against their group's; some members are told too much on purpose."""
+    from ..operators import models
+
+    s = v.plays(spark, d).groupBy("game_id", "actor").agg(F.sum("value").alias("a"), F.sum(F.col("air") / 60.0).alias("b"))
+    out = models.allocate(s, ["game_id"], {"a": 0.6, "b": 0.4}, F.lit(2.5)).withColumn("expected", F.lit(2.5))
+    out = out.withColumn("lambda", F.col("lambda") + F.when(F.col("game_id") % 53 == 0, 0.75).otherwise(0.0))
+    t = models.coherence(out, ["game_id"], "lambda", "expected")
+    return t.select("n", r6("mean_gap"), r6("max_gap"), r6("above_half"), "incoherent")
 
 
 @query(v.sql("""SELECT game_id, actor, round(score / nullif(sum(score) OVER w, 0) * 2.5, 6) AS "lambda", round(1 - exp(-CASE WHEN sum(score) OVER w > 0 THEN score / sum(score) OVER w ELSE 1.0 / count(*) OVER w END * 2.5), 6) p FROM (SELECT game_id, actor, (0.6 * a + 0.4 * coalesce(b, 0)) / (0.6 + CASE WHEN b IS NULL THEN 0 ELSE 0.4 END) score FROM
@@ -208,10 +223,11 @@ def shrunk_rates(spark: SparkSession, d: str) -> DataFrame:
     return g.join(F.broadcast(prior), "priority").select("game_id", r6(dist.shrunk_rate(F.coalesce("tds", F.lit(0)), F.coalesce("n_plays", F.lit(0)), F.col("prior")), "shrunk"))
 
 
-@query(v.sql("""SELECT season::BIGINT season, prop, count(*) n, round(avg(label), 6) mean_label, round(avg((label + 6.5) / (n_plays + 10)), 6) rate FROM (SELECT season, 'carries' prop, coalesce(carries, 0) label, coalesce(n_plays, 0) n_plays FROM v_player_game UNION ALL SELECT season, 'targets', coalesce(targets, 0), coalesce(n_plays, 0) FROM v_player_game) GROUP BY 1, 2"""))
+@query(v.sql("""SELECT season::BIGINT season, prop, count(*) n, round(avg(label), 6) mean_label, round(avg((label + 6.5) / (n_plays + 10)), 6) rate, count(*) FILTER (prop = 'targets') with_extra FROM (SELECT season, 'carries' prop, coalesce(carries, 0) label, coalesce(n_plays, 0) n_plays FROM v_player_game UNION ALL SELECT season, 'targets', coalesce(targets, 0), coalesce(n_plays, 0) FROM v_player_game) GROUP BY 1, 2"""))
 def prop_label_frame(spark: SparkSession, d: str) -> DataFrame:
     """Each prop with its label column, ragged parts united by name."""
     g = v.player_games(spark, d)
     part = lambda c: g.select("season", F.lit(c).alias("prop"), F.coalesce(c, F.lit(0)).alias("label"), F.coalesce("n_plays", F.lit(0)).alias("n_plays"))
-    u = part("carries").unionByName(part("targets"), allowMissingColumns=True)
-    return u.groupBy("season", "prop").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("label"), "mean_label"), r6(F.avg(dist.smoothed_rate(F.col("label"), F.col("n_plays"))), "rate")).withColumn("season", big("season"))
+    # only one of the parts knows the group
+    u = part("carries").unionByName(part("targets").withColumn("only_here", F.lit(1)), allowMissingColumns=True)
+    return u.groupBy("season", "prop").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("label"), "mean_label"), r6(F.avg(dist.smoothed_rate(F.col("label"), F.col("n_plays"))), "rate"), F.count("only_here").alias("with_extra")).withColumn("season", big("season"))

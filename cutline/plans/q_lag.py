@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dist
-from ..operators import joins, lag
+from ..operators import joins, lag, profiles
 from . import views as v
 from .registry import big, query, r6
 
@@ -92,25 +91,24 @@ def rest_days(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT *, (coalesce(tds, 0) > 0)::INT won FROM h) GROUP BY 1) USING (game_id)""", ("h", HIST)))
 def event_rate_windows(spark: SparkSession, d: str) -> DataFrame:
     """Rates of a label over a customer's earlier orders; the weighted one over the last eight."""
-    hist = v.player_games(spark, d).withColumn("won", (F.coalesce("tds", F.lit(0)) > 0).cast("double"))
-    base = Window.partitionBy("entity").orderBy("kickoff", "game_id")
-    up = base.rowsBetween(Window.unboundedPreceding, 0)
-    told = hist.select(
-        "entity", "kickoff", "game_id", "available_at", F.count(F.lit(1)).over(up).alias("games"), F.sum("won").over(up).alias("wins"), F.avg("won").over(base.rowsBetween(-4, 0)).alias("last5_rate"),
-        F.avg("won").over(base.rowsBetween(-7, 0)).alias("last8_rate"), lag.ewma("won", base, 3.0, rows=8).alias("ewma_rate"),
-    )
-    out = joins.asof_join(_targets(spark, d), told.withColumnRenamed("game_id", "h_id").withColumnRenamed("kickoff", "h_kickoff"), ["entity"], left_time="prediction_time", right_time="available_at", values=["games", "wins", "last5_rate", "last8_rate", "ewma_rate"], strict=True, order=["h_kickoff", "h_id"])
-    return out.select("game_id", "entity", big(F.coalesce("games", F.lit(0)), "games"), big(F.coalesce("wins", F.lit(0.0)), "wins"), r6("last5_rate"), r6("last8_rate"), r6("ewma_rate"))
-
-
-@query(v.sql("""SELECT entity, games::BIGINT games, round(mean_metric, 6) mean_metric, round(share, 6) share, round((tds + 6.5) / (games + 10), 6) smoothed FROM (SELECT entity, count(*) games, avg(metric) mean_metric, CASE WHEN sum(all_value) > 0 THEN sum(td_value) / sum(all_value) END share, sum(tds) tds
-    FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY kickoff DESC, game_id DESC) rn FROM v_player_game WHERE n_plays IS NOT NULL) WHERE rn <= 8 GROUP BY 1 HAVING count(*) >= 3)"""))
+    hist = v.player_games(spark, d).withColumn("won", (F.coalesce("tds", F.lit(0)) > 0).cast("int"))
+    out = profiles.event_rates(hist, _targets(spark, d), ["entity"], "won")
+    return out.select("game_id", "entity", F.col("n_history").alias("games"), "wins", r6("last5_rate"), r6("last8_rate"), r6("ewma_rate"))
+
+
+@query(v.sql("""SELECT entity, games::BIGINT games, scored::BIGINT scored_games, round(mean_metric, 6) mean_metric, round(share, 6) share, round((tds + 6.5) / (games + 10), 6) smoothed FROM (SELECT entity, count(*) games, count(*) FILTER (tds > 0) scored, avg(metric) mean_metric, CASE WHEN sum(all_value) > 0 THEN sum(td_value) / sum(all_value) END share, sum(tds) tds
+    FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY kickoff DESC, game_id DESC) rn FROM v_player_game WHERE n_plays IS NOT NULL) WHERE rn <= 8 GROUP BY 1 HAVING count(*) >= 3 AND scored >= 3)"""))
 def profile_last8(spark: SparkSession, d: str) -> DataFrame:
-    """Each customer's last eight orders with lines, for those that have at least three."""
-    w = Window.partitionBy("entity").orderBy(F.desc("kickoff"), F.desc("game_id"))
-    last = v.player_games(spark, d).where("n_plays IS NOT NULL").withColumn("rn", F.row_number().over(w)).where("rn <= 8")
-    p = last.groupBy("entity").agg(F.count(F.lit(1)).alias("games"), F.avg("metric").alias("mean_metric"), F.when(F.sum("all_value") > 0, F.sum("td_value") / F.sum("all_value")).alias("share"), F.sum("tds").alias("tds")).where("games >= 3")
-    return p.select("entity", "games", r6("mean_metric"), r6("share"), r6(dist.smoothed_rate(F.col("tds"), F.col("games")), "smoothed"))
+    """Each customer's last eight orders with lines, for those that have at least three, three of them scored."""
+    rows = v.player_games(spark, d).where("n_plays IS NOT NULL")
+    p = profiles.profile(rows, ["entity"], ["kickoff", "game_id"], metric="metric", part="td_value", whole="all_value", hits="tds", scored=F.col("tds") > 0)
+    return p.select("entity", "games", "scored_games", r6("mean_metric"), r6("share"), r6("smoothed"))
+
+
+@query(v.sql("""SELECT season::BIGINT season, grp, entity, round(CASE WHEN sum(c) OVER w > 0 THEN c / sum(c) OVER w END, 6) carries_share, round(CASE WHEN sum(t) OVER w > 0 THEN t / sum(t) OVER w END, 6) targets_share FROM (SELECT season, grp, entity, sum(carries)::DOUBLE c, sum(targets)::DOUBLE t FROM v_player_game GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY season, grp)"""))
+def season_usage_shares(spark: SparkSession, d: str) -> DataFrame:
+    out = profiles.season_shares(v.player_games(spark, d), "season", ["grp"], "entity", ["carries", "targets"])
+    return out.select(big("season"), "grp", "entity", r6("carries_share"), r6("targets_share"))
 
 
 @query(v.sql("""SELECT g.game_id, round(m5, 6) last5_value, round(r5, 6) last5_share, round(e, 6) ewma_value FROM v_game g LEFT JOIN (SELECT game_id, avg(td_value) FILTER (rn <= 5) m5,
@@ -123,22 +121,21 @@ def value_lag_skipnull(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(v.sql("""SELECT game_id, entity, n_last3::BIGINT n_last3 FROM (SELECT g.game_id, g.entity, g.priority, count(*) FILTER (rn <= 3) n_last3, max(h.tds) FILTER (rn <= 3) usage FROM v_player_game g JOIN h ON h.game_id = g.game_id GROUP BY 1, 2, 3)
-    WHERE n_last3 = 3 AND (usage > 0 OR priority = '1-URGENT')""", ("h", HIST.replace("t.game_id, t.entity,", "t.game_id, t.entity t_entity,"))))
+    WHERE n_last3 = 3 AND priority <> '5-LOW' AND (usage > 0 OR priority = '1-URGENT')""", ("h", HIST.replace("t.game_id, t.entity,", "t.game_id, t.entity t_entity,"))))
 def candidate_universe(spark: SparkSession, d: str) -> DataFrame:
-    """Orders whose customer has three earlier ones, some with recent usage or of top priority."""
-    base = Window.partitionBy("entity").orderBy("kickoff", "game_id").rowsBetween(-2, 0)
-    told = v.player_games(spark, d).select("entity", F.col("game_id").alias("h_id"), F.col("kickoff").alias("h_kickoff"), "available_at", F.count(F.lit(1)).over(base).alias("n_last3"), F.max("tds").over(base).alias("usage"))
+    """Orders of allowed priorities whose customer has three earlier ones, some with recent usage or of top priority."""
     t = v.games(spark, d).select("game_id", "entity", "priority", "prediction_time")
-    out = joins.asof_join(t, told, ["entity"], left_time="prediction_time", right_time="available_at", values=["n_last3", "usage"], strict=True, order=["h_kickoff", "h_id"])
-    return out.where((F.col("n_last3") == 3) & ((F.col("usage") > 0) | (F.col("priority") == "1-URGENT"))).select("game_id", "entity", big("n_last3"))
+    out = profiles.candidate_universe(v.player_games(spark, d), t, ["entity"], usage="tds", allowed=F.col("priority") != "5-LOW", exempt=F.col("priority") == "1-URGENT")
+    return out.select("game_id", "entity", F.col("n_recent").alias("n_last3"))
 
 
 @query(v.sql("""SELECT season::BIGINT season, grp, entity, usage::BIGINT usage, rank::BIGINT "rank" FROM (SELECT *, row_number() OVER (PARTITION BY season, grp ORDER BY usage DESC, entity) rank FROM
-    (SELECT season, grp, entity, sum(coalesce(carries, 0) + coalesce(targets, 0)) usage FROM v_player_game GROUP BY 1, 2, 3)) WHERE rank <= 2"""))
+    (SELECT season, grp, entity, sum(coalesce(carries, 0) + coalesce(targets, 0)) usage FROM v_player_game WHERE entity IN (SELECT user_id FROM events) GROUP BY 1, 2, 3)) WHERE rank <= 2"""))
 def topk_usage(spark: SparkSession, d: str) -> DataFrame:
-    use = v.player_games(spark, d).groupBy("season", "grp", "entity").agg(F.sum(F.coalesce("carries", F.lit(0)) + F.coalesce("targets", F.lit(0))).alias("usage"))
-    w = Window.partitionBy("season", "grp").orderBy(F.desc("usage"), "entity")
-    return use.withColumn("rank", F.row_number().over(w)).where("rank <= 2").select(big("season"), "grp", "entity", big("usage"), big("rank"))
+    """The two of most usage of each group and season among those with a quote."""
+    quoted = v.table(spark, d, "events").select(F.col("user_id").alias("entity"))
+    out = profiles.top_usage(v.player_games(spark, d), ["season", "grp"], "entity", F.coalesce("carries", F.lit(0)) + F.coalesce("targets", F.lit(0)), offered=quoted)
+    return out.select(big("season"), "grp", "entity", big("usage"), big("rank"))
 
 
 @query(v.sql("""SELECT g.game_id, round(CASE WHEN sum(all_value) FILTER (rn <= 3) > 0 THEN sum(coalesce(td_value, 0)) FILTER (rn <= 3) / sum(all_value) FILTER (rn <= 3) END, 6) recent_share FROM v_game g JOIN h ON h.game_id = g.game_id GROUP BY 1""", ("h", HIST.replace("t.game_id, t.entity,", "t.game_id, t.entity t_entity,"))))

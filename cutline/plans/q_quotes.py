@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dist, odds, text, timing
-from ..operators import joins, lag, prices
+from ..operators import joins, lag, prices, profiles
 from ..sources import quotes as src
 from ..sources import sinks
 from . import views as v
@@ -221,17 +221,17 @@ def unique_crosswalk(spark: SparkSession, d: str) -> DataFrame:
     LEFT JOIN (SELECT user_id, bool_or(event_type IN ('view', 'click')) act, bool_or(event_type = 'error' AND "value" > 200) ina FROM events GROUP BY 1) ON user_id = c_custkey"""))
 def availability_overlay(spark: SparkSession, d: str) -> DataFrame:
     """Complete coverage, positive evidence, and no inactive record, which wins."""
-    status = v.table(spark, d, "events").groupBy("user_id").agg(F.bool_or(F.col("event_type").isin("view", "click")).alias("act"), F.bool_or((F.col("event_type") == "error") & (F.col("value") > 200)).alias("ina"))
-    n = v.table(spark, d, "nation").select("n_nationkey", (F.col("n_regionkey") != 2).alias("covered"))
-    c = v.table(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(status, F.col("user_id") == F.col("c_custkey"), "left")
-    no = F.lit(False)
-    return c.select("c_custkey", (F.coalesce("covered", no) & F.coalesce("act", no) & ~F.coalesce("ina", no)).alias("available"))
+    covered = v.table(spark, d, "nation").select("n_nationkey", (F.col("n_regionkey") != 2).alias("full"))
+    e, kind = v.table(spark, d, "events"), F.col("event_type")
+    out = profiles.availability(v.table(spark, d, "customer"), "c_custkey", "c_nationkey", covered, "n_nationkey", "full", e, "user_id", kind.isin("view", "click"), (kind == "error") & (F.col("value") > 200))
+    return out.select("c_custkey", "available")
 
 
-@query(v.sql("""SELECT max(a) latest_common_date FROM (SELECT DISTINCT ts::DATE a FROM events WHERE event_type = 'purchase' INTERSECT SELECT DISTINCT ts::DATE FROM events WHERE event_type = 'error' AND "value" > 100)"""))
+@query(v.sql("""SELECT max(a) latest_common_date, (SELECT max(ts) FROM events WHERE event_type = 'purchase') latest_left, (SELECT max(ts) FROM events WHERE event_type = 'error' AND "value" > 100) latest_right FROM (SELECT DISTINCT ts::DATE a FROM events WHERE event_type = 'purchase' INTERSECT SELECT DISTINCT ts::DATE FROM events WHERE event_type = 'error' AND "value" > 100)"""))
 def latest_common_date(spark: SparkSession, d: str) -> DataFrame:
+    """The latest day of both families, and the newest instant of each."""
     e = v.table(spark, d, "events").withColumn("day", F.to_date("ts"))
-    return sinks.latest_common_date(e.where("event_type = 'purchase'"), e.where("event_type = 'error' AND value > 100"), "day")
+    return sinks.latest_common_date(e.where("event_type = 'purchase'"), e.where("event_type = 'error' AND value > 100"), "day", time="ts")
 
 
 @query(v.sql("""SELECT day, min(cutoff) first_cutoff FROM (SELECT ((kickoff AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')::DATE AS day, kickoff - INTERVAL 60 MINUTE cutoff FROM v_game WHERE ((kickoff AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')::DATE BETWEEN '1996-01-01' AND '1997-12-31') GROUP BY 1"""))

@@ -46,6 +46,10 @@ def verify_fingerprint(df: DataFrame, stored: DataFrame) -> None:
         raise ValueError("the table differs from its fingerprint")
 
 
-def latest_common_date(left: DataFrame, right: DataFrame, date: str) -> DataFrame:
-    """The latest date that both families have."""
-    return left.select(date).intersect(right.select(date)).agg(F.max(date).alias("latest_common_date"))
+def latest_common_date(left: DataFrame, right: DataFrame, date: str, time: str | None = None) -> DataFrame:
+    """The latest date that both families have, and with time the newest instant of each."""
+    out = left.select(date).intersect(right.select(date)).agg(F.max(date).alias("latest_common_date"))
+    if time:
+        for df, name in ((left, "latest_left"), (right, "latest_right")):
+            out = out.join(F.broadcast(df.agg(F.max(time).alias(name))))  # one row each
+    return out
