@@ -44,3 +44,10 @@ def event_code(away: Column, home: Column, aliases: dict[str, str] | None = None
         return out
 
     return F.concat(code(away), F.lit("@"), code(home))
+
+
+def game_key(key: Column) -> Column:
+    """Struct of season, week, away and home out of season_week_away_home; null where it has another form."""
+    parts = F.split(key, "_")
+    fine = key.rlike(r"^\d{4}_\d{1,2}_[^_]+_[^_]+$")
+    return F.when(fine, F.struct(parts[0].try_cast("int").alias("season"), parts[1].try_cast("int").alias("week"), parts[2].alias("away"), parts[3].alias("home")))

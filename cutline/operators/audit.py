@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -124,3 +124,20 @@ def ambiguous(rows: DataFrame, keys: list[str], strict: bool = False) -> tuple[D
     if strict:
         marked = marked.withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.lit("ambiguous key"))).otherwise(F.col("_n")))
     return marked.where("_n = 1").drop("_n"), marked.where("_n > 1").drop("_n")
+
+
+def disagreements(rows: DataFrame, difference: str, keys: list[str], history: DataFrame, entity: list[str], *, value: str, order: list[str], aliases: DataFrame, alias: str, n: int = 20, last: int = 3) -> DataFrame:
+    """The n rows of greatest absolute difference, with n_history, the tail of the last values and ambiguous identity.
+
+    A top-k report: only the entities of those n rows meet their history.  An entity is
+    ambiguous if another shares its alias.
+    """
+    top = rows.orderBy(F.desc(F.abs(F.round(difference, 9))), *keys).limit(n)
+    own = history.join(F.broadcast(top.select(*entity).distinct()), entity, "left_semi")  # n rows at most
+    w = Window.partitionBy(*entity).orderBy(*(F.desc(c) for c in order))
+    ranked = own.withColumn("_r", F.row_number().over(w))
+    told = ranked.groupBy(*entity).agg(F.count(F.lit(1)).alias("n_history"), F.array_sort(F.collect_list(F.when(F.col("_r") <= last, F.struct(F.col("_r"), F.col(value).cast("string").alias("v"))))).alias("_t"))
+    told = told.select(*entity, "n_history", F.array_join(F.reverse(F.transform("_t", lambda x: x["v"])), ";").alias("tail"))
+    shared = aliases.groupBy(alias).agg(F.count_distinct(*entity).alias("_n"))
+    known = aliases.join(shared, alias).select(*entity, (F.col("_n") > 1).alias("ambiguous"))
+    return top.join(told, entity).join(known, entity)

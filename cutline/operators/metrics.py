@@ -213,3 +213,32 @@ def best_method(scores: DataFrame, name: str, order: list[str], eligible: list[s
     """The method of least score among those eligible."""
     pool = scores.where(F.col(name).isin(eligible)) if eligible else scores
     return pool.agg(F.min_by(F.col(name), F.struct(*order, name)).alias("selected"))
+
+
+def blends(df: DataFrame, scores: list[str], y: str, weights: dict[str, tuple[float, ...]], eps: float = 1e-6) -> DataFrame:
+    """name, n, log_loss, brier, weights and chosen of registered convex blends; all in one scan.
+
+    Weights must be non-negative and sum to one; ties go to the first name.
+    """
+    for name, w in weights.items():
+        if len(w) != len(scores) or min(w) < 0 or abs(sum(w) - 1) > 1e-9:
+            raise ValueError(f"{name} is no convex blend of {len(scores)} scores")
+    told = F.array(*(F.struct(F.lit(n).alias("name"), F.array(*(F.lit(float(x)) for x in w)).alias("weights")) for n, w in weights.items()))
+    long = df.select(y, *scores, F.explode(told).alias("b"))
+    q = F.lit(0.0)
+    for i, s in enumerate(scores):
+        q = q + F.col(s) * F.col("b.weights")[i]
+    out = probability_metrics(long.select(F.col(y), "b.name", "b.weights", q.alias("q")), "q", y, ["name", "weights"], eps)
+    best = out.agg(F.min_by("name", F.struct("log_loss", "name")).alias("_best"))  # one row
+    return out.join(F.broadcast(best)).select("name", "n", "log_loss", "brier", "weights", (F.col("name") == F.col("_best")).alias("chosen"))
+
+
+def registry_audit(stored: DataFrame, rebuilt: DataFrame, eps: float = 1e-9) -> DataFrame:
+    """One row of violation counts: a stored registry (name, log_loss, fit_upto, scored, chosen, weights) against its rebuild."""
+    b = rebuilt.select("name", F.col("log_loss").alias("_ll"), F.col("weights").alias("_w"), F.col("chosen").alias("_best"))
+    both = stored.join(b, "name", "full")
+    off = F.coalesce(F.abs(F.col("log_loss") - F.col("_ll")) > eps, F.lit(True))
+    return both.agg(
+        F.count("log_loss").alias("rows"), F.count_if(off).alias("log_loss_differs"), F.count_if(F.col("fit_upto") >= F.col("scored")).alias("not_forward"),
+        F.count_if(F.col("chosen") & ~F.coalesce("_best", F.lit(False))).alias("chosen_not_best"), F.count_if(~F.col("weights").eqNullSafe(F.col("_w"))).alias("weights_differ"),
+    )

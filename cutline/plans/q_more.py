@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..sources import boxscore
 from ..sources import quotes as src
 from ..streaming import freeze as st
 from . import views as v
-from .q_stream import run_to_end, stream_of
+from .q_stream import ON_TIME, quotes_of, run_in_parts
 from .registry import big, query, r6
 
 
@@ -90,35 +92,77 @@ def chronological_segments(spark: SparkSession, d: str) -> DataFrame:
     return out.select("segment", "n", r6("brier"))
 
 
-@query()
+#: Convex weights of four scores, by name.
+BLENDS = {"first": (1.0, 0.0, 0.0, 0.0), "second": (0.0, 1.0, 0.0, 0.0), "equal": (0.25, 0.25, 0.25, 0.25), "heavy_first": (0.6, 0.2, 0.1, 0.1), "heavy_last": (0.1, 0.2, 0.2, 0.5)}
+_FOUR = """SELECT y, p, p2, sqrt(p * p2) p3, 0.05::DOUBLE + 0.1::DOUBLE * seg p4 FROM v_scored"""
+_BLEND = "SELECT name, count(*) n, avg(CASE WHEN y = 1 THEN -ln(least(1 - 1e-6, greatest(1e-6, q))) ELSE -ln(1 - least(1 - 1e-6, greatest(1e-6, q))) END) ll FROM (SELECT name, y, a * p + b * p2 + c * p3 + e * p4 q FROM four, (VALUES " + ", ".join("('{}', {}::DOUBLE, {}::DOUBLE, {}::DOUBLE, {}::DOUBLE)".format(n, *w) for n, w in BLENDS.items()) + ") w(name, a, b, c, e)) GROUP BY 1"
+
+
+def _four(spark: SparkSession, d: str) -> DataFrame:
+    return v.scored(spark, d).select("y", "p", "p2", F.sqrt(F.col("p") * F.col("p2")).alias("p3"), (F.lit(0.05) + F.lit(0.1) * F.col("seg")).alias("p4"))
+
+
+@query(v.sql("SELECT name, n, round(ll, 6) log_loss, name = (SELECT arg_min(name, (ll, name)) FROM b) chosen FROM b", ("four", _FOUR), ("b", _BLEND)))
+def blend_four(spark: SparkSession, d: str) -> DataFrame:
+    """Registered blends of four scores, all in one scan, and the one of least loss."""
+    return metrics.blends(_four(spark, d), ["p", "p2", "p3", "p4"], "y", BLENDS).select("name", "n", r6("log_loss"), "chosen")
+
+
+@query(v.sql("""SELECT count(*) AS rows, count(*) FILTER (name = 'equal') log_loss_differs, count(*) FILTER (name = 'second') not_forward, (SELECT count(*) FROM (SELECT arg_min(name, (ll, name)) best FROM b) WHERE best <> 'heavy_last') chosen_not_best, count(*) FILTER (name = 'first') weights_differ FROM b""", ("four", _FOUR), ("b", _BLEND)))
 def model_registry_audit(spark: SparkSession, d: str) -> DataFrame:
-    """A registry rebuilt from out-of-sample scores: the chosen blend must be the best one, and no fit may reach its own season."""
-    s = v.scored(spark, d).select("p", "p2", "y", F.explode(F.array(*(F.lit(w) for w in (1.0, 0.75, 0.5, 0.25)))).alias("w"))
-    reg = metrics.probability_metrics(s.withColumn("q", F.col("w") * F.col("p") + (F.lit(1.0) - F.col("w")) * F.col("p2")), "q", "y", ["w"])
-    reg = reg.withColumn("fit_upto", F.lit(2023)).withColumn("scored", F.lit(2024))
-    best = reg.agg(F.min("log_loss").alias("best"))
-    return reg.join(F.broadcast(best)).select("w", "n", r6("log_loss"), (F.col("log_loss") == F.col("best")).alias("chosen"), (F.col("fit_upto") < F.col("scored")).alias("forward"))
+    """A registry against its rebuild from out-of-sample scores; scores, seasons, weights and the choice are wrong on purpose."""
+    rebuilt = metrics.blends(_four(spark, d), ["p", "p2", "p3", "p4"], "y", BLENDS)
+    name = F.col("name")
+    stored = rebuilt.select("name", (F.col("log_loss") + F.when(name == "equal", 0.01).otherwise(0.0)).alias("log_loss"), F.when(name == "second", 2024).otherwise(2023).alias("fit_upto"), F.lit(2024).alias("scored"), (name == "heavy_last").alias("chosen"), F.when(name == "first", F.array(*(F.lit(0.25) for _ in range(4)))).otherwise(F.col("weights")).alias("weights"))
+    return metrics.registry_audit(stored, rebuilt)
+
+
+#: The eleven shares of an allocation: name, weight, and what is summed in SQL and in Spark.
+_R, _C = "kind = 'rushing'", "kind = 'receiving'"
+FAMILIES = {
+    "total_value": (0.45, '"value"'), "rush_value": (0.08, f'CASE WHEN {_R} THEN "value" END'), "catch_value": (0.08, f'CASE WHEN {_C} THEN "value" END'), "goal_line": (0.08, "CASE WHEN yardline <= 5 THEN 1 END"),
+    "inside_5": (0.06, f"CASE WHEN {_R} AND yardline <= 5 THEN 1 END"), "inside_10": (0.04, f"CASE WHEN {_R} AND yardline <= 10 THEN 1 END"), "red_zone": (0.05, f"CASE WHEN {_C} AND yardline <= 20 THEN 1 END"),
+    "end_zone": (0.05, f"CASE WHEN {_C} AND air >= yardline THEN 1 END"), "carries": (0.05, f"CASE WHEN {_R} THEN 1 END"), "targets": (0.05, f"CASE WHEN {_C} THEN 1 END"), "snaps": (0.01, "1"),
+}
+_SUMS = "SELECT game_id, actor, " + ", ".join(f"sum({x})::DOUBLE {n}" for n, (_, x) in FAMILIES.items()) + " FROM v_plays GROUP BY 1, 2"
+_PARTS = "SELECT game_id, actor, " + ", ".join(f"{n} / nullif(sum({n}) OVER w, 0) {n}" for n in FAMILIES) + " FROM sums WINDOW w AS (PARTITION BY game_id)"
+_SCORE = "SELECT game_id, actor, (" + " + ".join(f"coalesce({w} * {n}, 0)" for n, (w, _) in FAMILIES.items()) + ") / nullif(" + " + ".join(f"CASE WHEN {n} IS NULL THEN 0 ELSE {w}::DOUBLE END" for n, (w, _) in FAMILIES.items()) + ", 0) s FROM parts"
+
+
+@query(v.sql("""SELECT game_id, actor, round(CASE WHEN sum(coalesce(s, 0)) OVER w > 0 THEN coalesce(s, 0) / sum(coalesce(s, 0)) OVER w ELSE 1.0::DOUBLE / count(*) OVER w END * 2.5, 6) "lambda" FROM score WINDOW w AS (PARTITION BY game_id)""", ("sums", _SUMS), ("parts", _PARTS), ("score", _SCORE)))
+def eleven_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Eleven families of counts, each a share of its game, renormalised over what a member has."""
+    p = v.plays(spark, d).groupBy("game_id", "actor").agg(*(F.sum(F.expr(x.replace('"', "`"))).cast("double").alias(n) for n, (_, x) in FAMILIES.items()))
+    w = Window.partitionBy("game_id")
+    p = p.withColumns({n: F.try_divide(F.col(n), F.sum(n).over(w)) for n in FAMILIES})
+    return models.allocate(p, ["game_id"], {n: w for n, (w, _) in FAMILIES.items()}, F.lit(2.5)).select("game_id", "actor", r6("lambda"))
 
 
-@query("""SELECT date_trunc('week', ts)::DATE::VARCHAR AS event, count(*) outcomes FROM events GROUP BY 1""")
+@query(v.sql("""SELECT event::VARCHAR AS event, book, player::VARCHAR player, price::BIGINT price, quote_time FROM v_quotes"""))
 def stream_flatten(spark: SparkSession, d: str) -> DataFrame:
-    """The batch flattening, on a stream of nested snapshots."""
-    s = stream_of(spark, d)
-    outcome = F.array(F.struct(F.lit("Over").alias("name"), F.col("player").cast("string").alias("description"), F.lit(0.5).alias("point"), F.col("price")))
-    market = F.array(F.struct(F.lit("prop").alias("key"), F.col("quote_time").alias("last_update"), outcome.alias("outcomes")))
-    nested = s.select(F.col("quote_time").alias("timestamp"), "event", F.array(F.struct(F.col("book").alias("key"), market.alias("markets"))).alias("bookmakers"))
-    return run_to_end(src.flatten(nested), "flatten").groupBy("event").agg(F.count(F.lit(1)).alias("outcomes"))
+    """The batch flattening, on a stream of nested snapshots: every outcome, once."""
+
+    def build(read: Callable[[], DataFrame]) -> DataFrame:
+        s = quotes_of(read())
+        outcome = F.array(F.struct(F.lit("Over").alias("name"), F.col("player").cast("string").alias("description"), F.lit(0.5).alias("point"), F.col("price")))
+        market = F.array(F.struct(F.lit("prop").alias("key"), F.col("quote_time").alias("last_update"), outcome.alias("outcomes")))
+        return src.flatten(s.select(F.col("quote_time").alias("timestamp"), "event", F.array(F.struct(F.col("book").alias("key"), market.alias("markets"))).alias("bookmakers")))
 
+    return run_in_parts(spark, d, "flatten", build).select("event", "book", "player", big("price"), F.col("quote_time").cast("timestamp_ntz").alias("quote_time"))
 
-@query("""SELECT count(*) FILTER (won IS NULL) pending, count(*) FILTER (won) won, count(*) FILTER (NOT won) lost FROM (SELECT w.event_id, w.ts, r.won FROM events w LEFT JOIN (SELECT event_id - 1 id, ts, "value" > 20 won FROM events WHERE event_type IN ('purchase', 'error')) r
+
+@query(f"""WITH e AS ({ON_TIME}) SELECT count(*) FILTER (won IS NULL) pending, count(*) FILTER (won) won, count(*) FILTER (NOT won) lost FROM (SELECT w.event_id, w.ts, r.won FROM e w LEFT JOIN (SELECT event_id - 1 id, ts, "value" > 20 won FROM e WHERE event_type IN ('purchase', 'error')) r
 ON r.id = w.event_id AND r.ts >= w.ts AND r.ts <= w.ts + INTERVAL 6 HOUR WHERE w.event_type = 'click') WHERE won IS NOT NULL OR ts + INTERVAL 6 HOUR < (SELECT max(ts) - INTERVAL 20 MINUTE FROM events)""")
 def stream_settlement(spark: SparkSession, d: str) -> DataFrame:
     """Wagers wait six hours for their result; what the watermark has passed without one is pending."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    read = lambda: spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    w = read().where("event_type = 'click'").select(F.col("event_id").alias("wager_id"), F.col("ts").alias("placed_at"))
-    r = read().where("event_type IN ('purchase', 'error')").select((F.col("event_id") - 1).alias("wager_id"), F.col("ts").alias("known_at"), (F.col("value") > 20).alias("won"))
-    out = run_to_end(st.settle(w, r).select("wager_id", "placed_at", "won", "status"), "settle")
+
+    def build(read: Callable[[], DataFrame]) -> DataFrame:
+        own = lambda: read().withColumn("ts", F.col("ts").cast("timestamp"))
+        w = own().where("event_type = 'click'").select(F.col("event_id").alias("wager_id"), F.col("ts").alias("placed_at"))
+        r = own().where("event_type IN ('purchase', 'error')").select((F.col("event_id") - 1).alias("wager_id"), F.col("ts").alias("known_at"), (F.col("value") > 20).alias("won"))
+        return st.settle(w, r).select("wager_id", "placed_at", "won", "status")
+
+    out = run_in_parts(spark, d, "settle", build)
     top = v.table(spark, d, "events").agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL 20 MINUTES")).alias("top"))
     done = out.join(F.broadcast(top)).where("won IS NOT NULL OR placed_at + INTERVAL 6 HOURS < top")
     return done.agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "won").alias("won"), F.count_if(F.col("status") == "lost").alias("lost"))

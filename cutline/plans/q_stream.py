@@ -1,7 +1,9 @@
-"""Streaming queries over the events table, run to the end of what is there."""
+"""Streaming queries over the events table, delivered in parts, with a restart after each part."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,51 +12,83 @@ from ..streaming import freeze as st
 from . import views as v
 from .registry import query
 
+PARTS = 3
+#: Events that arrive on time: some of the first third come with the last part only.
+ON_TIME = """SELECT * FROM events WHERE NOT (event_id % 50 = 0 AND ts < (SELECT min(ts) + to_microseconds(CAST(date_diff('microsecond', min(ts), max(ts)) AS BIGINT) // 3) FROM events))"""
+
+
+def parts_of(spark: SparkSession, d: str) -> list[DataFrame]:
+    """The events by time in three parts; every fiftieth of the first part is late and comes with the last."""
+    e = v.table(spark, d, "events")
+    lo, hi = e.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).head()
+    if lo is None:
+        return [e] * PARTS
+    step = (hi - lo) // PARTS
+    at = F.least(F.lit(PARTS - 1), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - lo) / max(step, 1)))
+    at = F.when((F.col("event_id") % 50 == 0) & (F.unix_micros(F.col("ts").cast("timestamp")) < lo + step), PARTS - 1).otherwise(at)
+    return [e.where(at == k) for k in range(PARTS)]
 
-def stream_of(spark: SparkSession, d: str) -> DataFrame:
-    """The events file as a stream of quotes."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+def quotes_of(raw: DataFrame) -> DataFrame:
+    """Events as quotes."""
     return raw.select(
         F.to_date(F.date_trunc("week", "ts")).cast("string").alias("event"), F.col("user_id").alias("player"), F.concat(F.lit("b"), F.col("event_id") % 4).alias("book"),
         (F.when(F.col("event_id") % 3 == 0, -1).otherwise(1) * (100 + F.floor(F.col("value") * 5).cast("int"))).cast("int").alias("price"), F.col("ts").cast("timestamp").alias("quote_time"),
     )
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a stream has written once all available input is done."""
-    spark = stream.sparkSession
+def run_in_parts(spark: SparkSession, d: str, name: str, build: Callable[[Callable[[], DataFrame]], DataFrame]) -> DataFrame:
+    """What a stream has written after all parts.
+
+    Each part is a batch of new files, however many; after it the query stops, and the
+    next one starts anew from the checkpoint, so state, watermark and the sink's record of
+    what is done must survive.  build gets a function that opens the stream of events.
+    """
     at = staging.place(spark, name)
-    q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    schema = v.table(spark, d, "events").schema
+    out = None
+    for part in parts_of(spark, d):
+        part.write.mode("append").parquet(f"{at}/in")
+        stream = build(lambda: spark.readStream.schema(schema).parquet(f"{at}/in"))
+        out = stream.schema
+        q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(out).parquet(f"{at}/out")
 
 
-@query("""SELECT date_trunc('minute', ts)::TIMESTAMP "minute", count(*) quotes FROM events WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1""")
+@query(f"""SELECT date_trunc('minute', ts)::TIMESTAMP "minute", count(*) quotes, count(DISTINCT event_id % 4) books, min(ts) oldest FROM ({ON_TIME}) WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1""")
 def stream_minute_monitor(spark: SparkSession, d: str) -> DataFrame:
-    """Closed minutes only: the watermark holds the last ones back."""
-    out = run_to_end(st.minute_monitor(stream_of(spark, d)), "monitor")
-    return out.select(F.col("minute").cast("timestamp_ntz").alias("minute"), "quotes")
+    """Closed minutes only: the watermark holds the last ones back, and what comes later than it is dropped."""
+    out = run_in_parts(spark, d, "monitor", lambda read: st.minute_monitor(quotes_of(read())))
+    return out.select(F.col("minute").cast("timestamp_ntz").alias("minute"), "quotes", "books", F.col("oldest").cast("timestamp_ntz").alias("oldest"))
 
 
-@query(v.sql("""SELECT event::VARCHAR AS event, player, book, quote_time FROM v_quotes JOIN v_cutoff USING (event) WHERE quote_time <= cutoff GROUP BY ALL"""))
+@query(v.sql("""SELECT event::VARCHAR AS event, player, book, quote_time FROM v_quotes JOIN v_cutoff USING (event) WHERE quote_time <= cutoff AND event_id IN (SELECT event_id FROM ontime) GROUP BY ALL""", ("ontime", ON_TIME)))
 def stream_on_time(spark: SparkSession, d: str) -> DataFrame:
     """Late quotes dropped, repeats dropped, by the same rule as the batch."""
     cuts = v.cutoffs(spark, d).select(F.col("event").cast("string").alias("event"), F.col("cutoff").cast("timestamp").alias("cutoff"))
-    s = st.distinct_quotes(stream_of(spark, d), ["event", "player", "book"]).join(F.broadcast(cuts), "event").where("quote_time <= cutoff")
-    return run_to_end(s.select("event", "player", "book", "quote_time"), "ontime").withColumn("quote_time", F.col("quote_time").cast("timestamp_ntz"))
 
+    def build(read: Callable[[], DataFrame]) -> DataFrame:
+        s = st.distinct_quotes(quotes_of(read()), ["event", "player", "book"])
+        return s.join(cuts, "event").where("quote_time <= cutoff").select("event", "player", "book", "quote_time")
 
-@query(v.sql("""SELECT q.event::VARCHAR AS event, player, book, max(quote_time) quote_time FROM v_quotes q JOIN v_cutoff USING (event) WHERE quote_time <= cutoff AND cutoff < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2, 3"""))
+    return run_in_parts(spark, d, "ontime", build).withColumn("quote_time", F.col("quote_time").cast("timestamp_ntz"))
+
+
+@query(v.sql("""SELECT q.event::VARCHAR AS event, player, book, max(quote_time) quote_time, arg_max(price, (quote_time, price))::BIGINT price FROM v_quotes q JOIN v_cutoff USING (event) WHERE quote_time <= cutoff AND cutoff < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) AND event_id IN (SELECT event_id FROM ontime) GROUP BY 1, 2, 3""", ("ontime", ON_TIME)))
 def stream_freeze(spark: SparkSession, d: str) -> DataFrame:
-    """One frozen set of newest quotes per event, once event time has passed its cutoff."""
+    """One frozen set of newest quotes per event and player, once event time has passed its cutoff."""
     cuts = v.cutoffs(spark, d).select(F.col("event").cast("string").alias("event"), F.col("cutoff").cast("timestamp").alias("cutoff"))
-    s = stream_of(spark, d).withWatermark("quote_time", "10 minutes").join(F.broadcast(cuts), "event").select("event", "player", "book", "price", "quote_time", "cutoff")
+
+    def build(read: Callable[[], DataFrame]) -> DataFrame:
+        s = quotes_of(read()).withWatermark("quote_time", "10 minutes").join(cuts, "event")
+        return st.freeze(s.select("event", "player", "book", "price", "quote_time", "cutoff"))
+
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = run_to_end(st.freeze(s), "freeze")
+        out = run_in_parts(spark, d, "freeze", build)
     finally:
         spark.conf.set(name, before)
-    return out.select("event", "player", "book", F.col("quote_time").cast("timestamp_ntz").alias("quote_time"))
+    return out.select("event", "player", "book", F.col("quote_time").cast("timestamp_ntz").alias("quote_time"), F.col("price").cast("long").alias("price"))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .schema import SNAPSHOT
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshot files, one document each or one per line; what does not parse is dropped."""
-    return spark.read.schema(SNAPSHOT).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+def read_snapshots(spark: SparkSession, path: str, whole_files: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(parsed, rejected) snapshot documents: one a line, or one a file; what does not parse is kept as text."""
+    return parse_snapshots(spark.read.option("wholetext", whole_files).text(path))
 
 
 def parse_snapshots(raw: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:

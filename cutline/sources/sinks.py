@@ -14,6 +14,14 @@ def write_once(df: DataFrame, path: str, fmt: str = "parquet", partition_by: lis
     (w.partitionBy(*partition_by) if partition_by else w).save(path)
 
 
+def concat_seasons(parts: list[DataFrame], path: str, season: str) -> None:
+    """One dataset of several season files, ragged columns as null, a folder for each season; never overwrites."""
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    write_once(whole, path, partition_by=[season])
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +21,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     at = place(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+_ONCE: dict[tuple[str, ...], DataFrame] = {}
+
+
+def once(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A staged table that several jobs of one application share, made by the first of them."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _ONCE:
+        _ONCE[key] = stage(build(), name)
+    return _ONCE[key]

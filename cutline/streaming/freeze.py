@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 def on_time(quotes: DataFrame, cutoffs: DataFrame, key: str = "event", time: str = "quote_time", delay: str = "10 minutes") -> DataFrame:
     """A watermarked stream without what is later than its key's cutoff; cutoffs is static."""
-    return quotes.withWatermark(time, delay).join(F.broadcast(cutoffs), key).where(F.col(time) <= F.col("cutoff"))
+    return quotes.withWatermark(time, delay).join(cutoffs, key).where(F.col(time) <= F.col("cutoff"))
 
 
 def distinct_quotes(quotes: DataFrame, keys: list[str], time: str = "quote_time", delay: str = "10 minutes") -> DataFrame:
@@ -23,40 +23,49 @@ def distinct_quotes(quotes: DataFrame, keys: list[str], time: str = "quote_time"
 
 
 class FreezeAtCutoff(StatefulProcessor):
-    """Keeps the newest quote of each (player, book) of an event; emits them once, when event time passes the cutoff.
+    """Keeps the newest quote of each book of one (event, player); emits them once, when event time passes the cutoff.
 
-    State of an event is one entry per (player, book).  A quote after the cutoff, or for
-    an event that is frozen, is dropped.
+    A batch is reduced to one quote a book before state is touched.  A quote after the
+    cutoff, or for what is frozen, is dropped.  The mark that something is frozen goes
+    ``KEEP_DAYS`` later: by then the watermark itself drops what could wake it.
     """
 
     KEPT = "quote_time timestamp, price int"
+    KEEP_DAYS = 7
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getMapState("newest", "player long, book string", self.KEPT)
+        self.newest = handle.getMapState("newest", "book string", self.KEPT)
         self.frozen = handle.getValueState("frozen", "at timestamp")
 
+    @staticmethod
+    def _millis(at) -> int:
+        stamp = pd.Timestamp(at)
+        return int((stamp.tz_localize("UTC") if stamp.tzinfo is None else stamp).timestamp() * 1000)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if self.frozen.exists():
             return iter(())
-        cut = None
-        for part in rows:
-            for r in part.itertuples(index=False):
-                cut = r.cutoff
-                if r.quote_time > r.cutoff:
-                    continue
-                at = (int(r.player), r.book)
-                old = self.newest.getValue(at) if self.newest.containsKey(at) else None
-                if old is None or (old[0], old[1]) < (r.quote_time.to_pydatetime(), int(r.price)):
-                    self.newest.updateValue(at, (r.quote_time.to_pydatetime(), int(r.price)))
-        if cut is not None and not list(self.handle.listTimers()):
-            self.handle.registerTimer(int(pd.Timestamp(cut).tz_localize("UTC").timestamp() * 1000) if pd.Timestamp(cut).tzinfo is None else int(pd.Timestamp(cut).timestamp() * 1000))
+        parts = [p[p["quote_time"] <= p["cutoff"]] for p in rows]
+        new = pd.concat(parts).sort_values(["quote_time", "price"]).drop_duplicates("book", keep="last")
+        for r in new.itertuples(index=False):
+            at, own = (r.book,), (r.quote_time.to_pydatetime(), int(r.price))
+            old = self.newest.getValue(at) if self.newest.containsKey(at) else None
+            if old is None or (old[0], old[1]) < own:
+                self.newest.updateValue(at, own)
+        if len(new) and not list(self.handle.listTimers()):
+            self.handle.registerTimer(self._millis(new["cutoff"].iloc[0]))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = [(key[0], k[0], k[1], v[0], v[1]) for k, v in self.newest.iterator()]
-        self.frozen.update((pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms").to_pydatetime(),))
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        if self.frozen.exists():
+            self.frozen.clear()
+            return
+        rows = [(key[0], key[1], k[0], v[0], v[1]) for k, v in self.newest.iterator()]
+        self.frozen.update((pd.Timestamp(due, unit="ms").to_pydatetime(),))
         self.newest.clear()
+        self.handle.registerTimer(due + self.KEEP_DAYS * 86_400_000)
         yield pd.DataFrame(rows, columns=["event", "player", "book", "quote_time", "price"])
 
     def close(self) -> None:
@@ -73,7 +82,7 @@ def freeze(quotes: DataFrame) -> DataFrame:
     driver and need not find this package.
     """
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    return quotes.groupBy("event").transformWithStateInPandas(FreezeAtCutoff(), FROZEN, "append", "eventTime")
+    return quotes.groupBy("event", "player").transformWithStateInPandas(FreezeAtCutoff(), FROZEN, "append", "eventTime")
 
 
 def minute_monitor(quotes: DataFrame, time: str = "quote_time", delay: str = "10 minutes") -> DataFrame:

@@ -137,7 +137,9 @@ def test_snapshots_round_trip(spark, tmp_path):
     doc = {"timestamp": "2024-01-01T00:00:30Z", "event": "e", "bookmakers": [{"key": "b", "markets": [{"key": "m", "last_update": "2024-01-01T00:00:00Z", "outcomes": [{"name": "Over", "description": "P", "point": 1.5, "price": 120}]}]}]}
     (tmp_path / "a.json").write_text(json.dumps(doc, indent=1))
     (tmp_path / "b.json").write_text("{broken")
-    flat = quotes.flatten(quotes.read_snapshots(spark, str(tmp_path))).collect()
+    good, broken = quotes.read_snapshots(spark, str(tmp_path), whole_files=True)
+    assert [r["value"] for r in broken.collect()] == ["{broken"]
+    flat = quotes.flatten(good).collect()
     assert [(r["book"], r["side"], r["line"], r["price"]) for r in flat] == [("b", "Over", 1.5, 120)]
     ok, bad = quotes.parse_snapshots(spark.createDataFrame([(json.dumps(doc),), ("{broken",)], "value string"))
     assert (ok.count(), bad.count()) == (1, 1)
