@@ -103,6 +103,40 @@ def season_scores(df: DataFrame, season: str, seasons: list[int], fit, score) ->
     return out
 
 
+def group_models(train: DataFrame, test: DataFrame, by: str, numeric: list[str], label: str, min_rows: int = 500, min_positives: int = 50, least_c: float = 1.0) -> DataFrame:
+    """test with p and status: one model for each group that has rows and positives enough, else null and insufficient.
+
+    The groups are few, as positions are; each fit is distributed over the group's rows.
+    """
+    size = {r[0]: (r[1], r[2]) for r in train.groupBy(by).agg(F.count(F.lit(1)), F.sum(label)).collect()}  # one row a group
+    fine = sorted(k for k, (n, ones) in size.items() if k is not None and n >= min_rows and (ones or 0) >= min_positives)
+    rest = test.where(~F.col(by).isin(fine) | F.col(by).isNull()) if fine else test
+    out = rest.withColumn("p", F.lit(None).cast("double")).withColumn("status", F.lit("insufficient"))
+    for g in fine:
+        own = F.col(by) == g
+        p = score_probability(fit_logistic(train.where(own), numeric, label, c=least_c), test.where(own), numeric)
+        out = out.unionByName(p.withColumn("status", F.lit("fitted")))
+    return out
+
+
+def ablation(train: DataFrame, test: DataFrame, families: dict[str, list[str]], label: str) -> DataFrame:
+    """family, n_fields, n, log_loss, brier of one logistic model for each family of fields, on the same rows."""
+    rows = None
+    for name, fields in families.items():
+        p = score_probability(fit_logistic(train, fields, label), test, fields)
+        one = metrics.probability_metrics(p, "p", label).select(F.lit(name).alias("family"), F.lit(len(fields)).alias("n_fields"), "n", "log_loss", "brier")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def sanity_ratios(scored: DataFrame, by: list[str], axis: str, near: float, far: float, p: str = "p") -> DataFrame:
+    """by, ratio of the score near to the score far along an axis, and whether it never rises from near to far."""
+    w = Window.partitionBy(*by).orderBy(axis)
+    t = scored.withColumn("_fall", F.coalesce(F.col(p) <= F.lag(p).over(w), F.lit(True)))
+    at = lambda x: F.max(F.when(F.col(axis) == x, F.col(p)))
+    return t.groupBy(*by).agg((at(near) / at(far)).alias("near_far_ratio"), F.bool_and("_fall").alias("monotonic"))
+
+
 def platt(df: DataFrame, p: str, y: str) -> tuple[float, float]:
     """(intercept, slope) of the label on the logit."""
     model = Pipeline(stages=[VectorAssembler(inputCols=["_l"], outputCol="_f"), LogisticRegression(labelCol=y, featuresCol="_f", regParam=0.0, standardization=False, maxIter=500, tol=1e-12)])

@@ -9,19 +9,33 @@ from ..functions import dist
 from ..operators import lag, metrics, models
 from ..sources import staging
 from . import views as v
-from .registry import query
+from .q_lag import HIST
+from .q_stats import PLATT, platt_sql
+from .registry import query, r6
 
 FIELDS = ["last3_metric", "last8_metric", "ewma_metric", "last5_share"]
+USAGE = ["last5_carries", "last5_targets", "last8_carries", "last8_targets"]
+VALUE = ["last5_all_value", "last8_all_value", "last5_share", "ewma_all_value"]
+RATE = ["last8_hit"]
+TEAM = ["team_metric", "last3_metric"]
+#: Families of fields: rate, value, usage and rate, usage and value, and both with the team, without and with rate.
+FAMILIES = {"A": RATE, "B": VALUE, "C": USAGE + RATE, "D": USAGE + VALUE, "E": TEAM + USAGE + VALUE, "F": TEAM + USAGE + VALUE + RATE}
 
 
 def frame(spark: SparkSession, d: str) -> DataFrame:
-    """Lagged features with labels: whether an order scores, and how often."""
-    g = v.player_games(spark, d)
-    t = v.games(spark, d).select("game_id", "entity", "season", "priority", "kickoff", "prediction_time")
-    a = lag.prefix_features(v.games(spark, d), t, ["entity"], metrics=["metric"], windows={"last3": 3, "last8": 8})
-    b = lag.prefix_features(g, t, ["entity"], shares={"share": ("td_value", "all_value")}, windows={"last5": 5}, with_ewma=False).select("game_id", "last5_share")
-    lab = g.select("game_id", (F.coalesce("tds", F.lit(0)) > 0).cast("double").alias("label"), F.coalesce("tds", F.lit(0)).cast("double").alias("tds"))
-    return staging.stage(a.join(b, "game_id").join(lab, "game_id"), "features")
+    """Lagged features with labels: whether an order scores, and how often.  Written once an application."""
+    return staging.once(spark, "features", d, lambda: _frame(spark, d))
+
+
+def _frame(spark: SparkSession, d: str) -> DataFrame:
+    g = v.player_games(spark, d).withColumn("hit", (F.coalesce("tds", F.lit(0)) > 0).cast("double"))
+    t = v.games(spark, d).select("game_id", "entity", "grp", "season", "priority", "kickoff", "prediction_time")
+    metrics_ = ["metric", "carries", "targets", "all_value", "hit"]
+    own = lag.prefix_features(g, t, ["entity"], metrics=metrics_, shares={"share": ("td_value", "all_value")}, windows={"last3": 3, "last5": 5, "last8": 8}, null_policy="skip")
+    days = v.games(spark, d).groupBy("grp", "kickoff").agg(F.avg("metric").alias("metric")).withColumn("available_at", F.col("kickoff") + F.expr("INTERVAL 1 DAY")).withColumn("day_id", F.date_format("kickoff", "yyyyMMdd").cast("long"))
+    team = lag.prefix_features(days, t.select("game_id", "grp", "prediction_time"), ["grp"], row_id="day_id", metrics=["metric"], windows={"team": 5}, with_ewma=False).select("game_id", "team_metric")
+    lab = g.select("game_id", F.col("hit").alias("label"), F.coalesce("tds", F.lit(0)).cast("double").alias("tds"))
+    return own.join(team, "game_id").join(lab, "game_id")
 
 
 def _seasons(df: DataFrame) -> tuple[int, int]:
@@ -31,11 +45,11 @@ def _seasons(df: DataFrame) -> tuple[int, int]:
 
 @query()
 def logistic_forward(spark: SparkSession, d: str) -> DataFrame:
-    """The two last seasons, each scored by a model of those before it."""
+    """Every season but the first two, each scored by a model of those before it."""
     f = frame(spark, d)
-    _, hi = _seasons(f)
+    lo, hi = _seasons(f)
     out = models.season_scores(
-        f, "season", [hi - 1, hi], lambda t: models.fit_logistic(t, FIELDS, "label", ["priority"]), lambda m, s: models.score_probability(m, s, FIELDS, ["priority"])
+        f, "season", list(range(lo + 2, hi + 1)), lambda t: models.fit_logistic(t, FIELDS, "label", ["priority"]), lambda m, s: models.score_probability(m, s, FIELDS, ["priority"])
     )
     return metrics.probability_metrics(out, "p", "label", ["season", "fit_upto"])
 
@@ -66,49 +80,43 @@ def trees_forward(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def group_models(spark: SparkSession, d: str) -> DataFrame:
-    """One model per priority, where there are enough rows."""
+    """One model per priority where there are rows and positives enough."""
     f = frame(spark, d)
     _, hi = _seasons(f)
     train, test = models.forward(f, "season", hi - 1, hi)
-    size = {r[0]: r[1] for r in train.groupBy("priority").count().collect()}  # the few priorities
-    parts = []
-    for g in sorted(k for k, n in size.items() if n >= 50):
-        m = models.fit_logistic(train.where(F.col("priority") == g), FIELDS, "label")
-        parts.append(models.score_probability(m, test.where(F.col("priority") == g), FIELDS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return metrics.probability_metrics(out, "p", "label", ["priority"])
+    out = models.group_models(train, test, "priority", FIELDS, "label")
+    return metrics.probability_metrics(out, "p", "label", ["priority", "status"])
 
 
 @query()
 def family_ablation(spark: SparkSession, d: str) -> DataFrame:
-    """Feature families, scored on the same last season: a registry of their scores."""
+    """Six families of fields, scored on the same last season: a registry of their scores."""
     f = frame(spark, d)
     _, hi = _seasons(f)
     train, test = models.forward(f, "season", hi - 1, hi)
-    rows = None
-    for name, fields in {"A": FIELDS[:1], "B": FIELDS[:3], "C": FIELDS}.items():
-        p = models.score_probability(models.fit_logistic(train, fields, "label"), test, fields)
-        one = metrics.probability_metrics(p, "p", "label").withColumn("family", F.lit(name))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    return models.ablation(train, test, FAMILIES, "label")
 
 
-@query()
+_HALF = """SELECT *, "at" < (SELECT min(ts) + to_microseconds(CAST(date_diff('microsecond', min(ts), max(ts)) AS BIGINT) // 2) FROM events) first_half FROM v_scored"""
+_CAL = "1 / (1 + exp(-(a + b * ln(least(1 - 1e-6, greatest(1e-6, p2)) / (1 - least(1 - 1e-6, greatest(1e-6, p2)))))))"
+_L = "avg(CASE WHEN y = 1 THEN -ln(least(1 - 1e-6, greatest(1e-6, {0}))) ELSE -ln(1 - least(1 - 1e-6, greatest(1e-6, {0}))) END)"
+
+
+@query(platt_sql("fit", "p2", "early", f"""SELECT (SELECT count(*) FROM v_scored) AS rows, round(a, 4) intercept, round(b, 4) slope, l1 < l0 AND b1 < b0 accepted FROM (SELECT a, b, {_L.format(_CAL)} l1, {_L.format("p2")} l0, avg(({_CAL} - y) * ({_CAL} - y)) b1, avg((p2 - y) * (p2 - y)) b0 FROM half, (SELECT a, b FROM fit WHERE i = 25) WHERE NOT first_half GROUP BY 1, 2)""", ("half", _HALF), ("early", "SELECT * FROM half WHERE first_half")))
 def platt_accept(spark: SparkSession, d: str) -> DataFrame:
     """A sigmoid fitted on one half in time, accepted only if it helps on the other."""
-    s = v.scored(spark, d)
-    mid = s.agg(F.percentile_approx(F.col("at").cast("timestamp"), 0.5)).head()[0]
-    at = F.col("at").cast("timestamp")
-    fitted, ok = models.calibrate_if_better(s.where(at < F.lit(mid)), s.where(at >= F.lit(mid)), "p2", "y")
-    return s.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(round(fitted[0], 6)).alias("intercept"), F.lit(round(fitted[1], 6)).alias("slope"), F.lit(ok).alias("accepted"))
+    s = v.scored(spark, d).withColumn("_us", F.unix_micros(F.col("at").cast("timestamp")))
+    lo, hi = s.agg(F.min("_us"), F.max("_us")).head()
+    mid = (lo or 0) + ((hi or 0) - (lo or 0)) // 2
+    fitted, ok = models.calibrate_if_better(s.where(F.col("_us") < mid), s.where(F.col("_us") >= mid), "p2", "y")
+    return s.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(round(fitted[0], 4)).alias("intercept"), F.lit(round(fitted[1], 4)).alias("slope"), F.lit(ok).alias("accepted"))
 
 
-@query()
+@query(platt_sql("fit", "p", "v_scored", "SELECT 'p' score, round(a, 4) intercept, round(b, 4) slope FROM fit WHERE i = 25 UNION ALL SELECT 'p2', round(a, 4), round(b, 4) FROM fit2 WHERE i = 25").replace("SELECT 'p' score", PLATT.format(name="fit2", p="p2", rows="v_scored").removeprefix("RECURSIVE ").join([", ", " "]) + "SELECT 'p' score", 1).replace(") , fit2", "), fit2"))
 def calibration_slope(spark: SparkSession, d: str) -> DataFrame:
+    """Intercept and slope of the label on each score's logit."""
     s = v.scored(spark, d)
-    rows = [(name, *models.platt(s, name, "y")) for name in ("p", "p2")]
+    rows = [(name, *(round(x, 4) for x in models.platt(s, name, "y"))) for name in ("p", "p2")]
     return spark.createDataFrame(rows, "score string, intercept double, slope double")
 
 
@@ -144,15 +152,22 @@ def residual_test(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(models.wald(s, ["market", "gap"], "y", m.coefficients.toArray().tolist(), m.intercept), "term string, coefficient double, se double, z double")
 
 
-@query()
+_FEATURES = """SELECT game_id, avg(metric) FILTER (rn <= 3) last3_metric, avg(metric) FILTER (rn <= 8) last8_metric, sum(metric * pow(0.5::DOUBLE, (rn - 1) / 3.0::DOUBLE)) / sum(pow(0.5::DOUBLE, (rn - 1) / 3.0::DOUBLE)) ewma_metric,
+    CASE WHEN sum(all_value) FILTER (rn <= 5) > 0 THEN sum(td_value) FILTER (rn <= 5) / sum(all_value) FILTER (rn <= 5) END last5_share FROM h GROUP BY 1"""
+_CORR = " UNION ALL ".join(f"SELECT '{a}' \"left\", '{b}' \"right\", corr({a}, {b}) c FROM f WHERE last5_share IS NOT NULL" for i, a in enumerate(FIELDS) for b in FIELDS[i + 1 :])
+
+
+@query(v.sql(f'SELECT "left", "right", round(c, 6) corr FROM ({_CORR}) WHERE abs(c) >= 0.5', ("h", HIST), ("f", _FEATURES)))
 def corr_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return models.correlated_pairs(frame(spark, d), FIELDS, least=0.5)
+    """Pairs of fields that say the same."""
+    return models.correlated_pairs(frame(spark, d), FIELDS, least=0.5).select("left", "right", r6("corr"))
 
 
 @query()
 def scenario_grid(spark: SparkSession, d: str) -> DataFrame:
-    """A grid of contexts scored by a model of the plays: nearer scenes of each kind."""
+    """A grid of contexts scored by a model of the plays, with the ratio of near to far of each kind and whether scores only fall with distance."""
     p = v.plays(spark, d).where("kind IS NOT NULL").select(F.col("yardline").cast("double").alias("yard"), F.col("air").cast("double").alias("air"), "kind", F.col("td").cast("double").alias("label"))
     m = models.fit_logistic(p, ["yard", "air"], "label", ["kind"])
     grid = p.select("kind").distinct().select("kind", F.explode(F.array(*(F.lit(float(x)) for x in (1, 5, 20, 60)))).alias("yard")).withColumn("air", F.lit(10.0))
-    return models.score_probability(m, grid, ["yard", "air"], ["kind"])
+    scored = models.score_probability(m, grid, ["yard", "air"], ["kind"])
+    return scored.join(models.sanity_ratios(scored, ["kind"], "yard", 1.0, 60.0), "kind")
