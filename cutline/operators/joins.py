@@ -55,12 +55,26 @@ def asof_join(
     return seen.where(F.col("_l").isNotNull()).select("_l.*", *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
-def band_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], *, left_time: str, right_time: str, seconds: float, left_id: str) -> DataFrame:
-    """Pairs with equal keys whose times differ by at most so many seconds, with n_matches of each left row."""
-    cond = F.abs(F.unix_micros(F.col(left_time).cast("timestamp")) - F.unix_micros(F.col(right_time).cast("timestamp"))) <= int(seconds * 1_000_000)
-    for a, b in keys:
-        cond = cond & (F.col(a) == F.col(b))
-    return left.join(right, cond).withColumn("n_matches", F.count(F.lit(1)).over(Window.partitionBy(left_id)))
+def band_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], *, left_time: str, right_time: str, seconds: float, left_id: str, single: bool = False) -> DataFrame:
+    """Pairs with equal keys whose times differ by at most so many seconds, with n_matches of each left row.
+
+    Both sides meet by key and by buckets of twice that time, so a long history of one key
+    is many buckets, each with what lies near.  single fails the query where a left row
+    has more than one match.  Null keys and times match nothing.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    reach = max(int(seconds * 1_000_000), 1)
+    bucket = lambda c: F.floor(c / F.lit(2 * reach)).cast("long")
+    a = left.withColumn("_bucket", bucket(micros(left_time)))
+    b = right.withColumn("_b", F.explode(F.array_distinct(F.array(bucket(micros(right_time) - reach), bucket(micros(right_time) + reach)))))
+    cond = (F.col("_bucket") == F.col("_b")) & (F.abs(micros(left_time) - micros(right_time)) <= int(seconds * 1_000_000))
+    for x, y in keys:
+        cond = cond & (F.col(x) == F.col(y))
+    out = a.join(b, cond).drop("_bucket", "_b").withColumn("n_matches", F.count(F.lit(1)).over(Window.partitionBy(left_id)))
+    if single:
+        told = F.concat(F.lit("more than one match for "), F.col(left_id).cast("string"))
+        out = out.where(F.when(F.col("n_matches") > 1, F.raise_error(told).cast("boolean")).otherwise(F.lit(True)))
+    return out
 
 
 def resolve(rows: DataFrame, candidates: DataFrame, *, name: str, candidate_name: str, candidate_id: str, normalise, allowed: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -87,6 +101,14 @@ def conflicts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count_distinct(value).alias("n_values")).where("n_values > 1")
 
 
+def require_one_value(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """rows; the query fails where a key carries more than one value, as two spellings of one name in a book."""
+    w = Window.partitionBy(*keys)
+    told = F.concat(F.lit("conflicting values of "), F.to_json(F.struct(*keys)))
+    fine = F.when(F.min(value).over(w) != F.max(value).over(w), F.raise_error(told).cast("boolean")).otherwise(F.lit(True))
+    return rows.withColumn("_fine", fine).where("_fine").drop("_fine")
+
+
 def coverage_gap(planned: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     return planned.join(present.select(*keys).distinct(), keys, "left_anti")
 

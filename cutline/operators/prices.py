@@ -9,11 +9,18 @@ from ..functions import odds
 from . import joins
 
 
-def eligible(quotes: DataFrame, cutoffs: DataFrame, keys: list[str], *, times: list[str], cutoff: str = "cutoff") -> DataFrame:
-    """Quotes of which every clock is at or before the key's cutoff; a missing clock is too late."""
+def eligible(quotes: DataFrame, cutoffs: DataFrame, keys: list[str], *, times: list[str], cutoff: str = "cutoff", wrapper: str | None = None) -> DataFrame:
+    """Quotes of which every clock is at or before the key's cutoff; a missing clock is too late.
+
+    wrapper: the clock of the snapshot that a quote came in.  A snapshot taken after the
+    cutoff should not be here at all: it fails the query instead of being left out.
+    """
     ok = F.lit(True)
     for t in times:
         ok = ok & F.coalesce(F.col(t) <= F.col(cutoff), F.lit(False))
+    if wrapper:
+        late = ~F.coalesce(F.col(wrapper) <= F.col(cutoff), F.lit(False))
+        ok = F.when(late, F.raise_error(F.concat(F.lit("snapshot after the cutoff of "), F.to_json(F.struct(*keys)))).cast("boolean")).otherwise(ok)
     return quotes.join(cutoffs, keys).where(ok)
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, timing
-from ..operators import audit, joins
+from ..operators import audit, joins, prices
+from ..sources import boxscore
 from ..sources import quotes as src
 from ..sources import schema, sinks, staging
 from . import views as v
@@ -71,7 +72,7 @@ def report_bundle(spark: SparkSession, d: str) -> DataFrame:
     return summary.join(rows.groupBy("entity").agg(F.count(F.lit(1)).alias("rows")), "entity").select("entity", "n", F.round("total", 4).alias("total"), "rows")
 
 
-@query("""SELECT count(*) rows, true AS overwrite_refused, true AS missing_column_refused, true AS unknown_field_refused, true AS result_field_refused, true AS late_season_refused, true AS ambiguous_refused, true AS altered_table_refused, true AS over_budget_refused FROM orders""")
+@query("""SELECT count(*) rows, true AS overwrite_refused, true AS missing_column_refused, true AS unknown_field_refused, true AS result_field_refused, true AS late_season_refused, true AS ambiguous_refused, true AS altered_table_refused, true AS over_budget_refused, true AS late_wrapper_refused, true AS conflict_refused, true AS many_matches_refused, true AS partner_refused, true AS ambiguous_scorer_refused FROM orders""")
 def guards_refuse(spark: SparkSession, d: str) -> DataFrame:
     """Every guard on whole tables with a fault in them: each must raise."""
     o = v.table(spark, d, "orders").withColumn("season", F.year("o_orderdate"))
@@ -83,7 +84,10 @@ def guards_refuse(spark: SparkSession, d: str) -> DataFrame:
         "unknown_field_refused": lambda: schema.closed(o, o.drop("season").schema), "result_field_refused": lambda: schema.feature_matrix(o, ["o_orderkey", "o_orderstatus"], ["o_orderstatus"]),
         "late_season_refused": lambda: schema.season_firewall(o, 1990, 2000), "ambiguous_refused": lambda: audit.ambiguous(o, ["o_custkey"], strict=True)[0].count(),
         "altered_table_refused": lambda: sinks.verify_fingerprint(o.withColumn("o_totalprice", F.col("o_totalprice") + (F.col("o_orderkey") == 1).cast("int")), stored),
-        "over_budget_refused": lambda: audit.require_budget(o.groupBy("season").agg(F.count(F.lit(1)).alias("cost")), "cost", 10),
+        "late_wrapper_refused": lambda: prices.eligible(v.quotes(spark, d), v.cutoffs(spark, d), ["event"], times=["quote_time"], wrapper="snapshot_time").count(),
+        "conflict_refused": lambda: joins.require_one_value(v.table(spark, d, "part"), ["p_name"], "p_brand").count(), "many_matches_refused": lambda: _band(spark, d, 10 * 86_400, single=True).count(),
+        "partner_refused": lambda: joins.beside(o, v.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"]).count(),
+        "ambiguous_scorer_refused": lambda: _scorers(spark, d, strict=True).agg(F.sum("scored")).collect(), "over_budget_refused": lambda: audit.require_budget(o.groupBy("season").agg(F.count(F.lit(1)).alias("cost")), "cost", 10),
     }
     schema.season_firewall(o, 1990, 2010)
     sinks.verify_fingerprint(o, stored)
@@ -125,3 +129,41 @@ def disagreement_history(spark: SparkSession, d: str) -> DataFrame:
     h = v.table(spark, d, "events").select(F.col("user_id").alias("player"), "event_type", "ts", "event_id")
     out = audit.disagreements(w, "x", ["event", "player"], h, ["player"], value="event_type", order=["ts", "event_id"], aliases=c, alias="alias")
     return out.select("event", "player", r6("x", "disagreement"), F.col("books").alias("n_books"), "n_history", "tail", "ambiguous")
+
+
+def _band(spark: SparkSession, d: str, seconds: int, single: bool) -> DataFrame:
+    e = v.table(spark, d, "events")
+    b = e.where("event_type = 'error'").select(F.col("event_id").alias("other_id"), F.col("user_id").alias("u"), F.col("ts").alias("at"))
+    return joins.band_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), b, [("user_id", "u")], left_time="ts", right_time="at", seconds=seconds, left_id="event_id", single=single)
+
+
+def _scorers(spark: SparkSession, d: str, strict: bool = False) -> DataFrame:
+    """Suppliers as players of an order: every eleventh shares its name with the next, every thirteenth has another team."""
+    l = v.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("game"), F.col("l_suppkey").alias("id")).agg(F.count_if(F.col("l_discount") >= 0.09).alias("n"))
+    name = F.concat(F.lit("Player "), F.when(F.col("id") % 11 == 0, F.col("id") + 1).otherwise(F.col("id")))
+    told = l.select("game", "id", name.alias("name"), (F.col("id") % 2).alias("team"), "n")
+    rows = told.select("game", "id", F.upper("name").alias("name"), F.when(F.col("id") % 13 == 0, 9).otherwise(F.col("team")).alias("team"))
+    return boxscore.scorers(told, rows, ["game"], name="name", team="team", normalise=text.normalize_name, strict=strict)
+
+
+@query("""WITH l AS (SELECT l_orderkey game, l_suppkey id, CASE WHEN l_suppkey % 11 = 0 THEN l_suppkey + 1 ELSE l_suppkey END nm, l_suppkey % 2 team, count(*) FILTER (l_discount >= 0.09) n FROM lineitem GROUP BY 1, 2), o AS (SELECT game, nm, count(*) k, sum(n) n, any_value(team) team FROM l GROUP BY 1, 2)
+SELECT team_status, count(*) n, coalesce(sum(CASE WHEN team_status = 'OK' THEN n END), 0)::BIGINT scored FROM (SELECT CASE WHEN k > 1 THEN 'AMBIGUOUS_SCORER' WHEN id % 13 = 0 THEN 'TEAM_MISMATCH' WHEN o.team <> l.team THEN 'TEAM_MISMATCH' ELSE 'OK' END team_status, o.n FROM l JOIN o USING (game, nm)) GROUP BY 1""")
+def slate_scorers(spark: SparkSession, d: str) -> DataFrame:
+    """Scores matched to a slate by name: shared names and other teams are told, not counted."""
+    out = _scorers(spark, d)
+    return out.groupBy("team_status").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("scored"), F.lit(0)).cast("long").alias("scored"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) - 1 AS "at", o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END o_totalprice FROM orders) QUALIFY "at" < 100""")
+def sorted_report(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred rows of a global sort, numbered as they come: nulls last, ties by key."""
+    o = v.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("o_totalprice"))
+    top = o.orderBy(F.col("o_totalprice").desc_nulls_last(), "o_orderkey").limit(100)
+    return top.agg(F.collect_list("o_orderkey").alias("ids")).select(F.posexplode("ids").alias("at", "o_orderkey")).select(big("at"), "o_orderkey")  # a hundred rows
+
+
+@query("""SELECT count(*) rows, sum(('0x' || substr(md5('=' || o_orderkey || '|=' || o_custkey || '|=' || o_orderstatus || '|' || CASE WHEN o_orderkey % 7 = 0 THEN '-' ELSE '=' || o_orderpriority END), 1, 12))::BIGINT::HUGEINT)::VARCHAR digest FROM orders""")
+def portable_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """A digest of a table that another engine repeats, in any order of rows."""
+    o = v.table(spark, d, "orders").withColumn("priority", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")))
+    return sinks.portable_fingerprint(o, ["o_orderkey", "o_custkey", "o_orderstatus", "priority"]).withColumn("digest", F.col("digest").cast("string"))

@@ -32,3 +32,20 @@ def outcomes(flat: DataFrame, offence: list[str], defence: list[str], returns: s
     zero = F.lit(0.0)
     top = F.greatest(*(F.coalesce(F.col(f"_{g}"), zero) for g in defence)) if len(defence) > 1 else F.coalesce(F.col(f"_{defence[0]}"), zero)
     return out.select("game", "team", "player", F.coalesce("offensive", zero).alias("offensive"), (top + F.coalesce("_returns", zero)).alias("special"))
+
+
+def scorers(results: DataFrame, rows: DataFrame, keys: list[str], *, name: str, team: str, normalise, strict: bool = False) -> DataFrame:
+    """rows with scored (null where nobody of that name is in the results) and team_status.
+
+    results and rows have the keys, a name and a team; results have ``n``.  A name that two
+    players of a game share is AMBIGUOUS_SCORER, or with strict an error; one whose team
+    differs from the row's is TEAM_MISMATCH and counts nothing.
+    """
+    r = results.select(*keys, normalise(F.col(name)).alias("_name"), F.col(team).alias("_team"), "n")
+    one = r.groupBy(*keys, "_name").agg(F.count(F.lit(1)).alias("_players"), F.first("_team").alias("_team"), F.sum("n").alias("_n"))
+    out = rows.withColumn("_name", normalise(F.col(name))).join(one, [*keys, "_name"], "left")
+    many = F.col("_players") > 1
+    if strict:
+        many = F.when(many, F.raise_error(F.lit("ambiguous scorer")).cast("boolean")).otherwise(F.lit(False))
+    status = F.when(F.col("_players").isNull(), "UNKNOWN").when(many, "AMBIGUOUS_SCORER").when(~F.col("_team").eqNullSafe(F.col(team)), "TEAM_MISMATCH").otherwise("OK")
+    return out.withColumn("team_status", status).withColumn("scored", F.when(F.col("team_status") == "OK", F.col("_n"))).drop("_name", "_players", "_team", "_n")

@@ -10,7 +10,7 @@ from .schema import SNAPSHOT
 
 def read_snapshots(spark: SparkSession, path: str, whole_files: bool = False) -> tuple[DataFrame, DataFrame]:
     """(parsed, rejected) snapshot documents: one a line, or one a file; what does not parse is kept as text."""
-    return parse_snapshots(spark.read.option("wholetext", whole_files).text(path))
+    return parse_snapshots(spark.read.text(path, wholetext=whole_files))
 
 
 def parse_snapshots(raw: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:

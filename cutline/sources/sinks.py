@@ -47,6 +47,13 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("digest"))
 
 
+def portable_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
+    """rows and an order-insensitive digest that any engine with MD5 can repeat: of integers and strings, nulls apart from empty."""
+    text = F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns))
+    h = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).alias("digest"))
+
+
 def verify_fingerprint(df: DataFrame, stored: DataFrame) -> None:
     """An error if df is not what the stored fingerprint was taken of."""
     have, want = fingerprint(df).head(), stored.head()

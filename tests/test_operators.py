@@ -169,3 +169,70 @@ def test_audits_count_injected_violations(spark):
         audit.require_budget(spark.createDataFrame([(10,)], "c int"), "c", 9)
     ok, bad = audit.ambiguous(spark.createDataFrame([(1,), (1,), (2,)], "k int"), ["k"])
     assert (ok.count(), bad.count()) == (1, 2)
+
+
+def test_imputer_keeps_a_column_without_values(spark):
+    from cutline.operators import models
+
+    rows = [(float(i % 7), None, float(i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, empty double, label double")
+    m = models.fit_logistic(df, ["a", "empty"], "label")
+    assert models.score_probability(m, df, ["a", "empty"]).where("p IS NULL").count() == 0
+
+
+def test_group_models_need_rows_and_positives(spark):
+    from cutline.operators import models
+
+    rows = [(g, float(i % 5), float(i % 3 == 0)) for g, n in (("a", 90), ("b", 10)) for i in range(n)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 0.0)], "g string, x double, label double")
+    out = models.group_models(df, df, "g", ["x"], "label", min_rows=50, min_positives=20)
+    assert {(r["g"], r["status"], r["p"] is None) for r in out.collect()} == {("a", "fitted", False), ("b", "insufficient", True), (None, "insufficient", True)}
+
+
+def test_quantiles_and_upper_median_by_group(spark):
+    import random
+
+    from cutline.operators import metrics
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)])) for _ in range(900)]
+    df = spark.createDataFrame([(g, float(x) if x is not None else None) for g, x in rows], "g string, x double")
+    got = {r["g"]: (r["q"], r["m"]) for r in metrics.quantiles(df, "x", {"q": 0.9, "m": 0.5}, ["g"]).collect()}
+    up = {r["g"]: r["upper_median"] for r in metrics.upper_median(df, "x", ["g"]).collect()}
+    for g in ("a", "b", None):
+        xs = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[g] == pytest.approx((float(np.quantile(xs, 0.9)), float(np.quantile(xs, 0.5))))
+        assert up[g] == xs[len(xs) // 2]
+    assert metrics.quantiles(df.limit(0), "x", {"q": 0.9}, ["g"]).count() == 0
+
+
+def test_line_chances(spark):
+    import math
+
+    from cutline.functions import dist
+
+    def nb(mean, alpha, k):
+        if alpha == 0:
+            return math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        r = 1 / alpha
+        return math.exp(math.lgamma(k + r) - math.lgamma(r) - math.lgamma(k + 1) + r * math.log(r / (r + mean)) + k * math.log(mean / (r + mean)))
+
+    cases = [(60.0, 0.0, 65.5), (60.0, 0.0, 65.0), (2.3, 0.9, 0.0), (900.0, 0.0, 880.0), (0.5, 0.2, 3.5)]
+    df = spark.createDataFrame(cases, "m double, a double, l double")
+    for (m, a, line), r in zip(cases, df.select(dist.line_chances(F.col("m"), F.col("a"), F.col("l")).alias("o")).collect(), strict=True):
+        under = sum(nb(m, a, k) for k in range(math.ceil(line)))
+        push = nb(m, a, int(line)) if line == int(line) else 0.0
+        assert (r["o"]["over"], r["o"]["under"], r["o"]["push"]) == pytest.approx((1 - under - push, under, push), abs=1e-9)
+    zero = spark.createDataFrame([(0.0, 0.0, 0.5), (0.0, 0.0, 0.0), (1.0, 0.0, -1.0)], "m double, a double, l double").select(dist.line_chances(F.col("m"), F.col("a"), F.col("l")).alias("o")).collect()
+    assert [tuple(r["o"]) if r["o"] else None for r in zero] == [(0.0, 1.0, 0.0), (0.0, 0.0, 1.0), None]
+
+
+def test_band_join_fails_on_more_than_one(spark):
+    from cutline.operators import joins
+
+    a = spark.createDataFrame([(1, "k", 0), (2, None, 0)], "id int, k string, s int").withColumn("t", F.timestamp_seconds("s"))
+    b = spark.createDataFrame([("k", 50, "x"), ("k", -60, "y"), ("k", 61, "z"), (None, 0, "n")], "k2 string, s2 int, v string").withColumn("t2", F.timestamp_seconds("s2"))
+    args = {"left_time": "t", "right_time": "t2", "seconds": 60, "left_id": "id"}
+    assert sorted((r["id"], r["v"], r["n_matches"]) for r in joins.band_join(a, b, [("k", "k2")], **args).collect()) == [(1, "x", 2), (1, "y", 2)]
+    with pytest.raises(Exception, match="more than one match"):
+        joins.band_join(a, b, [("k", "k2")], **args, single=True).collect()
