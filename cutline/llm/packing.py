@@ -58,7 +58,8 @@ class Encoder:
     """Token ids as the tokenizers library gives them for a byte-level BPE file.
 
     Ordinary text is encoded by tiktoken from the same vocabulary, which is several times
-    as fast; texts that contain a special token's string go through tokenizers itself.
+    as fast; texts that contain a special token's string go through tokenizers itself, and
+    so does every text if the file does not split by the published pattern alone.
     """
 
     def __init__(self, path: str):
@@ -68,6 +69,11 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [a["content"] for a in spec["added_tokens"]]
+        split = spec.get("pre_tokenizer") or {}
+        known = spec["model"].get("type", "BPE") == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.published = known and not spec.get("normalizer") and not spec["model"].get("dropout") and not spec["model"].get("ignore_merges")
+        if not self.published:
+            return
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -81,7 +87,7 @@ class Encoder:
         return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str) -> array:
-        if any(s in text for s in self.special):
+        if not self.published or any(s in text for s in self.special):
             return array("I", self.plain.encode(text, add_special_tokens=False).ids)
         if len(text) <= _SLICE:
             return array("I", self.fast.encode_ordinary(text))

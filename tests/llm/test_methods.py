@@ -187,3 +187,19 @@ def test_extraction_edges(spark):
     got = sorted(((r["page_id"] or 0, r["n_chars"], r["text"][:20]) for r in html_main.extract_main(df).collect()))
     assert got == [(0, 8, "T\nBody 2"), (1, 8, "T\nBody 1"), (1, 8, "T\nBody 1"), (3, 0, ""), (4, 0, ""), (5, 2_199_999, "long words long word")]
     assert html_main.extract_main(df.where(F.lit(False))).count() == 0
+
+
+def test_other_splits_go_through_the_tokenizer(tmp_path):
+    """A file with another pre-tokenizer is not taken for the published one."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(TOKENIZER, encoding="utf-8").read())
+    spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    at = tmp_path / "other.json"
+    at.write_text(json.dumps(spec), encoding="utf-8")
+    own, plain = packing.Encoder(str(at)), Tokenizer.from_file(str(at))
+    assert packing.Encoder(TOKENIZER).published and not own.published
+    for text in ("plain words here", "", "It's 12 o'clock"):
+        assert own(text).tolist() == plain.encode(text, add_special_tokens=False).ids
