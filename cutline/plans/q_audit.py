@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import aggregates as agg
 from ..operators import audit, lag
 from ..sources import sinks
 from . import views as v
@@ -132,14 +133,37 @@ def probability_sums_audit(spark: SparkSession, d: str) -> DataFrame:
     return e.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(F.col("s") - 1) > 1e-9).alias("not_one"))
 
 
-@query(v.sql("""SELECT game_id, s.entity, prior_game, label::BIGINT label, CASE WHEN prior_game IS NULL THEN 'NO_HISTORY' ELSE 'PASS' END status FROM (SELECT g.game_id, g.entity, (coalesce(g.tds, 0) > 0)::INT label, (SELECT max(h.h_id) FROM h WHERE h.game_id = g.game_id AND rn = 1)::DOUBLE prior_game FROM v_player_game g) s""", ("h", HIST)))
+_WEEKS = """SELECT user_id player, date_trunc('week', ts)::DATE w, count(*) n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2"""
+_PRIOR = """SELECT event, player, sum(n) usage, avg(n) FILTER (rn <= 3) recent, max(w) latest FROM (SELECT p.event, p.player, h.n, h.w, row_number() OVER (PARTITION BY p.event, p.player ORDER BY h.w DESC) rn FROM (SELECT DISTINCT event, player FROM v_eligible) p JOIN weeks h ON h.player = p.player AND h.w < p.event) GROUP BY 1, 2"""
+_FRESH = """SELECT event, player, book, least(t1, t2) older FROM (SELECT event, player, book, max(quote_time) FILTER (side = 'Over') t1, max(quote_time) FILTER (side = 'Under') t2 FROM v_eligible GROUP BY 1, 2, 3) WHERE t1 IS NOT NULL AND t2 IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY event, player ORDER BY least(t1, t2) DESC, greatest(t1, t2) DESC, book) = 1"""
+
+
+@query(v.sql("""SELECT e.event, e.player, usage_rank, coalesce(usage, 0)::BIGINT usage, round(recent, 6) recent_mean, f.book package_book, f.older package_time, told quote_time, coalesce(won, false) AS label, CASE WHEN told > cutoff THEN 'quote_time' ELSE '' END violations, CASE WHEN told > cutoff THEN 'BLOCKED' ELSE 'PASS' END status, greatest((latest + 7)::TIMESTAMP, f.older, told) max_available
+    FROM (SELECT event, player, cutoff, CASE WHEN player % 17 = 0 THEN q + INTERVAL 5 DAY ELSE q END told, usage, recent, latest, row_number() OVER (PARTITION BY event ORDER BY coalesce(usage, 0) DESC, player) usage_rank FROM (SELECT event, player, max(cutoff) cutoff, max(quote_time) q FROM v_eligible GROUP BY 1, 2) LEFT JOIN prior USING (event, player)) e
+    LEFT JOIN fresh f ON f.event = e.event AND f.player = e.player LEFT JOIN v_wagers w ON w.event = e.event AND w.player = e.player WHERE usage_rank <= 2""", ("weeks", _WEEKS), ("prior", _PRIOR), ("fresh", _FRESH)))
 def audited_sample(spark: SparkSession, d: str) -> DataFrame:
-    """The end-to-end point-in-time row: target, latest source, label and status."""
-    f = lag.prefix_features(v.games(spark, d), _targets(spark, d), ["entity"], windows={}, with_ewma=False, lineage=1)
-    lab = v.player_games(spark, d).select("game_id", (F.coalesce("tds", F.lit(0)) > 0).cast("long").alias("label"))
-    out = audit.temporal(f.join(lab, "game_id"), "prediction_time", ["latest_used", "max_available_at"], [])
-    status = F.when(F.col("source_ids").isNull(), "NO_HISTORY").otherwise(F.col("status"))
-    return out.select("game_id", "entity", F.col("source_ids").cast("double").alias("prior_game"), "label", status.alias("status"))
+    """The end-to-end point-in-time row of each week's two players of most prior usage.
+
+    Usage and recent mean from the weeks before, the freshest two-sided package, the
+    newest quote, the label, the newest clock of all and what it violates; some quotes
+    are told too late on purpose.
+    """
+    from ..operators import prices
+
+    e = v.table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("player"), F.to_date(F.date_trunc("week", "ts")).alias("w"))
+    weeks = e.groupBy("player", "w").agg(F.count(F.lit(1)).alias("n")).withColumn("begins", F.col("w").cast("timestamp_ntz")).withColumn("ends", F.col("begins") + F.expr("INTERVAL 7 DAYS"))
+    q = v.eligible_quotes(spark, d)
+    keys = ["event", "player"]
+    rows = q.groupBy(*keys).agg(F.max("cutoff").alias("cutoff"), F.max("quote_time").alias("quote_time"))
+    rows = lag.prefix_features(weeks, rows, ["player"], time="begins", available_at="ends", cutoff="cutoff", row_id="w", metrics=["n"], windows={"last3": 3, "all": None}, null_policy="skip", sums=True, with_ewma=False, lineage=1)
+    top = agg.first_n(rows.withColumn("usage", F.coalesce("all_sum_n", F.lit(0)).cast("long")), ["event"], [F.desc("usage"), F.col("player")], 2)
+    sides = q.groupBy(*keys, "book").agg(*(F.max(F.when(F.col("side") == s, F.col("quote_time"))).alias(t) for s, t in (("Over", "t1"), ("Under", "t2")))).where("t1 IS NOT NULL AND t2 IS NOT NULL")
+    fresh = prices.freshest_package(sides, keys, first_time="t1", second_time="t2", priority=F.lit(0), tie="book").select(*keys, F.col("book").alias("package_book"), F.least("t1", "t2").alias("package_time"))
+    out = top.join(fresh, keys, "left").join(v.wagers(spark, d).select(*keys, "won"), keys, "left")
+    out = out.withColumn("quote_time", F.when(F.col("player") % 17 == 0, F.col("quote_time") + F.expr("INTERVAL 5 DAYS")).otherwise(F.col("quote_time")))
+    out = audit.temporal(out, "cutoff", ["max_available_at"], ["package_time", "quote_time"])
+    return out.select(*keys, F.col("rank").cast("long").alias("usage_rank"), "usage", r6("last3_n", "recent_mean"), "package_book", "package_time", "quote_time", F.coalesce("won", F.lit(False)).alias("label"), "violations", "status", "max_available")
 
 
 @query()

@@ -238,12 +238,18 @@ def budget_plan(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event", "planned", "quoted", missing.alias("missing"), (missing * 10).alias("credits"))
 
 
-@query(v.sql("""SELECT w.event, count(*) n, count(*) FILTER (age > 0) flagged, prices FROM (SELECT event, count(DISTINCT price) prices FROM v_per_book GROUP BY 1) x JOIN (SELECT event, player, date_diff('microsecond', best_time, cutoff) / 1e6 age FROM v_wagers JOIN v_cutoff USING (event)) w USING (event) GROUP BY 1, 4"""))
+@query(v.sql("""SELECT event, player, best_book, round("decimal", 6) "decimal", books, round(p, 6) p, round(date_diff('microsecond', best_time, cutoff) / 1e6, 6) age, 3::BIGINT refused_fields FROM v_wagers JOIN v_cutoff USING (event)"""))
 def closed_pregame_view(spark: SparkSession, d: str) -> DataFrame:
-    """A closed view of what was known before kickoff keeps every row."""
+    """The rows as they were known before kickoff, under a closed schema; fields that bear a result are refused."""
     from ..sources import schema
 
-    w = v.wagers(spark, d).join(v.cutoffs(spark, d), "event")
-    view = schema.feature_matrix(w.withColumn("age", timing.seconds_between(F.col("best_time"), F.col("cutoff"))), ["event", "player", "age"], forbidden=["won", "profit"])
-    q = prices.one_per_book(v.eligible_quotes(spark, d), ["event", "player"], tie="event_id").groupBy("event").agg(F.count_distinct("price").alias("prices"))
-    return view.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("age") > 0).alias("flagged")).join(q, "event")
+    w = v.wagers(spark, d).join(v.cutoffs(spark, d), "event").withColumn("age", timing.seconds_between(F.col("best_time"), F.col("cutoff")))
+    fields, results = ["event", "player", "best_book", "decimal", "books", "p", "age"], ["won", "profit", "clv"]
+    view = schema.closed(schema.feature_matrix(w, fields, forbidden=results), w.select(*fields).schema)
+    refused = 0
+    for f in results:
+        try:
+            schema.feature_matrix(w, [*fields, f], forbidden=results)
+        except ValueError:
+            refused += 1
+    return view.select("event", "player", "best_book", r6("decimal"), "books", r6("p"), r6("age"), F.lit(refused).cast("long").alias("refused_fields"))
