@@ -27,7 +27,7 @@ def history_join(
 
 
 def asof_join(
-    left: DataFrame, right: DataFrame, keys: list[str], *, left_time: str, right_time: str, values: list[str], strict: bool = False, order: list[str] | None = None
+    left: DataFrame, right: DataFrame, keys: list[str], *, left_time: str, right_time: str, values: list[str], strict: bool = False, order: list[str] | None = None, chunk: float | None = None
 ) -> DataFrame:
     """left with the values of the latest right row at or before (strict: before) left_time.
 
@@ -35,6 +35,10 @@ def asof_join(
     breaks ties among right rows of one time, the last wins.  No match gives nulls.  As in
     any equi-join a null key matches nothing; right rows without a time are left out, and
     a null left_time sees nothing.
+
+    chunk: seconds of a chunk of the time line.  A key is then scanned in chunks by as many
+    tasks, and only each chunk's last value is carried on, so a key with a third of all
+    rows is no long task.
     """
     order = order or []
     for k in [*keys, right_time]:
@@ -50,8 +54,17 @@ def asof_join(
         *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(right_time).alias("_t"), F.lit(1).alias("_tag"),
         *(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)), pack.alias("_v"), F.lit(None).cast(l.schema["_l"].dataType).alias("_l"),
     )
-    w = Window.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy("_t", "_tag", *(f"_o{i}" for i in range(len(order))))
-    seen = l.unionByName(r).withColumn("_v", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    by, then = [f"_k{i}" for i in range(len(keys))], ["_t", "_tag", *(f"_o{i}" for i in range(len(order)))]
+    both = l.unionByName(r)
+    last = lambda keys: F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*then).rowsBetween(Window.unboundedPreceding, 0))
+    if chunk is None:
+        seen = both.withColumn("_v", last(by))
+    else:
+        both = both.withColumn("_c", F.floor(F.unix_micros(F.col("_t").cast("timestamp")) / F.lit(chunk * 1e6)))
+        ends = both.groupBy(*by, "_c").agg(F.max_by("_v", F.when(F.col("_tag") == 1, F.struct(*then))).alias("_end"))
+        before = Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*by, "_c", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+        seen = both.join(carried, [*by, "_c"], "left").withColumn("_v", F.coalesce(last([*by, "_c"]), F.col("_carry")))
     return seen.where(F.col("_l").isNotNull()).select("_l.*", *(F.col(f"_v.{v}").alias(v) for v in values))
 
 

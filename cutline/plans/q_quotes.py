@@ -152,7 +152,7 @@ def asof_strict(spark: SparkSession, d: str) -> DataFrame:
     e = v.table(spark, d, "events")
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     right = e.where("event_type IN ('view', 'signup')").select("user_id", F.col("ts").alias("at"), F.col("event_type").alias("last_type"), F.col("event_id").alias("rid"))
-    out = joins.asof_join(left, right, ["user_id"], left_time="ts", right_time="at", values=["last_type"], strict=True, order=["rid"])
+    out = joins.asof_join(left, right, ["user_id"], left_time="ts", right_time="at", values=["last_type"], strict=True, order=["rid"], chunk=7 * 86_400)
     return out.select("event_id", F.coalesce("last_type", F.lit("Unknown")).alias("last_type"))
 
 
@@ -162,7 +162,7 @@ def asof_inclusive(spark: SparkSession, d: str) -> DataFrame:
     q = v.quotes(spark, d)
     left = q.select("event", "player").distinct().join(v.cutoffs(spark, d).select("event", "cutoff"), "event")
     right = q.select("player", "quote_time", "event_id", "price")
-    out = joins.asof_join(left, right, ["player"], left_time="cutoff", right_time="quote_time", values=["event_id", "price"], order=["event_id"])
+    out = joins.asof_join(left, right, ["player"], left_time="cutoff", right_time="quote_time", values=["event_id", "price"], order=["event_id"], chunk=7 * 86_400)
     return out.select("event", "player", F.col("event_id").cast("double").alias("event_id"), F.col("price").cast("double").alias("price"))
 
 

@@ -167,3 +167,18 @@ def test_beside_needs_one_partner(spark):
     for a, b in (([1, 2], [1, 1]), ([1], [1, 2]), ([1, 2], [1]), ([None], [None])):
         with pytest.raises(Exception, match="no single partner"):
             joins.beside(make(a), make(b), ["k"]).collect()
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_chunked_asof_equals_the_whole_scan(spark, strict):
+    import random
+
+    rng = random.Random(3)
+    at = lambda: T0 + timedelta(hours=rng.randrange(0, 2000)) if rng.random() > 0.05 else None
+    left = spark.createDataFrame([(i, rng.choice(["a", "a", "b", "c", None]), at()) for i in range(200)], "i int, k string, t timestamp")
+    right = spark.createDataFrame([(j, rng.choice(["a", "a", "b", None]), at()) for j in range(120)], "j int, k string, u timestamp")
+    args = {"left_time": "t", "right_time": "u", "values": ["j"], "strict": strict, "order": ["j"]}
+    whole = {r["i"]: r["j"] for r in joins.asof_join(left, right, ["k"], **args).collect()}
+    for chunk in (3600 * 7, 86_400 * 30):
+        assert {r["i"]: r["j"] for r in joins.asof_join(left, right, ["k"], **args, chunk=chunk).collect()} == whole
+    assert sum(v is not None for v in whole.values()) > 100
