@@ -7,7 +7,9 @@ Bisection.  alpha is the largest exponent in [0, 1] whose weights reach the targ
 entropy (a fraction of the greatest possible, log of the number of sources); where some
 source would then be repeated more often than ``max_repeats`` times under the budget,
 alpha is raised until it is not.  Both conditions are monotonic in alpha, so each is
-bisected, in one expression over the array of shares.
+bisected, in one expression over the array of shares.  Of more than ``broadcast_sources``
+sources no array is made: the same bisection runs on sums over the table of shares, sixteen
+sections a pass, and only those sums reach the driver.
 
 Block permutations.  Each source gets weight x budget tokens.  It gives its whole text as
 many full times as fit; what remains is filled from a permutation of its blocks: blocks
@@ -89,17 +91,56 @@ def exponent(shares: Column, budget: float, cfg: MixConfig) -> Column:
     return F.when(F.size(shares) < 2, F.lit(1.0)).otherwise(F.round(F.greatest(flat, tame), 6))
 
 
+def exponent_by_sums(shares: DataFrame, budget: float, cfg: MixConfig) -> float:
+    """The same alpha for a table with a positive ``share`` in each row, by sums alone."""
+    n, least = shares.agg(F.count(F.lit(1)), F.min("share")).head()
+    if n < 2:
+        return 1.0
+    p = F.col("share")
+
+    def values(points: list[float]) -> list[tuple[float, float]]:
+        """Entropy and greatest repetition at each exponent, from one row of sums."""
+        row = shares.agg(*(c for a in points for c in (F.sum(F.pow(p, F.lit(a))), F.sum(F.pow(p, F.lit(a)) * F.log(p))))).head()
+        pairs = list(zip(row[::2], row[1::2], strict=True))
+        return [(math.log(z) - a * s / z, least ** (a - 1) / z * budget) for a, (z, s) in zip(points, pairs, strict=True)]
+
+    def bisect(good_low) -> tuple[float, float]:
+        lo, hi = 0.0, 1.0
+        for _ in range(cfg.steps // 4):
+            points = [lo + (hi - lo) * i / 16 for i in range(1, 16)]
+            k = sum(good_low(v) for v in values(points))
+            lo, hi = points[k - 1] if k else lo, points[k] if k < 15 else hi
+        return lo, hi
+
+    target = math.log(n) * cfg.entropy
+    at_0, at_1 = values([0.0, 1.0])
+    flat = 1.0 if at_1[0] >= target else bisect(lambda v: v[0] >= target)[0]
+    tame = 0.0 if at_0[1] <= cfg.max_repeats else bisect(lambda v: v[1] > cfg.max_repeats)[1]
+    return round(max(flat, tame), 6)
+
+
 def mixture_plan(counted: DataFrame, cfg: MixConfig) -> DataFrame:
     """source, tokens, weight, quota, copies and remainder for each source of (source, tokens).
 
     Sources without a token get weight 0 and are passed through once.
     """
     some = counted.where("tokens > 0")
+    if some.count() > cfg.broadcast_sources:
+        n = some.agg(F.sum("tokens")).head()[0]
+        shares = some.select((F.col("tokens").cast("double") / F.lit(float(n))).alias("share"))
+        alpha = exponent_by_sums(shares, cfg.budget, cfg)
+        solved = shares.agg(F.lit(n).cast("long").alias("total"), F.lit(alpha).alias("alpha"), F.sum(F.pow("share", F.lit(alpha))).alias("z"))
+        return _quotas(counted, solved, cfg)
     total = some.agg(F.sum("tokens").alias("total"), F.sort_array(F.collect_list("tokens")).alias("all"))
     shares = F.transform("all", lambda t: t.cast("double") / F.col("total").cast("double"))
     solved = total.where("total > 0").withColumn("shares", shares)
     solved = solved.withColumn("alpha", exponent(F.col("shares"), cfg.budget, cfg))
     solved = solved.withColumn("z", F.expr("aggregate(shares, 0D, (acc, p) -> acc + power(p, alpha))")).select("total", "alpha", "z")
+    return _quotas(counted, solved, cfg)
+
+
+def _quotas(counted: DataFrame, solved: DataFrame, cfg: MixConfig) -> DataFrame:
+    """Weights, quotas, copies and remainders under the one row of total, alpha and z."""
     plan = counted.join(F.broadcast(solved), how="left")  # one row
     raw = F.pow(F.col("tokens").cast("double") / F.col("total").cast("double"), F.col("alpha")) / F.col("z")
     plan = plan.withColumn("weight", F.when(F.col("tokens") > 0, F.round(raw, 9)).otherwise(F.lit(0.0)))

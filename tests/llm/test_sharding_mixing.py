@@ -142,3 +142,11 @@ def test_mixing_edges(spark):
     assert one.count() == df.where("source = 's4'").count()
     empty = spark.createDataFrame([(1, None, "a", "x"), (2, "", "b", "y")], SCHEMA)
     assert mixing.mix_sources(empty).count() == 2
+
+
+@pytest.mark.parametrize("cfg", [{}, {"entropy": 0.99, "max_repeats": 1.5}, {"budget": 2.5}, {"entropy": 0.2, "max_repeats": 50.0}])
+def test_many_sources_take_sums_instead_of_an_array(spark, cfg):
+    rows = [(f"s{i}", int(10_000 / (1 + i) ** 1.3) + 1) for i in range(300)] + [("none", 0)]
+    counted = spark.createDataFrame(rows, "source string, tokens long")
+    plan = lambda **k: sorted(map(tuple, mixing.mixture_plan(counted, mixing.MixConfig(**cfg, **k)).collect()))
+    assert plan(broadcast_sources=0) == plan()
