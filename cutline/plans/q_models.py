@@ -140,7 +140,15 @@ def importance(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, coefficient double, config int, gain double").orderBy(F.desc(F.abs("coefficient")), "feature", "config")
 
 
-@query()
+_ROWS = """SELECT y, ln(least(1 - 1e-6, greatest(1e-6, p2)) / (1 - least(1 - 1e-6, greatest(1e-6, p2)))) u, (p - p2) * 10.0::DOUBLE w FROM v_scored"""
+#: Cofactors of the Fisher information of (1, u, w), and its determinant.
+_COF = """h11 * h22 - h12 * h12 c00, h02 * h12 - h01 * h22 c01, h01 * h12 - h02 * h11 c02, h00 * h22 - h02 * h02 c11, h01 * h02 - h00 * h12 c12, h00 * h11 - h01 * h01 c22, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) det"""
+_STEP = f"""SELECT i, a, b, c, {_COF}, g0, g1, g2 FROM (SELECT i, a, b, c, sum(k) h00, sum(k * u) h01, sum(k * w) h02, sum(k * u * u) h11, sum(k * u * w) h12, sum(k * w * w) h22, sum(y - q) g0, sum((y - q) * u) g1, sum((y - q) * w) g2
+    FROM (SELECT *, q * (1 - q) k FROM (SELECT i, a, b, c, y, u, w, 1 / (1 + exp(-(a + b * u + c * w))) q FROM fit, x)) GROUP BY 1, 2, 3, 4)"""
+
+
+@query(v.sql("SELECT 1 AS one FROM v_scored").split(" SELECT 1 AS one")[0].replace("WITH ", "WITH RECURSIVE ", 1) + f""", x AS ({_ROWS}), fit AS (SELECT 0 i, 0.0::DOUBLE a, 1.0::DOUBLE b, 0.0::DOUBLE c UNION ALL SELECT i + 1, a + (c00 * g0 + c01 * g1 + c02 * g2) / det, b + (c01 * g0 + c11 * g1 + c12 * g2) / det, c + (c02 * g0 + c12 * g1 + c22 * g2) / det FROM ({_STEP}) WHERE i < 25),
+    info AS ({_STEP.replace("FROM fit, x", "FROM (SELECT * FROM fit WHERE i = 25) fit, x")}) SELECT term, round(k, 4) coefficient, round(se, 4) se, round(k / se, 2) z FROM (SELECT 'intercept' term, a k, sqrt(c00 / det) se FROM info UNION ALL SELECT 'market', b, sqrt(c11 / det) FROM info UNION ALL SELECT 'gap', c, sqrt(c22 / det) FROM info)""")
 def residual_test(spark: SparkSession, d: str) -> DataFrame:
     """Whether a model adds to the market: the label on the market's logit and the scaled difference."""
     s = v.scored(spark, d).withColumn("market", dist.logit(F.col("p2"))).withColumn("gap", (F.col("p") - F.col("p2")) * 10.0)
@@ -148,8 +156,9 @@ def residual_test(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
     x = VectorAssembler(inputCols=["market", "gap"], outputCol="features").transform(s)
-    m = LogisticRegression(labelCol="y", regParam=0.0, standardization=False, maxIter=100).fit(x)
-    return spark.createDataFrame(models.wald(s, ["market", "gap"], "y", m.coefficients.toArray().tolist(), m.intercept), "term string, coefficient double, se double, z double")
+    m = LogisticRegression(labelCol="y", regParam=0.0, standardization=False, maxIter=500, tol=1e-12).fit(x)
+    out = models.wald(s, ["market", "gap"], "y", m.coefficients.toArray().tolist(), m.intercept)
+    return spark.createDataFrame([(n, round(b, 4), round(e, 4), round(z, 2)) for n, b, e, z in out], "term string, coefficient double, se double, z double")
 
 
 _FEATURES = """SELECT game_id, avg(metric) FILTER (rn <= 3) last3_metric, avg(metric) FILTER (rn <= 8) last8_metric, sum(metric * pow(0.5::DOUBLE, (rn - 1) / 3.0::DOUBLE)) / sum(pow(0.5::DOUBLE, (rn - 1) / 3.0::DOUBLE)) ewma_metric,
