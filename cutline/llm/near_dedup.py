@@ -33,7 +33,11 @@ from .scratch import Scratch
 
 @dataclass(frozen=True)
 class NearConfig:
-    """width: words of a shingle.  similarity: the link threshold, as a fraction of whole hundredths."""
+    """width: words of a shingle.  percent: the link threshold, in whole hundredths.
+
+    broadcast_rows: rows to remove, of two numbers each, up to which near_dedup filters
+    without a shuffle of the texts; beyond it the filter is a join by key.
+    """
 
     width: int = 5
     percent: int = 80
@@ -44,6 +48,7 @@ class NearConfig:
     miss: float = 1e-5
     block_shingles: int = 1_000_000
     chunk_bytes: int = 1_500_000
+    broadcast_rows: int = 2_000_000
 
 
 @lru_cache(maxsize=8)
@@ -120,7 +125,7 @@ def _signatures(sets: list[np.ndarray], n_hashes: int) -> np.ndarray:
 
 def _sketch(cfg: NearConfig):
     used = cfg.bands * cfg.rows
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("vid", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("text_hash", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("vid", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("text_hash", pa.int64()), ("row_key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +142,7 @@ def _sketch(cfg: NearConfig):
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * cfg.bands), pa.array(key.ravel()))
                 check = np.ascontiguousarray(sig[:, used:])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(n), pa.array(_vertex_ids(sets), pa.binary()), bands, pa.array([r.tobytes() for r in check], pa.binary()), batch.column(2).slice(a, b - a)],
+                    [ids.slice(a, b - a), pa.array(n), pa.array(_vertex_ids(sets), pa.binary()), bands, pa.array([r.tobytes() for r in check], pa.binary()), *(batch.column(k).slice(a, b - a) for k in (2, 3))],
                     schema=schema,
                 )
             T.release_memory()
@@ -255,40 +260,26 @@ def _components(docs: DataFrame, cfg: NearConfig, id_col: str, text_col: str) ->
     """One row per row of docs: doc_id, n_shingles, text_hash, component (null without words) and its component_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, vid binary, bands array<long>, sig binary, text_hash long"
-    rows = scratch.table(source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch(cfg), schema), "rows")
-
-    # One vertex for each distinct set; its copies only pass their ids on.
-    ids = scratch.table(
-        rows.where("n_shingles > 0").groupBy("vid").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n")), "vertices"
-    )
-    full = rows.where("n_shingles > 0").select("vid", "doc_id", "text_hash", "bands", "sig").alias("r")
-    rep = ids.select(F.col("vid").alias("v"), "least_id")
-    reps = full.join(rep, (F.col("r.vid") == F.col("v")) & F.col("r.doc_id").eqNullSafe(F.col("least_id")), "left_semi").dropDuplicates(["vid"])
-    reps = scratch.table(reps, "reps")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    # A row is told by its id and two hashes of its text, so rows without an id, or that share one, meet only those of the same text.
+    source = source.withColumn("row_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text_hash", F.xxhash64(F.lit("row"), F.col("text"))))
+    schema = "doc_id long, n_shingles long, vid binary, bands array<long>, sig binary, text_hash long, row_key long"
+    rows = scratch.table(source.select("doc_id", "text", "text_hash", "row_key").mapInArrow(_sketch(cfg), schema), "rows")
+
+    # One vertex for each distinct set; its copies, whose bands and signatures are equal, only pass their ids on.
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "row_key"))
+    reps = rows.where("n_shingles > 0").groupBy("vid").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), one.alias("r"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    reps = scratch.table(reps.select("vid", "least_id", "n", F.col("r.doc_id").alias("rep_id"), F.col("r.text_hash").alias("rep_hash"), "r.row_key", "bands", "sig"), "reps")
+    ids = reps.select("vid", "least_id", "n")
 
     member = reps.select("vid", F.posexplode("bands").alias("band", "bucket"))
     shared = member.groupBy("bucket").agg(F.min("vid").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1")
     member = scratch.table(member.join(shared, "bucket").select("bucket", "band", "vid", "centre", "m"), "members")
 
-    # Text of what has a candidate at all, read once.  A row is told by its id and its text's
-    # hash, so rows without an id, or that share one, meet only those of the same text.
-    busy = reps.join(member.select("vid").distinct(), "vid", "left_semi").select("vid", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash"), "bands", "sig")
-    own = F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash"))
-    text = busy.join(source.withColumn("text_hash", F.xxhash64("text")), own).select("vid", "bands", "sig", "text")
-    width = cfg.width
-
-    def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = []
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                same += [x == y for x, y in zip(_vertex_ids(shingle_sets(part.column(3), width)), part.column(0).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(same, pa.bool_()))
-
-    text = text.mapInArrow(own_text, "vid binary, bands array<long>, sig binary, text string")
-    busy = scratch.table(text.dropDuplicates(["vid"]), "texts")
+    # Text of what has a candidate at all, read once; repeated rows of one id and text count once.
+    busy = reps.join(member.select("vid").distinct(), "vid", "left_semi").select("row_key", "vid", "rep_id", "rep_hash", "bands", "sig")
+    text = busy.join(source, "row_key").where(F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash")))
+    busy = scratch.table(text.dropDuplicates(["row_key", "vid"]).select("vid", "bands", "sig", "text"), "texts")
 
     # Every member of a bucket against its centre.
     star = member.where("vid <> centre").select(F.col("centre").alias("a"), F.col("vid").alias("b")).distinct()
@@ -359,8 +350,9 @@ def near_dedup(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str = "d
     again = scratch.table(counted.where("n > 1 and (component is not null or doc_id is not null)").select(*key), "again")
     here = docs.withColumns({"_near_id": F.col(id_col).cast("long"), "_near_hash": F.xxhash64(F.col(text_col).cast("string"))})
     same = F.col("_near_id").eqNullSafe(F.col("doc_key")) & (F.col("_near_hash") == F.col("hash_key"))
-    out = here.join(gone.toDF("doc_key", "hash_key"), same, "left_anti")
+    sized = lambda d: F.broadcast(d) if d.count() <= cfg.broadcast_rows else d
+    out = here.join(sized(gone.toDF("doc_key", "hash_key")), same, "left_anti")
     if not again.isEmpty():
-        again = again.toDF("doc_key", "hash_key")
+        again = sized(again.toDF("doc_key", "hash_key"))
         out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["_near_id", "_near_hash"]))
     return out.select(*docs.columns)
