@@ -77,16 +77,17 @@ def test_constant_slots_are_template_and_copies_are_not(spark):
 
 
 def test_tree_match_aligns_in_order():
-    a, b = (html_main.skeleton(t, [True] * len(t.tag)) for t in (html_main.parse("<div><p>x</p><ul><li>1</ul></div>"), html_main.parse("<div><h1>new</h1><p>y</p><ul><li>1<li>2</ul></div>")))
+    shape = lambda t: html_main.skeleton(t, html_main._marks(t), html_main._verdicts(t, html_main._marks(t)))
+    a, b = (shape(t) for t in (html_main.parse("<div><p>x</p><ul><li>1</ul></div>"), html_main.parse("<div><h1>new</h1><p>y</p><ul><li>1<li>2</ul></div>")))
     pairs = html_main.tree_match(a, b, 1000)
     assert {(a[0][x], b[0][y]) for x, y in pairs.items()} == {("#root", "#root"), ("div", "div"), ("p", "p"), ("ul", "ul"), ("li", "li")}
-    assert html_main.tree_match(a, b, 0)  # too wide for the table: in step
+    assert html_main.tree_match(a, b, 0)  # too wide for the table: in linear space
 
 
 @pytest.mark.parametrize("bad", ["<", "<<<>>>", "<p", "<!--", "<script>", "&#xFFFFFF;", "</p></p>", "<a href='", "<" * 2000, "<div>" * 2000 + "x"])
 def test_broken_markup(bad):
     tree = html_main.parse(bad)
-    html_main._verdicts(tree)
+    html_main._verdicts(tree, html_main._marks(tree))
 
 
 @pytest.fixture(scope="module")
