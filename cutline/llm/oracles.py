@@ -42,3 +42,19 @@ SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || c
   sum(upto) FILTER (role = 'assistant' OR i = n)::BIGINT formatted_chars
 FROM t GROUP BY conv_id
 """
+
+#: Importance resampling with ResampleConfig()'s defaults; CRC-32 by its byte table, once a distinct word.
+IMPORTANCE_RESAMPLING = r"""
+WITH tab AS (SELECT list(c ORDER BY i) t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) c FROM (SELECT unnest(range(256)) i))),
+words AS (SELECT 1 side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) w FROM documents
+  UNION ALL SELECT 2, NULL, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+spelt AS (SELECT w, hex(w) x FROM (SELECT DISTINCT w FROM words)),
+crc AS (SELECT w, xor(list_reduce([4294967295] || list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::BIGINT, 2))::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 bucket FROM spelt, tab),
+n AS (SELECT bucket, count(*) FILTER (side = 1) s, count(*) FILTER (side = 2) t FROM words JOIN crc USING (w) GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT gain FROM n),
+d AS (SELECT doc_id, count(*) n_features, sum(gain)::BIGINT weight FROM words JOIN crc USING (w) JOIN gain USING (bucket) WHERE side = 1 GROUP BY 1),
+sc AS (SELECT doc_id, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT score
+  FROM (SELECT doc_id FROM documents) LEFT JOIN d USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) place, count(*) FILTER (n_features >= 20) OVER () * 10 // 100 drawn FROM sc)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM r
+"""

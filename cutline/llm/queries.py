@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.ship import ship_package
-from . import chat, folds, html_main, language, mixing, neighbours, packing, quality, repetition, sharding
+from . import chat, folds, html_main, language, mixing, neighbours, packing, quality, repetition, resampling, sharding
 from . import near_dedup as near
 from . import oracles
 
@@ -85,6 +85,11 @@ def op10_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_consistent_hash_shards": op1_consistent_hash_shards,
     "op2_language_spans": op2_language_spans,
@@ -96,5 +101,10 @@ QUERIES = {
     "op8_ftrl_quality": op8_ftrl_quality,
     "op9_wrapper_induction": op9_wrapper_induction,
     "op10_vector_best_fit": op10_vector_best_fit,
+    "op11_importance_resampling": op11_importance_resampling,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_temperature_mix": oracles.TEMPERATURE_MIX,
+    "op7_prefix_targets": oracles.PREFIX_TARGETS,
+    "op11_importance_resampling": oracles.IMPORTANCE_RESAMPLING,
 }
-ORACLE_SQL: dict[str, str] = {"op5_temperature_mix": oracles.TEMPERATURE_MIX, "op7_prefix_targets": oracles.PREFIX_TARGETS}

@@ -75,20 +75,23 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
 
 
 def split_words(buf: np.ndarray, offsets: np.ndarray) -> Words:
+    return split_spans(buf, offsets, ~((buf == 32) | ((buf >= 9) & (buf <= 13))))
+
+
+def split_spans(buf: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> Words:
+    """Maximal runs of the bytes marked in word, none across documents."""
     n = len(buf)
     if n == 0:
         z = np.zeros(len(offsets), np.int64)
         return Words(buf, offsets, z[:0], z[:0], z)
-    space = (buf == 32) | ((buf >= 9) & (buf <= 13))
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)
     before[0] = True
-    before[1:] = space[:-1]
+    before[1:] = ~word[:-1]
     after = np.empty(n, bool)
     after[-1] = True
-    after[:-1] = space[1:]
-    word = ~space
+    after[:-1] = ~word[1:]
     start = np.flatnonzero(word & (before | edge[:-1]))
     end = np.flatnonzero(word & (after | edge[1:])) + 1
     return Words(buf, offsets, start, end, np.searchsorted(start, offsets))
