@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.ship import ship_package
-from . import chat, folds, html_main, language, mixing, neighbours, packing, quality, repetition, resampling, sharding
+from . import chat, folds, html_main, language, mixing, neighbours, packing, periodic, quality, repetition, resampling, sharding
 from . import near_dedup as near
 from . import oracles
 
@@ -90,6 +90,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(_table(spark, sf_dir, "documents"), arrange=periodic.planted_periods))
+
+
 QUERIES = {
     "op1_consistent_hash_shards": op1_consistent_hash_shards,
     "op2_language_spans": op2_language_spans,
@@ -102,6 +106,7 @@ QUERIES = {
     "op9_wrapper_induction": op9_wrapper_induction,
     "op10_vector_best_fit": op10_vector_best_fit,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_temperature_mix": oracles.TEMPERATURE_MIX,

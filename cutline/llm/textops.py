@@ -162,6 +162,23 @@ def segment_sum(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return total[begin[1:]] - total[begin[:-1]]
 
 
+def join_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """The kept words of each document, joined by one space: words first[d] to first[d + 1] are its own."""
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    start, size = start[keep], (end - start)[keep] + 1
+    upto = np.cumsum(size)
+    total = int(upto[-1]) if len(upto) else 0
+    source = np.repeat(start - (upto - size), size) + np.arange(total)
+    out = buf[np.minimum(source, len(buf) - 1)] if total else np.empty(0, np.uint8)
+    out[upto - 1] = 32
+    ends = kept[first]
+    some = ends[1:] > ends[:-1]
+    whole = np.concatenate([[0], upto])[ends]
+    out = np.delete(out, whole[1:][some] - 1)  # no space after the last word
+    offsets = np.concatenate([[0], np.cumsum(np.diff(whole) - some)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(some), pa.py_buffer(offsets), pa.py_buffer(out)).cast(pa.string())
+
+
 def release_memory() -> None:
     """Gives what a worker has freed back to the system; workers live on between tasks."""
     pa.default_memory_pool().release_unused()
