@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.ship import ship_package
-from . import chat, folds, html_main, language, mixing, neighbours, packing, periodic, quality, repetition, resampling, sharding
+from . import chat, folds, html_main, language, mixing, neighbours, packing, passages, periodic, quality, repetition, resampling, sharding
 from . import near_dedup as near
 from . import oracles
 
@@ -94,6 +94,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.periodic_runs(_table(spark, sf_dir, "documents"), arrange=periodic.planted_periods))
 
 
+def op13_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.remove_passages(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_consistent_hash_shards": op1_consistent_hash_shards,
     "op2_language_spans": op2_language_spans,
@@ -107,6 +112,7 @@ QUERIES = {
     "op10_vector_best_fit": op10_vector_best_fit,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_phrase_automata": op13_phrase_automata,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_temperature_mix": oracles.TEMPERATURE_MIX,
