@@ -5,8 +5,8 @@ target those of the last row it may see, by one as-of scan: work is linear in hi
 targets.  That is exact where the rows a target may see are a prefix of the history, which
 the scan itself finds out: their number must be the rank of the latest of them.  Targets
 for which it is not - a game whose result came in late lies between, or the target's own
-row is already known - are joined with their history row by row instead, so late results
-cost only the targets that they lie before.
+row is already known - are answered by a sweep in order of availability instead (sweep.py), which
+is linear too; so is an entity of any length with ``chunk``, which sweeps it by many tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
+
+from . import sweep
 
 #: A block of so many half-lives: rows before the previous block add nothing to a double.
 BLOCK_HALF_LIVES = 64
@@ -128,6 +131,7 @@ def prefix_features(
     with_ewma: bool = True,
     ewma_rows: int | None = None,
     lineage: int | None = None,
+    chunk: float | None = None,
 ) -> DataFrame:
     """targets with {window}_{metric}, {window}_{share}, ewma_{metric}, ewma_{share}, n_history and lineage columns.
 
@@ -141,6 +145,9 @@ def prefix_features(
     ratio of sums over the window, null if a part is null or the denominator is not
     positive.  sums adds {window}_sum_{metric}, ewma_rows ewma{n}_{metric} over the last n rows.  lineage: how many of the latest ids to
     list, oldest first.  A target without history has null features and n_history 0.
+
+    chunk: seconds of a chunk of the time line, for entities too long for one task.  Each chunk is swept
+    by itself, from the state that the chunks before it leave behind.
     """
     windows = windows if windows is not None else {"last3": 3, "last5": 5, "last8": 8}
     keys, order = [*entity, *([season] if season else [])], [time, row_id]
@@ -151,6 +158,14 @@ def prefix_features(
     history = history.where(fine).withColumn("_known", F.greatest(time, available_at))
     told, names = _windows(history, keys, order, *told_by)
 
+    if chunk:
+        blind = F.col(cutoff).isNull()
+        for k in keys:
+            blind = blind | F.col(k).isNull()
+        unseen = targets.where(blind).select("*", *(F.lit(None).cast(told.schema[n].dataType).alias(n) for n in names))
+        out = _swept(history, targets.where(~blind), keys, order, told, names, told_by, cutoff, chunk).unionByName(unseen)
+        return out.withColumn("n_history", F.coalesce("n_history", F.lit(0)).cast("long"))
+
     # Tagged union, one exchange by key: targets stand before history of the same instant.
     pack = F.struct("_rank", *names)
     kind = told.select(pack.alias("v")).schema["v"].dataType
@@ -172,17 +187,22 @@ def prefix_features(
     scan = scan.withColumn("_plain", ~some | F.col("_t").isNull() | prefix)
     plain = scan.where("_plain").select("_l.*", *(F.when(some & F.col("_t").isNotNull(), F.col(f"_v.{n}")).alias(n) for n in names))
 
-    # The rest row by row; equal targets once, since their rows are told apart by what they hold.
-    rest = scan.where("not _plain").groupBy("_l").agg(F.count(F.lit(1)).alias("_many"))
-    part = rest.select("_l", "_many", *(F.col(f"_l.{k}").alias(f"_e{i}") for i, k in enumerate(keys)), F.col(f"_l.{cutoff}").alias("_at"), (F.col(f"_l.{row_id}").cast("string") if row_id in targets.columns else F.lit(None).cast("string")).alias("_own_id"))
-    cond = (F.col("_known") < F.col("_at")) & ~F.coalesce(F.col(row_id).cast("string") == F.col("_own_id"), F.lit(False))
-    for i, k in enumerate(keys):
-        cond = cond & (F.col(k) == F.col(f"_e{i}"))
-    needed = {*keys, *order, available_at, "_known", *metrics, *(c for pair in (shares or {}).values() for c in pair)}
-    pairs = part.join(history.select(*sorted(needed)), cond, "left")
-    pairs, _ = _windows(pairs.select("_l", "_many", *sorted(needed)), ["_l"], order, *told_by)
-    # a target that sees nothing has one row without history
-    last = pairs.groupBy("_l", "_many").agg(F.max_by(F.when(F.col("_known").isNotNull(), F.struct(*names)), F.col("_rank")).alias("_v"))
-    late = last.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_many").cast("int"))))
-    out = plain.unionByName(late.select("_l.*", *(F.col(f"_v.{n}").alias(n) for n in names)))
+    rest = scan.where("not _plain").select("_l.*")
+    some_history = history.join(rest.select(*keys).distinct(), keys, "left_semi")
+    out = plain.unionByName(_swept(some_history, rest, keys, order, told, names, told_by, cutoff, None))
     return out.withColumn("n_history", F.coalesce("n_history", F.lit(0)).cast("long"))
+
+
+def _swept(history: DataFrame, targets: DataFrame, keys: list[str], order: list[str], told: DataFrame, names: list[str], told_by: tuple, cutoff: str, chunk: float | None) -> DataFrame:
+    """targets with the features, by sweeps in order of availability."""
+    available_at, windows, metrics, shares, sums, with_ewma, ewma_rows, half_life, null_policy, lineage = told_by
+    values = sorted({*metrics, *(c for pair in shares.values() for c in pair)})
+    at = {c: i for i, c in enumerate(values)}
+    weighted_rows = math.ceil(BLOCK_HALF_LIVES * half_life) if with_ewma and (metrics or shares) else 0
+    depth = sweep.rows_needed(windows, weighted_rows, ewma_rows, lineage)
+    want = sweep.Wanted(windows, {m: at[m] for m in metrics}, {s: (at[a], at[b]) for s, (a, b) in shares.items()}, sums, with_ewma, ewma_rows, half_life, null_policy == "strict", lineage, depth)
+    decimal = lambda t: isinstance(t, S.DecimalType)
+    history = history.withColumns({c: F.col(c).cast("double") for c in values if decimal(history.schema[c].dataType)})
+    types = {n: S.DoubleType() if decimal(told.schema[n].dataType) else told.schema[n].dataType for n in names}
+    out = sweep.sweep(history, targets, keys, want, order=tuple(order), available_at=available_at, known="_known", cutoff=cutoff, values=values, types=types, chunk=chunk)
+    return out.select(*targets.columns, *(F.col(n).cast(told.schema[n].dataType).alias(n) for n in names))

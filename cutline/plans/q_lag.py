@@ -78,6 +78,23 @@ def group_and_opponent_lag(spark: SparkSession, d: str) -> DataFrame:
     return own.join(opp, "game_id").select("game_id", "grp", "opp", r6("own_metric", "own_last5"), r6("opp_metric", "opp_last5"))
 
 
+#: Rows of half of all groups under one key.
+_HOT = """SELECT *, CASE WHEN grp < 13 THEN 0 ELSE grp END hot FROM v_game"""
+
+
+@query(v.sql("""SELECT k.game_id, k.hot::BIGINT hot, coalesce(s.top, 0)::BIGINT n_history, round(m5, 6) last5_metric, round(total, 4) all_sum, round(e, 6) ewma_metric FROM k LEFT JOIN seen s USING (game_id) LEFT JOIN (
+    SELECT s.game_id, avg(y.metric) FILTER (y.rn > s.top - 5) m5, max(y.total) total, sum(y.metric * pow(0.5::DOUBLE, (s.top - y.rn) / 3.0::DOUBLE)) / sum(pow(0.5::DOUBLE, (s.top - y.rn) / 3.0::DOUBLE)) e
+    FROM seen s JOIN rd y ON y.hot = s.hot AND y.rn BETWEEN s.top - 191 AND s.top GROUP BY 1) USING (game_id)""",
+    ("k", _HOT), ("rd", "SELECT *, row_number() OVER w rn, sum(metric) OVER (w ROWS UNBOUNDED PRECEDING) total FROM k WINDOW w AS (PARTITION BY hot ORDER BY kickoff, game_id)"),
+    ("told", "SELECT hot, available_at, max(rn) top FROM rd GROUP BY 1, 2"), ("seen", "SELECT k.game_id, k.hot, told.top FROM k ASOF JOIN told ON told.hot = k.hot AND told.available_at < k.prediction_time")))
+def hot_entity_lag(spark: SparkSession, d: str) -> DataFrame:
+    """Half of all rows are one entity's, whose time line is swept in chunks of thirty days by as many tasks."""
+    g = v.games(spark, d).withColumn("hot", F.when(F.col("grp") < 13, 0).otherwise(F.col("grp")))
+    t = g.select("game_id", "hot", "prediction_time")
+    out = lag.prefix_features(g, t, ["hot"], metrics=["metric"], windows={"last5": 5, "all": None}, sums=True, chunk=30 * 86_400.0)
+    return out.select("game_id", big("hot"), "n_history", r6("last5_metric"), F.round("all_sum_metric", 4).alias("all_sum"), r6("ewma_metric"))
+
+
 @query(v.sql("""SELECT g.game_id, g.entity, round(date_diff('second', p, g.kickoff) / 86400.0::DOUBLE, 6) rest_days FROM v_game g LEFT JOIN (SELECT game_id, max(h_kickoff) p FROM h GROUP BY 1) USING (game_id)""", ("h", HIST)))
 def rest_days(spark: SparkSession, d: str) -> DataFrame:
     from ..functions import timing

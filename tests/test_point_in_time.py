@@ -123,7 +123,8 @@ def brute(rows, targets, *, windows, half_life, null_policy):
 
 
 @pytest.mark.parametrize("null_policy", ["strict", "skip"])
-def test_late_results_stay_out_of_every_window(spark, null_policy):
+@pytest.mark.parametrize("chunk", [None, 86_400.0 * 9, 86_400.0 * 1_000])
+def test_late_results_stay_out_of_every_window(spark, null_policy, chunk):
     """Shuffled availability, results known before their own cutoff, ties, missing clocks, nulls."""
     import random
 
@@ -138,7 +139,7 @@ def test_late_results_stay_out_of_every_window(spark, null_policy):
     df = df.withColumn("whole", F.when(F.col("m").isNotNull(), F.col("whole")))
     t = targets(df)
     windows = {"last3": 3, "all": None}
-    got = features(spark, df, t, windows=windows, null_policy=null_policy, sums=True)
+    got = features(spark, df, t, windows=windows, null_policy=null_policy, sums=True, chunk=chunk)
     want = brute([r.asDict() for r in df.collect()], [r.asDict() for r in t.where("prediction_time is not null").collect()], windows=windows, half_life=3.0, null_policy=null_policy)
     for k, expected in want.items():
         for name, value in expected.items():
