@@ -159,14 +159,15 @@ def calibrate_if_better(fit_on: DataFrame, check_on: DataFrame, p: str, y: str)
 def allocate(df: DataFrame, group: list[str], weights: dict[str, float], expected: Column) -> DataFrame:
     """df with score, share, lambda and p: the group's expectation dealt by a weighted mean of the shares at hand.
 
-    A null share leaves the mean; a group in which every score is zero is dealt equally.
+    A null share leaves the mean, and a member without any scores 1; a group in which every
+    score is zero is dealt equally.
     """
     top, low = F.lit(0.0), F.lit(0.0)
     for c, w in weights.items():
         top = top + F.coalesce(F.col(c) * w, F.lit(0.0))
         low = low + F.when(F.col(c).isNotNull(), F.lit(w)).otherwise(0.0)
     w = Window.partitionBy(*group)
-    out = df.withColumn("score", F.coalesce(F.try_divide(top, low), F.lit(0.0)))
+    out = df.withColumn("score", F.coalesce(F.try_divide(top, low), F.lit(1.0)))
     total, n = F.sum("score").over(w), F.count(F.lit(1)).over(w)
     out = out.withColumn("share", F.when(total > 0, F.col("score") / total).otherwise(F.lit(1.0) / n))
     return out.withColumn("lambda", F.col("share") * expected).withColumn("p", dist.poisson_at_least_one(F.col("lambda")))
@@ -186,23 +187,70 @@ def project_simplex(x: np.ndarray) -> np.ndarray:
     return np.maximum(x - (np.cumsum(u)[top] - 1) / (top + 1), 0)
 
 
-def fit_simplex(df: DataFrame, fields: list[str], y: str, steps: int = 40, rate: float = 1.0) -> np.ndarray:
-    """Weights on the simplex that minimise the Brier score of their mix.
+def _quadratic_on_simplex(w: np.ndarray, g: np.ndarray, h: np.ndarray, steps: int = 500) -> np.ndarray:
+    """The point of the simplex that minimises g (x - w) + (x - w) h (x - w) / 2, by projected gradient."""
+    rate, x = 1.0 / max(float(np.linalg.eigvalsh(h)[-1]), 1e-12), w
+    for _ in range(steps):
+        new = project_simplex(x - rate * (g + h @ (x - w)))
+        if np.abs(new - x).max() < 1e-14:
+            break
+        x = new
+    return x
+
 
-    The loss is quadratic in the weights, so its moments are summed once by Spark and the
-    projected steps need only a k x k matrix.
+def allocation_loss(df: DataFrame, group: list[str], fields: list[str], expected: str, y: str, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Brier score of allocate() with these weights, its gradient, and the Gauss-Newton matrix of the weights.
+
+    One scan: a member's chance depends on its group's total score and on that total's
+    derivatives, so both are sums over the group, and what reaches the driver is their sums over all rows.
     """
-    pairs = [(i, j) for i in range(len(fields)) for j in range(i, len(fields))]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(fields[i]) * F.col(fields[j])).alias(f"a{i}_{j}") for i, j in pairs), *(F.sum(F.col(f) * F.col(y)).alias(f"b{i}") for i, f in enumerate(fields))).head()
-    n = max(row["n"], 1)
-    a, b = np.zeros((len(fields),) * 2), np.array([row[f"b{i}"] or 0.0 for i in range(len(fields))]) / n
+    k = len(fields)
+    out = allocate(df, group, {f: float(x) for f, x in zip(fields, w, strict=True)}, F.col(expected))
+    by = Window.partitionBy(*group)
+    usable = sum((F.when(F.col(f).isNotNull(), F.lit(float(x))).otherwise(0.0) for f, x in zip(fields, w, strict=True)), F.lit(0.0))
+    out = out.withColumn("_u", usable).withColumn("_t", F.sum("score").over(by))
+    own = lambda f: F.when((F.col("_u") > 0) & F.col(f).isNotNull() & (F.col("_t") > 0), (F.col(f) - F.col("score")) / F.col("_u")).otherwise(0.0)
+    out = out.withColumns({f"_d{i}": own(f) for i, f in enumerate(fields)})
+    slope = F.exp(-F.col("lambda")) * F.col(expected)
+    out = out.withColumns({f"_j{i}": F.when(F.col("_t") > 0, slope * (F.col(f"_d{i}") - F.col("share") * F.sum(f"_d{i}").over(by)) / F.col("_t")).otherwise(0.0) for i in range(k)})
+    miss = F.col("p") - F.col(y)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    row = out.agg(
+        F.avg(miss * miss).alias("loss"), *(F.avg(2 * miss * F.col(f"_j{i}")).alias(f"g{i}") for i in range(k)), *(F.avg(2 * F.col(f"_j{i}") * F.col(f"_j{j}")).alias(f"h{i}_{j}") for i, j in pairs)
+    ).head()
+    g, h = np.array([row[f"g{i}"] for i in range(k)], float), np.zeros((k, k))
     for i, j in pairs:
-        a[i, j] = a[j, i] = (row[f"a{i}_{j}"] or 0.0) / n
-    w = np.full(len(fields), 1 / len(fields))
-    step = rate / max(np.linalg.eigvalsh(a)[-1], 1e-12)
-    for _ in range(steps):
-        w = project_simplex(w - step * (a @ w - b))
-    return w
+        h[i, j] = h[j, i] = row[f"h{i}_{j}"]
+    return float(row["loss"]), g, h
+
+
+def fit_simplex(df: DataFrame, group: list[str], fields: list[str], expected: str, y: str, tolerance: float = 1e-7, most: int = 60) -> tuple[np.ndarray, float, int]:
+    """Weights on the simplex that minimise the Brier score of allocate()'s chances: (weights, loss, scans).
+
+    Damped Gauss-Newton steps projected on the simplex; a step that does not lower the loss is
+    tried again with more damping.  It ends where a projected gradient step moves no weight
+    by more than the tolerance, and fails if that takes more than `most` scans.  The frame should be a written table:
+    every step scans it once.
+    """
+    if not df.take(1):
+        raise ValueError("no rows to fit on")
+    w = np.full(len(fields), 1.0 / len(fields))
+    loss, g, h = allocation_loss(df, group, fields, expected, y, w)
+    damping, scans = 1e-6, 1
+    while True:
+        scale = max(float(np.trace(h)) / len(w), 1e-12)
+        new = _quadratic_on_simplex(w, g, h + damping * scale * np.eye(len(w)))
+        if np.abs(new - w).max() <= tolerance:
+            return w, loss, scans
+        if scans >= most:
+            raise RuntimeError(f"no convergence in {most} scans")
+        tried = allocation_loss(df, group, fields, expected, y, new)
+        scans += 1
+        if tried[0] < loss:
+            w, damping = new, damping / 8
+            loss, g, h = tried
+        else:
+            damping = max(damping * 16, 1e-3)
 
 
 def wald(df: DataFrame, features: list[str], y: str, coefficients: list[float], intercept: float, ridge: float = 0.0) -> list[tuple[str, float, float, float]]:

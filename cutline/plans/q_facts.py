@@ -199,13 +199,13 @@ def coherence(spark: SparkSession, d: str) -> DataFrame:
     return t.select("n", r6("mean_gap"), r6("max_gap"), r6("above_half"), "incoherent")
 
 
-@query(v.sql("""SELECT game_id, actor, round(score / nullif(sum(score) OVER w, 0) * 2.5, 6) AS "lambda", round(1 - exp(-CASE WHEN sum(score) OVER w > 0 THEN score / sum(score) OVER w ELSE 1.0 / count(*) OVER w END * 2.5), 6) p FROM (SELECT game_id, actor, (0.6 * a + 0.4 * coalesce(b, 0)) / (0.6 + CASE WHEN b IS NULL THEN 0 ELSE 0.4 END) score FROM
-    (SELECT game_id, actor, sum("value") a, sum(air / 60.0::DOUBLE) b FROM v_plays GROUP BY 1, 2)) WINDOW w AS (PARTITION BY game_id)"""))
+@query(v.sql("""SELECT game_id, actor, round(CASE WHEN sum(score) OVER w > 0 THEN score / sum(score) OVER w ELSE 1.0::DOUBLE / count(*) OVER w END * 2.5, 6) AS "lambda", round(1 - exp(-CASE WHEN sum(score) OVER w > 0 THEN score / sum(score) OVER w ELSE 1.0 / count(*) OVER w END * 2.5), 6) p FROM (SELECT game_id, actor, coalesce((0.6 * coalesce(a, 0) + 0.4 * coalesce(b, 0)) / nullif(CASE WHEN a IS NULL THEN 0 ELSE 0.6 END + CASE WHEN b IS NULL THEN 0 ELSE 0.4 END, 0), 1) score FROM
+    (SELECT game_id, actor, sum("value") FILTER (kind IS NOT NULL) a, sum(air / 60.0::DOUBLE) b FROM v_plays GROUP BY 1, 2)) WINDOW w AS (PARTITION BY game_id)"""))
 def allocation_scores(spark: SparkSession, d: str) -> DataFrame:
-    """A group's expectation dealt to members by a weighted mean of the shares they have."""
+    """A group's expectation dealt to members by a weighted mean of the shares they have; some have none."""
     from ..operators import models
 
-    s = v.plays(spark, d).groupBy("game_id", "actor").agg(F.sum("value").alias("a"), F.sum(F.col("air") / 60.0).alias("b"))
+    s = v.plays(spark, d).groupBy("game_id", "actor").agg(F.sum(F.when(F.col("kind").isNotNull(), F.col("value"))).alias("a"), F.sum(F.col("air") / 60.0).alias("b"))
     out = models.allocate(s, ["game_id"], {"a": 0.6, "b": 0.4}, F.lit(2.5))
     return out.select("game_id", "actor", r6("lambda"), r6("p"))
 

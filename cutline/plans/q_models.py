@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
@@ -120,11 +120,37 @@ def calibration_slope(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "score string, intercept double, slope double")
 
 
-@query()
+#: Members of one season's orders with three families of shares, some of them missing, a label and what their order expects.
+_MEMBERS = """SELECT game_id, a / nullif(sum(a) OVER w, 0) a, b / nullif(sum(b) OVER w, 0) b, c / nullif(sum(c) OVER w, 0) c, y, 0.5::DOUBLE * count(*) OVER w e FROM (SELECT game_id, actor, sum("value") FILTER (kind IS NOT NULL) a, sum(air)::DOUBLE b,
+    sum(quantity) FILTER (line <> 7)::DOUBLE c, max(("value" * 60 + coalesce(air, part % 60) + (quantity - 25) * tax * 20 > 65)::INT) y FROM v_plays GROUP BY 1, 2) JOIN (SELECT game_id FROM v_game WHERE season = 1995) USING (game_id) WINDOW w AS (PARTITION BY game_id)"""
+_TRIED = """SELECT x, z, avg((1 - exp(-e * share) - y) * (1 - exp(-e * share) - y)) loss FROM (SELECT *, CASE WHEN sum(raw) OVER w > 0 THEN raw / sum(raw) OVER w ELSE 1.0::DOUBLE / count(*) OVER w END share FROM
+    (SELECT x, z, game_id, e, y, coalesce((x * coalesce(a, 0) + z * coalesce(b, 0) + (1 - x - z) * coalesce(c, 0)) / nullif(CASE WHEN a IS NULL THEN 0 ELSE x END + CASE WHEN b IS NULL THEN 0 ELSE z END + CASE WHEN c IS NULL THEN 0 ELSE 1 - x - z END, 0), 1) raw FROM members, {0}) WINDOW w AS (PARTITION BY x, z, game_id)) GROUP BY 1, 2"""
+
+
+def _zoom(levels: int = 8) -> list[tuple[str, str]]:
+    """Parts of a search for the best weights: grids of 7 x 7 points, each a third as wide as the one before, around its best."""
+    parts, step = [("try0", "SELECT i / 10.0::DOUBLE x, j / 10.0::DOUBLE z FROM range(1, 10) a(i), range(1, 10) b(j) WHERE i + j < 10")], 0.1
+    for k in range(levels):
+        parts.append((f"best{k}", f"SELECT x, z, loss FROM ({_TRIED.format(f'try{k}')}) ORDER BY loss LIMIT 1"))
+        step /= 3
+        parts.append((f"try{k + 1}", f"SELECT x + i * {step}::DOUBLE x, z + j * {step}::DOUBLE z FROM best{k}, range(-3, 4) a(i), range(-3, 4) b(j) WHERE x + i * {step} >= 0 AND z + j * {step} >= 0 AND x + i * {step} + z + j * {step} <= 1"))
+    return parts[:-1]
+
+
+@query(v.sql("SELECT 'a' field, round(x, 3) weight, round(loss, 8) loss FROM best7 UNION ALL SELECT 'b', round(z, 3), round(loss, 8) FROM best7 UNION ALL SELECT 'c', round(1 - x - z, 3), round(loss, 8) FROM best7", ("members", _MEMBERS), *_zoom()))
 def simplex_fit(spark: SparkSession, d: str) -> DataFrame:
-    s = v.scored(spark, d).withColumn("half", F.lit(0.5)).withColumn("yd", F.col("y").cast("double"))
-    w = models.fit_simplex(s, ["p", "p2", "half"], "yd")
-    return spark.createDataFrame([(f, float(x)) for f, x in zip(("p", "p2", "half"), w, strict=True)], "field string, weight double")
+    """Weights of three families of shares by which an order's expectation is dealt best to its members, fitted on one season."""
+    members = staging.stage(allocation_members(spark, d), "members")
+    w, loss, _ = models.fit_simplex(members, ["game_id"], ["a", "b", "c"], "e", "y")
+    return spark.createDataFrame([(f, round(float(x), 3), round(loss, 8)) for f, x in zip("abc", w, strict=True)], "field string, weight double, loss double")
+
+
+def allocation_members(spark: SparkSession, d: str) -> DataFrame:
+    hit = (F.col("value") * 60 + F.coalesce("air", F.col("part") % 60) + (F.col("quantity") - 25) * F.col("tax") * 20 > 65).cast("double")
+    p = v.plays(spark, d).join(v.games(spark, d).where("season = 1995").select("game_id"), "game_id")
+    s = p.groupBy("game_id", "actor").agg(F.sum(F.when(F.col("kind").isNotNull(), F.col("value"))).alias("a"), F.sum("air").cast("double").alias("b"), F.sum(F.when(F.col("line") != 7, F.col("quantity"))).cast("double").alias("c"), F.max(hit).alias("y"))
+    w = Window.partitionBy("game_id")
+    return s.withColumns({x: F.try_divide(F.col(x), F.sum(x).over(w)) for x in "abc"} | {"e": 0.5 * F.count(F.lit(1)).over(w)})
 
 
 @query()

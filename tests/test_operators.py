@@ -84,10 +84,11 @@ def test_wager_statuses(spark):
 
 
 def test_allocation_sums_to_expectation(spark):
-    rows = [("g", 1.0, None), ("g", 3.0, 1.0), ("h", 0.0, 0.0), ("h", None, None)]
+    rows = [("g", 1.0, None), ("g", 3.0, 1.0), ("h", 0.0, 0.0), ("h", None, None), ("z", 0.0, 0.0), ("z", 0.0, None)]
     out = models.allocate(spark.createDataFrame(rows, "g string, a double, b double"), ["g"], {"a": 0.5, "b": 0.5}, F.lit(3.0)).groupBy("g").agg(F.sum("lambda").alias("s"), F.max("share").alias("m")).collect()
     assert {r["g"]: (round(r["s"], 9), round(r["m"], 9)) for r in out}["g"][0] == 3.0
-    assert {r["g"]: r["m"] for r in out}["h"] == 0.5
+    # a member without any share scores 1; only a group of zeros is dealt equally
+    assert {r["g"]: r["m"] for r in out}["h"] == 1.0 and {r["g"]: r["m"] for r in out}["z"] == 0.5
 
 
 def test_logistic_equals_newton(spark):
@@ -108,11 +109,64 @@ def test_logistic_equals_newton(spark):
     assert [lr.intercept, lr.coefficients[0]] == pytest.approx(w.tolist(), abs=1e-3)
 
 
-def test_simplex_recovers_weights(spark):
+def members(rng, w, rows=600):
+    """Members of groups of two to four with three families, some missing, one group of zeros, and chances by known weights."""
+    out = []
+    while len(out) < rows:
+        g, n = len(out), int(rng.integers(2, 5))
+        fam = rng.random((n, 3)) * (g > 20)
+        have = rng.random((n, 3)) > 0.25
+        use = have @ w
+        raw = np.where(use > 0, np.where(have, fam, 0) @ w / np.where(use > 0, use, 1), 1.0)
+        raw = np.where(raw.sum() == 0, 1.0, raw)
+        p = 1 - np.exp(-0.7 * n * raw / raw.sum())
+        out += [(g, *(float(x) if ok else None for x, ok in zip(f, h, strict=True)), 0.7 * n, float(q)) for f, h, q in zip(fam, have, p, strict=True)]
+    return out
+
+
+def brier_of(rows, w):
+    total = n = 0.0
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        raw = []
+        for r in own:
+            use = sum(x for x, f in zip(w, r[1:4], strict=True) if f is not None)
+            raw.append(sum(x * f for x, f in zip(w, r[1:4], strict=True) if f is not None) / use if use > 0 else 1.0)
+        raw = raw if sum(raw) > 0 else [1.0] * len(own)
+        total += sum((1 - np.exp(-r[4] * x / sum(raw)) - r[5]) ** 2 for r, x in zip(own, raw, strict=True))
+        n += len(own)
+    return total / n
+
+
+def test_simplex_fit_recovers_weights_and_beats_a_grid(spark):
     rng = np.random.default_rng(1)
-    a, b = rng.random(300), rng.random(300)
-    df = spark.createDataFrame([(float(p), float(q), float(0.3 * p + 0.7 * q)) for p, q in zip(a, b, strict=True)], "a double, b double, y double")
-    assert models.fit_simplex(df, ["a", "b"], "y", steps=400).tolist() == pytest.approx([0.3, 0.7], abs=1e-3)
+    kind = "g long, a double, b double, c double, e double, y double"
+    true = np.array([0.2, 0.3, 0.5])
+    rows = members(rng, true)
+    df = spark.createDataFrame(rows, kind).cache()
+    w, loss, scans = models.fit_simplex(df, ["g"], ["a", "b", "c"], "e", "y")
+    assert w == pytest.approx(true, abs=1e-4) and loss < 1e-9 and scans < 15
+    noisy = [(*r[:5], float(rng.random() < r[5])) for r in rows]
+    df = spark.createDataFrame(noisy, kind).cache()
+    w, loss, _ = models.fit_simplex(df, ["g"], ["a", "b", "c"], "e", "y")
+    assert loss == pytest.approx(brier_of(noisy, w), abs=1e-9) and w.sum() == pytest.approx(1) and (w >= 0).all()
+    assert loss <= min(brier_of(noisy, (i / 10, j / 10, (10 - i - j) / 10)) for i in range(1, 10) for j in range(1, 10 - i)) + 1e-9
+    with pytest.raises(RuntimeError, match="no convergence"):
+        models.fit_simplex(df, ["g"], ["a", "b", "c"], "e", "y", most=1)
+    with pytest.raises(ValueError, match="no rows"):
+        models.fit_simplex(df.limit(0), ["g"], ["a", "b", "c"], "e", "y")
+
+
+def test_allocation_gradient_is_that_of_the_loss(spark):
+    rows = members(np.random.default_rng(2), np.array([0.5, 0.2, 0.3]), 200)
+    df = spark.createDataFrame(rows, "g long, a double, b double, c double, e double, y double").withColumn("y", F.round("y")).cache()
+    w = np.array([0.4, 0.35, 0.25])
+    loss, g, h = models.allocation_loss(df, ["g"], ["a", "b", "c"], "e", "y", w)
+    for i in range(3):
+        step = np.eye(3)[i] * 1e-5
+        up, down = (models.allocation_loss(df, ["g"], ["a", "b", "c"], "e", "y", w + s)[0] for s in (step, -step))
+        assert g[i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+    assert np.linalg.eigvalsh(h)[0] > -1e-12
 
 
 def test_forward_refuses_leakage(spark):
