@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.ml.stat import Correlation
@@ -13,19 +13,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from . import metrics
+from . import metrics, newton
 
 #: (trees, rate, depth, least rows of a leaf): fixed configurations of the challengers.
 TREES = [(100, 0.03, 3, 120), (140, 0.025, 3, 100), (120, 0.03, 4, 80)]
 
 
-def encode(numeric: list[str], categorical: list[str] = (), scale: bool = True) -> Pipeline:
+def encode(numeric: list[str], medians: dict[str, float], categorical: list[str] = (), scale: bool = True) -> Pipeline:
     """Median impute, missing flags, one-hot categories, scale: one features vector.
 
-    Flags are plain columns made by with_flags; a column that never lacks a value gives a
+    Medians are constants of the pipeline.  Flags are plain columns made by with_flags; a column that never lacks a value gives a
     constant flag that the scaler sets to zero.
     """
-    steps: list = [Imputer(strategy="median", relativeError=0.0, inputCols=numeric, outputCols=[f"{c}__i" for c in numeric])]
+    filled = ", ".join(f"coalesce(`{c}`, {medians[c]!r}D) AS `{c}__i`" for c in numeric)
+    steps: list = [SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")]
     for c in categorical:
         steps.append(StringIndexer(inputCol=c, outputCol=f"{c}__x", handleInvalid="keep"))
         steps.append(OneHotEncoder(inputCol=f"{c}__x", outputCol=f"{c}__h", dropLast=False))
@@ -50,13 +51,16 @@ def forward(df: DataFrame, season: str, fit_upto: int, score: int) -> tuple[Data
     return df.where(F.col(season) <= fit_upto), df.where(F.col(season) == score)
 
 
+def medians(df: DataFrame, numeric: list[str]) -> dict[str, float]:
+    """Exact medians of columns, found in bands of their values; 0 for a column without any value."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("x")) for c in numeric))).alias("v")).select("v.*")
+    found = {r["field"]: r["m"] for r in metrics.quantiles(long, "x", {"m": 0.5}, ["field"]).collect()}  # one row a column
+    return {c: float(found.get(c) or 0.0) for c in numeric}
+
+
 def _fit(df: DataFrame, numeric: list[str], categorical: list[str], estimator) -> PipelineModel:
     flagged = with_flags(df, numeric, categorical)
-    # a column without any value is kept as 0, as its flag tells
-    seen = flagged.agg(*(F.count(c).alias(c) for c in numeric)).head()
-    empty = [c for c in numeric if not seen[c]]
-    flagged = flagged.withColumns({c: F.lit(0.0) for c in empty}) if empty else flagged
-    return Pipeline(stages=[encode(numeric, categorical), estimator]).fit(flagged)
+    return Pipeline(stages=[encode(numeric, medians(flagged, numeric), categorical), estimator]).fit(flagged)
 
 
 def fit_logistic(df: DataFrame, numeric: list[str], label: str, categorical: list[str] = (), c: float = 1.0) -> PipelineModel:
@@ -91,42 +95,34 @@ def score_mean(model: PipelineModel, df: DataFrame, numeric: list[str], categori
     return made.withColumn(out, F.expm1("prediction") if log else F.col("prediction")).select(*df.columns, out)
 
 
-def season_scores(df: DataFrame, season: str, seasons: list[int], fit, score) -> DataFrame:
-    """Each season scored by a model of the seasons before it, united; every fit is distributed."""
-    parts = []
-    for s in seasons:
-        train, test = forward(df, season, s - 1, s)
-        parts.append(score(fit(train), test).withColumn("fit_upto", F.lit(s - 1)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def season_scores(df: DataFrame, season: str, seasons: list[int], fields: list[str], label: str, categorical: tuple[str, ...] = (), link: str = "logistic", ridge: float = 1.0, out: str = "p") -> DataFrame:
+    """Rows of the seasons, each scored by a model of the seasons before its own, with fit_upto; all models are fitted together."""
+    uptos = tuple(sorted(s - 1 for s in seasons))
+    fitted = newton.fit(df.where(F.col(season) <= uptos[-1]), newton.Spec({"all": fields}, label, categorical, season=season, uptos=uptos, link=link, ridge=ridge))
+    test = df.where(F.col(season).isin([int(s) for s in seasons]))
+    return fitted.score(test, "all", out).withColumn("fit_upto", F.col(season) - 1)
 
 
 def group_models(train: DataFrame, test: DataFrame, by: str, numeric: list[str], label: str, min_rows: int = 500, min_positives: int = 50, least_c: float = 1.0) -> DataFrame:
     """test with p and status: one model for each group that has rows and positives enough, else null and insufficient.
 
-    The groups are few, as positions are; each fit is distributed over the group's rows.
+    All groups are fitted together, by as many scans as the slowest needs.
     """
-    size = {r[0]: (r[1], r[2]) for r in train.groupBy(by).agg(F.count(F.lit(1)), F.sum(label)).collect()}  # one row a group
-    fine = sorted(k for k, (n, ones) in size.items() if k is not None and n >= min_rows and (ones or 0) >= min_positives)
-    rest = test.where(~F.col(by).isin(fine) | F.col(by).isNull()) if fine else test
-    out = rest.withColumn("p", F.lit(None).cast("double")).withColumn("status", F.lit("insufficient"))
-    for g in fine:
-        own = F.col(by) == g
-        p = score_probability(fit_logistic(train.where(own), numeric, label, c=least_c), test.where(own), numeric)
-        out = out.unionByName(p.withColumn("status", F.lit("fitted")))
-    return out
+    fitted = newton.fit(train, newton.Spec({"all": numeric}, label, by=by, ridge=1.0 / least_c, min_rows=min_rows, min_positives=min_positives))
+    return fitted.score(test, "all", "p").withColumn("status", F.when(F.col("p").isNotNull(), "fitted").otherwise("insufficient"))
 
 
 def ablation(train: DataFrame, test: DataFrame, families: dict[str, list[str]], label: str) -> DataFrame:
-    """family, n_fields, n, log_loss, brier of one logistic model for each family of fields, on the same rows."""
-    rows = None
-    for name, fields in families.items():
-        p = score_probability(fit_logistic(train, fields, label), test, fields)
-        one = metrics.probability_metrics(p, "p", label).select(F.lit(name).alias("family"), F.lit(len(fields)).alias("n_fields"), "n", "log_loss", "brier")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """family, n_fields, n, log_loss, brier of one logistic model for each family of fields, on the same rows.
+
+    The families are fitted together and score the rows in one scan.
+    """
+    fitted = newton.fit(train, newton.Spec(families, label))
+    out = test
+    for name in families:
+        out = fitted.score(out, name, f"_p_{name}")
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("family"), F.lit(len(fs)).alias("n_fields"), F.col(f"_p_{n}").alias("p")) for n, fs in families.items())))
+    return metrics.probability_metrics(out.select(label, each.alias("v")).select(label, "v.*"), "p", label, ["family", "n_fields"])
 
 
 def sanity_ratios(scored: DataFrame, by: list[str], axis: str, near: float, far: float, p: str = "p") -> DataFrame:

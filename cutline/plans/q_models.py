@@ -1,4 +1,4 @@
-"""Season-forward models on orders and plays.  Fits are iterative, so these have no SQL."""
+"""Season-forward models on orders and plays.  Fits by Newton's method have SQL of the same steps; boosted trees have none."""
 
 from __future__ import annotations
 
@@ -9,9 +9,10 @@ from ..functions import dist
 from ..operators import lag, metrics, models
 from ..sources import staging
 from . import views as v
-from .q_lag import HIST
+from .newton_sql import fit, recursive
+from .q_lag import DAY, HIST
 from .q_stats import PLATT, platt_sql
-from .registry import query, r6
+from .registry import big, query, r6
 
 FIELDS = ["last3_metric", "last8_metric", "ewma_metric", "last5_share"]
 USAGE = ["last5_carries", "last5_targets", "last8_carries", "last8_targets"]
@@ -43,23 +44,43 @@ def _seasons(df: DataFrame) -> tuple[int, int]:
     return lo, hi
 
 
-@query()
+#: The frame in SQL: every feature of the models, with labels.
+_H = HIST.replace("h.tds, t.kickoff", "h.tds, h.carries, h.targets, t.kickoff")
+_EW = "sum({0} * pow(0.5::DOUBLE, (rn - 1) / 3.0::DOUBLE)) / sum(pow(0.5::DOUBLE, (rn - 1) / 3.0::DOUBLE)) FILTER ({0} IS NOT NULL)"
+_OWN = f"""SELECT game_id, avg(metric) FILTER (rn <= 3) last3_metric, avg(metric) FILTER (rn <= 8) last8_metric, {_EW.format("metric")} ewma_metric, avg(carries) FILTER (rn <= 5) last5_carries, avg(targets) FILTER (rn <= 5) last5_targets,
+    avg(carries) FILTER (rn <= 8) last8_carries, avg(targets) FILTER (rn <= 8) last8_targets, avg(all_value) FILTER (rn <= 5) last5_all_value, avg(all_value) FILTER (rn <= 8) last8_all_value, {_EW.format("all_value")} ewma_all_value,
+    avg((coalesce(tds, 0) > 0)::INT) FILTER (rn <= 8) last8_hit, CASE WHEN sum(all_value) FILTER (rn <= 5) > 0 THEN sum(td_value) FILTER (rn <= 5) / sum(all_value) FILTER (rn <= 5) END last5_share FROM h GROUP BY 1"""
+_TEAM = """SELECT s.game_id, avg(y.metric) team_metric FROM (SELECT t.game_id, t.grp, max(rn) top FROM v_game t JOIN day_rank r ON r.grp = t.grp AND r.available_at < t.prediction_time GROUP BY 1, 2) s JOIN day_rank y ON y.grp = s.grp AND y.rn BETWEEN s.top - 4 AND s.top GROUP BY 1"""
+_FRAME = [("h", _H), ("own", _OWN), ("day_rank", "SELECT *, row_number() OVER (PARTITION BY grp ORDER BY kickoff) rn FROM (" + DAY + ")"), ("team", _TEAM),
+    ("f", "SELECT g.game_id, g.season, g.priority, own.* EXCLUDE (game_id), team_metric, (coalesce(g.tds, 0) > 0)::INT label, coalesce(g.tds, 0)::DOUBLE tds FROM v_player_game g LEFT JOIN own USING (game_id) LEFT JOIN team USING (game_id)")]
+_LAST = "(SELECT max(season) FROM f)"
+_SCORES = "count(*) n, round(avg(CASE WHEN label = 1 THEN -ln(least(1 - 1e-6, greatest(1e-6, p))) ELSE -ln(1 - least(1 - 1e-6, greatest(1e-6, p))) END), 6) log_loss, round(avg((p - label) * (p - label)), 6) brier"
+_PRIORITIES = [f"coalesce(priority, 'Unknown') = '{x}'" for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]
+
+
+def _scored(table: DataFrame, *by: str) -> DataFrame:
+    return table.select(*by, "n", r6("log_loss"), r6("brier"))
+
+
+@query(recursive(v.sql(f"SELECT season::BIGINT season, (season - 1)::BIGINT fit_upto, {_SCORES} FROM fit_scored GROUP BY 1, 2", *_FRAME,
+    ("train", "SELECT s.season model, f.*, label y FROM f JOIN (SELECT DISTINCT season FROM f) s ON f.season < s.season WHERE s.season >= (SELECT min(season) FROM f) + 2"),
+    ("test", "SELECT season model, * FROM f"), *fit("fit", "train", "test", FIELDS, hot=_PRIORITIES))))
 def logistic_forward(spark: SparkSession, d: str) -> DataFrame:
     """Every season but the first two, each scored by a model of those before it."""
     f = frame(spark, d)
     lo, hi = _seasons(f)
-    out = models.season_scores(
-        f, "season", list(range(lo + 2, hi + 1)), lambda t: models.fit_logistic(t, FIELDS, "label", ["priority"]), lambda m, s: models.score_probability(m, s, FIELDS, ["priority"])
-    )
-    return metrics.probability_metrics(out, "p", "label", ["season", "fit_upto"])
+    out = models.season_scores(f, "season", list(range(lo + 2, hi + 1)), FIELDS, "label", ("priority",))
+    return _scored(metrics.probability_metrics(out, "p", "label", ["season", "fit_upto"]), big("season"), big("fit_upto"))
 
 
-@query()
+@query(recursive(v.sql("""SELECT season::BIGINT season, count(*) n, round(avg(abs(tds - p)), 6) mae, round(sqrt(avg((tds - p) * (tds - p))), 6) rmse, round(avg(p - tds), 6) bias, round(2 * avg(CASE WHEN tds > 0 THEN tds * ln(tds / p) ELSE 0 END - (tds - p)), 6) deviance FROM fit_scored GROUP BY 1""", *_FRAME,
+    ("train", f"SELECT 1 model, *, tds y FROM f WHERE season < {_LAST}"), ("test", f"SELECT 1 model, * FROM f WHERE season = {_LAST}"), *fit("fit", "train", "test", FIELDS, link="poisson", ridge="0.15::DOUBLE * count(*)"))))
 def poisson_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the last season by a log-linear model of those before, with the ridge on the mean loss."""
     f = frame(spark, d)
     _, hi = _seasons(f)
-    out = models.season_scores(f, "season", [hi], lambda t: models.fit_poisson(t, FIELDS, "tds"), lambda m, s: models.score_mean(m, s, FIELDS))
-    return metrics.count_metrics(out, "mu", "tds", ["season"])
+    out = models.season_scores(f, "season", [hi], FIELDS, "tds", link="poisson", ridge=0.15, out="mu")
+    return metrics.count_metrics(out, "mu", "tds", ["season"]).select(big("season"), "n", *(r6(c) for c in ("mae", "rmse", "bias", "deviance")))
 
 
 @query()
@@ -78,23 +99,26 @@ def trees_forward(spark: SparkSession, d: str) -> DataFrame:
     return rows
 
 
-@query()
+@query(recursive(v.sql(f"SELECT priority, CASE WHEN p IS NULL THEN 'insufficient' ELSE 'fitted' END status, {_SCORES} FROM (SELECT f.*, p FROM f LEFT JOIN (SELECT game_id, p FROM fit_scored) USING (game_id) WHERE season = {_LAST}) GROUP BY 1, 2", *_FRAME,
+    ("train", f"SELECT priority model, *, label y FROM f WHERE season < {_LAST} AND priority IN (SELECT priority FROM f WHERE season < {_LAST} GROUP BY 1 HAVING count(*) >= 500 AND sum(label) >= 50)"),
+    ("test", f"SELECT priority model, * FROM f WHERE season = {_LAST}"), *fit("fit", "train", "test", FIELDS))))
 def group_models(spark: SparkSession, d: str) -> DataFrame:
     """One model per priority where there are rows and positives enough."""
     f = frame(spark, d)
     _, hi = _seasons(f)
     train, test = models.forward(f, "season", hi - 1, hi)
     out = models.group_models(train, test, "priority", FIELDS, "label")
-    return metrics.probability_metrics(out, "p", "label", ["priority", "status"])
+    return _scored(metrics.probability_metrics(out, "p", "label", ["priority", "status"]), "priority", "status")
 
 
-@query()
+@query(recursive(v.sql(" UNION ALL ".join(f"SELECT '{k}' family, {len(fs)} n_fields, {_SCORES} FROM fit{k}_scored" for k, fs in FAMILIES.items()), *_FRAME,
+    ("train", f"SELECT 1 model, *, label y FROM f WHERE season < {_LAST}"), ("test", f"SELECT 1 model, * FROM f WHERE season = {_LAST}"), *(part for k, fs in FAMILIES.items() for part in fit(f"fit{k}", "train", "test", fs)))))
 def family_ablation(spark: SparkSession, d: str) -> DataFrame:
     """Six families of fields, scored on the same last season: a registry of their scores."""
     f = frame(spark, d)
     _, hi = _seasons(f)
     train, test = models.forward(f, "season", hi - 1, hi)
-    return models.ablation(train, test, FAMILIES, "label")
+    return _scored(models.ablation(train, test, FAMILIES, "label"), "family", "n_fields")
 
 
 _HALF = """SELECT *, "at" < (SELECT min(ts) + to_microseconds(CAST(date_diff('microsecond', min(ts), max(ts)) AS BIGINT) // 2) FROM events) first_half FROM v_scored"""
