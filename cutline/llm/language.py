@@ -126,13 +126,19 @@ def _count(chunk_bytes: int):
 
 
 def fit_languages(docs: DataFrame, cfg: LangConfig = LangConfig(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel | None:
-    """A model of the labelled languages of documents that are not held out; None if there are none."""
+    """A model of the labelled languages of documents that are not held out; None if there are none.
+
+    About sample_docs ids a language are drawn by a hash, and of rows that share an id and a language one
+    text is learned from, that of the least hash, so the sample is bounded by rows however often
+    an id is repeated.
+    """
     use = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    size = {r[0]: r[1] for r in use.groupBy(lang_col).count().collect()}  # one row a language
+    size = {r[0]: r[1] for r in use.groupBy(lang_col).agg(F.approx_count_distinct(id_col, 0.02)).collect()}  # one row a language
     share = F.lit(0.0)
     for lang, n in size.items():
         share = F.when(F.col(lang_col) == lang, min(1.0, cfg.sample_docs / n)).otherwise(share)
-    sample = use.where(thinned(F.col(id_col), share)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    sample = use.where(thinned(F.col(id_col), share)).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    sample = sample.groupBy("_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")).select("lang", "text")
     counted = sample.mapInArrow(_count(cfg.feature_bytes), "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     rows = counted.toArrow()  # at most languages x (2 x 2^16 + scripts)
     if not rows.num_rows:

@@ -154,14 +154,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = Quality
         pdf = pdf.sort_values(["_id", "_y", "text"])
         w = ftrl(_vectors(pdf["text"], cfg), pdf["_y"].to_numpy(), cfg)
         at = np.flatnonzero(w)
-        return pd.DataFrame({"feature": at, "w": w[at], "n": len(pdf)})
+        return pd.DataFrame({"feature": np.append(at, -1), "w": np.append(w[at], 1.0) * len(pdf)})
 
-    # Bounded by the sample: about 2 * sample_docs documents over all trainers.
-    parts = sample.groupBy("_part").applyInPandas(train, "feature long, w double, n long").toPandas()
+    # Trainers count by their rows, and those without any do not count; feature -1 tells all rows.
+    # What is collected is bounded by the sample: about 2 * sample_docs documents over all trainers.
+    parts = sample.groupBy("_part").applyInPandas(train, "feature long, w double").groupBy("feature").agg(F.sum("w").alias("w")).toArrow()
     weights = np.zeros((1 << cfg.bits) + 1)
-    if len(parts):
-        np.add.at(weights, parts["feature"].to_numpy(), parts["w"].to_numpy())
-        weights /= cfg.trainers
+    at, w = parts["feature"].to_numpy(), parts["w"].to_numpy()
+    if len(at):
+        weights[at[at >= 0]] = w[at >= 0] / w[at < 0]
     return QualityModel(weights[:-1].astype(np.float32), float(weights[-1]))
 
 
