@@ -40,7 +40,9 @@ def expand(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     Offsets count code points from 0 in the formatted text; an example that trains nothing
     has null offsets.  whole marks the example that holds all turns.  Turns go by number,
     null first; equal numbers by role and text, repeated rows kept.  A null role or text is
-    empty; a null conversation id is a conversation of its own.
+    empty; a null conversation id is a conversation of its own.  Texts of any length are kept whole, but
+    a conversation is one row while it is expanded; other columns are not read whatever their names, and
+    an empty table gives an empty result.
     """
     own = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     talks = rows.groupBy(F.col(conv)).agg(F.sort_array(F.collect_list(own)).alias("t"))

@@ -272,7 +272,9 @@ def identify(docs: DataFrame, model: LangModel | None, cfg: LangConfig = LangCon
     span's first letter to its last, in order.  lang_pred is the language of most letters;
     score is the mean of its share of them and the share of letters in words that score
     best for it on their own.  A text that is null or has no letter is ``und`` with score 0,
-    as is every text if there was nothing to learn from.
+    as is every text if there was nothing to learn from.  Texts of any length are labelled whole; repeated
+    rows and null ids are kept, other columns are not read whatever their names, and an empty table
+    gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2^17 floats
     span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -293,7 +295,10 @@ def identify(docs: DataFrame, model: LangModel | None, cfg: LangConfig = LangCon
 
 
 def keep_language(docs: DataFrame, cfg: LangConfig = LangConfig(), least_score: float = 0.4, model: LangModel | None = None, text_col: str = "text") -> DataFrame:
-    """docs without those whose language is unknown or scores under least_score; each row is judged by its own text."""
+    """docs without those whose language is unknown or scores under least_score; each row is judged by its own text.
+
+    A null text goes, repeated rows stay or go together, columns are carried whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit_languages(docs, cfg, text_col=text_col))
 
     def decide(texts: pa.Array) -> np.ndarray:

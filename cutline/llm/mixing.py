@@ -161,6 +161,8 @@ def mix_sources(
     comes last).  A null source is a source of its own.  Rows with no token follow their
     position.  Rows that share an id share a position, and are taken or left together;
     the remainder is filled up to, never beyond, the position at which it would be passed.
+    Texts are counted whole, whatever their length; null, empty and wordless ones have no token.  Columns
+    travel as one struct, so none clashes with the operator's own; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -193,10 +195,11 @@ def mix_sources(
 
     at = F.col("_mix_cut_block")
     # A source whose remainder takes every block has no cut block; then all its rows come once more only if it asks for tokens at all.
-    partial = F.when(at.isNull(), F.lit(False)).when(at_block < at, F.lit(True)).when(at_block > at, F.lit(False)).when(F.col("_mix_room") <= 0, F.lit(False)).otherwise(F.coalesce(at_doc < F.col("_mix_stop_doc"), F.lit(True)))
+    own = F.col("_at_block")
+    partial = F.when(at.isNull(), F.lit(False)).when(own < at, F.lit(True)).when(own > at, F.lit(False)).when(F.col("_mix_room") <= 0, F.lit(False)).otherwise(F.coalesce(F.col("_at_doc") < F.col("_mix_stop_doc"), F.lit(True)))
     times = F.col("_mix_copies") + partial.cast("long")
-    out = docs.join(small(plan), src == F.col("_mix_source")).withColumn("_mix_times", times).where("_mix_times > 0")
+    rows = docs.select(F.struct("*").alias("_row"), src.alias("_src"), at_block.alias("_at_block"), at_doc.alias("_at_doc"))
+    out = rows.join(small(plan), F.col("_src") == F.col("_mix_source")).withColumn("_mix_times", times).where("_mix_times > 0")
     out = out.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_times") - 1)))
-    if epoch_col:
-        return out.select(*(docs[c] for c in docs.columns if c != epoch_col), F.col("_mix_epoch").alias(epoch_col))
-    return out.select(*(docs[c] for c in docs.columns))
+    columns = [F.col("_row").getField(c).alias(c) for c in docs.columns if c != epoch_col]
+    return out.select(*columns, *([F.col("_mix_epoch").alias(epoch_col)] if epoch_col else []))

@@ -336,7 +336,8 @@ def near_dedup(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str = "d
 
     Rows are told apart by id and text, so rows that share an id, or have none, but differ
     in text are judged each by its own.  Of rows that agree in both one stays, but rows
-    with neither an id nor a word all do.
+    with neither an id nor a word all do.  Texts are read whole, whatever their length; an empty table gives
+    an empty result, and other columns may have any names.
     """
     scratch = Scratch(docs.sparkSession, "near-kept")
     key = ["doc_id", "text_hash"]
@@ -348,11 +349,12 @@ def near_dedup(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str = "d
     # written, so that its size is known when the join is planned
     gone = scratch.table(both.where(~(F.col("doc_id").eqNullSafe(F.col("won_id")) & (F.col("text_hash") == F.col("won_hash")))).select(*key), "gone")
     again = scratch.table(counted.where("n > 1 and (component is not null or doc_id is not null)").select(*key), "again")
-    here = docs.withColumns({"_near_id": F.col(id_col).cast("long"), "_near_hash": F.xxhash64(F.col(text_col).cast("string"))})
+    # columns travel as one struct, so none clashes with the operator's own
+    here = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_near_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_near_hash"))
     same = F.col("_near_id").eqNullSafe(F.col("doc_key")) & (F.col("_near_hash") == F.col("hash_key"))
     sized = lambda d: F.broadcast(d) if d.count() <= cfg.broadcast_rows else d
     out = here.join(sized(gone.toDF("doc_key", "hash_key")), same, "left_anti")
     if not again.isEmpty():
         again = sized(again.toDF("doc_key", "hash_key"))
         out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["_near_id", "_near_hash"]))
-    return out.select(*docs.columns)
+    return out.select("_row.*")

@@ -97,24 +97,25 @@ def assign_shards(
     tie_break: what orders rows of equal keys, and spreads them over window partitions.
     Rows that agree in all of it are interchangeable and stay in one partition.  Null keys
     are a key of their own.  A column of df that has one of the new names is replaced,
-    other columns are carried.  An empty df gives an empty result.
+    other columns are carried as one struct, whatever their names.  An empty df gives an empty result.
     """
     spark = df.sparkSession
     shard_col, slot_col = names
-    df = df.drop(shard_col, slot_col)
+    ties = [F.col(f"_tie{i}") for i in range(len(tie_break or []))]
+    df = df.drop(shard_col, slot_col).select(F.struct("*").alias("_row"), F.col(key).alias("_key"), *(t.alias(f"_tie{i}") for i, t in enumerate(tie_break or [])))
     points = ring_points(shards, vnodes)
     n = df.count()
     fine = max(1, -(-n // (rows_per_segment * grid)))
     # One position may hold so many rows; at most 4096 positions hold more.
     most = max(rows_per_segment, -(-n // 4096))
-    own = F.xxhash64(*(tie_break or [F.col(key)]))
+    own = F.xxhash64(*(ties or [F.col("_key")]))
 
     def placed(frame: DataFrame, hot: dict[int, int]) -> DataFrame:
         """frame with its segment, and its part of it: finer for larger tables, by the tie-break's hash for hot positions."""
         # Bounded by the ring's parameters: shards * vnodes + grid + 8192 rows, whatever df holds.
         pieces = [(i, *p, -(-hot.get(p[1], 0) // most)) for i, p in enumerate(segments(points, grid, tuple(hot)))]
         table = spark.createDataFrame(pieces, "_seg int, _cell int, _from long, _to long, _arc int, _fan int")
-        frame = frame.withColumns({"_pos": key_position(F.col(key)), "_own": own})
+        frame = frame.withColumns({"_pos": key_position(F.col("_key")), "_own": own})
         own_cell = F.expr(f"_pos div {RING // grid}").cast("int")
         hit = (own_cell == F.col("_cell")) & (F.col("_pos") >= F.col("_from")) & (F.col("_pos") < F.col("_to"))
         frame = frame.join(F.broadcast(table), hit).drop("_cell")
@@ -135,7 +136,7 @@ def assign_shards(
     told = arcs(hot)
     if max((r[2] for r in told), default=0) > most:
         # at most 4096 rows
-        hot = dict(df.groupBy(key_position(F.col(key)).alias("_pos")).count().where(F.col("count") > most).collect())
+        hot = dict(df.groupBy(key_position(F.col("_key")).alias("_pos")).count().where(F.col("count") > most).collect())
         told = arcs(hot) if hot else told
     counts = counted(hot)
     before = Window.partitionBy("_arc").orderBy("_seg", "_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,10 +147,10 @@ def assign_shards(
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     dealt = walk(points, [per_arc.get(i, 0) for i in range(len(points))], capacity)
     # At most shards * vnodes + shards ranges.
-    ranges = spark.createDataFrame(dealt or [(-1, 0, 0, 0, 0)], f"_in_arc int, _lo long, _hi long, {shard_col} int, _slot0 long")
+    ranges = spark.createDataFrame(dealt or [(-1, 0, 0, 0, 0)], f"_in_arc int, _lo long, _hi long, _shard int, _slot0 long")
 
-    inside = Window.partitionBy("_seg", "_part").orderBy("_pos", "_own", *(tie_break or []))
+    inside = Window.partitionBy("_seg", "_part").orderBy("_pos", "_own", *ties)
     ranked = placed(df, hot).withColumn("_rn", F.row_number().over(inside) - 1).join(starts, ["_seg", "_part"]).withColumn("_rank", F.col("_start") + F.col("_rn"))
     hit = (F.col("_arc") == F.col("_in_arc")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
-    out = ranked.join(F.broadcast(ranges), hit).withColumn(slot_col, F.col("_slot0") + F.col("_rank") - F.col("_lo"))
-    return out.select(*df.columns, shard_col, slot_col)
+    slot = F.col("_slot0") + F.col("_rank") - F.col("_lo")
+    return ranked.join(F.broadcast(ranges), hit).select("_row.*", F.col("_shard").alias(shard_col), slot.alias(slot_col))
