@@ -13,10 +13,10 @@ Words of a class or id only vote: a subtree with such a word is left out while t
 other text that varies, and a region named by its class alone counts only if it holds most
 of the text that varies.
 
-References are ``references`` pages, those with the least hashes, of each host and of each
-layout of a host: pages with the same layout tags and class names.  A page is aligned with
-one of its layout where that has ``least_pages`` distinct pages, and with one of the host
-too while the layout is small.  Pages are joined to them by host and layout; nothing else
+References are ``references`` pages of distinct contents of each host and of each layout of a
+host: pages with the same layout tags and class names, where they have ``least_pages`` contents.
+A page is aligned with the most similar one of its layout and of its host, and where that has the page's own
+content, whose agreement tells nothing, with another one too.  Pages are joined to them by host and layout; nothing else
 is grouped by host, so a host with a third of all pages is only a larger part of every task.
 """
 
@@ -76,14 +76,13 @@ _CLOSES = {
 
 @dataclass(frozen=True)
 class WrapperConfig:
-    """small_layout: distinct pages up to which a layout's pages are aligned with a reference of the host too.
+    """references: of distinct contents, for each host and for each layout of at least least_pages contents.
 
     match_cells: longest child lists, as a product, whose subtrees are all weighed exactly.
     least_pages, share: distinct contents, and their part, in which a template node's text is the same.
     """
 
     references: int = 4
-    small_layout: int = 20
     least_pages: int = 5
     share: float = 0.8
     match_cells: int = 200_000
@@ -318,19 +317,19 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-def skeleton(tree: Tree, marks: list[int], live: list[bool]) -> tuple[list[str], list[int], list[int], list[int]]:
-    """Tags, parents and hashes of own text (0: none) of the nodes, and those texts that are no content beyond doubt."""
+def skeleton(tree: Tree, marks: list[int], live: list[bool]) -> tuple[list[str], list[int], list[int], list[int], bytes]:
+    """Tags, parents and hashes of own text (0: none) of the nodes, those texts that are no content beyond doubt, and which nodes could be content."""
     told: list[list[str]] = [[] for _ in tree.tag]
     for node, text, _ in tree.blocks:
         told[node].append(text)
     texts = [_hash("\n".join(t)) if t else 0 for t in told]
-    return tree.tag, tree.parent, texts, sorted({t for t, m, alive in zip(texts, marks, live, strict=True) if t and not alive and m not in (1, 2)})
+    return tree.tag, tree.parent, texts, sorted({t for t, m, alive in zip(texts, marks, live, strict=True) if t and not alive and m not in (1, 2)}), bytes(m > 0 for m in marks)
 
 
 def tree_match(a: tuple, b: tuple, cells: int) -> dict[int, int]:
     """Simple tree matching: node of a -> node of b.  Equal own texts weigh half a node more."""
-    tag_a, up_a, text_a, _ = a
-    tag_b, up_b, text_b, _ = b
+    tag_a, up_a, text_a = a[:3]
+    tag_b, up_b, text_b = b[:3]
 
     def children(up: list[int]) -> list[list[int]]:
         kids: list[list[int]] = [[] for _ in up]
@@ -473,13 +472,16 @@ def _wide(a: tuple, b: tuple, sizes: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _choose(own: tuple, refs: list[tuple]) -> tuple | None:
+def _choose(own: tuple, content: int, refs: list[_Ref]) -> list[_Ref]:
     """The reference that shares most of what is no content, then most tags.
 
-    Texts that could be content have no say, so support for them is not biased.
+    Texts that could be content have no say, so support for them is not biased.  Where that reference is a copy
+    of the page, whose agreement tells nothing, the best one of another content comes with it.
     """
     mine, tags = set(own[3]), set(own[0])
-    return max(refs, key=lambda r: (len(mine & r[3]), len(tags & r[4]), -r[0]), default=None)
+    ranked = sorted(refs, key=lambda r: (-len(mine & r.sure), -len(tags & r.tags), r.ref))
+    other = next((r for r in ranked if r.content != content), None)
+    return [r for r in (ranked[:1] + [other] if ranked and ranked[0] is not other else ranked[:1]) if r]
 
 
 def _content(tree: Tree, live: list[bool], template: set[int] = frozenset()) -> str:
@@ -498,35 +500,63 @@ def layout_of(html):
     return F.xxhash64(F.array_sort(F.array_distinct(bare)))
 
 
-def _wrap(cfg: WrapperConfig):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            trees = [parse(h or "") for h in batch.column(3).to_pylist()]
-            blobs = [marshal.dumps(skeleton(t, m := _marks(t), _verdicts(t, m))) for t in trees]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary())], ["host", "layout", "ref", "blob"])
+@dataclass
+class _Page:
+    """A parsed page: its tree, marks, verdicts, skeleton, and the hash of its content."""
+
+    tree: Tree
+    marks: list[int]
+    live: list[bool]
+    own: tuple
+    content: int
+
+
+def _page(source: str | None) -> _Page:
+    tree = parse(source or "")
+    marks = _marks(tree)
+    live = _verdicts(tree, marks)
+    # without a main or an article, what is doubtful tells pages apart too
+    bounded = any(x and (_is_main(tree, i) or _is_article(tree, i)) for i, x in enumerate(live))
+    return _Page(tree, marks, live, skeleton(tree, marks, live), _hash(_content(tree, live if bounded else [m > 0 for m in marks])))
 
-    return run
+
+def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pages = [_page(h) for h in batch.column(3).to_pylist()]
+        blobs = [marshal.dumps(p.own) for p in pages]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([p.content for p in pages], pa.int64()), pa.array(blobs, pa.binary())], ["host", "layout", "ref", "content", "blob"])
+
+
+@dataclass
+class _Ref:
+    """A reference: its number, content, skeleton, template nodes, sure texts and tags."""
+
+    ref: int
+    content: int
+    shape: tuple
+    nodes: set[int]
+    sure: set[int]
+    tags: set[str]
 
 
 class _Refs:
-    """Unpacked references (ref, skeleton, template nodes, its texts, its tags), those of the last layouts seen."""
+    """Unpacked references, those of the last layouts and hosts seen."""
 
     def __init__(self) -> None:
-        self.held: dict[tuple, list[tuple]] = {}
+        self.held: dict[tuple, list[_Ref]] = {}
 
-    def __call__(self, key: tuple, refs: pa.ListScalar) -> list[tuple]:
+    def __call__(self, key: tuple, refs: pa.ListScalar) -> list[_Ref]:
         if key not in self.held:
             if len(self.held) >= 256:
                 self.held.clear()
-            made = [(r["ref"], marshal.loads(r["blob"]), set(r.get("nodes") or ())) for r in refs.as_py() or []]
-            self.held[key] = [(*r, set(r[1][3]), set(r[1][0])) for r in made]
+            made = [(r, marshal.loads(r["blob"])) for r in refs.as_py() or []]
+            self.held[key] = [_Ref(r["ref"], r["content"], b, set(r.get("nodes") or ()), set(b[3]), set(b[0])) for r, b in made]
         return self.held[key]
 
-
-def _aligned(known: _Refs, host: str, layout: int, refs: pa.ListScalar, wide: pa.ListScalar, own: tuple) -> list[tuple]:
-    """The references to align a page with: of its layout, and of its host."""
-    both = (_choose(own, known((host, layout), refs)), _choose(own, known((host, None), wide)))
-    return list({r[0]: r for r in both if r}.values())
+    def near(self, host: str, layout: int, refs: pa.ListScalar, wide: pa.ListScalar, own: tuple, content: int) -> list[_Ref]:
+        """The references to align a page with, of its layout and of its host."""
+        both = _choose(own, content, self((host, layout), refs)) + _choose(own, content, self((host, None), wide))
+        return list({r.ref: r for r in both}.values())
 
 
 def _support(cfg: WrapperConfig):
@@ -536,18 +566,12 @@ def _support(cfg: WrapperConfig):
         known = _Refs()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for host, layout, source, refs, wide in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4), strict=True):
-                tree = parse(source or "")
-                marks = _marks(tree)
-                live = _verdicts(tree, marks)
-                own = skeleton(tree, marks, live)
-                # without a main or an article, what is doubtful tells pages apart too
-                bounded = any(x and (_is_main(tree, i) or _is_article(tree, i)) for i, x in enumerate(live))
-                content = _hash(_content(tree, live if bounded else [m > 0 for m in marks]))
-                for ref, shape, *_ in _aligned(known, host, layout, refs, wide, own):
-                    for x, y in tree_match(own, shape, cfg.match_cells).items():
-                        if marks[x] and own[2][x] and shape[2][y]:
-                            for c, v in zip(rows, (host, ref, y, own[2][x] == shape[2][y], content), strict=True):
+            for host, layout, content, blob, refs, wide in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), batch.column(5), strict=True):
+                own = marshal.loads(blob)
+                for r in known.near(host, layout, refs, wide, own, content):
+                    for x, y in tree_match(own, r.shape, cfg.match_cells).items():
+                        if own[4][x] and own[2][x] and r.shape[2][y]:
+                            for c, v in zip(rows, (host, r.ref, y, own[2][x] == r.shape[2][y], content), strict=True):
                                 c.append(v)
             types = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["host", "ref", "node", "same", "content"])
@@ -561,17 +585,14 @@ def _extract(cfg: WrapperConfig):
         for batch in batches:
             texts = []
             for host, layout, source, refs, wide in zip(*(batch.column(k).to_pylist() for k in range(2, 5)), batch.column(5), batch.column(6), strict=True):
-                tree = parse(source or "")
-                marks = _marks(tree)
-                live = _verdicts(tree, marks)
-                gone: set[int] = set()
+                p = _page(source)
+                live, gone = p.live, set()
                 if refs.is_valid or wide.is_valid:
-                    own = skeleton(tree, marks, live)
-                    for _, shape, fixed, *_ in _aligned(known, host, layout, refs, wide, own):
-                        if fixed:
-                            gone |= {x for x, y in tree_match(own, shape, cfg.match_cells).items() if y in fixed and own[2][x] == shape[2][y]}
-                    live = _verdicts(tree, marks, gone) if gone else live
-                texts.append(_content(tree, live, gone))
+                    for r in known.near(host, layout, refs, wide, p.own, p.content):
+                        if r.nodes:
+                            gone |= {x for x, y in tree_match(p.own, r.shape, cfg.match_cells).items() if y in r.nodes and p.own[2][x] == r.shape[2][y]}
+                    live = _verdicts(p.tree, p.marks, gone) if gone else live
+                texts.append(_content(p.tree, live, gone))
             text = pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -590,35 +611,33 @@ def extract_main(pages: DataFrame, cfg: WrapperConfig = WrapperConfig(), id_col:
     """
     scratch = Scratch(pages.sparkSession, "html")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    code = F.xxhash64("html")
-    some = rows.where("html is not null").select("host", layout_of(F.col("html")).alias("layout"), code.alias("code"), "html")
-    # Layouts with too few pages for support of their own, or that are all their host has, need no references of their own.
-    groups = some.groupBy("host", "layout").agg(F.count_distinct("code").alias("n"))
-    groups = scratch.table(groups, "layouts")
+    some = rows.where("html is not null").select("host", layout_of(F.col("html")).alias("layout"), F.xxhash64("html").alias("ref"), "html")
+    # parsed once for all that alignment needs; written, and small beside the pages
+    shape = "host string, layout long, ref long, content long, blob binary"
+    pages_seen = scratch.table(some.mapInArrow(_skeletons, shape), "skeletons")
+    # Layouts with too few contents for support of their own, or that are all their host has, need no references of their own.
+    groups = scratch.table(pages_seen.groupBy("host", "layout").agg(F.count_distinct("content").alias("n")), "layouts")
     whole = groups.groupBy("host").agg(F.count(F.lit(1)).alias("layouts"))
     several = groups.where(F.col("n") >= cfg.least_pages).join(whole.where("layouts > 1").select("host"), "host", "left_semi")
-    several = scratch.table(several, "several")
-    slot = F.pmod("code", F.lit(cfg.references)).cast("int")
-    wide = some.groupBy("host", slot.alias("slot")).agg(F.min_by("html", "code").alias("html"), F.min("code").alias("ref")).select("host", F.lit(None).cast("long").alias("layout"), "ref", "html")
+    several = scratch.table(several.select("host", "layout"), "several")
+    # A slot's reference is its least content: references of a host or layout differ in content.
+    slot = F.pmod("content", F.lit(cfg.references)).cast("int").alias("slot")
+    first = F.min_by(F.struct("ref", "content", "blob"), F.struct("content", "ref")).alias("r")
     few = (lambda d: F.broadcast(d)) if 100 * several.count() <= cfg.broadcast_bytes else (lambda d: d)
-    deep = some.join(few(several), ["host", "layout"]).groupBy("host", "layout", slot.alias("slot")).agg(F.min_by("html", "code").alias("html"), F.min("code").alias("ref"))
-    shape = "host string, layout long, ref long, blob binary"
-    shapes = scratch.table(wide.unionByName(deep.select("host", "layout", "ref", "html")).mapInArrow(_wrap(cfg), shape), "shapes")
+    wide = pages_seen.groupBy("host", slot).agg(first).select("host", F.lit(None).cast("long").alias("layout"), "r.*")
+    deep = pages_seen.join(few(several), ["host", "layout"]).groupBy("host", "layout", slot).agg(first).select("host", "layout", "r.*")
+    shapes = scratch.table(wide.unionByName(deep), "shapes")
     size = shapes.agg(F.sum(F.length("blob"))).head()[0] or 0
     near = (lambda d: F.broadcast(d)) if size <= cfg.broadcast_bytes else (lambda d: d)
-    big = several.where(F.col("n") > cfg.small_layout).select("host", "layout", F.lit(True).alias("big"))
 
-    def tables(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def joined(frame: DataFrame, shapes: DataFrame) -> DataFrame:
+        """frame with the references of a page's layout and of its host."""
         listed = F.sort_array(F.collect_list(F.struct(*(c for c in shapes.columns if c not in ("host", "layout")))))
-        own = shapes.where("layout is not null").groupBy("host", "layout").agg(listed.alias("refs")).join(big, ["host", "layout"], "left")
-        return scratch.table(own, "own"), scratch.table(shapes.where("layout is null").groupBy("host").agg(listed.alias("wide")), "wide")
-
-    def joined(frame: DataFrame, own: DataFrame, wide: DataFrame) -> DataFrame:
-        """frame with the references of a page's layout, and, where that is not large, of its host."""
-        out = frame.withColumn("layout", layout_of(F.col("html"))).join(near(own), ["host", "layout"], "left").join(near(wide), "host", "left")
-        return out.withColumn("wide", F.when(F.col("big").isNull(), F.col("wide")))
+        own = scratch.table(shapes.where("layout is not null").groupBy("host", "layout").agg(listed.alias("refs")), "own")
+        wide = scratch.table(shapes.where("layout is null").groupBy("host").agg(listed.alias("wide")), "wide")
+        return frame.join(near(own), ["host", "layout"], "left").join(near(wide), "host", "left")
 
-    votes = joined(rows.where("html is not null").select("host", "html"), *tables(shapes)).select("host", "layout", "html", "refs", "wide")
+    votes = joined(pages_seen.select("host", "layout", "content", "blob"), shapes).select("host", "layout", "content", "blob", "refs", "wide")
     votes = votes.mapInArrow(_support(cfg), "host string, ref long, node int, same boolean, content long")
     # each content once: whether any page with it had the node's text
     once = votes.groupBy("host", "ref", "node", "content").agg(F.max("same").alias("same"))
@@ -627,5 +646,5 @@ def extract_main(pages: DataFrame, cfg: WrapperConfig = WrapperConfig(), id_col:
     fixed = scratch.table(fixed.groupBy("host", "ref").agg(F.collect_list("node").alias("nodes")), "wrappers")
     # hosts with template nodes only; what a page is aligned with must be chosen among all references
     known = shapes.join(fixed.select("host").distinct(), "host", "left_semi").join(fixed, ["host", "ref"], "left")
-    out = joined(rows, *tables(known)).select("page_id", "url", "host", "layout", "html", "refs", "wide")
+    out = joined(rows.withColumn("layout", layout_of(F.col("html"))), known).select("page_id", "url", "host", "layout", "html", "refs", "wide")
     return out.mapInArrow(_extract(cfg), "page_id long, url string, text string, n_chars long")
