@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import odds
+from . import scans
 
 EDGE_BINS = [-1.0, -0.05, -0.025, 0.0, 0.025, 0.05, 0.10, 0.20, 1.0]
 RULE_EDGES = [0.0, 0.01, 0.025, 0.05, 0.10]
@@ -33,14 +34,22 @@ def portfolio(df: DataFrame, by: list[str] | None = None, profit: str = "profit"
     )
 
 
-def drawdown(df: DataFrame, by: list[str], order: list[str], profit: str = "profit") -> DataFrame:
-    """Final equity, its peak and the greatest fall from a peak; the start counts as 0."""
+def drawdown(df: DataFrame, by: list[str], order: list[str], profit: str = "profit", parts: int | None = None) -> DataFrame:
+    """Final equity, its peak and the greatest fall from a peak; the start counts as 0.
+
+    parts: how many ranges the rows are dealt to, so that a long group is many tasks.
+    """
+    if parts:
+        return scans.equity(df, by, order, profit, parts)
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     run = df.withColumn("_e", F.sum(profit).over(w)).withColumn("_p", F.greatest(F.lit(0.0), F.max("_e").over(w)))
     return run.groupBy(*by).agg(F.sum(profit).alias("equity"), F.max("_p").alias("peak"), F.max(F.col("_p") - F.col("_e")).alias("max_drawdown"))
 
 
-def losing_streak(df: DataFrame, by: list[str], order: list[str], won: str = "won") -> DataFrame:
+def losing_streak(df: DataFrame, by: list[str], order: list[str], won: str = "won", parts: int | None = None) -> DataFrame:
+    """Most losses in a row; parts as in drawdown."""
+    if parts:
+        return scans.losses(df, by, order, won, parts)
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     island = df.withColumn("_i", F.sum(F.col(won).cast("int")).over(w))
     runs = island.groupBy(*by, "_i").agg(F.count_if(~F.col(won)).alias("n"))

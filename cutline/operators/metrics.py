@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.ship import ship_package
+
 PLAY_BINS = [0.0, 0.01, 0.02, 0.05, 0.10, 0.20, 0.35, 0.50, 1.0]
 PLAYER_BINS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 1.01]
 LINE_BINS = [0.0, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 1.01]
@@ -110,12 +117,20 @@ def nb_alpha(df: DataFrame, mu: str, y: str) -> DataFrame:
     return df.agg(F.greatest(F.lit(0.0), (F.var_samp(F.col(y).cast("double")) - mean) / (mean * mean)).alias("alpha"))
 
 
+#: Modulus of the integer arithmetic of draws.
+_MODULUS = 2_147_483_647
+
+
+def _mixed(x):
+    """Three rounds of a quadratic map; a linear one would draw the clusters of a replicate from a lattice."""
+    for _ in range(3):
+        x = (x * ((x + 48_271) % _MODULUS) + 11) % _MODULUS
+    return x
+
+
 def draw(rep: Column, k: Column, n: Column, seed: int = 1729) -> Column:
     """Index in [0, n) of the k-th draw of a replicate, by integer arithmetic any engine can repeat."""
-    x = (rep * 1_000_003 + k * 7_919 + seed) % 2_147_483_647
-    for _ in range(3):
-        x = (x * 48_271 + 11) % 2_147_483_647
-    return x % n
+    return _mixed((rep * 1_000_003 + k * 7_919 + seed) % _MODULUS) % n
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, numerator: Column, denominator: Column, replicates: int = 2000, seed: int = 1729) -> DataFrame:
@@ -132,6 +147,37 @@ def cluster_bootstrap(df: DataFrame, cluster: str, numerator: Column, denominato
     return draws.join(sums, "at").groupBy("replicate").agg((F.sum("num") / F.sum("den")).alias("stat"))
 
 
+#: Where the counts of a Poisson draw of mean 1 begin below the modulus.
+POISSON_CUTS = [math.floor(_MODULUS * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+
+
+def poisson_bootstrap(df: DataFrame, cluster: str, numerator: Column, denominator: Column, replicates: int = 2000, seed: int = 1729) -> DataFrame:
+    """replicate, stat: ratio of sums over clusters that each count as often as a Poisson draw of mean 1.
+
+    For many clusters: draws with replacement are such counts given their total, which a ratio
+    leaves out.  A draw is integer arithmetic on the replicate and a hash of the cluster, so clusters need no
+    numbers, and a task keeps two sums a replicate whatever the number of clusters.
+    """
+    ship_package(df.sparkSession)
+    number = F.conv(F.substring(F.md5(F.col(cluster).cast("string")), 1, 7), 16, 10).cast("long")
+    sums = df.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(numerator.cast("double").alias("num"), denominator.cast("double").alias("den")).select(number.alias("c"), "num", "den")
+    cuts = np.array(POISSON_CUTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, replicates))
+        rep = np.arange(replicates, dtype=np.int64)[:, None]
+        for batch in batches:
+            c = batch.column(0).to_numpy()
+            both = np.stack([batch.column(i).fill_null(0.0).to_numpy(zero_copy_only=False) for i in (1, 2)])
+            step = max(1, 1_000_000 // replicates)
+            for a in range(0, len(c), step):
+                x = _mixed((rep * 1_000_003 + c[None, a : a + step] * 7_919 + seed) % _MODULUS)
+                total += both[:, a : a + step] @ np.searchsorted(cuts, x, "right").T
+        yield pa.RecordBatch.from_arrays([pa.array(rep[:, 0]), pa.array(total[0]), pa.array(total[1])], ["replicate", "num", "den"])
+
+    return sums.mapInArrow(run, "replicate long, num double, den double").groupBy("replicate").agg((F.sum("num") / F.sum("den")).alias("stat"))
+
+
 def interval(reps: DataFrame, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
     return reps.agg(F.count(F.lit(1)).alias("replicates"), F.percentile("stat", F.lit(lo)).alias("lo"), F.percentile("stat", F.lit(hi)).alias("hi"))
 

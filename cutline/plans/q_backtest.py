@@ -62,12 +62,12 @@ def portfolio(spark: SparkSession, d: str) -> DataFrame:
 
 @query(v.sql("""SELECT event, round(sum(profit), 6) equity, round(max(pk), 6) peak, round(max(pk - e), 6) max_drawdown FROM (SELECT *, greatest(0, max(e) OVER w) pk FROM (SELECT event, player, profit, sum(profit) OVER (PARTITION BY event ORDER BY player) e FROM v_wagers) WINDOW w AS (PARTITION BY event ORDER BY player)) GROUP BY 1"""))
 def drawdown(spark: SparkSession, d: str) -> DataFrame:
-    return bt.drawdown(v.wagers(spark, d), ["event"], ["player"]).select("event", r6("equity"), r6("peak"), r6("max_drawdown"))
+    return bt.drawdown(v.wagers(spark, d), ["event"], ["player"], parts=16).select("event", r6("equity"), r6("peak"), r6("max_drawdown"))
 
 
 @query(v.sql("""SELECT event, max(n) longest_losing_streak FROM (SELECT event, i, count(*) FILTER (NOT won) n FROM (SELECT event, won, sum(won::INT) OVER (PARTITION BY event ORDER BY player) i FROM v_wagers) GROUP BY 1, 2) GROUP BY 1"""))
 def losing_streak(spark: SparkSession, d: str) -> DataFrame:
-    return bt.losing_streak(v.wagers(spark, d), ["event"], ["player"])
+    return bt.losing_streak(v.wagers(spark, d), ["event"], ["player"], parts=16)
 
 
 @query(v.sql("""SELECT event, round(sum(profit) FILTER (r <= 1) / sum(profit), 6) top1_share, round(sum(profit) FILTER (r <= 2) / sum(profit), 6) top2_share FROM (SELECT event, profit, row_number() OVER (PARTITION BY event ORDER BY profit DESC, player) r FROM v_wagers WHERE profit > 0) GROUP BY 1"""))

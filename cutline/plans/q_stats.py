@@ -97,16 +97,29 @@ def dispersion(spark: SparkSession, d: str) -> DataFrame:
     return m.dispersion(_counts(spark, d), "mu", "y").select(r6("var_over_mean"), r6("pearson"), "overdispersed")
 
 
-_LCG = "(((x * 48271 + 11) % 2147483647 * 48271 + 11) % 2147483647 * 48271 + 11) % 2147483647"
+_MIXED = "x"
+for _ in range(3):
+    _MIXED = f"(({_MIXED}) * ((({_MIXED}) + 48271) % 2147483647) + 11) % 2147483647"
 
 
-@query(v.sql(f"""SELECT count(*) replicates, round(quantile_cont(stat, 0.025), 6) lo, round(quantile_cont(stat, 0.975), 6) hi FROM (SELECT r, sum(num) / sum(den) stat FROM (SELECT r, {_LCG} % n AS "at" FROM (SELECT r, n, (r * 1000003 + k * 7919 + 1729) % 2147483647 x FROM (SELECT count(*) n FROM k), range(0, 2000) a(r), range(0, (SELECT count(*) FROM k)) b(k))) JOIN k USING ("at") GROUP BY 1)""",
+@query(v.sql(f"""SELECT count(*) replicates, round(quantile_cont(stat, 0.025), 6) lo, round(quantile_cont(stat, 0.975), 6) hi FROM (SELECT r, sum(num) / sum(den) stat FROM (SELECT r, {_MIXED} % n AS "at" FROM (SELECT r, n, (r * 1000003 + k * 7919 + 1729) % 2147483647 x FROM (SELECT count(*) n FROM k), range(0, 2000) a(r), range(0, (SELECT count(*) FROM k)) b(k))) JOIN k USING ("at") GROUP BY 1)""",
     ("k", """SELECT row_number() OVER (ORDER BY "cluster") - 1 AS "at", sum(p - y) num, count(*) * 1.0::DOUBLE den FROM v_scored GROUP BY "cluster" """)))
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     reps = m.cluster_bootstrap(v.scored(spark, d), "cluster", F.sum(F.col("p") - F.col("y")), F.count(F.lit(1)).cast("double"))
     return m.interval(reps).select("replicates", r6("lo"), r6("hi"))
 
 
+_TIMES = " + ".join(f"(x >= {t})::INT" for t in m.POISSON_CUTS)
+
+
+@query(v.sql(f"""SELECT count(*) replicates, round(quantile_cont(stat, 0.025), 6) lo, round(quantile_cont(stat, 0.975), 6) hi FROM (SELECT r, sum(num * k) / sum(den * k) stat FROM
+    (SELECT r, num, den, {_TIMES} k FROM (SELECT r, num, den, {_MIXED} x FROM (SELECT r, num, den, (r * 1000003 + c * 7919 + 1729) % 2147483647 x FROM range(0, 2000) a(r), (SELECT ('0x' || substr(md5("cluster"::VARCHAR), 1, 7))::BIGINT c, sum(p - y) num, count(*)::DOUBLE den FROM v_scored GROUP BY 1, "cluster")))) GROUP BY 1)"""))
+def poisson_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """The interval of the mean difference over clusters, for any number of them."""
+    reps = m.poisson_bootstrap(v.scored(spark, d), "cluster", F.sum(F.col("p") - F.col("y")), F.count(F.lit(1)))
+    return m.interval(reps).select("replicates", r6("lo"), r6("hi"))
+
+
 @query(v.sql("""SELECT seg, "value" upper_median FROM (SELECT seg, "value", row_number() OVER (PARTITION BY seg ORDER BY "value") - 1 r, count(*) OVER (PARTITION BY seg) n FROM v_scored) WHERE r = n // 2"""))
 def upper_median(spark: SparkSession, d: str) -> DataFrame:
     return m.upper_median(v.scored(spark, d), "value", ["seg"])
@@ -204,7 +217,7 @@ def _ece_sql(p: str) -> str:
     (SELECT b BETWEEN 0.8 AND 1.2 FROM fit WHERE i = 25) slope, worst_position <= 0.010 AS "position", better >= 2 AND worst_segment <= 0.005 chronology FROM
     (SELECT max(x) FILTER (g = 3) dl, max(x) FILTER (g = 1) worst_position, max(x) FILTER (g = 2) worst_segment, count(*) FILTER (g = 2 AND x < 0) better FROM (SELECT avg({_ONE.format("p2")}) - avg({_ONE.format("p")}) x, grouping(seg, part) g FROM (SELECT *, {_PART} part FROM v_scored) GROUP BY GROUPING SETS ((seg), (part), ()))))""",
     ("k", f"""SELECT row_number() OVER (ORDER BY "cluster") - 1 AS "at", sum({_ONE.format("p2")} - {_ONE.format("p")}) num, count(*) * 1.0::DOUBLE den FROM v_scored GROUP BY "cluster" """),
-    ("reps", f"""SELECT r, sum(num) / sum(den) stat FROM (SELECT r, {_LCG} % n AS "at" FROM (SELECT r, n, (r * 1000003 + k * 7919 + 1729) % 2147483647 x FROM (SELECT count(*) n FROM k), range(0, 2000) a(r), range(0, (SELECT count(*) FROM k)) b(k))) JOIN k USING ("at") GROUP BY 1""")))
+    ("reps", f"""SELECT r, sum(num) / sum(den) stat FROM (SELECT r, {_MIXED} % n AS "at" FROM (SELECT r, n, (r * 1000003 + k * 7919 + 1729) % 2147483647 x FROM (SELECT count(*) n FROM k), range(0, 2000) a(r), range(0, (SELECT count(*) FROM k)) b(k))) JOIN k USING ("at") GROUP BY 1""")))
 def promotion_gates(spark: SparkSession, d: str) -> DataFrame:
     """Six gates: material gain, bootstrap, calibration error, slope, positions and chronology."""
     from ..operators import models

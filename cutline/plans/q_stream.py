@@ -69,8 +69,7 @@ def stream_on_time(spark: SparkSession, d: str) -> DataFrame:
     cuts = v.cutoffs(spark, d).select(F.col("event").cast("string").alias("event"), F.col("cutoff").cast("timestamp").alias("cutoff"))
 
     def build(read: Callable[[], DataFrame]) -> DataFrame:
-        s = st.distinct_quotes(quotes_of(read()), ["event", "player", "book"])
-        return s.join(cuts, "event").where("quote_time <= cutoff").select("event", "player", "book", "quote_time")
+        return st.on_time(st.distinct_quotes(quotes_of(read()), ["event", "player", "book"]), cuts).select("event", "player", "book", "quote_time")
 
     return run_in_parts(spark, d, "ontime", build).withColumn("quote_time", F.col("quote_time").cast("timestamp_ntz"))
 
