@@ -76,16 +76,17 @@ def over_under_push(masses: Column, line: Column) -> dict[str, Column]:
     return {"over": F.greatest(F.lit(0.0), F.lit(1.0) - under - push), "under": under, "push": push}
 
 
-def residual_histogram(df: DataFrame, y: str, mean: str, width: float = 0.25, most: float = 100.0) -> DataFrame:
-    """One row: residuals, an array of (residual, mass) in bins of a width, all rows counted.
+def residual_histogram(df: DataFrame, y: str, mean: str, width: float = 0.25, most_bins: int = 100_000) -> DataFrame:
+    """One row: residuals, an array of (residual, mass) of the occupied bins of a width, every row in its own bin.
 
-    Residuals beyond most count in the last bins, so the array has at most 2 most / width entries.
+    The query fails where more bins than most_bins are occupied; a greater width has fewer.
     """
-    r = F.greatest(F.lit(-most), F.least(F.lit(most), F.floor((F.col(y) - F.col(mean)) / width) * width))
+    r = F.floor((F.col(y) - F.col(mean)) / width) * width
     n = df.where(F.col(y).isNotNull() & F.col(mean).isNotNull()).groupBy(r.alias("r")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n")
     out = n.agg(F.array_sort(F.collect_list(F.struct("r", F.col("n").cast("double").alias("n")))).alias("_h"), total.alias("_t"))
-    return out.select(F.transform("_h", lambda x: F.struct(x["r"].alias("residual"), (x["n"] / F.col("_t")).alias("mass"))).alias("residuals"))
+    whole = F.transform("_h", lambda x: F.struct(x["r"].alias("residual"), (x["n"] / F.col("_t")).alias("mass")))
+    return out.select(F.when(F.size("_h") > most_bins, F.raise_error(F.lit("more residual bins than most_bins")).cast(out.select(whole.alias("h")).schema["h"].dataType)).otherwise(whole).alias("residuals"))
 
 
 def residual_chances(residuals: Column, mean: Column, line: Column) -> Column:

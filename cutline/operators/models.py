@@ -145,11 +145,12 @@ def apply_platt(p: Column, fitted: tuple[float, float]) -> Column:
 
 
 def calibrate_if_better(fit_on: DataFrame, check_on: DataFrame, p: str, y: str) -> tuple[tuple[float, float], bool]:
-    """A sigmoid of one period, accepted only if both scores improve on another."""
+    """A sigmoid of one period, accepted only if on another both scores improve and the calibration error does not grow."""
     fitted = platt(fit_on, p, y)
     both = check_on.withColumn("_q", apply_platt(F.col(p), fitted))
+    new, old = (metrics.ece(metrics.reliability(both, c, y, metrics.PLAYER_BINS)).head()["ece"] for c in ("_q", p))
     row = both.agg(metrics.log_loss(F.col("_q"), F.col(y)).alias("a"), metrics.log_loss(F.col(p), F.col(y)).alias("b"), metrics.brier(F.col("_q"), F.col(y)).alias("c"), metrics.brier(F.col(p), F.col(y)).alias("d")).head()
-    return fitted, row["a"] < row["b"] and row["c"] < row["d"]
+    return fitted, row["a"] is not None and row["a"] < row["b"] and row["c"] < row["d"] and (new or 0.0) <= (old or 0.0)
 
 
 def allocate(df: DataFrame, group: list[str], weights: dict[str, float], expected: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import odds, timing
 from ..operators import backtest as bt
-from ..operators import metrics, prices
+from ..operators import audit, metrics, prices
 from . import views as v
 from .registry import big, query, r6
 
@@ -186,14 +186,29 @@ def diagnostic_cuts(spark: SparkSession, d: str) -> DataFrame:
     return bt.diagnostics(w, cuts).select("cut", "value", "n", "wins", r6("net"), r6("roi"))
 
 
-@query(v.sql("""SELECT count(*) rows, count(*) FILTER (abs(ev - (p * "decimal" - 1)) > 1e-9) bad_ev, count(*) FILTER (abs(edge - (p - 1 / "decimal")) > 1e-9) bad_edge, count(*) FILTER (best_time > cutoff) late, count(*) FILTER (profit IS NULL) ungraded, count(*) - count(DISTINCT (event, player)) duplicates FROM v_wagers JOIN v_cutoff USING (event)"""))
+#: The settled table with faults planted by player, and some rows twice.
+_FAULTY = """SELECT event, player, p, "decimal", cutoff, ev + CASE WHEN player % 11 = 0 THEN 0.01 ELSE 0 END ev, edge - CASE WHEN player % 13 = 0 THEN 0.02 ELSE 0 END edge,
+    best_time + CASE WHEN player % 17 = 0 THEN INTERVAL 30 DAY ELSE INTERVAL 0 DAY END best_time, CASE WHEN player % 19 <> 0 THEN profit END profit FROM v_wagers JOIN v_cutoff USING (event)"""
+
+
+@query(v.sql("""SELECT count(*) rows, count(*) FILTER (abs(ev - (p * "decimal" - 1)) > 1e-9) bad_ev, count(*) FILTER (abs(edge - (p - 1 / "decimal")) > 1e-9) bad_edge, count(*) FILTER (best_time > cutoff) late, count(*) FILTER (profit IS NULL) ungraded, count(*) - count(DISTINCT (event, player)) duplicates
+    FROM (SELECT * FROM faulty UNION ALL SELECT * FROM faulty WHERE player % 23 = 0)""", ("faulty", _FAULTY)))
 def backtest_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Violation counts of the settled table."""
-    w = v.wagers(spark, d).join(v.cutoffs(spark, d), "event")
-    return w.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(F.col("ev") - (F.col("p") * F.col("decimal") - 1)) > 1e-9).alias("bad_ev"), F.count_if(F.abs(F.col("edge") - (F.col("p") - F.lit(1.0) / F.col("decimal"))) > 1e-9).alias("bad_edge"),
-        F.count_if(F.col("best_time") > F.col("cutoff")).alias("late"), F.count_if(F.col("profit").isNull()).alias("ungraded"), (F.count(F.lit(1)) - F.count_distinct("event", "player")).alias("duplicates"),
-    )
+    """Violation counts of the settled table, with planted faults of every kind."""
+    w = v.wagers(spark, d).join(v.cutoffs(spark, d), "event").select("event", "player", "p", "decimal", "cutoff", "ev", "edge", "best_time", "profit")
+    hit = lambda k: F.col("player") % k == 0
+    w = w.withColumns({
+        "ev": F.col("ev") + F.when(hit(11), 0.01).otherwise(0.0), "edge": F.col("edge") - F.when(hit(13), 0.02).otherwise(0.0),
+        "best_time": F.when(hit(17), F.col("best_time") + F.expr("INTERVAL 30 DAYS")).otherwise(F.col("best_time")), "profit": F.when(~hit(19), F.col("profit")),
+    })
+    rules = {
+        "bad_ev": F.abs(F.col("ev") - odds.expected_value(F.col("p"), F.col("decimal"))) > 1e-9, "bad_edge": F.abs(F.col("edge") - odds.edge(F.col("p"), F.col("decimal"))) > 1e-9,
+        "late": F.col("best_time") > F.col("cutoff"), "ungraded": F.col("profit").isNull(),
+    }
+    both = w.unionByName(w.where(hit(23)))
+    counts = audit.count_violations(both, rules)
+    again = both.agg((F.count(F.lit(1)) - F.count_distinct("event", "player")).alias("duplicates"))
+    return counts.crossJoin(F.broadcast(again))  # one row each
 
 
 @query(v.sql("""SELECT event, player, round(p - 1 / median_decimal, 6) disagreement, n_books FROM (SELECT *, books n_books FROM v_wagers) QUALIFY row_number() OVER (ORDER BY abs(round(p - 1 / median_decimal, 9)) DESC, event, player) <= 20"""))

@@ -11,7 +11,7 @@ from ..sources import staging
 from . import views as v
 from .newton_sql import fit, recursive
 from .q_lag import DAY, HIST
-from .q_stats import PLATT, platt_sql
+from .q_stats import BINS, PLATT, platt_sql
 from .registry import big, query, r6
 
 FIELDS = ["last3_metric", "last8_metric", "ewma_metric", "last5_share"]
@@ -126,7 +126,11 @@ _CAL = "1 / (1 + exp(-(a + b * ln(least(1 - 1e-6, greatest(1e-6, p2)) / (1 - lea
 _L = "avg(CASE WHEN y = 1 THEN -ln(least(1 - 1e-6, greatest(1e-6, {0}))) ELSE -ln(1 - least(1 - 1e-6, greatest(1e-6, {0}))) END)"
 
 
-@query(platt_sql("fit", "p2", "early", f"""SELECT (SELECT count(*) FROM v_scored) AS rows, round(a, 4) intercept, round(b, 4) slope, l1 < l0 AND b1 < b0 accepted FROM (SELECT a, b, {_L.format(_CAL)} l1, {_L.format("p2")} l0, avg(({_CAL} - y) * ({_CAL} - y)) b1, avg((p2 - y) * (p2 - y)) b0 FROM half, (SELECT a, b FROM fit WHERE i = 25) WHERE NOT first_half GROUP BY 1, 2)""", ("half", _HALF), ("early", "SELECT * FROM half WHERE first_half")))
+def _ece_of(score: str) -> str:
+    return f"(SELECT sum(n * abs(mp - my)) / sum(n) FROM (SELECT count(z) n, avg(z) mp, avg(y) my FROM (VALUES {BINS}) v(bin, lo, hi, last) LEFT JOIN (SELECT y, {score} z FROM half, (SELECT a, b FROM fit WHERE i = 25) WHERE NOT first_half) ON z >= lo AND (z < hi OR last AND z <= hi) GROUP BY bin))"
+
+
+@query(platt_sql("fit", "p2", "early", f"""SELECT (SELECT count(*) FROM v_scored) AS rows, round(a, 4) intercept, round(b, 4) slope, l1 < l0 AND b1 < b0 AND {_ece_of(_CAL)} <= {_ece_of("p2")} accepted FROM (SELECT a, b, {_L.format(_CAL)} l1, {_L.format("p2")} l0, avg(({_CAL} - y) * ({_CAL} - y)) b1, avg((p2 - y) * (p2 - y)) b0 FROM half, (SELECT a, b FROM fit WHERE i = 25) WHERE NOT first_half GROUP BY 1, 2)""", ("half", _HALF), ("early", "SELECT * FROM half WHERE first_half")))
 def platt_accept(spark: SparkSession, d: str) -> DataFrame:
     """A sigmoid fitted on one half in time, accepted only if it helps on the other."""
     s = v.scored(spark, d).withColumn("_us", F.unix_micros(F.col("at").cast("timestamp")))

@@ -67,7 +67,7 @@ def far_lines(spark: SparkSession, d: str) -> DataFrame:
 def residual_lines(spark: SparkSession, d: str) -> DataFrame:
     """The residual method behind the same interface: every mean with the residuals of all rows."""
     c = _counts(spark, d).withColumn("y", F.col("y").cast("double"))
-    x = c.join(F.broadcast(dist.residual_histogram(c, "y", "mu")))  # one row of at most 801 bins
+    x = c.join(F.broadcast(dist.residual_histogram(c, "y", "mu")))  # one row, its bins counted
     x = x.withColumn("o", dist.residual_chances(F.col("residuals"), F.col("mu"), F.floor("mu").cast("double")))
     return x.select("entity", big("season"), r6("o.over", "over_"), r6("o.push", "push"))
 
@@ -141,8 +141,8 @@ def log_loss_brier(spark: SparkSession, d: str) -> DataFrame:
     return m.probability_metrics(v.scored(spark, d), "p", "y", ["seg"]).select("seg", "n", r6("log_loss"), r6("brier"))
 
 
-_BINS = ", ".join(f"({i}, {a}, {b}, {'true' if i == len(m.PLAYER_BINS) - 2 else 'false'})" for i, (a, b) in enumerate(zip(m.PLAYER_BINS[:-1], m.PLAYER_BINS[1:], strict=True)))
-_REL = f"""SELECT b.bin, lo, hi, count(p) n, avg(p) mp, avg(y) my FROM (VALUES {_BINS}) b(bin, lo, hi, last) LEFT JOIN v_scored ON p >= lo AND (p < hi OR last AND p <= hi) GROUP BY 1, 2, 3"""
+BINS = ", ".join(f"({i}, {a}, {b}, {'true' if i == len(m.PLAYER_BINS) - 2 else 'false'})" for i, (a, b) in enumerate(zip(m.PLAYER_BINS[:-1], m.PLAYER_BINS[1:], strict=True)))
+_REL = f"""SELECT b.bin, lo, hi, count(p) n, avg(p) mp, avg(y) my FROM (VALUES {BINS}) b(bin, lo, hi, last) LEFT JOIN v_scored ON p >= lo AND (p < hi OR last AND p <= hi) GROUP BY 1, 2, 3"""
 
 
 @query(v.sql("SELECT bin::BIGINT bin, lo::DOUBLE lo, hi::DOUBLE hi, n, round(mp, 6) mean_p, round(my, 6) mean_y FROM r", ("r", _REL)))
@@ -210,7 +210,7 @@ def platt_sql(name: str, p: str, rows: str, body: str, *more: tuple[str, str]) -
 
 
 def _ece_sql(p: str) -> str:
-    return f"(SELECT sum(n * abs(mp - my)) / sum(n) FROM (SELECT count({p}) n, avg({p}) mp, avg(y) my FROM (VALUES {_BINS}) b(bin, lo, hi, last) LEFT JOIN v_scored ON {p} >= lo AND ({p} < hi OR last AND {p} <= hi) GROUP BY bin))"
+    return f"(SELECT sum(n * abs(mp - my)) / sum(n) FROM (SELECT count({p}) n, avg({p}) mp, avg(y) my FROM (VALUES {BINS}) b(bin, lo, hi, last) LEFT JOIN v_scored ON {p} >= lo AND ({p} < hi OR last AND {p} <= hi) GROUP BY bin))"
 
 
 @query(platt_sql("fit", "p2", "v_scored", f"""SELECT *, material_log_loss AND bootstrap_below_zero AND ece AND slope AND "position" AND chronology promoted FROM (SELECT dl <= -0.005 material_log_loss, (SELECT quantile_cont(stat, 0.975) FROM reps) < 0 bootstrap_below_zero, {_ece_sql("p2")} <= {_ece_sql("p")} + 0.010 ece,

@@ -14,30 +14,42 @@ def one(spark, *cols):
     return spark.range(1).select(*cols).head()
 
 
-@pytest.mark.parametrize(("american", "decimal"), [(140, 2.4), (-150, 5 / 3), (100, 2.0), (-100, 2.0), (0, None), (50, None), (-50, None)])
-def test_american_to_decimal(spark, american, decimal):
-    got = one(spark, odds.american_to_decimal(F.lit(american)))[0]
-    assert got == pytest.approx(decimal) if decimal else got is None
+@pytest.mark.parametrize("price", [100, 101, 235, 1_250, -101, -175, -430, -2_000])
+def test_american_prices_pay_what_they_say(spark, price):
+    """A positive price is won on a stake of 100, a negative one has to be staked to win 100; both ways agree."""
+    stake, win = (100, price) if price > 0 else (-price, 100)
+    d = odds.american_to_decimal(F.lit(price))
+    got, back, p = one(spark, d, odds.decimal_to_american(d), odds.implied_probability(d))
+    assert got * stake == pytest.approx(stake + win)
+    assert back == pytest.approx(price) and p == pytest.approx(stake / (stake + win))
 
 
-def test_decimal_to_american(spark):
-    assert list(one(spark, *(odds.decimal_to_american(F.lit(d)) for d in (3.0, 1.5, 2.0)))) == pytest.approx([200, -200, 100])
+@pytest.mark.parametrize("price", [-99, -1, 1, 7, 99])
+def test_prices_between_the_hundreds_are_no_prices(spark, price):
+    assert one(spark, odds.american_to_decimal(F.lit(price)))[0] is None
+    assert one(spark, odds.american_to_decimal(F.lit(None).cast("int")))[0] is None
 
 
-def test_implied_points_and_values(spark):
-    home, away = odds.implied_points(F.lit(47.0), F.lit(-3.0))
-    assert list(one(spark, home, away)) == [25.0, 22.0]
-    assert one(spark, odds.implied_points(F.lit(2.0), F.lit(-9.0))[1])[0] is None
-    assert one(spark, odds.expected_value(F.lit(0.5), F.lit(2.4)))[0] == pytest.approx(0.2)
-    assert one(spark, odds.closing_line_value(F.lit(2.4), F.lit(2.2)))[0] == pytest.approx(1 / 2.2 - 1 / 2.4)
+@pytest.mark.parametrize(("total", "spread"), [(51.5, -6.5), (38.0, 10.0), (40.0, 40.0), (44.5, 0.5)])
+def test_implied_points_add_to_the_total_and_differ_by_the_spread(spark, total, spread):
+    home, away = one(spark, *odds.implied_points(F.lit(total), F.lit(spread)))
+    assert home + away == pytest.approx(total) and home + spread == pytest.approx(away)
+    assert one(spark, *odds.implied_points(F.lit(total), F.lit(total + 1)))[0] is None
 
 
-def test_two_sided_fair(spark):
-    f = odds.two_sided_fair(odds.american_to_decimal(F.lit(-120)), odds.american_to_decimal(F.lit(100)))
-    raw, other, fair, hold = one(spark, *f.values())
-    assert (raw, other) == pytest.approx((120 / 220, 0.5))
-    assert fair == pytest.approx(raw / (raw + 0.5))
-    assert hold == pytest.approx(raw + 0.5 - 1)
+@pytest.mark.parametrize(("p", "d", "close"), [(0.31, 3.5, 3.1), (0.62, 1.55, 1.7), (1.0, 1.01, 1.01)])
+def test_value_is_the_mean_profit(spark, p, d, close):
+    value, line = one(spark, odds.expected_value(F.lit(p), F.lit(d)), odds.closing_line_value(F.lit(d), F.lit(close)))
+    assert value == pytest.approx(p * (d - 1) - (1 - p))
+    assert line == pytest.approx((d - close) / (d * close))
+
+
+@pytest.mark.parametrize(("over", "under"), [(1.62, 2.3), (2.05, 1.78), (1.91, 1.91)])
+def test_two_sided_fair_keeps_the_ratio_of_the_sides(spark, over, under):
+    f = odds.two_sided_fair(F.lit(over), F.lit(under))
+    a, b, fair, hold = one(spark, *f.values())
+    assert (a * over, b * under) == pytest.approx((1, 1))
+    assert fair / (1 - fair) == pytest.approx(under / over) and hold == pytest.approx((over + under) / (over * under) - 1)
 
 
 def test_status_flags(spark):
@@ -65,7 +77,7 @@ def test_clocks(spark):
 
 
 def test_poisson_and_negative_binomial_sum_to_one(spark):
-    assert one(spark, dist.poisson_at_least_one(F.lit(0.7)))[0] == pytest.approx(1 - math.exp(-0.7))
+    assert one(spark, dist.poisson_at_least_one(F.lit(1.35)))[0] == pytest.approx(sum(math.exp(-1.35) * 1.35**k / math.factorial(k) for k in range(1, 40)))
     assert sum(one(spark, *dist.poisson_masses(F.lit(2.3)))) == pytest.approx(1)
     for alpha in (0.0, 0.9):
         p = one(spark, dist.pmf(F.lit(2.3), F.lit(alpha), 200))[0]
