@@ -83,11 +83,48 @@ def stream_freeze(spark: SparkSession, d: str) -> DataFrame:
         s = quotes_of(read()).withWatermark("quote_time", "10 minutes").join(cuts, "event")
         return st.freeze(s.select("event", "player", "book", "price", "quote_time", "cutoff"))
 
+    out = _with_rocks(spark, lambda: run_in_parts(spark, d, "freeze", build))
+    return out.select("event", "player", "book", F.col("quote_time").cast("timestamp_ntz").alias("quote_time"), F.col("price").cast("long").alias("price"))
+
+
+#: Runs of the capture by event: in time, too early, too late, too early and then in time, or none.
+_RUNS = """SELECT event, cutoff, unnest(CASE dayofyear(event) // 7 % 5 WHEN 0 THEN [20] WHEN 1 THEN [-300] WHEN 2 THEN [120] WHEN 3 THEN [-300, -110, 10] ELSE [] END) lag_s FROM v_cutoff WHERE cutoff + INTERVAL 2 MINUTE <= (SELECT max(ts) FROM events)"""
+
+
+@query(v.sql("""SELECT c.event::VARCHAR AS event, CASE WHEN r.at IS NOT NULL THEN 'captured' WHEN r.late > 0 THEN 'late' WHEN r.early > 0 THEN 'early' ELSE 'missed' END status, r.at captured_at, (coalesce(r.early, 0) + coalesce(r.late, 0))::BIGINT refused, q.player, q.book, q.quote_time, q.price FROM v_cutoff c
+    LEFT JOIN (SELECT event, min(cutoff + to_seconds(lag_s)) FILTER (lag_s BETWEEN -120 AND 45) AS "at", count(*) FILTER (lag_s < -120) early, count(*) FILTER (lag_s > 45) late FROM runs GROUP BY 1) r USING (event)
+    LEFT JOIN (SELECT event, player, book, max(quote_time) quote_time, arg_max(price, (quote_time, price))::BIGINT price FROM v_quotes JOIN v_cutoff USING (event) WHERE quote_time <= cutoff AND event_id IN (SELECT event_id FROM ontime) GROUP BY 1, 2, 3) q ON q.event = c.event AND r.at IS NOT NULL
+    WHERE c.cutoff + INTERVAL 45 SECOND < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""", ("ontime", ON_TIME), ("runs", _RUNS)))
+def stream_capture(spark: SparkSession, d: str) -> DataFrame:
+    """Quotes sealed only for events whose capture ran between two minutes before the cutoff and 45 seconds after it."""
+    cuts = v.cutoffs(spark, d).select(F.col("event").cast("string").alias("event"), F.col("cutoff").cast("timestamp").alias("cutoff"))
+    kind = F.expr("dayofyear(event) div 7 % 5")
+    seconds = F.when(kind == 0, F.array(F.lit(20))).when(kind == 1, F.array(F.lit(-300))).when(kind == 2, F.array(F.lit(120))).when(kind == 3, F.array(F.lit(-300), F.lit(-110), F.lit(10)))
+    e = v.table(spark, d, "events").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("lo"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("hi"))
+    us = F.unix_micros("cutoff")
+    runs = cuts.join(F.broadcast(e)).where(us + 120_000_000 <= F.col("hi")).select("event", "cutoff", "lo", "hi", F.explode(seconds).alias("s"))  # one row
+    part = F.least(F.lit(PARTS - 1), F.floor((us + F.col("s") * 1_000_000 - F.col("lo")) / F.greatest(F.expr(f"(hi - lo) div {PARTS}"), F.lit(1))))
+    runs = staging.stage(runs.select("event", F.timestamp_micros(us + F.col("s") * 1_000_000).alias("captured_at"), "cutoff", part.alias("part")), "runs")
+    at, told = staging.place(spark, "capture-runs"), iter(range(PARTS))
+
+    def build(read: Callable[[], DataFrame]) -> DataFrame:
+        """Runs come with the part of the events in whose time they fall."""
+        own = runs.where(F.col("part") == next(told)).drop("part")
+        own.write.mode("append").parquet(at)
+        q = quotes_of(read()).join(cuts, "event").select("event", "player", "book", "price", "quote_time", "cutoff")
+        return st.capture(q, spark.readStream.schema(own.schema).parquet(at))
+
+    out = _with_rocks(spark, lambda: run_in_parts(spark, d, "capture", build))
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return out.select("event", "status", ntz("captured_at"), F.col("refused").cast("long").alias("refused"), "player", "book", ntz("quote_time"), F.col("price").cast("long").alias("price"))
+
+
+def _with_rocks(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """A run under the state store that processors with timers need."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = run_in_parts(spark, d, "freeze", build)
+        return run()
     finally:
         spark.conf.set(name, before)
-    return out.select("event", "player", "book", F.col("quote_time").cast("timestamp_ntz").alias("quote_time"), F.col("price").cast("long").alias("price"))

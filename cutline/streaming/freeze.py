@@ -85,6 +85,85 @@ def freeze(quotes: DataFrame) -> DataFrame:
     return quotes.groupBy("event", "player").transformWithStateInPandas(FreezeAtCutoff(), FROZEN, "append", "eventTime")
 
 
+class CaptureWindow(StatefulProcessor):
+    """Keeps an event's newest quotes and seals them once, if a capture ran in time.
+
+    Two clocks: quotes and the seal go by event time, a capture run by the clock of the machine it ran
+    on, ``captured_at``.  A run counts from BEFORE the cutoff to AFTER it; one too early, too
+    late, or after another that counted is refused.  When event time has passed the
+    window, the event gives its quotes with the first run that counted, or one row that tells
+    why there are none: early, late, or missed where nothing ran.
+    """
+
+    BEFORE, AFTER = pd.Timedelta(minutes=2), pd.Timedelta(seconds=45)
+    KEEP_DAYS = 7
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getMapState("newest", "player long, book string", "quote_time timestamp, price int")
+        self.run = handle.getValueState("run", "captured_at timestamp, early int, late int")
+        self.sealed = handle.getValueState("sealed", "at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.sealed.exists():
+            return iter(())
+        part = pd.concat(list(rows))
+        runs = part[part["captured_at"].notna()]
+        if len(runs):
+            at, early, late = self.run.get() if self.run.exists() else (None, 0, 0)
+            in_time = runs[(runs["captured_at"] >= runs["cutoff"] - self.BEFORE) & (runs["captured_at"] <= runs["cutoff"] + self.AFTER)]
+            early += int((runs["captured_at"] < runs["cutoff"] - self.BEFORE).sum())
+            late += int((runs["captured_at"] > runs["cutoff"] + self.AFTER).sum())
+            if len(in_time):
+                first = in_time["captured_at"].min().to_pydatetime()
+                at = first if at is None or first < at else at
+            self.run.update((at, early, late))
+        new = part[part["captured_at"].isna() & (part["quote_time"] <= part["cutoff"])]
+        new = new.sort_values(["quote_time", "price"]).drop_duplicates(["player", "book"], keep="last")
+        for r in new.itertuples(index=False):
+            where, own = (int(r.player), r.book), (r.quote_time.to_pydatetime(), int(r.price))
+            old = self.newest.getValue(where) if self.newest.containsKey(where) else None
+            if old is None or (old[0], old[1]) < own:
+                self.newest.updateValue(where, own)
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer(FreezeAtCutoff._millis(part["cutoff"].iloc[0] + self.AFTER))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        if self.sealed.exists():
+            self.sealed.clear()
+            return
+        at, early, late = self.run.get() if self.run.exists() else (None, 0, 0)
+        if at is not None:
+            rows = [(key[0], "captured", at, early + late, k[0], k[1], v[0], v[1]) for k, v in self.newest.iterator()]
+        else:
+            rows = [(key[0], "late" if late else "early" if early else "missed", None, early + late, None, None, None, None)]
+        self.sealed.update((pd.Timestamp(due, unit="ms").to_pydatetime(),))
+        self.newest.clear()
+        self.run.clear()
+        self.handle.registerTimer(due + self.KEEP_DAYS * 86_400_000)
+        out = pd.DataFrame(rows, columns=["event", "status", "captured_at", "refused", "player", "book", "quote_time", "price"])
+        yield out.astype({"player": "Int64", "price": "Int32", "captured_at": "datetime64[us]", "quote_time": "datetime64[us]"})
+
+    def close(self) -> None:
+        pass
+
+
+CAPTURED = "event string, status string, captured_at timestamp, refused int, player long, book string, quote_time timestamp, price int"
+
+
+def capture(quotes: DataFrame, runs: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Sealed quotes, or why there are none, of two streams under one watermark, so neither holds the other back.
+
+    quotes: event, player, book, price, quote_time, cutoff.  runs: event, captured_at, cutoff.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    both = quotes.withColumn("captured_at", F.lit(None).cast("timestamp")).unionByName(runs, allowMissingColumns=True)
+    both = both.withColumn("at", F.coalesce("captured_at", "quote_time")).withWatermark("at", delay)
+    return both.groupBy("event").transformWithStateInPandas(CaptureWindow(), CAPTURED, "append", "eventTime")
+
+
 def minute_monitor(quotes: DataFrame, time: str = "quote_time", delay: str = "10 minutes") -> DataFrame:
     """Quotes and books per minute, once the watermark has passed.
 
