@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,17 +105,40 @@ def codes(vectors: np.ndarray, cfg: CrossPolytopeConfig, p: Plan, table: int) ->
     return out
 
 
+#: Memory for the lists of probed buckets of one batch, and for the sums they are chosen from.
+PROBE_BYTES = 64_000_000
+
+
+@lru_cache(8)
+def _near_pairs(m: int, n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of two falling lists of m and n whose sum can be among the `most` greatest.
+
+    (i + 1) * (j + 1) - 1 other sums are as great, so about most * ln(most) pairs are left of m * n.
+    """
+    length = np.minimum(m, most // np.arange(1, min(n, most) + 1))
+    return np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length), np.repeat(np.arange(len(length)), length)
+
+
 def probed(vectors: np.ndarray, cfg: CrossPolytopeConfig, p: Plan, table: int) -> np.ndarray:
     """The ``probes`` buckets of each vector in a table whose axes are closest together."""
     code, score = np.zeros((len(vectors), 1), np.int64), np.zeros((len(vectors), 1))
     for part, most in enumerate(p.parts):
         a = axes(vectors, cfg, table, part, most)
+        order = np.argsort(-a, axis=1, kind="stable")
+        a = np.take_along_axis(a, order, 1)
         # what is not among the best of the first parts is not among the best of all
-        score = (score[:, :, None] + a[:, None, :]).reshape(len(a), -1)
-        code = (code[:, :, None] * most + np.arange(most)).reshape(len(a), -1)
-        if score.shape[1] > p.probes:
-            best = np.argpartition(-score, p.probes - 1, axis=1)[:, : p.probes]
-            code, score = np.take_along_axis(code, best, 1), np.take_along_axis(score, best, 1)
+        i, j = _near_pairs(score.shape[1], most, p.probes)
+        keep, step = min(len(i), p.probes), max(1, PROBE_BYTES // (24 * len(i)))
+        codes_, scores_ = np.empty((len(a), keep), np.int64), np.empty((len(a), keep))
+        for lo in range(0, len(a), step):
+            rows = slice(lo, lo + step)
+            total = score[rows][:, i] + a[rows][:, j]
+            best = np.argpartition(-total, keep - 1, axis=1)[:, :keep] if keep < len(i) else np.broadcast_to(np.arange(keep), total.shape)
+            total = np.take_along_axis(total, best, 1)
+            fall = np.argsort(-total, axis=1, kind="stable")
+            best, scores_[rows] = np.take_along_axis(best, fall, 1), np.take_along_axis(total, fall, 1)
+            codes_[rows] = np.take_along_axis(code[rows], i[best], 1) * most + np.take_along_axis(order[rows], j[best], 1)
+        code, score = codes_, scores_
     return code
 
 
@@ -158,11 +182,12 @@ _SKETCH = "vec_id long, ask long, codes array<long>, vec binary, step double, aw
 
 def _sketch(cfg: CrossPolytopeConfig, p: Plan, query: bool):
     """Bytes and codes of each vector: tables * buckets lie behind one another."""
+    many = min(256, max(1, PROBE_BYTES // (8 * cfg.tables * p.probes))) if query else 2048
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256 if query else 2048):
-                part = batch.slice(i, 256 if query else 2048)
+            for i in range(0, batch.num_rows, many):
+                part = batch.slice(i, many)
                 x = _matrix(part.column(2))
                 code = np.concatenate([(probed if query else lambda *a: codes(*a)[:, None])(x, cfg, p, t) + t * p.buckets for t in range(cfg.tables)], 1)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * code.shape[1]), pa.array(code.ravel()))

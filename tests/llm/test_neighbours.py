@@ -75,3 +75,28 @@ def test_hot_group_and_ties(spark):
         want = np.lexsort((np.arange(300), d))[:10]
         assert [got[q, k + 1] for k in range(10)] == [(i, d[i]) for i in want]
     assert neighbours.nearest(df, F.col("vec_id") < 0).count() == 0
+
+
+def test_probing_ten_million_vectors_is_bounded():
+    """What the lists are chosen from stays under a tenth of all sums, a batch under its memory, and the choice is exact."""
+    import tracemalloc
+
+    cfg = neighbours.CrossPolytopeConfig()
+    p = neighbours.plan(10_000_000, 64, cfg)
+    x = np.random.default_rng(0).normal(size=(6, 64))
+    tracemalloc.start()
+    got = neighbours.probed(x, cfg, p, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.shape == (6, p.probes) and peak < 400_000_000
+    code, score = np.zeros((6, 1), np.int64), np.zeros((6, 1))
+    for part, most in enumerate(p.parts):
+        a = neighbours.axes(x, cfg, 0, part, most)
+        score = (score[:, :, None] + a[:, None, :]).reshape(6, -1)
+        code = (code[:, :, None] * most + np.arange(most)).reshape(6, -1)
+        if score.shape[1] > p.probes:
+            best = np.argpartition(-score, p.probes - 1, axis=1)[:, : p.probes]
+            code, score = np.take_along_axis(code, best, 1), np.take_along_axis(score, best, 1)
+    assert all(set(a) == set(b) for a, b in zip(got.tolist(), code.tolist(), strict=True))
+    i, _ = neighbours._near_pairs(p.probes, 128, p.probes)
+    assert len(i) < p.probes * 128 / 10
