@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that the cluster shares.
 
 ``spark.checkpoint.dir`` names that folder.  A table written there cuts the lineage, can
-be read by every executor and survives the loss of any of them.  Only where the setting
-is absent, as in tests, a temporary folder takes its place.
+be read by every executor and survives the loss of any of them.  Only in local mode, as in
+tests, a temporary folder takes its place where the setting is absent.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ _OPEN: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one where the session names none."""
+    """The shared folder; a temporary one where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="cutline-")
