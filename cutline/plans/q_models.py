@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..operators import lag, metrics, models
+from ..operators import boosting, lag, metrics, models
 from ..sources import staging
 from . import views as v
 from .newton_sql import fit, recursive
@@ -121,6 +121,51 @@ def family_ablation(spark: SparkSession, d: str) -> DataFrame:
     return _scored(models.ablation(train, test, FAMILIES, "label"), "family", "n_fields")
 
 
+#: The first count tree in SQL: exact cuts, then a level at a time the best split of every node by sums over bins.
+_BOOST = boosting.BoostConfig(trees=1, bins=16)
+
+
+def _first_tree() -> list[tuple[str, str]]:
+    k, c = len(FIELDS), _BOOST
+    cut = "list_sort(list_distinct(list_transform(range(1, {b}), lambda i: s[floor((len(s) - 1) * (i / {b}.0::DOUBLE))::BIGINT + 1])))"
+    parts = [
+        ("train", f"SELECT * FROM f WHERE season < {_LAST}"),
+        ("cut", "SELECT [" + ", ".join(cut.format(b=c.bins).replace("(s)", f"(s{i})").replace("s[", f"s{i}[") for i in range(k)) + "] cuts, m FROM (SELECT " + ", ".join(f"list_sort(list({x}) FILTER ({x} IS NOT NULL)) s{i}" for i, x in enumerate(FIELDS)) + ", avg(tds) m FROM train)"),
+        ("rows0", "SELECT m - tds g, m h, [" + ", ".join(f"CASE WHEN {x} IS NULL THEN 0 ELSE 1 + len(list_filter(cuts[{i + 1}], lambda z: z < {x})) END" for i, x in enumerate(FIELDS)) + "] bins, 0 node FROM train, cut"),
+    ]
+    for d in range(c.depth):
+        leaves = " - ".join([str(c.leaves - 1), *(f"(SELECT count(*) FROM kept{e})" for e in range(d))])
+        score = lambda g, h: f"{g} * {g} / ({h} + {c.l2})"
+        parts += [
+            (f"bin{d}", f"SELECT node, field, bins[field] bin, sum(g) g, sum(h) h, count(*) n FROM rows{d}, range(1, {k + 1}) r(field) WHERE node >= 0 GROUP BY 1, 2, 3"),
+            (f"run{d}", f"SELECT node, field, bin, sum(g) OVER w lg, sum(h) OVER w lh, sum(n) OVER w ln, sum(g) OVER p g, sum(h) OVER p h, sum(n) OVER p n FROM bin{d} WINDOW p AS (PARTITION BY node, field), w AS (PARTITION BY node, field ORDER BY bin ROWS UNBOUNDED PRECEDING)"),
+            (f"best{d}", f"SELECT node, field, bin, round({score('lg', 'lh')} + {score('(g - lg)', '(h - lh)')} - {score('g', 'h')}, 9) gain FROM run{d} WHERE ln >= {c.least_rows} AND n - ln >= {c.least_rows} QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, field, bin) = 1"),
+            (f"kept{d}", f"SELECT * FROM best{d} WHERE gain > 0 QUALIFY row_number() OVER (ORDER BY gain DESC, node) <= {leaves}"),
+            (f"rows{d + 1}", f"SELECT g, h, bins, CASE WHEN k.node IS NULL THEN -1 ELSE 2 * r.node + 1 + (bins[field] > bin)::INT END node FROM rows{d} r LEFT JOIN kept{d} k USING (node)"),
+        ]
+    return parts
+
+
+@query(v.sql("SELECT node::BIGINT node, [" + ", ".join(f"'{x}'" for x in FIELDS) + "][field] field, round(CASE WHEN bin > 0 THEN cuts[field][bin] END, 6) cut, round(gain, 4) gain FROM (" + " UNION ALL ".join(f"SELECT * FROM kept{d}" for d in range(_BOOST.depth)) + "), cut", *_FRAME, *_first_tree()))
+def count_trees_first(spark: SparkSession, d: str) -> DataFrame:
+    """The splits of the first tree of counts under Poisson loss."""
+    f = frame(spark, d)
+    _, hi = _seasons(f)
+    model = boosting.fit_counts(models.forward(f, "season", hi - 1, hi)[0], FIELDS, "tds", _BOOST)
+    rows = [(node, FIELDS[i], round(model.cuts[i][b - 1], 6) if b else None, round(t.gain[node], 4)) for t in model.trees for node, (i, b) in t.split.items()]
+    return spark.createDataFrame(rows, "node long, field string, cut double, gain double")
+
+
+@query()
+def count_boosting(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the last season by boosted trees under Poisson loss, fitted on those before."""
+    f = frame(spark, d)
+    _, hi = _seasons(f)
+    train, test = models.forward(f, "season", hi - 1, hi)
+    model = boosting.fit_counts(train, FIELDS, "tds", boosting.BoostConfig(trees=30, rate=0.15))
+    return metrics.count_metrics(test.withColumn("mu", model.mean()), "mu", "tds", ["season"])
+
+
 _HALF = """SELECT *, "at" < (SELECT min(ts) + to_microseconds(CAST(date_diff('microsecond', min(ts), max(ts)) AS BIGINT) // 2) FROM events) first_half FROM v_scored"""
 _CAL = "1 / (1 + exp(-(a + b * ln(least(1 - 1e-6, greatest(1e-6, p2)) / (1 - least(1 - 1e-6, greatest(1e-6, p2)))))))"
 _L = "avg(CASE WHEN y = 1 THEN -ln(least(1 - 1e-6, greatest(1e-6, {0}))) ELSE -ln(1 - least(1 - 1e-6, greatest(1e-6, {0}))) END)"
