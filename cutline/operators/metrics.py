@@ -122,15 +122,16 @@ _MODULUS = 2_147_483_647
 
 
 def _mixed(x):
-    """Three rounds of a quadratic map; a linear one would draw the clusters of a replicate from a lattice."""
-    for _ in range(3):
-        x = (x * ((x + 48_271) % _MODULUS) + 11) % _MODULUS
-    return x
+    """A round of a quadratic map; linear ones would draw the clusters of a replicate from a lattice."""
+    return (x * ((x + 48_271) % _MODULUS) + 11) % _MODULUS
 
 
-def draw(rep: Column, k: Column, n: Column, seed: int = 1729) -> Column:
-    """Index in [0, n) of the k-th draw of a replicate, by integer arithmetic any engine can repeat."""
-    return _mixed((rep * 1_000_003 + k * 7_919 + seed) % _MODULUS) % n
+def draw(df: DataFrame, out: str, rep: Column, k: Column, n: Column, seed: int = 1729) -> DataFrame:
+    """df with the index in [0, n) of the k-th draw of a replicate, by integer arithmetic any engine can repeat."""
+    df = df.withColumn(out, (rep * 1_000_003 + k * 7_919 + seed) % _MODULUS)
+    for _ in range(3):  # a column each, so that no round is written out twice
+        df = df.withColumn(out, _mixed(F.col(out)))
+    return df.withColumn(out, F.col(out) % n)
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, numerator: Column, denominator: Column, replicates: int = 2000, seed: int = 1729) -> DataFrame:
@@ -143,7 +144,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, numerator: Column, denominato
     n = sums.count()
     spark = df.sparkSession
     draws = spark.range(replicates * n).select(F.expr(f"id div {max(n, 1)}").alias("replicate"), (F.col("id") % max(n, 1)).alias("k"))
-    draws = draws.withColumn("at", draw(F.col("replicate"), F.col("k"), F.lit(max(n, 1)), seed).cast("int"))
+    draws = draw(draws, "at", F.col("replicate"), F.col("k"), F.lit(max(n, 1)), seed).withColumn("at", F.col("at").cast("int"))
     return draws.join(sums, "at").groupBy("replicate").agg((F.sum("num") / F.sum("den")).alias("stat"))
 
 
@@ -171,7 +172,7 @@ def poisson_bootstrap(df: DataFrame, cluster: str, numerator: Column, denominato
             both = np.stack([batch.column(i).fill_null(0.0).to_numpy(zero_copy_only=False) for i in (1, 2)])
             step = max(1, 1_000_000 // replicates)
             for a in range(0, len(c), step):
-                x = _mixed((rep * 1_000_003 + c[None, a : a + step] * 7_919 + seed) % _MODULUS)
+                x = _mixed(_mixed(_mixed((rep * 1_000_003 + c[None, a : a + step] * 7_919 + seed) % _MODULUS)))
                 total += both[:, a : a + step] @ np.searchsorted(cuts, x, "right").T
         yield pa.RecordBatch.from_arrays([pa.array(rep[:, 0]), pa.array(total[0]), pa.array(total[1])], ["replicate", "num", "den"])
 
