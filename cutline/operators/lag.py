@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from ..sources import staging
 from . import sweep
 
 #: A block of so many half-lives: rows before the previous block add nothing to a double.
@@ -187,9 +188,11 @@ def prefix_features(
     scan = scan.withColumn("_plain", ~some | F.col("_t").isNull() | prefix)
     plain = scan.where("_plain").select("_l.*", *(F.when(some & F.col("_t").isNotNull(), F.col(f"_v.{n}")).alias(n) for n in names))
 
-    rest = scan.where("not _plain").select("_l.*")
-    some_history = history.join(rest.select(*keys).distinct(), keys, "left_semi")
-    out = plain.unionByName(_swept(some_history, rest, keys, order, told, names, told_by, cutoff, None))
+    # Written, since it is asked for twice; where no target is late nothing is swept.
+    rest, out = staging.stage(scan.where("not _plain").select("_l.*"), "late"), plain
+    if not rest.isEmpty():
+        some_history = history.join(rest.select(*keys).distinct(), keys, "left_semi")
+        out = plain.unionByName(_swept(some_history, rest, keys, order, told, names, told_by, cutoff, None))
     return out.withColumn("n_history", F.coalesce("n_history", F.lit(0)).cast("long"))
 
 
