@@ -133,6 +133,7 @@ def prefix_features(
     ewma_rows: int | None = None,
     lineage: int | None = None,
     chunk: float | None = None,
+    only: list[str] | None = None,
 ) -> DataFrame:
     """targets with {window}_{metric}, {window}_{share}, ewma_{metric}, ewma_{share}, n_history and lineage columns.
 
@@ -149,6 +150,8 @@ def prefix_features(
 
     chunk: seconds of a chunk of the time line, for entities too long for one task.  Each chunk is swept
     by itself, from the state that the chunks before it leave behind.
+
+    only: the features asked for beside n_history; None for all.  No others are computed along the histories.
     """
     windows = windows if windows is not None else {"last3": 3, "last5": 5, "last8": 8}
     keys, order = [*entity, *([season] if season else [])], [time, row_id]
@@ -156,8 +159,19 @@ def prefix_features(
     fine = F.col(time).isNotNull() & F.col(available_at).isNotNull()
     for k in keys:
         fine = fine & F.col(k).isNotNull()
+    if row_id not in targets.columns:
+        # Without an own row all targets of one key and cutoff see the same: each is asked for once, however many share it.
+        asked = [*keys, cutoff]
+        each = targets.select(*asked).distinct().select(*(F.col(c).alias(f"_q{i}") for i, c in enumerate(asked)), *asked, F.lit(None).cast("string").alias(row_id))
+        options = {"time": time, "available_at": available_at, "cutoff": cutoff, "row_id": row_id, "metrics": metrics, "shares": shares, "windows": windows, "season": season, "half_life": half_life, "null_policy": null_policy, "sums": sums, "with_ewma": with_ewma, "ewma_rows": ewma_rows, "lineage": lineage, "chunk": chunk, "only": only}
+        found = prefix_features(history, each, entity, **options).drop(*asked, row_id)
+        same_asked = F.lit(True)
+        for i, c in enumerate(asked):
+            same_asked = same_asked & targets[c].eqNullSafe(found[f"_q{i}"])
+        return targets.join(found, same_asked, "left").drop(*(f"_q{i}" for i in range(len(asked))))
     history = history.where(fine).withColumn("_known", F.greatest(time, available_at))
     told, names = _windows(history, keys, order, *told_by)
+    names = [n for n in names if only is None or n == "n_history" or n in only]
 
     if chunk:
         blind = F.col(cutoff).isNull()
@@ -185,11 +199,13 @@ def prefix_features(
     for k in by:
         some = some & F.col(k).isNotNull()
     prefix = F.coalesce(F.col("_v._rank") == F.col("_n"), F.lit(True)) & ~F.coalesce(F.col("_own") < F.col("_t"), F.lit(False))
-    scan = scan.withColumn("_plain", ~some | F.col("_t").isNull() | prefix)
+    scan = scan.select("_l", "_t", *by, F.col("_v"), (~some | F.col("_t").isNull() | prefix).alias("_plain"))
+    # Written, since it is asked for three times: what is late, what is not, and whether there is any.
+    scan = staging.stage(scan, "seen")
     plain = scan.where("_plain").select("_l.*", *(F.when(some & F.col("_t").isNotNull(), F.col(f"_v.{n}")).alias(n) for n in names))
 
-    # Written, since it is asked for twice; where no target is late nothing is swept.
-    rest, out = staging.stage(scan.where("not _plain").select("_l.*"), "late"), plain
+    # Where no target is late nothing is swept.
+    rest, out = scan.where("not _plain").select("_l.*"), plain
     if not rest.isEmpty():
         some_history = history.join(rest.select(*keys).distinct(), keys, "left_semi")
         out = plain.unionByName(_swept(some_history, rest, keys, order, told, names, told_by, cutoff, None))
@@ -206,6 +222,6 @@ def _swept(history: DataFrame, targets: DataFrame, keys: list[str], order: list[
     want = sweep.Wanted(windows, {m: at[m] for m in metrics}, {s: (at[a], at[b]) for s, (a, b) in shares.items()}, sums, with_ewma, ewma_rows, half_life, null_policy == "strict", lineage, depth)
     decimal = lambda t: isinstance(t, S.DecimalType)
     history = history.withColumns({c: F.col(c).cast("double") for c in values if decimal(history.schema[c].dataType)})
-    types = {n: S.DoubleType() if decimal(told.schema[n].dataType) else told.schema[n].dataType for n in names}
+    types = {n: S.DoubleType() if decimal(told.schema[n].dataType) else told.schema[n].dataType for n in sweep.names(want)}
     out = sweep.sweep(history, targets, keys, want, order=tuple(order), available_at=available_at, known="_known", cutoff=cutoff, values=values, types=types, chunk=chunk)
     return out.select(*targets.columns, *(F.col(n).cast(told.schema[n].dataType).alias(n) for n in names))

@@ -22,6 +22,8 @@ TEAM = ["team_metric", "last3_metric"]
 #: Families of fields: rate, value, usage and rate, usage and value, and both with the team, without and with rate.
 FAMILIES = {"A": RATE, "B": VALUE, "C": USAGE + RATE, "D": USAGE + VALUE, "E": TEAM + USAGE + VALUE, "F": TEAM + USAGE + VALUE + RATE}
 
+OWN = sorted({*FIELDS, *USAGE, *VALUE, *RATE})
+
 
 def frame(spark: SparkSession, d: str) -> DataFrame:
     """Lagged features with labels: whether an order scores, and how often.  Written once an application."""
@@ -32,7 +34,7 @@ def _frame(spark: SparkSession, d: str) -> DataFrame:
     g = v.player_games(spark, d).withColumn("hit", (F.coalesce("tds", F.lit(0)) > 0).cast("double"))
     t = v.games(spark, d).select("game_id", "entity", "grp", "season", "priority", "kickoff", "prediction_time")
     metrics_ = ["metric", "carries", "targets", "all_value", "hit"]
-    own = lag.prefix_features(g, t, ["entity"], metrics=metrics_, shares={"share": ("td_value", "all_value")}, windows={"last3": 3, "last5": 5, "last8": 8}, null_policy="skip")
+    own = lag.prefix_features(g, t, ["entity"], metrics=metrics_, shares={"share": ("td_value", "all_value")}, windows={"last3": 3, "last5": 5, "last8": 8}, null_policy="skip", only=OWN)
     days = v.games(spark, d).groupBy("grp", "kickoff").agg(F.avg("metric").alias("metric")).withColumn("available_at", F.col("kickoff") + F.expr("INTERVAL 1 DAY")).withColumn("day_id", F.date_format("kickoff", "yyyyMMdd").cast("long"))
     team = lag.prefix_features(days, t.select("game_id", "grp", "prediction_time"), ["grp"], row_id="day_id", metrics=["metric"], windows={"team": 5}, with_ewma=False).select("game_id", "team_metric")
     lab = g.select("game_id", F.col("hit").alias("label"), F.coalesce("tds", F.lit(0)).cast("double").alias("tds"))
