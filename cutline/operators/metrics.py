@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -206,6 +206,61 @@ def _positions(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return t.select(*(F.col(f"_g.{c}").alias(c) for c in by), F.col("_x").alias(value), F.col("_lo").alias("first_at"), F.col("_hi").alias("last_at"), F.col("_size").alias("size"))
 
 
+def order_statistics(df: DataFrame, fields: list[str], positions: Callable[[int], list[int]], members: Callable | None = None, cells: int = 1) -> dict[tuple[int, int], dict[int, float]]:
+    """For (cell, number of a field): exact values at the positions that positions(number of values) names, from 0 in order of value.
+
+    members: gives (cell, its rows) of an Arrow batch; without it all rows are cell 0.  Approximate quantiles
+    cut a field into bands, one scan counts them, another looks into the bands that hold a position: only band
+    counts and the values asked for reach the driver, and a small share of the values is exchanged.
+    """
+    ship_package(df.sparkSession)
+    k, bands = len(fields), max(128, min(2048, 200_000 // max(cells, 1)))
+    cuts = df.agg(*(F.percentile_approx(F.col(f).cast("double"), [i / bands for i in range(1, bands)], 10_000).alias(f"c{i}") for i, f in enumerate(fields))).head()
+    edges = [np.unique(np.array(c if c is not None else [], float)) for c in cuts]
+
+    def banded(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The first slot of a cell and field, bands and values."""
+        for cell, own in members(batch) if members else [(0, slice(None))]:
+            for i, f in enumerate(fields):
+                col = batch.column(f)
+                x = col.to_numpy(zero_copy_only=False).astype(float)[own][~np.asarray(col.is_null())[own]]
+                yield (cell * k + i) * bands, np.searchsorted(edges[i], x, side="left"), x
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells * k * bands, np.int64)
+        for batch in batches:
+            for first, band, _ in banded(batch):
+                total[first : first + bands] += np.bincount(band, minlength=bands)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+    rows = df.select(*(c for c in ("_g", "_s") if members), *(F.col(f).cast("double").alias(f) for f in fields))
+    counts = np.zeros(cells * k * bands, np.int64)
+    for r in rows.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        counts[r["slot"]] = r["n"]
+    ends = np.cumsum(counts.reshape(cells * k, bands), axis=1)
+    asked = [(g, g * bands + int(np.searchsorted(ends[g], p, side="right")), int(p)) for g in range(cells * k) if ends[g, -1] for p in sorted(set(positions(int(ends[g, -1]))))]
+    out: dict[tuple[int, int], dict[int, float]] = {}
+    if not asked:
+        return out
+    wanted = np.isin(np.arange(len(counts)), [slot for _, slot, _ in asked])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, band, x in banded(batch):
+                own = wanted[first + band]
+                yield pa.RecordBatch.from_arrays([pa.array(first + band[own]), pa.array(x[own])], ["slot", "x"])
+
+    run = Window.partitionBy("slot").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    t = rows.mapInArrow(pick, "slot long, x double").groupBy("slot", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("last", F.sum("n").over(run) - 1)
+    inside = [(slot, p, p - int(ends[g, slot % bands] - counts[slot])) for g, slot, p in asked]
+    told = df.sparkSession.createDataFrame(inside, "slot long, position long, at long")
+    hit = t.join(F.broadcast(told), "slot").where((F.col("last") - F.col("n") < F.col("at")) & (F.col("at") <= F.col("last")))
+    for r in hit.select("slot", "position", "x").collect():  # one row a position
+        out.setdefault(divmod(r["slot"] // bands, k), {})[r["position"]] = r["x"]
+    return out
+
+
 def quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """Exact quantiles by name, interpolated between neighbours; nulls are left out."""
     t, v = _positions(df, value, by or []), F.col(value).cast("double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -13,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from . import metrics, newton
+from ..sources.ship import ship_package
+from . import boosting, metrics, newton
 
 #: (trees, rate, depth, least rows of a leaf): fixed configurations of the challengers.
 TREES = [(100, 0.03, 3, 120), (140, 0.025, 3, 100), (120, 0.03, 4, 80)]
@@ -53,9 +56,10 @@ def forward(df: DataFrame, season: str, fit_upto: int, score: int) -> tuple[Data
 
 def medians(df: DataFrame, numeric: list[str]) -> dict[str, float]:
     """Exact medians of columns, found in bands of their values; 0 for a column without any value."""
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("x")) for c in numeric))).alias("v")).select("v.*")
-    found = {r["field"]: r["m"] for r in metrics.quantiles(long, "x", {"m": 0.5}, ["field"]).collect()}  # one row a column
-    return {c: float(found.get(c) or 0.0) for c in numeric}
+    ship_package(df.sparkSession)
+    found = metrics.order_statistics(df, numeric, lambda n: [(n - 1) // 2, n // 2]) if numeric else {}
+    middle = lambda v: min(v.values()) + 0.5 * (max(v.values()) - min(v.values()))
+    return {c: middle(found[0, i]) if (0, i) in found else 0.0 for i, c in enumerate(numeric)}
 
 
 def _fit(df: DataFrame, numeric: list[str], categorical: list[str], estimator) -> PipelineModel:
@@ -75,22 +79,48 @@ def fit_poisson(df: DataFrame, numeric: list[str], label: str, categorical: list
     return _fit(df, numeric, categorical, GeneralizedLinearRegression(labelCol=label, family="poisson", link="log", regParam=alpha / mean))
 
 
-def fit_trees(df: DataFrame, numeric: list[str], label: str, categorical: list[str] = (), config: int = 0, counts: bool = False, trees: int | None = None, seed: int = 1729) -> PipelineModel:
-    """Boosted trees; for counts a regression of log1p."""
-    n, rate, depth, leaf = TREES[config]
-    common = {"labelCol": label, "maxIter": trees or n, "stepSize": rate, "maxDepth": depth, "minInstancesPerNode": leaf, "seed": seed}
-    if not counts:
-        return _fit(df, numeric, categorical, GBTClassifier(**common))
-    common["labelCol"] = "_log"
-    return _fit(df.withColumn("_log", F.log1p(label)), numeric, categorical, GBTRegressor(**common))
+@dataclass
+class TreeRows:
+    """Rows added up by the bins of their fields, from which trees of several labels and configurations are fitted."""
+
+    cells: DataFrame
+    cuts: list[list[float]]
+    medians: list[float]
 
 
-def score_probability(model: PipelineModel, df: DataFrame, numeric: list[str], categorical: list[str] = (), out: str = "p") -> DataFrame:
+def tree_rows(df: DataFrame, numeric: list[str], labels: list[str], counts: list[str] = (), bins: int = 32) -> TreeRows:
+    """df for fit_trees, with labels and, as log1p, counts.  Work on it does not grow with the rows."""
+    cuts, mid = boosting.quantile_cuts(df, numeric, bins), medians(df, numeric)
+    logs = df.withColumns({f"{c}__log": F.log1p(c) for c in counts}) if counts else df
+    filled = [mid[c] for c in numeric]
+    return TreeRows(boosting.cells(logs, numeric, [*labels, *(f"{c}__log" for c in counts)], cuts, filled), cuts, filled)
+
+
+def fit_trees(df: DataFrame | TreeRows, numeric: list[str], label: str, categorical: list[str] = (), config: int = 0, counts: bool = False, trees: int | None = None, seed: int = 1729) -> PipelineModel | boosting.CountTrees:
+    """Boosted trees; for counts a regression of log1p.  With categories Spark's own, else the same losses on tree_rows."""
+    n, rate, depth, leaf = TREES[config]
+    if categorical:
+        common = {"labelCol": label, "maxIter": trees or n, "stepSize": rate, "maxDepth": depth, "minInstancesPerNode": leaf, "seed": seed}
+        if not counts:
+            return _fit(df, numeric, categorical, GBTClassifier(**common))
+        common["labelCol"] = "_log"
+        return _fit(df.withColumn("_log", F.log1p(label)), numeric, categorical, GBTRegressor(**common))
+    rows = df if isinstance(df, TreeRows) else tree_rows(df, numeric, [] if counts else [label], [label] if counts else [])
+    cfg = boosting.BoostConfig(trees=trees or n, rate=rate, depth=depth, leaves=2**depth, least_rows=leaf, l2=0.0, bins=32)
+    return boosting.fit_cells(rows.cells, numeric, f"{label}__log" if counts else label, rows.cuts, rows.medians, cfg, "squares" if counts else "logistic")
+
+
+def score_probability(model: PipelineModel | boosting.CountTrees, df: DataFrame, numeric: list[str], categorical: list[str] = (), out: str = "p") -> DataFrame:
+    if isinstance(model, boosting.CountTrees):
+        return df.withColumn(out, model.margin()).withColumn(out, 1 / (1 + F.exp(-2 * F.col(out))))
     made = model.transform(with_flags(df, numeric, categorical))
     return made.withColumn(out, vector_to_array("probability")[1]).select(*df.columns, out)
 
 
-def score_mean(model: PipelineModel, df: DataFrame, numeric: list[str], categorical: list[str] = (), out: str = "mu", log: bool = False) -> DataFrame:
+def score_mean(model: PipelineModel | boosting.CountTrees, df: DataFrame, numeric: list[str], categorical: list[str] = (), out: str = "mu", log: bool = False) -> DataFrame:
+    if isinstance(model, boosting.CountTrees):
+        made = df.withColumn(out, model.margin())
+        return made.withColumn(out, F.expm1(out)) if log else made
     made = model.transform(with_flags(df, numeric, categorical))
     return made.withColumn(out, F.expm1("prediction") if log else F.col("prediction")).select(*df.columns, out)
 

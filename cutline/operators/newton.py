@@ -15,15 +15,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import staging
 from ..sources.ship import ship_package
-
-#: Bands of a field's values in which the positions of medians are counted.
-BANDS = 128
-
+from . import metrics
 
 @dataclass(frozen=True)
 class Spec:
@@ -124,32 +121,20 @@ class Fitted:
         return joined.withColumn(out, value).drop("_grp", "_upto", "_b", "_med", "_mean", "_inv")
 
 
+def _medians(rows: DataFrame, fields: list[str], cells: list[tuple[object, int | None]]) -> dict[tuple[int, str], float]:
+    """The median of every cell and field with a value: the middle one, or the mean of the middle two."""
+    found = metrics.order_statistics(rows, fields, lambda n: [(n - 1) // 2, n // 2], lambda batch: _members(batch, cells), len(cells))
+    return {(i, fields[j]): (min(v.values()) + max(v.values())) / 2 for (i, j), v in found.items()}
+
+
 def prefix_medians(rows: DataFrame, fields: list[str], cells: DataFrame) -> DataFrame:
-    """(cell, field, median) of every cell and field with a value: the middle one, or the mean of the middle two.
+    """(cell, field, median) of every cell and field with a value.
 
     rows: _g, _s and the fields.  cells: cell, _g (null: any) and _upto (null: any); a cell holds the rows of its group up to its season.
-    Values are counted by band first; only the bands with a middle position are looked into, so
-    nothing but band counts is shared and no value leaves its task for the driver.
     """
-    cuts = rows.agg(*(F.percentile_approx(f, [i / BANDS for i in range(1, BANDS)], 10_000).alias(f) for f in fields))
-    long = rows.select("_g", "_s", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("x")) for f in fields))).alias("v")).select("_g", "_s", "v.*").where("x IS NOT NULL")
-    cut = cuts.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("cuts")) for f in fields))).alias("c")).select("c.*")
-    long = long.join(F.broadcast(cut), "field").withColumn("band", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < F.col("x")))).drop("cuts")
-    within = (F.col("c._g").isNull() | (F.col("c._g") == F.col("r._g"))) & (F.col("c._upto").isNull() | (F.col("r._s") <= F.col("c._upto")))
-    counts = long.groupBy("_g", "_s", "field", "band").agg(F.count(F.lit(1)).alias("n"))
-    own = counts.alias("r").join(F.broadcast(cells.alias("c")), within).groupBy("cell", "field", "band").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("cell", "field")
-    own = own.withColumn("size", F.sum("n").over(w)).withColumn("before", F.sum("n").over(w.orderBy("band").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    lo, hi = F.expr("(size - 1) div 2"), F.expr("size div 2")
-    holds = lambda p: (F.col("before") <= p) & (p < F.col("before") + F.col("n"))
-    middle = own.where(holds(lo) | holds(hi)).select("cell", "field", "band", "before", lo.alias("lo"), hi.alias("hi"))
-    full = middle.join(F.broadcast(cells), "cell").alias("c")
-    part = long.alias("r").join(full, within & (F.col("c.field") == F.col("r.field")) & (F.col("c.band") == F.col("r.band")))
-    part = part.groupBy("cell", F.col("c.field").alias("field"), F.col("c.band").alias("band"), "before", "lo", "hi", "x").agg(F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy("cell", "field", "band").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    part = part.withColumn("last", F.col("before") + F.sum("n").over(run) - 1).withColumn("first", F.col("last") - F.col("n") + 1)
-    at = lambda p: F.max(F.when((F.col("first") <= F.col(p)) & (F.col(p) <= F.col("last")), F.col("x")))
-    return part.groupBy("cell", "field").agg(((at("lo") + at("hi")) / 2).alias("median"))
+    told = cells.collect()  # one row a model
+    found = _medians(rows, fields, [(c["_g"], c["_upto"]) for c in told])
+    return rows.sparkSession.createDataFrame([(told[i]["cell"], f, float(m)) for (i, f), m in found.items()], "cell int, field string, median double")
 
 
 def _columns(batch: pa.RecordBatch, spec: Spec, levels: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,10 +198,9 @@ def fit(df: DataFrame, spec: Spec) -> Fitted:
     out = Fitted(spec, [], levels, np.zeros((len(cells), k)), np.zeros((len(cells), 2 * k)), np.zeros((len(cells), 2 * k)), refused={g for g, _ in sizes if all((g, u) not in set(fine) for u in uptos)})
     if not cells:
         return out
-    told = spark.createDataFrame([(i, g, u) for i, (g, u) in enumerate(cells)], "cell int, _g string, _upto long")
     if k:
-        for r in prefix_medians(rows, spec.numeric, told).collect():  # one row a cell and field
-            out.medians[r["cell"], spec.numeric.index(r["field"])] = r["median"]
+        for (i, f), m in _medians(rows, spec.numeric, cells).items():
+            out.medians[i, spec.numeric.index(f)] = m
     medians = out.medians
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

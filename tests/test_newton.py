@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cutline.operators import models, newton
+from cutline.operators import metrics, models, newton
 
 KIND = "g string, season long, cat string, a double, b double, empty double, flat double, y double, n double"
 
@@ -111,3 +111,17 @@ def test_poisson_ridge_is_on_the_mean_loss(spark):
     mu = np.exp(m.beta[0] + m.beta[1] * z)
     assert np.mean(mu - y) == pytest.approx(0, abs=1e-8)
     assert np.mean((mu - y) * z) + 0.15 * m.beta[1] == pytest.approx(0, abs=1e-8)
+
+
+def test_order_statistics_are_those_of_the_sorted_values(spark):
+    """Every 64th of repeated, missing and not-a-number values, without one exchange of all of them."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=3_000).round(2)
+    data = [(float(v) if i % 5 else None, float("nan") if i % 400 == 0 else float(v) ** 3, None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "a double, b double, c double").repartition(3)
+    at = lambda n: [(n - 1) * b // 64 for b in range(1, 64)]
+    got = metrics.order_statistics(df, ["a", "b", "c"], at)
+    for i in (0, 1):
+        have = np.sort([r[i] for r in data if r[i] is not None])
+        assert got[0, i] == {p: have[p] for p in at(len(have))}
+    assert (0, 2) not in got
