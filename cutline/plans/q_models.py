@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,10 +93,14 @@ def trees_forward(spark: SparkSession, d: str) -> DataFrame:
     f = frame(spark, d)
     _, hi = _seasons(f)
     train, test = models.forward(f, "season", hi - 1, hi)
+    ready, ks = models.tree_rows(train, FIELDS, ["label"], ["tds"]), range(len(models.TREES))
+    with ThreadPoolExecutor(6) as pool:  # their scans are short: all six fits share the cluster
+        chance = [pool.submit(models.fit_trees, ready, FIELDS, "label", config=k) for k in ks]
+        count = [pool.submit(models.fit_trees, ready, FIELDS, "tds", config=k, counts=True) for k in ks]
     rows = None
-    for k in range(len(models.TREES)):
-        p = models.score_probability(models.fit_trees(train, FIELDS, "label", config=k), test, FIELDS)
-        c = models.score_mean(models.fit_trees(train, FIELDS, "tds", config=k, counts=True), p, FIELDS, log=True)
+    for k in ks:
+        p = models.score_probability(chance[k].result(), test, FIELDS)
+        c = models.score_mean(count[k].result(), p, FIELDS, log=True)
         a = metrics.probability_metrics(c, "p", "label")
         one = a.join(F.broadcast(metrics.count_metrics(c, "mu", "tds").select("mae", "deviance"))).withColumn("config", F.lit(k))
         rows = one if rows is None else rows.unionByName(one)
@@ -234,10 +240,13 @@ def importance(spark: SparkSession, d: str) -> DataFrame:
     f = frame(spark, d)
     names = [*FIELDS, *(f"{x}__missing" for x in FIELDS)]
     lr = models.fit_logistic(f, FIELDS, "label").stages[-1]
-    rows = []
-    for k in range(len(models.TREES)):
-        gain = models.fit_trees(f, FIELDS, "label", config=k).stages[-1].featureImportances.toArray()
-        rows += [(n, float(c), k, float(g)) for n, c, g in zip(names, lr.coefficients.toArray(), gain, strict=True)]
+    ready, rows = models.tree_rows(f, FIELDS, ["label"]), []
+    with ThreadPoolExecutor(3) as pool:
+        fits = [pool.submit(models.fit_trees, ready, FIELDS, "label", config=k) for k in range(len(models.TREES))]
+    for k, fit_ in enumerate(fits):
+        gain = fit_.result().gains()
+        whole = sum(gain.values()) or 1.0
+        rows += [(n, float(c), k, gain[n] / whole) for n, c in zip(names, lr.coefficients.toArray(), strict=True)]
     return spark.createDataFrame(rows, "feature string, coefficient double, config int, gain double").orderBy(F.desc(F.abs("coefficient")), "feature", "config")
 
 
