@@ -106,7 +106,7 @@ def fit_trees(df: DataFrame | TreeRows, numeric: list[str], label: str, categori
         common["labelCol"] = "_log"
         return _fit(df.withColumn("_log", F.log1p(label)), numeric, categorical, GBTRegressor(**common))
     rows = df if isinstance(df, TreeRows) else tree_rows(df, numeric, [] if counts else [label], [label] if counts else [])
-    cfg = boosting.BoostConfig(trees=trees or n, rate=rate, depth=depth, leaves=2**depth, least_rows=leaf, l2=0.0, bins=32)
+    cfg = boosting.BoostConfig(trees=trees or n, rate=rate, depth=depth, leaves=2**depth, least_rows=leaf, l2=0.0, bins=32, refresh=5)
     return boosting.fit_cells(rows.cells, numeric, f"{label}__log" if counts else label, rows.cuts, rows.medians, cfg, "squares" if counts else "logistic")
 
 
