@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -22,67 +23,26 @@ def distinct_quotes(quotes: DataFrame, keys: list[str], time: str = "quote_time"
     return quotes.withWatermark(time, delay).dropDuplicatesWithinWatermark([*keys, time])
 
 
-class FreezeAtCutoff(StatefulProcessor):
-    """Keeps the newest quote of each book of one (event, player); emits them once, when event time passes the cutoff.
+def freeze(quotes: DataFrame, keys: tuple[str, ...] = ("event", "player", "book"), after: timedelta = timedelta(0)) -> DataFrame:
+    """The newest quote (then the higher price) of each key, once, when event time has passed its cutoff by `after`.
 
-    A batch is reduced to one quote a book before state is touched.  A quote after the
-    cutoff, or for what is frozen, is dropped.  The mark that something is frozen goes
-    ``KEEP_DAYS`` later: by then the watermark itself drops what could wake it.
-    """
-
-    KEPT = "quote_time timestamp, price int"
-    KEEP_DAYS = 7
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.newest = handle.getMapState("newest", "book string", self.KEPT)
-        self.frozen = handle.getValueState("frozen", "at timestamp")
-
-    @staticmethod
-    def _millis(at) -> int:
-        stamp = pd.Timestamp(at)
-        return int((stamp.tz_localize("UTC") if stamp.tzinfo is None else stamp).timestamp() * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.frozen.exists():
-            return iter(())
-        parts = [p[p["quote_time"] <= p["cutoff"]] for p in rows]
-        new = pd.concat(parts).sort_values(["quote_time", "price"]).drop_duplicates("book", keep="last")
-        for r in new.itertuples(index=False):
-            at, own = (r.book,), (r.quote_time.to_pydatetime(), int(r.price))
-            old = self.newest.getValue(at) if self.newest.containsKey(at) else None
-            if old is None or (old[0], old[1]) < own:
-                self.newest.updateValue(at, own)
-        if len(new) and not list(self.handle.listTimers()):
-            self.handle.registerTimer(self._millis(new["cutoff"].iloc[0]))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        if self.frozen.exists():
-            self.frozen.clear()
-            return
-        rows = [(key[0], key[1], k[0], v[0], v[1]) for k, v in self.newest.iterator()]
-        self.frozen.update((pd.Timestamp(due, unit="ms").to_pydatetime(),))
-        self.newest.clear()
-        self.handle.registerTimer(due + self.KEEP_DAYS * 86_400_000)
-        yield pd.DataFrame(rows, columns=["event", "player", "book", "quote_time", "price"])
-
-    def close(self) -> None:
-        pass
-
-
-FROZEN = "event string, player long, book string, quote_time timestamp, price int"
+    quotes: a stream watermarked on quote_time, with keys, price, quote_time and cutoff.  A quote after the
+    cutoff, behind the watermark, or for what is frozen, is dropped.
 
+    Two native stateful steps, so there is no group to hold: quotes of one instant, which drops what is late,
+    and sessions that all end with the seal of their key, so that a key's quotes are one session.  What
+    is sealed leaves the state, and the end of its session keeps it from waking again.
+    """
+    each = quotes.where(F.col("quote_time") <= F.col("cutoff")).groupBy(*keys, "cutoff", "quote_time").agg(F.max("price").alias("price"))
+    left = F.unix_micros("cutoff") - F.unix_micros("quote_time") + (after // timedelta(microseconds=1) + 1)  # an end is not part of its session
+    to_seal = F.make_interval(secs=(left.cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))
+    newest = each.groupBy(*keys, F.session_window("quote_time", to_seal)).agg(F.max(F.struct("quote_time", "price")).alias("newest"))
+    return newest.select(*keys, "newest.quote_time", "newest.price")
 
-def freeze(quotes: DataFrame) -> DataFrame:
-    """Frozen quotes of a watermarked stream with event, player, book, price, quote_time and cutoff.
 
-    The processor travels by value: the stream's first Python process starts beside the
-    driver and need not find this package.
-    """
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    return quotes.groupBy("event", "player").transformWithStateInPandas(FreezeAtCutoff(), FROZEN, "append", "eventTime")
+def _millis(at) -> int:
+    stamp = pd.Timestamp(at)
+    return int((stamp.tz_localize("UTC") if stamp.tzinfo is None else stamp).timestamp() * 1000)
 
 
 class CaptureWindow(StatefulProcessor):
@@ -126,7 +86,7 @@ class CaptureWindow(StatefulProcessor):
             if old is None or (old[0], old[1]) < own:
                 self.newest.updateValue(where, own)
         if not list(self.handle.listTimers()):
-            self.handle.registerTimer(FreezeAtCutoff._millis(part["cutoff"].iloc[0] + self.AFTER))
+            self.handle.registerTimer(_millis(part["cutoff"].iloc[0] + self.AFTER))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
