@@ -103,7 +103,8 @@ def stream_capture(spark: SparkSession, d: str) -> DataFrame:
     e = v.table(spark, d, "events").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("lo"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("hi"))
     us = F.unix_micros("cutoff")
     runs = cuts.join(F.broadcast(e)).where(us + 120_000_000 <= F.col("hi")).select("event", "cutoff", "lo", "hi", F.explode(seconds).alias("s"))  # one row
-    part = F.least(F.lit(PARTS - 1), F.floor((us + F.col("s") * 1_000_000 - F.col("lo")) / F.greatest(F.expr(f"(hi - lo) div {PARTS}"), F.lit(1))))
+    # A run before the first event comes with the first part.
+    part = F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), F.floor((us + F.col("s") * 1_000_000 - F.col("lo")) / F.greatest(F.expr(f"(hi - lo) div {PARTS}"), F.lit(1)))))
     runs = staging.stage(runs.select("event", F.timestamp_micros(us + F.col("s") * 1_000_000).alias("captured_at"), "cutoff", part.alias("part")), "runs")
     at, told = staging.place(spark, "capture-runs"), iter(range(PARTS))
 
@@ -114,13 +115,13 @@ def stream_capture(spark: SparkSession, d: str) -> DataFrame:
         q = quotes_of(read()).join(cuts, "event").select("event", "player", "book", "price", "quote_time", "cutoff")
         return st.capture(q, spark.readStream.schema(own.schema).parquet(at))
 
-    out = _with_rocks(spark, lambda: run_in_parts(spark, d, "capture", build))
+    out = st.captured(_with_rocks(spark, lambda: run_in_parts(spark, d, "capture", build)))
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return out.select("event", "status", ntz("captured_at"), F.col("refused").cast("long").alias("refused"), "player", "book", ntz("quote_time"), F.col("price").cast("long").alias("price"))
 
 
 def _with_rocks(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
-    """A run under the state store that processors with timers need."""
+    """A run under the state store that keeps state beside the heap, and that processors with timers need."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
