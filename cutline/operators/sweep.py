@@ -8,7 +8,9 @@ running counts and sums - and answers every target from it: work is linear in ro
 States merge.  With ``chunk`` an entity's time line is cut, every chunk is summed up by a task
 of its own, the summaries (a bounded number of rows a chunk) are folded along the entity,
 and every chunk is swept again from the state before it.  So an entity that holds a third
-of all rows is as many tasks as it has chunks.
+of all rows is as many tasks as it has chunks.  Of the rows that become known at one instant only
+the newest that can decide anything are swept beside their counts and sums, and targets that see
+the same are answered once: the Python work goes by instants, not by rows.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources import staging
 from ..sources.ship import ship_package
 
 
@@ -91,6 +94,12 @@ class State:
                 self.sums[i] = x if self.sums[i] is None else self.sums[i] + x
         self._place(row)
 
+    def grow(self, n: int, counts: list[int], sums: list) -> None:
+        """Counts and sums of all rows that became known at one instant."""
+        self.n += n
+        self.counts = [a + b for a, b in zip(self.counts, counts, strict=True)]
+        self.sums = [b if a is None else a if b is None else a + b for a, b in zip(self.sums, sums, strict=True)]
+
     def _place(self, row: tuple) -> None:
         insort(self.rows, row, key=lambda r: r[:2])
         if len(self.rows) > self.want.depth:
@@ -191,9 +200,23 @@ def names(w: Wanted) -> list[str]:
 def _events(batch: pa.RecordBatch) -> Iterator[tuple]:
     """(group, chunk, tag, time known, row, values of the target's own row, carried state)."""
     g = batch.column("_g").to_pylist()
-    cols = [batch.column(c).to_pylist() for c in ("_c", "_tag", "_t", "_time", "_tie", "_available", "_values", "_id", "_mine", "_state")]
-    for group, c, tag, t, time, tie, available, values, ident, mine, state in zip(g, *cols, strict=True):
-        yield group, c, tag, t, (time, tie, available, tuple(values.values()) if values else (), ident), mine, state
+    plain = lambda c: [None] * len(c) if c.null_count == len(c) else c.to_pylist()
+    cols = [plain(batch.column(c)) for c in ("_c", "_tag", "_t", "_time", "_tie", "_available", "_values", "_id", "_mine", "_state", "_all")]
+    for group, c, tag, t, time, tie, available, values, ident, mine, state, whole in zip(g, *cols, strict=True):
+        yield group, c, tag, t, (time, tie, available, tuple(values.values()) if values else (), ident), mine, state, whole
+
+
+def _at_once(told: DataFrame, want: Wanted, width: int) -> DataFrame:
+    """Of the rows of one instant the newest, and a row (tag 2) of the counts and sums of all.
+
+    What is left out lies beyond the newest rows for every target, so it decides only counts and sums; but
+    tails of weighted means that skip nulls, so those are swept row by row.
+    """
+    instant = ["_g", "_c", "_t"]
+    newest = told.withColumn("_rank", F.row_number().over(Window.partitionBy(*instant).orderBy(F.desc("_time"), F.desc("_tie")))).where(F.col("_rank") <= want.depth).drop("_rank")
+    value = [F.col(f"_values.v{i}") for i in range(max(width, 1))]
+    whole = F.struct(F.count(F.lit(1)).alias("n"), F.array(*(F.count(v) for v in value)).alias("counts"), F.struct(*(F.sum(v).alias(f"s{i}") for i, v in enumerate(value))).alias("sums"))
+    return newest.unionByName(told.groupBy(*instant).agg(whole.alias("_all")).withColumn("_tag", F.lit(2)), allowMissingColumns=True)
 
 
 def sweep(history: DataFrame, targets: DataFrame, keys: list[str], want: Wanted, *, order: tuple[str, str], available_at: str, known: str, cutoff: str, values: list[str], types: dict[str, S.DataType], chunk: float | None) -> DataFrame:
@@ -209,24 +232,47 @@ def sweep(history: DataFrame, targets: DataFrame, keys: list[str], want: Wanted,
     kind = history.schema[known].dataType
     cut = lambda c: (F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(chunk * 1e6)) if chunk else F.lit(0)).cast("long").alias("_c")
     row = F.struct(*(F.col(x).alias(f"v{i}") for i, x in enumerate(values))) if values else F.struct(F.lit(None).cast("int").alias("v0"))
-    mine = history.groupBy(by, F.col(row_id).cast("string").alias("_own")).agg(F.collect_list(F.struct(F.col(known).alias("t"), row.alias("v"))).alias("_mine"))
-    told = history.select(by, cut(F.col(known)), F.lit(1).alias("_tag"), F.col(known).alias("_t"), F.col(time).alias("_time"), F.col(row_id).alias("_tie"), F.col(row_id).cast("string").alias("_id"), F.col(available_at).alias("_available"), row.alias("_values"))
+    told = history.select(by, cut(F.col(known)), F.lit(1).alias("_tag"), F.col(known).alias("_t"), F.col(time).alias("_time"), F.col(row_id).alias("_tie"), F.col(row_id).cast("string").alias("_id"), (F.col(available_at) if want.lineage else F.lit(None).cast(history.schema[available_at].dataType)).alias("_available"), row.alias("_values"))
     own_id = (F.col(row_id).cast("string") if has_own else F.lit(None).cast("string")).alias("_own")
     asked = targets.select(by, cut(F.col(cutoff)), F.lit(0).alias("_tag"), F.col(cutoff).cast(kind).alias("_t"), own_id, F.struct(*targets.columns).alias("_l"))
-    asked = asked.join(mine, ["_g", "_own"], "left") if has_own else asked.withColumn("_mine", F.lit(None).cast(mine.schema["_mine"].dataType))
+    own = F.struct(F.col("_k").alias("t"), F.col("_values").alias("v"))
+    if has_own:  # rows of a target's own that are known before its cutoff, which few have
+        ids = asked.select("_g", "_own", "_t").where(F.col("_own").isNotNull()).distinct()
+        mine = told.select("_g", F.col("_id").alias("_own"), F.col("_t").alias("_k"), "_values").join(ids, ["_g", "_own"]).where(F.col("_k") < F.col("_t"))
+        mine = mine.groupBy("_g", "_own", "_t").agg(F.collect_list(own).alias("_mine"))
+        asked = asked.join(staging.stage(mine, "own") if chunk else mine, ["_g", "_own", "_t"], "left")
+    else:
+        asked = asked.withColumn("_mine", F.lit(None).cast(told.withColumn("_k", F.col("_t")).select(F.array(own).alias("m")).schema["m"].dataType))
+    alike = asked.where(F.col("_mine").isNull())
+    compact = bool(chunk) and (want.strict or not want.weighted)
+    width = len(State(want).counts)
+    told = staging.stage(_at_once(told, want, width), "told") if compact else told.withColumn("_all", F.lit(None).cast("int"))
+    if chunk:
+        # Targets that see none of their own rows see the same at the same instant.
+        each = alike.select("_g", "_c", "_tag", "_t").distinct()
+        asked = asked.where(F.col("_mine").isNotNull()).unionByName(each, allowMissingColumns=True)
     both = told.unionByName(asked.withColumnRenamed("_own", "_id"), allowMissingColumns=True).withColumn("_state", F.lit(None).cast("binary"))
+
+    def learn(state: State, row: tuple, whole: dict | None, tag: int) -> None:
+        if tag == 2:
+            state.grow(whole["n"], whole["counts"][:width], list(whole["sums"].values())[:width])
+        elif compact:
+            state._place(row)
+        else:
+            state.add(row)
+
     if chunk:
-        sums = told.withColumn("_mine", F.lit(None).cast(mine.schema["_mine"].dataType)).withColumn("_state", F.lit(None).cast("binary"))
+        sums = told.withColumn("_mine", F.lit(None).cast(asked.schema["_mine"].dataType)).withColumn("_state", F.lit(None).cast("binary"))
 
         def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, state = None, State(want)
             for batch in batches:
-                for group, c, _, _, r, _, _ in _events(batch):
+                for group, c, tag, _, r, _, _, whole in _events(batch):
                     if (group, c) != now:
                         if now:
                             yield _summary([now], [state])
                         now, state = (group, c), State(want)
-                    state.add(r)
+                    learn(state, r, whole, tag)
             if now:
                 yield _summary([now], [state])
 
@@ -260,24 +306,30 @@ def sweep(history: DataFrame, targets: DataFrame, keys: list[str], want: Wanted,
         now, state = None, State(want)
         for batch in batches:
             keep, rows = [], []
-            for i, (group, c, tag, t, r, own_rows, raw) in enumerate(_events(batch)):
+            for i, (group, c, tag, t, r, own_rows, raw, whole) in enumerate(_events(batch)):
                 if (group, c) != now:
                     now, state = (group, c), State(want)
                 if tag == -1:
                     state = _load(want, raw)
-                elif tag == 1:
-                    state.add(r)
+                elif tag > 0:
+                    learn(state, r, whole, tag)
                 else:
                     seen = [tuple(x["v"].values()) for x in own_rows or () if x["t"] < t]
                     keep.append(i)
                     rows.append(state.features(r[4], seen) or (None,) * len(made))
             if keep:
                 cols = [pa.array([r[k] for r in rows], out_types[n]) for k, n in enumerate(made)]
-                yield pa.RecordBatch.from_arrays([batch.column("_l").take(pa.array(keep)), *cols], ["_l", *made])
+                asked_by = [batch.column(x).take(pa.array(keep)) for x in ("_g", "_t", "_l")]
+                yield pa.RecordBatch.from_arrays([*asked_by, *cols], ["_g", "_t", "_l", *made])
 
-    schema = S.StructType([S.StructField("_l", both.schema["_l"].dataType), *(S.StructField(n, types[n]) for n in made)])
+    schema = S.StructType([*(S.StructField(x, both.schema[x].dataType) for x in ("_g", "_t", "_l")), *(S.StructField(n, types[n]) for n in made)])
     # A carried state first, then in order of time, targets before what becomes known at the same instant.
     swept = both.repartition("_g", "_c").sortWithinPartitions("_g", "_c", F.col("_tag") != -1, "_t", "_tag", "_id").mapInArrow(answer, schema)
+    if chunk:
+        swept = staging.stage(swept, "swept")
+        # Dealt by instant, so that a long entity's targets are many tasks however they were read.
+        shared = alike.select("_g", "_t", "_l").repartition("_g", "_t").join(swept.where(F.col("_l").isNull()).drop("_l"), ["_g", "_t"])
+        swept = swept.where(F.col("_l").isNotNull()).unionByName(shared)
     return swept.select("_l.*", *made)
 
 
